@@ -72,3 +72,22 @@ def lists(values: pa.Array | np.ndarray, counts: np.ndarray) -> pa.Array:
     off = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def binaries(data: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """A binary array of the items of ``data`` between successive entries of ``cut``."""
+    data = np.ascontiguousarray(data)
+    off = (np.asarray(cut, np.int64) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data)])
+
+
+def gathered(column: list[pa.Array], kind: type) -> np.ndarray:
+    """All bytes of binary arrays, one after the other, as numbers."""
+    parts = [np.frombuffer(x, kind) for a in column for x in a.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def flat(column: list[pa.Array]) -> np.ndarray:
+    """All values of list arrays, one after the other."""
+    parts = [a.flatten().to_numpy(zero_copy_only=False) for a in column]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)

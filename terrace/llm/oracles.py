@@ -20,4 +20,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op10_decontamination": OP10}
+OP3 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{PLAIN}') AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+hit AS (SELECT doc_id, p FROM win JOIN least USING (h) WHERE doc_id > m),
+gone AS (SELECT doc_id, list(DISTINCT q) AS qs FROM (SELECT doc_id, unnest(generate_series(p, p + 49)) AS q FROM hit) GROUP BY doc_id),
+flags AS (SELECT doc_id, q FROM gone, unnest(qs) AS t(q)),
+pos AS (SELECT doc_id, w[q] AS word, q FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS q FROM d)),
+kept AS (SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.q) AS t FROM pos LEFT JOIN flags ON pos.doc_id = flags.doc_id AND pos.q = flags.q WHERE flags.q IS NULL GROUP BY pos.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op3_substring_dedup": OP3, "op10_decontamination": OP10}
