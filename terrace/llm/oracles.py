@@ -33,4 +33,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op3_substring_dedup": OP3, "op10_decontamination": OP10}
+OP5 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PLAIN}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, p, p + 2), ' ')) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach(node, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, r FROM reach JOIN link ON node = a WHERE r < b),
+comp AS (SELECT node, min(r) AS r FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, r AS component_id, d.doc_id = r AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN comp ON node = d.doc_id
+"""
+
+ORACLES = {"op5_near_duplicates": OP5, "op3_substring_dedup": OP3, "op10_decontamination": OP10}
