@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm import words
-from terrace.llm.common import binaries, buckets, chunks, flat, gathered, lists
+from terrace.llm.common import binaries, buckets, chunks, flat, gathered, lists, stage
 
 WINDOW = 50
 _LAST = (1 << 63) - 1
 _U = np.uint64
+#: Bits of a position; above them is a hash of the text, 23 bits, that tells rows of one doc_id apart.
+_SHIFT = 40
 
 
 def _packed(keys: list[np.ndarray], bucket: np.ndarray, pos: np.ndarray, row: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
@@ -62,19 +64,14 @@ def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> tuple[lis
     return keys, pos, np.repeat(np.arange(len(n)), n), doc, tag
 
 
-def _rows(run: np.ndarray, pos: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Positions by document."""
-    order = np.lexsort((pos, run))
-    run, pos = run[order], pos[order]
-    own, cut = np.unique(run, return_index=True)
-    n = np.diff(np.append(cut, len(run)))
-    for a in range(0, len(own), 10_000):
-        b = min(a + 10_000, len(own))
-        lo, hi = (cut[a] if a < len(cut) else 0), (cut[b] if b < len(cut) else len(run))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[own[a:b]]), pa.array(tag[own[a:b]]), lists(pos[lo:hi].astype(np.int32), n[a:b])], ["doc", "tag", "at"])
+def _rows(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each position, with the row's tag above it: as many whatever the number of buckets."""
+    at = tag << _SHIFT | pos
+    for a in range(0, len(doc), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + 100_000]), pa.array(at[a : a + 100_000])], ["doc", "at"])
 
 
-_AT = "doc long, tag long, at array<int>"
+_AT = "doc long, at long"
 
 
 def _probes(block: int, parts: int):
@@ -121,19 +118,25 @@ def _anchors(block: int):
         hit[at] = least[slot] < of[at]
         hit[fixed] |= most[no] > of[fixed]
         hit = np.flatnonzero(hit)
-        yield from _rows(run[hit], pos[hit], doc, tag)
+        yield from _rows(of[hit], tag[run[hit]], pos[hit])
 
     return run
 
 
+def _own(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's own positions, one row after the other, and where each row's begin."""
+    at = batch.column("at").flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), batch.column("at").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    own = at >> _SHIFT == batch.column("tag").to_numpy()[row] if len(at) else np.zeros(0, bool)
+    return at[own] & ((1 << _SHIFT) - 1), np.searchsorted(row[own], np.arange(batch.num_rows + 1))
+
+
 def _windows(width: int, block: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("at").is_valid())
             k1, k2, poss, rows = [], [], [], []
-            at_off = np.zeros(batch.num_rows + 1, np.int64)
-            np.cumsum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False), out=at_off[1:])
-            at_all = batch.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at_all, at_off = _own(batch)
             for lo, hi, buf, off in chunks(batch.column("text")):
                 starts, ends, first = words.spans(buf, off, words.PLAIN)
                 h = words.hashes(buf, starts, ends)
@@ -170,32 +173,31 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     heads = np.flatnonzero(head)
     least = np.repeat(np.minimum.reduceat(of, heads), np.diff(np.append(heads, len(of))))
     hit = order[of > least]
-    yield from _rows(run[hit], pos[hit], doc, tag)
+    yield from _rows(doc[run[hit]], tag[run[hit]], pos[hit])
 
 
 def _cut(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ats = batch.column("text").cast(pa.large_binary()), batch.column("at")
+            texts = batch.column("text").cast(pa.large_binary())
             n, spans, kept = [], [], []
-            hit = ats.is_valid().to_numpy(zero_copy_only=False)
+            at_all, at_off = _own(batch)
             for i in range(batch.num_rows):
                 own = (texts[i].as_py() or b"").split()
                 n.append(len(own))
                 merged: list[list[int]] = []
-                if hit[i]:
-                    for p in np.sort(np.array(ats[i].values)).tolist():
-                        if merged and p <= merged[-1][1]:
-                            merged[-1][1] = p + width
-                        else:
-                            merged.append([p, p + width])
-                    for a, b in reversed(merged):
-                        del own[a:b]
+                for p in np.sort(at_all[at_off[i] : at_off[i + 1]]).tolist():
+                    if merged and p <= merged[-1][1]:
+                        merged[-1][1] = p + width
+                    else:
+                        merged.append([p, p + width])
+                for a, b in reversed(merged):
+                    del own[a:b]
                 spans.append([{"start": a, "end": b} for a, b in merged])
                 kept.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("i"), batch.column("doc"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["i", "doc", "tag", "n_words", "repeat_spans", "kept_text"],
+                [batch.column("i"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())],
+                ["i", "n_words", "repeat_spans", "kept_text"],
             )
 
     return run
@@ -204,19 +206,18 @@ def _cut(width: int):
 def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, repeat_spans, kept_text) of every row: words in a repeat, starts from 0 and ends exclusive, and the other words joined by spaces."""
     parts, block = buckets(docs.sparkSession), width // 2
-    src = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
+    src = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.shiftrightunsigned(F.xxhash64("text"), _SHIFT + 1).alias("tag"), "text")
 
     def with_at(found: DataFrame) -> DataFrame:
-        at = found.groupBy("doc", "tag").agg(F.flatten(F.collect_list("at")).alias("at"))
-        return src.join(at.hint("shuffle_hash"), ["doc", "tag"], "left")
+        return src.join(found.groupBy("doc").agg(F.collect_list("at").alias("at")).hint("shuffle_hash"), "doc", "left")
 
     packed = src.select("doc", "tag", "text").mapInArrow(_probes(block, parts), f"bucket int, k0 binary, {_PACKED}")
-    anchors = packed.repartitionById(parts, "bucket").mapInArrow(_anchors(block), _AT)
+    anchors = stage(packed.repartitionById(parts, "bucket").mapInArrow(_anchors(block), _AT), "anchors")
     # documents without anchors keep their row, so that both joins read the documents dealt out once
     near = with_at(anchors).select("i", "doc", "tag", F.when(F.col("at").isNotNull(), F.col("text")).alias("text"), "at")
     packed = near.mapInArrow(_windows(width, block, parts), f"bucket int, k0 binary, k1 binary, {_PACKED}")
     found = packed.repartitionById(parts, "bucket").mapInArrow(_repeated, _AT)
-    out = with_at(found).select("i", "doc", "tag", "text", "at").mapInArrow(_cut(width), "i long, doc long, tag long, n_words long, repeat_spans array<struct<start:int,end:int>>, kept_text string")
+    out = with_at(found).select("i", "tag", "text", "at").mapInArrow(_cut(width), "i long, n_words long, repeat_spans array<struct<start:int,end:int>>, kept_text string")
     return out.select(F.col("i").alias("doc_id"), "n_words", "repeat_spans", "kept_text")
 
 
