@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text worked on at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
@@ -26,10 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/terrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it.
+
+    The shuffle files of the write are deleted when it has ended, not when the driver next collects its garbage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/terrace-{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:
