@@ -55,4 +55,40 @@ n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, r AS component_id, vec_id = r AS kept FROM e JOIN comp ON node = vec_id LEFT JOIN n ON a = vec_id
 """
 
-ORACLES = {"op9_embedding_dedup": OP9, "op5_near_duplicates": OP5, "op3_substring_dedup": OP3, "op10_decontamination": OP10}
+OP2 = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+c AS (SELECT *, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM d),
+e AS (SELECT *, list_filter(generate_series(1, len(h)), lambda i: i = len(h) OR ((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 31 + h[i]) % 4 = 0) AS ends FROM c),
+k AS (SELECT doc_id, no, CASE WHEN no = 1 THEN 1 ELSE ends[no - 1] + 1 END AS a, ends[no] AS b, w FROM (SELECT doc_id, ends, w, unnest(generate_series(1, len(ends))) AS no FROM e)),
+t AS (SELECT doc_id, no, a, b, array_to_string(list_slice(w, a, b), chr(10)) AS bytes FROM k),
+r AS (SELECT *, b > a AND row_number() OVER (PARTITION BY bytes, b > a ORDER BY doc_id, no) > 1 AS gone FROM t),
+g AS (SELECT doc_id, sum(CASE WHEN gone THEN b - a + 1 ELSE 0 END) AS n, string_agg(bytes, chr(10) ORDER BY no) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(w) END AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d JOIN g USING (doc_id)
+"""
+
+OP4 = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{PLAIN}')) AS BIGINT) AS size, md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS drawn FROM documents),
+d2 AS (SELECT *, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) % 128 AS shard FROM d),
+cells AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS v FROM d2 GROUP BY ALL),
+s0 AS (SELECT source, CAST(sum(v) AS BIGINT) AS source_size FROM cells GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS no FROM s0),
+s2 AS (SELECT *, CAST([5, 2, 1][(no - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS total FROM s1),
+s3 AS (SELECT *, cap / weight AS level FROM s2),
+s4 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY level, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY level, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS th FROM s3),
+s5 AS (SELECT *, max(CASE WHEN th <= level THEN th END) OVER () AS theta FROM s4),
+s6 AS (SELECT source, source_size, coalesce(least(cap, weight * theta), cap) AS target FROM s5),
+n AS (SELECT CAST(round(sum(target) / 32) AS BIGINT) AS seats FROM s6),
+sq AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source IS NULL, source) AS r FROM (SELECT source, target, unnest(generate_series(1, CAST(ceil(target / 32) AS BIGINT) + 40)) AS k FROM s6 WHERE target > 0)),
+sn AS (SELECT source, count(*) AS seats FROM sq, n WHERE r <= n.seats GROUP BY source),
+cq AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY v / (2 * k - 1) DESC, shard) AS r
+  FROM (SELECT cells.source, shard, v, seats, unnest(generate_series(1, CAST(ceil(2 * v / 32.0) AS BIGINT) + 80)) AS k FROM cells JOIN sn ON cells.source IS NOT DISTINCT FROM sn.source WHERE v > 0)),
+cn AS (SELECT source, shard, count(*) AS quota FROM cq WHERE r <= seats GROUP BY source, shard),
+q AS (SELECT cells.source, cells.shard, v, coalesce(quota, 0) * 32 AS words, CASE WHEN v > 0 THEN least(2, coalesce(quota, 0) * 32 // v) ELSE 0 END AS passes
+  FROM cells LEFT JOIN cn ON cells.source IS NOT DISTINCT FROM cn.source AND cells.shard = cn.shard),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY drawn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM d2)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, CASE WHEN passes < 2 THEN words - passes * v ELSE 0 END - bef)) AS BIGINT) AS taken
+FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard JOIN s6 ON p.source IS NOT DISTINCT FROM s6.source
+"""
+
+ORACLES = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op9_embedding_dedup": OP9, "op5_near_duplicates": OP5, "op3_substring_dedup": OP3, "op10_decontamination": OP10}

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import decontam, neardup, substring, toxicity, vectors
+from terrace.llm import decontam, linededup, mixing, neardup, substring, toxicity, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(_read(spark, sf_dir, "documents")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.repeats(_read(spark, sf_dir, "documents")))
 
@@ -35,6 +43,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op4_mixing": op4_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
