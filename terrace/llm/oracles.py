@@ -1,5 +1,7 @@
 """SQL that other engines can run for the queries of this package."""
 
+from terrace.llm.licenses import RULES, SENTENCES, normalised
+
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PLAIN = r"[^\x20\x09-\x0D]+"
 
@@ -91,4 +93,24 @@ SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least
 FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard JOIN s6 ON p.source IS NOT DISTINCT FROM s6.source
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op9_embedding_dedup": OP9, "op5_near_duplicates": OP5, "op3_substring_dedup": OP3, "op10_decontamination": OP10}
+def _op7() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ", ".join(f"({quote(normalised(v))}, {quote(k)})" for k, v in SENTENCES.items())
+    rules = ", ".join(f"({quote(n)}, '%{'%'.join(f'<{i}>' for i in r)}%')" for n, r in RULES)
+
+    def sentences(breaks: str) -> str:
+        marked = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{breaks}', chr(1), 'g'), '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g')"
+        return rf"list_filter(list_transform(string_split(regexp_replace(translate({marked}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\pL\pN\x01]+', ' ', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+    return rf"""
+WITH known(t, id) AS (VALUES {table}), rules(name, pattern) AS (VALUES {rules}),
+d AS (SELECT doc_id, {sentences(r'\n')} AS l, {sentences(r'\n[\x20\x09-\x0D]*\n')} AS r FROM documents),
+s AS (SELECT doc_id, k, pos, id FROM (SELECT doc_id, 'l' AS k, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM d UNION ALL SELECT doc_id, 'r', unnest(r), generate_subscripts(r, 1) FROM d) JOIN known USING (t)),
+q AS (SELECT doc_id, k, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, '<' || string_agg(id, '><' ORDER BY pos) || '>' AS seq FROM s GROUP BY doc_id, k),
+m AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM q JOIN rules ON seq LIKE pattern GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_sentences, CAST(coalesce(n, 0) AS BIGINT) AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences
+FROM d LEFT JOIN (SELECT * FROM q WHERE k = 'l') q USING (doc_id) LEFT JOIN m USING (doc_id)
+""".replace("\\\\", "\\")
+
+
+ORACLES = {"op7_license_scan": _op7(), "op2_line_dedup": OP2, "op4_mixing": OP4, "op9_embedding_dedup": OP9, "op5_near_duplicates": OP5, "op3_substring_dedup": OP3, "op10_decontamination": OP10}
