@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import decontam, licenses, linededup, mixing, neardup, substring, toxicity, vectors
+from terrace.llm import decontam, licenses, linededup, mixing, neardup, substring, toxicity, vectors, webtext
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(_read(spark, sf_dir, "documents")))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
     "op7_license_scan": op7_license_scan,
+    "op8_main_text": op8_main_text,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_decontamination": op10_decontamination,
 }
