@@ -113,4 +113,15 @@ FROM d LEFT JOIN (SELECT * FROM q WHERE k = 'l') q USING (doc_id) LEFT JOIN m US
 """.replace("\\\\", "\\")
 
 
-ORACLES = {"op7_license_scan": _op7(), "op2_line_dedup": OP2, "op4_mixing": OP4, "op9_embedding_dedup": OP9, "op5_near_duplicates": OP5, "op3_substring_dedup": OP3, "op10_decontamination": OP10}
+OP1 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>|</?SYS>>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') AS esc FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(esc) + length(role) + 24) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES = {"op1_chat_format": OP1, "op7_license_scan": _op7(), "op2_line_dedup": OP2, "op4_mixing": OP4, "op9_embedding_dedup": OP9, "op5_near_duplicates": OP5, "op3_substring_dedup": OP3, "op10_decontamination": OP10}
