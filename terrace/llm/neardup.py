@@ -4,14 +4,14 @@ A document's set holds the hashes (64 bits) of its distinct word shingles. Regis
 the minimum m_i over the set of exponentially distributed hashes: exponentially spaced truncated minima, so a union's
 register is the larger of two. Documents with equal sets are one class, and only its smallest document goes on.
 
-1. ``BANDS`` bands of ``ROWS`` registers each are hashed to buckets; every member is paired with its bucket's smallest member.
-2. Pairs pass if the joint likelihood of their registers and sizes is still rising at similarity ``estimate_at`` (the
-   log-likelihood is concave, so its maximum lies above), and are verified on the full sets.
+1. Bands of ``rows`` registers each are hashed to buckets; every member is paired with its bucket's smallest member.
+2. Pairs pass if the joint likelihood of their registers and sizes is still rising ``MARGIN`` standard errors below the
+   threshold (the log-likelihood is concave, so its maximum lies above), and are verified on the full sets.
 3. A member that is not yet in its bucket's component meets the bucket's other members in blocks of ``BLOCK``: the estimate
    picks which documents have a partner in another component, and those are compared exactly, block against block, with a
    spanning forest of the links as output. Buckets of any size are split into blocks, and no list of pairs is formed.
 
-A pair of similarity 0.85 shares no band with probability 1e-6, and fails the estimate with about 4e-6.
+A pair of similarity 0.85 shares no band of 7 with probability 1e-6 (0.8 and 6: 3e-6), and fails the estimate with about 4e-6.
 
 Nulls: a null or wordless text has the empty set, which is linked with nothing; so is a null doc_id (component null, kept).
 Rows with one doc_id are one document with the links of each row. Extra columns are not read. Empty tables give empty results.
@@ -32,9 +32,10 @@ from terrace.llm.common import chunks, stage
 from terrace.llm.components import components
 
 SHINGLE, PERCENT = 3, 85
-BANDS, ROWS, BLOCK = 36, 7, 512
+#: Registers, registers a band (6 for a similarity of 0.8), documents a block, and standard errors below the threshold that the estimate lets pass.
+REGISTERS, ROWS, BLOCK, MARGIN = 252, 7, 512, 4.5
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-_M = BANDS * ROWS
+_M = REGISTERS
 _RUN = 1 << 16
 _A = words.mix(np.arange(1, _M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -134,7 +135,7 @@ def _verify(percent: int):
     return run
 
 
-def _active(j: float):
+def _active(j: float, rows: int):
     """Of a block of unplaced members and a block of all: those with a likely partner in another component, where this band is the first they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def _active(j: float):
                 for m in ys:
                     ry = np.frombuffer(m["regs"], np.uint16)
                     same = rx == ry
-                    shared = same.reshape(-1, BANDS, ROWS).all(2)
+                    shared = same.reshape(-1, _M // rows, rows).all(2)
                     pos = (rx > ry).sum(1)
                     eq = same.sum(1)
                     good = (cx != m["root"]) & (shared.argmax(1) == band) & shared[:, band] & rising(pos, _M - eq - pos, eq, nx, np.full(len(nx), m["n"]), j)
@@ -205,14 +206,14 @@ def _blockwise(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, estimate_at: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; documents with 100 * intersection >= percent * union are linked."""
-    at = percent / 100 - 0.1 if estimate_at is None else estimate_at
+    at = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / _M) ** 0.5
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stage(src.mapInArrow(_sketch(shingle), "doc_id long, n long, digest binary, regs binary"), "sketch")
     reps = stage(
         sketch.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "regs")).alias("s")).select("digest", F.col("s.doc_id").alias("doc"), "s.n", "s.regs"), "classes")
-    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)).alias("key")) for i in range(BANDS)))
+    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("regs", 2 * rows * i + 1, 2 * rows)).alias("key")) for i in range(_M // rows)))
     member = reps.select("doc", F.explode(keys).alias("k")).select("doc", "k.band", "k.key")
     hub = member.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1")
     member = stage(member.join(hub, "key"), "buckets")
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         .agg(F.collect_list(F.struct("doc", F.col("doc_root").alias("root"), "n", "regs", "open")).alias("members")))
     ys = block.select("key", "band", F.col("block").alias("block_y"), F.filter("members", lambda m: m["open"]).alias("ys")).where("size(ys) > 0")
     both = ys.join(block.select("key", F.col("block").alias("block_x"), F.col("members").alias("xs")), "key")
-    active = both.select("key", "band", "block_y", "block_x", "ys", "xs").mapInArrow(_active(at), "key long, block_y long, block_x long, doc long, root long")
+    active = both.select("key", "band", "block_y", "block_x", "ys", "xs").mapInArrow(_active(at, rows), "key long, block_y long, block_x long, doc long, root long")
     groups = active.join(own, "doc").groupBy("key", "block_y", "block_x").agg(F.collect_list(F.struct("doc", "own")).alias("members"))
     more = groups.select("members").mapInArrow(_blockwise(percent), "a long, b long")
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
