@@ -143,9 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = min(1.0, sample / max(n, 1))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # binomial: within a few hundredths of sample
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_terms, f"doc_id {kind}, y int, slots binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["slots"])))
-    return fit([np.frombuffer(r["slots"], np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows], np.float64))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_terms, f"doc_id {kind}, y int, slots binary")
+    rows = sorted((r["doc_id"], bytes(r["slots"]), r["y"]) for r in rows.toLocalIterator())
+    return fit([np.frombuffer(r[1], np.int32) for r in rows], np.array([r[2] for r in rows], np.float64))
 
 
 def scores(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
