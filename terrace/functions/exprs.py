@@ -190,7 +190,7 @@ def bin_index(x: Column, inner: list[float]) -> Column:
     """The number of inner edges at or below x."""
     if not inner:
         return F.when(x.isNotNull(), F.lit(0))
-    return F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e <= x))
+    return F.when(x.isNotNull(), F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e <= x)))
 
 
 def interpolate(x: Column, at: list[float], to: list[float]) -> Column:

@@ -33,6 +33,11 @@ from terrace.plans.preprocess import Feature, Preprocessor
 SHAPES = ("linear", "spline", "gp")
 
 
+def _products(left: Column, right: Column) -> Column:
+    """All products of components of two blocks, the left one's first."""
+    return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: a * b)))
+
+
 @dataclasses.dataclass
 class Term:
     """A feature or an interaction ("a:b"): the features' names and the width of the block."""
@@ -86,7 +91,7 @@ class AdditiveModel:
                 block, width = single[names[0]]
                 for n in names[1:]:
                     more, w = single[n]
-                    block, width = F.flatten(F.transform(block, lambda a, more=more: F.transform(more, lambda b: a * b))), width * w
+                    block, width = _products(block, more), width * w
                 out.append((Term(":".join(names), list(names), width), block))
         return out
 
