@@ -1,33 +1,36 @@
 """Chat formatting over a prefix tree.
 
-A conversation's turns, in order of turn (then role and text), are formatted by a template. Conversations that begin with the same
-turns share a node for each of them: a node is a distinct sequence of turns, known by the digest of its parent's digest and its
-own turn. All nodes together, depth first (in order of the digests along their paths), make one stream of signs, and each
-node's segment stands in it once, with
+A conversation's turns, in order of turn (then role and text), are formatted by a template, and a chain of digests names every
+beginning of it. Distinct conversations in order of their chains are the leaves of the prefix tree, depth first: each shares
+with the one before it the turns that their chains have in common, and only what follows is new. A pack is a stretch of that order, at
+most ``PACK`` signs of new text; in it, shared turns stand once. A row of the result is a leaf's new text:
 
-* ``start`` and ``length``: the half-open interval of the stream,
-* ``position``: the position id of its first sign, which is the length of all its ancestors,
-* ``ancestors``: the intervals of the stream that it attends to besides itself, outermost first,
-* ``loss_from`` and ``loss_length``: where in the segment an assistant's text stands.
+* ``pack``, ``start``: where it stands in its pack's stream of signs, and ``text``,
+* ``position``: the position id of its first sign, which is the length of all before it in the conversation,
+* ``ancestors``: the half-open intervals of the stream that it attends to besides itself, in order; neighbours are joined,
+* ``loss``: the intervals of assistants' texts in it.
 
-A conversation is a leaf's path. Distinct nodes are found by a grouping that sums before the exchange, so a turn that opens a
-third of all conversations is a row a task. The stream is sorted by ranges, and offsets are sums within and over partitions; no tree is gathered in one task.
+A pack begins with a whole conversation, so it can be trained on alone, and turns that packs share stand once in each. Identical
+conversations are one leaf: they are reduced before the exchange, so one that makes up a third of all is a row a task. Leaves are
+dealt by ranges of their chains, which are distinct, so a common first turn is split like any other.
 
 The template: ``<|im_start|>``, role, newline, text, ``<|im_end|>``, newline. In roles and texts every backslash is doubled, and a backslash
-is put after the first sign of anything that reads as a control string (``<|``, ``[INST]``, ``[/INST]``, ``<s>``, ``</s>``, ``<<SYS>>``, ``<</SYS>>``), which ``unescaped`` undoes.
+is put after the first sign of anything that reads as a control string (``<|``, ``[INST]``, ``[/INST]``, ``<s>``, ``</s>``, ``<<SYS>>``, ``<</SYS>>``); a role's newline
+is ``\\n``. ``unescaped`` undoes all of it.
 
-Nulls: a null role or text is empty; a null turn comes first; rows without conv_id are one conversation without id. Repeated rows are repeated turns.
-Extra columns are not read. An empty table gives empty tables.
+Nulls: a null role or text is empty; a null turn comes first; rows without conv_id are one conversation without id. Repeated rows are repeated
+turns. Extra columns are not read. An empty table gives empty tables. A conversation longer than a pack is a pack of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import buckets, stage
@@ -35,67 +38,115 @@ from terrace.llm.common import buckets, stage
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: The role whose texts count for the loss.
 TRAINED = "assistant"
-_CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])"
+PACK = 1 << 22
+_CONTROL = re.compile(r"(<)(?=\||/?s>|</?SYS>>)|(\[)(?=/?INST\])")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+_INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def escaped(text: Column) -> Column:
+def escaped(text: str) -> str:
     """``text`` without control strings, reversibly."""
-    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), _CONTROL, r"$0\\")
+    return _CONTROL.sub(lambda m: m[0] + "\\", text.replace("\\", "\\\\"))
 
 
 def unescaped(text: str) -> str:
-    """What ``escaped`` was given."""
-    return re.sub(r"\\(\\?)", r"\1", text)
-
-
-def _conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, path, turns): digests and turns of each conversation, in order."""
+    """What ``escaped`` was given, or a role that was."""
+    return re.sub(r"\\([\\n]?)", lambda m: {"n": "\n"}.get(m[1], m[1]), text)
+
+
+def formatted(turns: list[tuple[str, str]]) -> tuple[str, list[int], list[bytes], list[tuple[int, int]]]:
+    """(text, ends of turns, digests of beginnings, intervals of the loss) of (role, text) turns."""
+    parts, ends, chain, loss, at, last = [], [], [], [], 0, b""
+    for role, text in turns:
+        head, body = f"{START}{escaped(role).replace('\n', '\\n')}\n", escaped(text)
+        parts += [head, body, END]
+        if role == TRAINED:
+            loss.append((at + len(head), at + len(head) + len(body)))
+        at += len(head) + len(body) + len(END)
+        last = hashlib.blake2b("".join((head, body)).encode(), key=last, digest_size=16).digest()
+        ends.append(at)
+        chain.append(last)
+    return "".join(parts), ends, chain, loss
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [formatted([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("conv_id"), pa.array([c[-1] for _, _, c, _ in got], pa.binary()), pa.array([c for _, _, c, _ in got], pa.list_(pa.binary())), pa.array([t for t, *_ in got], pa.string()),
+             pa.array([e for _, e, *_ in got], pa.list_(pa.int64())), pa.array([[{"start": a, "end": b} for a, b in m] for *_, m in got], _INTERVALS)],
+            ["conv_id", "leaf", "chain", "text", "ends", "loss"],
+        )
+
+
+def _cut(intervals: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """The first ``length`` signs of intervals."""
+    out = []
+    for a, b in intervals:
+        if length <= 0:
+            break
+        out.append((a, min(b, a + length)))
+        length -= b - a
+    return out
+
+
+def _packed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no, stream, chain, path = 0, 0, [], []
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("pack", "start", "text", "position", "ancestors", "loss")}
+            for pid, own, text, ends, loss in zip(*(batch.column(c).to_pylist() for c in ("pid", "chain", "text", "ends", "loss")), strict=True):
+                k = 0
+                while k < min(len(own), len(chain)) and own[k] == chain[k]:
+                    k += 1
+                shared = ends[k - 1] if k else 0
+                if stream and stream + len(text) - shared > size:
+                    no, stream, k, shared, path = no + 1, 0, 0, 0, []
+                before = _cut(path, shared)
+                end = stream + len(text) - shared
+                out["pack"].append(pid << 32 | no)
+                out["start"].append(stream)
+                out["text"].append(text[shared:])
+                out["position"].append(shared)
+                out["ancestors"].append([{"start": a, "end": b} for a, b in before])
+                out["loss"].append([{"start": m["start"] - shared + stream, "end": m["end"] - shared + stream} for m in loss if m["start"] >= shared])
+                path = [*before[:-1], (before[-1][0], end)] if before and before[-1][1] == stream else [*before, (stream, end)]
+                stream, chain = end, own
+            kinds = {"pack": pa.int64(), "start": pa.int64(), "text": pa.string(), "position": pa.int64(), "ancestors": _INTERVALS, "loss": _INTERVALS}
+            yield pa.RecordBatch.from_arrays([batch.column("leaf"), *(pa.array(v, kinds[c]) for c, v in out.items())], ["leaf", *out])
+
+    return run
+
+
+def prefix_tree(rows: DataFrame, pack: int = PACK) -> tuple[DataFrame, DataFrame]:
+    """Leaves (leaf, pack, start, text, position, ancestors, loss), and conversations (conv_id, leaf)."""
     turn = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     turns = turn.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # a role's newline would end it, so it is marked before the template reads it
-    segment = lambda t: F.concat(F.lit(START), F.regexp_replace(escaped(t["role"]), "\n", r"\\n"), F.lit("\n"), escaped(t["text"]), F.lit(END))
-    turns = turns.select("conv_id", F.transform("turns", lambda t: F.struct(segment(t).alias("segment"), t["role"].alias("role"), F.length(escaped(t["text"])).alias("size"))).alias("turns"))
-    chain = F.aggregate("turns", F.array().cast("array<string>"), lambda acc, t: F.concat(acc, F.array(F.md5(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t["segment"])))))
-    return turns.select("conv_id", chain.alias("path"), "turns")
-
-
-def prefix_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, parent, depth, segment, start, length, position, ancestors, loss_from, loss_length) in the order of the stream, and conversations (conv_id, leaf)."""
-    spark = rows.sparkSession
-    talks = stage(_conversations(rows), "talks")
-    node = talks.select(F.posexplode(F.arrays_zip("path", "turns")).alias("k", "x"), F.col("path").alias("full"))
-    node = node.select(F.col("x.path").alias("node"), F.slice("full", 1, F.col("k") + 1).alias("path"), F.col("x.turns").alias("t"))
-    node = node.groupBy("node").agg(F.min(F.struct("path", "t")).alias("n")).select("node", "n.path", "n.t.segment", "n.t.role", "n.t.size")
-    parts = buckets(spark)
-    ordered = node.repartitionByRange(parts, "path").sortWithinPartitions("path").select("*", F.length("segment").cast("long").alias("length"), F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("seq"))
-    ordered = stage(ordered, "nodes")
-    within = Window.partitionBy("pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ordered.groupBy("pid").agg(F.sum("length").alias("size"))
-    before = sizes.select("pid", F.coalesce(F.sum("size").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = ordered.withColumn("before", F.coalesce(F.sum("length").over(within), F.lit(0))).join(before, "pid")
-    placed = stage(placed.select("node", "path", "segment", "role", "size", "length", (F.col("base") + F.col("before")).alias("start")), "placed")
-    up = placed.where(F.size("path") > 1).select("node", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("up"))
-    span = placed.select(F.col("node").alias("up"), F.size("path").alias("depth"), "start", (F.col("start") + F.col("length")).alias("end"))
-    above = up.join(span, "up").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "end"))).alias("a"))
-    above = above.select(F.col("node").alias("own"), F.transform("a", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("ancestors"))
-    nodes = placed.join(above, F.col("node") == F.col("own"), "left").select(
-        "node", F.try_element_at("path", F.lit(-2)).alias("parent"), F.size("path").alias("depth"), "segment", "start", "length",
-        F.coalesce(F.aggregate("ancestors", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]), F.lit(0)).alias("position"),
-        F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("ancestors"),
-        F.when(F.col("role") == TRAINED, F.col("length") - F.length(F.lit(END)) - F.col("size")).alias("loss_from"), F.when(F.col("role") == TRAINED, F.col("size").cast("long")).alias("loss_length"),
-    )
-    return stage(nodes, "tree"), talks.select("conv_id", F.element_at("path", -1).alias("leaf"))
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    spans = "array<struct<start:bigint,end:bigint>>"
+    talks = stage(turns.mapInArrow(_format, f"conv_id {kind}, leaf binary, chain array<binary>, text string, ends array<bigint>, loss {spans}"), "talks")
+    leaves = talks.groupBy("leaf").agg(F.min(F.struct("chain", "text", "ends", "loss")).alias("x")).select("leaf", "x.*")
+    parts = buckets(rows.sparkSession)
+    ordered = stage(leaves, "leaves").repartitionByRange(parts, "chain").sortWithinPartitions("chain").select("leaf", "chain", "text", "ends", "loss", F.spark_partition_id().cast("long").alias("pid"))
+    tree = ordered.mapInArrow(_packed(pack), f"leaf binary, pack long, start long, text string, position long, ancestors {spans}, loss {spans}")
+    return stage(tree, "packs"), talks.select("conv_id", "leaf")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parses formatted conversations and the text under their loss mask."""
+    """Parses conversations read from their packs' streams, and the text under their loss mask."""
+    pack, stream, masked, starts = None, "", [], []
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
-        for parts in batch.column("parts").to_pylist():
-            whole = "".join(p["segment"] for p in parts)
-            turns = [(re.sub(r"\\(\\|n)?", lambda m: {None: "", "n": "\n"}.get(m[1], "\\"), r), unescaped(t)) for r, t in _TURN.findall(whole)]
-            loss = "".join(unescaped(p["segment"][p["loss_from"] : p["loss_from"] + p["loss_length"]]) for p in parts if p["loss_length"] is not None)
+        for no, start, text, before, mask in zip(*(batch.column(c).to_pylist() for c in ("pack", "start", "text", "ancestors", "loss")), strict=True):
+            if no != pack:
+                pack, stream, masked, starts = no, "", [], []
+            stream += text
+            masked += [(m["start"], m["end"]) for m in mask]
+            starts += [m["start"] for m in mask]
+            own = [*((i["start"], i["end"]) for i in before), (start, start + len(text))]
+            whole = "".join([stream[a:b] for a, b in own])
+            turns = [(unescaped(r), unescaped(t)) for r, t in _TURN.findall(whole)]
+            loss = "".join([unescaped(stream[a:b]) for lo, hi in own for a, b in masked[bisect_left(starts, lo) : bisect_left(starts, hi)]])
             out["n_turns"].append(len(turns))
             out["turns_sha256"].append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
             out["loss_chars"].append(len(loss))
@@ -104,11 +155,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("leaf"), *(pa.array(v, pa.string() if k.endswith("256") else pa.int64()) for k, v in out.items())], ["leaf", *out])
 
 
-def digest(nodes: DataFrame, talks: DataFrame) -> DataFrame:
-    """Each conversation read back from the stream by its leaf's intervals: counts and digests of its turns and of the text under the loss mask."""
-    leaves = talks.select("leaf").distinct()
-    paths = nodes.join(leaves, F.col("node") == F.col("leaf")).select("leaf", F.explode(F.concat(F.col("ancestors"), F.array(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))).alias("i"))
-    part = nodes.select("start", "segment", "loss_from", "loss_length")
-    parts = paths.select("leaf", F.col("i.start").alias("start")).join(part, "start").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("start", "segment", "loss_from", "loss_length"))).alias("parts"))
-    read = parts.mapInArrow(_read_back, "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def digest(tree: DataFrame, talks: DataFrame) -> DataFrame:
+    """Each conversation read back from its pack by its leaf's intervals: counts and digests of its turns and of the text under the loss mask."""
+    read = tree.repartition("pack").sortWithinPartitions("pack", "start").select("leaf", "pack", "start", "text", "ancestors", "loss")
+    read = read.mapInArrow(_read_back, "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return talks.join(read, "leaf").drop("leaf")
