@@ -6,10 +6,11 @@ those whose hash repeats are fetched, grouped by their bytes, and removed everyw
 the first place). Single-line chunks stay.
 
 Hashes without texts are counted first (partial sums before the exchange), so that only repeated chunks move their text. A
-hot chunk meets in one task as one row a task; the comparison is a join that adaptive execution splits.
+hot chunk meets in one task as one row a task; its places are found by joins with written tables, which adaptive execution splits.
 
 Nulls: a null text has no lines and stays null. A null doc_id counts as larger than any. Rows of one doc_id are told apart by a hash
-of their text; equal rows get equal results. Columns are kept. An empty table gives an empty result.
+of their text; equal rows get equal results. Columns are kept, but for n_lines and n_removed, which are replaced, and
+names that begin with _ld_, which are its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,45 +25,46 @@ _LAST = (1 << 63) - 1
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
-    """Adds row key (_doc, _tag), _lines, and _chunks: number, first and last line (from 1) of each chunk."""
+    """Adds row key (_ld_doc, _ld_tag), _ld_lines, and _ld_chunks: number, first and last line (from 1) of each chunk."""
     code = lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
     return (
-        docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_tag", F.xxhash64("text"))
-        .withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-        .withColumn("_codes", F.transform("_lines", code))
-        .withColumn("_ends", F.expr(f"filter(sequence(1, size(_codes)), i -> i = size(_codes) OR ((CASE WHEN i > 1 THEN _codes[i - 2] ELSE 0 END) * 31 + _codes[i - 1]) % {EVERY} = 0)"))
-        .withColumn("_chunks", F.expr("transform(_ends, (e, k) -> struct(k AS no, CASE WHEN k = 0 THEN 1 ELSE _ends[k - 1] + 1 END AS a, e AS b))"))
-        .drop("_codes", "_ends"))
+        docs.withColumn("_ld_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_ld_tag", F.xxhash64("text"))
+        .withColumn("_ld_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+        .withColumn("_ld_codes", F.transform("_ld_lines", code))
+        .withColumn("_ld_ends", F.expr(f"filter(sequence(1, size(_ld_codes)), i -> i = size(_ld_codes) OR ((CASE WHEN i > 1 THEN _ld_codes[i - 2] ELSE 0 END) * 31 + _ld_codes[i - 1]) % {EVERY} = 0)"))
+        .withColumn("_ld_chunks", F.expr("transform(_ld_ends, (e, k) -> struct(k AS no, CASE WHEN k = 0 THEN 1 ELSE _ld_ends[k - 1] + 1 END AS a, e AS b))"))
+        .drop("_ld_codes", "_ld_ends"))
 
 
 def _texts(chunked: DataFrame) -> DataFrame:
-    """(_doc, _tag, no, bytes) of the chunks of two lines or more."""
-    many = chunked.select("_doc", "_tag", "_lines", F.explode(F.filter("_chunks", lambda c: c["b"] > c["a"])).alias("c"))
-    return many.select("_doc", "_tag", F.col("c.no").alias("no"), F.array_join(F.slice("_lines", F.col("c.a"), F.col("c.b") - F.col("c.a") + 1), "\n").alias("bytes"))
+    """(_ld_doc, _ld_tag, no, bytes) of the chunks of two lines or more."""
+    many = chunked.select("_ld_doc", "_ld_tag", "_ld_lines", F.explode(F.filter("_ld_chunks", lambda c: c["b"] > c["a"])).alias("c"))
+    return many.select("_ld_doc", "_ld_tag", F.col("c.no").alias("no"), F.array_join(F.slice("_ld_lines", F.col("c.a"), F.col("c.b") - F.col("c.a") + 1), "\n").alias("bytes"))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(_doc, _tag, gone): for every row with chunks to remove, their numbers."""
+    """(_ld_doc, _ld_tag, gone): for every row with chunks to remove, their numbers."""
     docs = docs.select("doc_id", "text")
-    some = _texts(_chunked(docs)).select("_doc", "_tag", "no", F.xxhash64("bytes").alias("hash"))
-    often = some.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    held = some.join(often, "hash").groupBy("_doc", "_tag").agg(F.collect_set("no").alias("nos"))
-    fetched = _chunked(docs).select("_doc", "_tag", "_lines", "_chunks").join(held.hint("shuffle_hash"), ["_doc", "_tag"])
-    fetched = fetched.withColumn("_chunks", F.filter("_chunks", lambda c: F.array_contains("nos", c["no"])))
+    some = _texts(_chunked(docs)).select("_ld_doc", "_ld_tag", "no", F.xxhash64("bytes").alias("hash"))
+    often = stage(some.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
+    held = some.join(often, "hash").groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("no").alias("nos"))
+    fetched = _chunked(docs).select("_ld_doc", "_ld_tag", "_ld_lines", "_ld_chunks").join(held.hint("shuffle_hash"), ["_ld_doc", "_ld_tag"])
+    fetched = fetched.withColumn("_ld_chunks", F.filter("_ld_chunks", lambda c: F.array_contains("nos", c["no"])))
     texts = _texts(fetched).withColumn("hash", F.xxhash64("bytes"))
-    first = texts.groupBy("hash", "bytes").agg(F.min(F.struct("_doc", "_tag", "no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = texts.join(first, ["hash", "bytes"]).where(F.struct("_doc", "_tag", "no") != F.col("first"))
-    return stage(gone.groupBy("_doc", "_tag").agg(F.collect_set("no").alias("gone")), "lines")
+    texts = stage(texts, "chunks")
+    first = stage(texts.groupBy("hash", "bytes").agg(F.min(F.struct("_ld_doc", "_ld_tag", "no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    gone = texts.join(first, ["hash", "bytes"]).where(F.struct("_ld_doc", "_ld_tag", "no") != F.col("first"))
+    return stage(gone.groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("no").alias("_ld_gone")), "lines")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left, and n_lines and n_removed."""
-    chunked = _chunked(docs).join(repeated_chunks(docs).hint("shuffle_hash"), ["_doc", "_tag"], "left")
-    gone = F.filter("_chunks", lambda c: F.array_contains("gone", c["no"]))
-    kept = F.flatten(F.transform(F.filter("_chunks", lambda c: ~F.array_contains("gone", c["no"])), lambda c: F.slice("_lines", c["a"], c["b"] - c["a"] + 1)))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda s, c: s + (c["b"] - c["a"] + 1)))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    chunked = _chunked(docs).join(repeated_chunks(docs).hint("shuffle_hash"), ["_ld_doc", "_ld_tag"], "left")
+    gone = F.filter("_ld_chunks", lambda c: F.array_contains("_ld_gone", c["no"]))
+    kept = F.flatten(F.transform(F.filter("_ld_chunks", lambda c: ~F.array_contains("_ld_gone", c["no"])), lambda c: F.slice("_ld_lines", c["a"], c["b"] - c["a"] + 1)))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_lines")).cast("long")
+    removed = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda s, c: s + (c["b"] - c["a"] + 1)))
+    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return chunked.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), n.alias("n_lines"), removed.alias("n_removed"))
 
 
