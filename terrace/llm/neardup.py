@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         sketch.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "regs")).alias("s")).select("digest", F.col("s.doc_id").alias("doc"), "s.n", "s.regs"), "classes")
     keys = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("regs", 2 * rows * i + 1, 2 * rows)).alias("key")) for i in range(_M // rows)))
     member = reps.select("doc", F.explode(keys).alias("k")).select("doc", "k.band", "k.key")
-    hub = member.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hub = stage(member.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
     member = stage(member.join(hub, "key"), "buckets")
     own = stage(src.withColumnRenamed("doc_id", "doc").join(member.select("doc").distinct().hint("shuffle_hash"), "doc").mapInArrow(_sets(shingle), "doc long, own binary"), "sets")
 
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     of = reps.select("digest", F.col("doc").alias("node")).join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return (
         sketch.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
