@@ -198,6 +198,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns kept."""
-    bad = contamination(docs, benchmark, **options).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs`` without a hit, all columns kept; rows of one doc_id (or without any) go together."""
+    bad = contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")

@@ -49,8 +49,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN comp ON node = d.doc_id
 
 OP9 = """
 WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-ok AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
-link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+ok AS (SELECT vec_id, label, list_transform(v, lambda x: coalesce(x, 0.0)) AS v FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE CASE WHEN len(a.v) = len(b.v) AND len(a.v) > 0 THEN list_cosine_similarity(a.v, b.v) END >= 0.98),
 reach(node, r) AS (SELECT vec_id, vec_id FROM e UNION SELECT b, r FROM reach JOIN link ON node = a WHERE r < b),
 comp AS (SELECT node, min(r) AS r FROM reach GROUP BY node),
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a)

@@ -148,9 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([np.frombuffer(r[1], np.int32) for r in rows], np.array([r[2] for r in rows], np.float64))
 
 
-def scores(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
-    """``docs`` with a column ``toxicity`` from 0 to 1."""
-    docs = docs.drop("toxicity")
+def scores(docs: DataFrame, model: Model, bits: int = BITS, into: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``into`` from 0 to 1."""
+    docs = docs.drop(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.full(1 << bits, -1, np.int32)
@@ -162,9 +162,9 @@ def scores(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
                 at = number[slot]
                 z = raw(model, doc[at >= 0], at[at >= 0], hi - lo)
                 out[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def digest(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -174,4 +174,4 @@ def digest(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, all columns kept."""
-    return scores(docs, train(docs, labels)).where(F.col("toxicity") < threshold).select(*docs.columns)
+    return scores(docs, train(docs, labels), into="_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
