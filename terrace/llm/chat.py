@@ -126,7 +126,7 @@ def prefix_tree(rows: DataFrame, pack: int = PACK) -> tuple[DataFrame, DataFrame
     spans = "array<struct<start:bigint,end:bigint>>"
     talks = stage(turns.mapInArrow(_format, f"conv_id {kind}, leaf binary, chain array<binary>, text string, ends array<bigint>, loss {spans}"), "talks")
     leaves = talks.groupBy("leaf").agg(F.min(F.struct("chain", "text", "ends", "loss")).alias("x")).select("leaf", "x.*")
-    parts = buckets(rows.sparkSession)
+    parts = buckets(rows)
     ordered = stage(leaves, "leaves").repartitionByRange(parts, "chain").sortWithinPartitions("chain").select("leaf", "chain", "text", "ends", "loss", F.spark_partition_id().cast("long").alias("pid"))
     tree = ordered.mapInArrow(_packed(pack), f"leaf binary, pack long, start long, text string, position long, ancestors {spans}, loss {spans}")
     return stage(tree, "packs"), talks.select("conv_id", "leaf")

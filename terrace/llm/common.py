@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text worked on at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: Bytes of input files to a bucket: a task holds about ten times as much.
+BUCKET_BYTES = 32 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,21 +42,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``stage`` wrote and that no result reads any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def staged() -> list[str]:
+    """Paths of all tables that ``stage`` wrote and that were not deleted, oldest first."""
+    return list(_tables)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Number of hash buckets for packed exchanges: as many as the session shuffles into."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables: an operator's own may go once its result is written, as nothing else reads them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _tables:
+            _tables.remove(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote and that no result reads any more."""
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    delete(table.sparkSession, [p for p in _tables if any(f.endswith(p.split(":")[-1].rstrip("/")) for f in folders)])
+
+
+def buckets(df: DataFrame) -> int:
+    """Number of hash buckets for packed exchanges of ``df``: as many as the session shuffles into, more if they would hold over ``BUCKET_BYTES`` of files each."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, most, -(-size // BUCKET_BYTES) if size < 1 << 50 else 0)  # rows that no file holds have no size
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -205,7 +205,7 @@ def _cut(width: int):
 
 def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, repeat_spans, kept_text) of every row: words in a repeat, starts from 0 and ends exclusive, and the other words joined by spaces."""
-    parts, block = buckets(docs.sparkSession), width // 2
+    parts, block = buckets(docs), width // 2
     src = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.shiftrightunsigned(F.xxhash64("text"), _SHIFT + 1).alias("tag"), "text")
 
     def with_at(found: DataFrame) -> DataFrame:

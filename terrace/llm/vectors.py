@@ -181,7 +181,6 @@ def _join(basis: dict[int, np.ndarray], cosine: float, eps: float, tile: int, ki
 
 def near_duplicates(table: DataFrame, cosine: float = COSINE, axes: int = AXES, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``table`` (vec_id, embedding, label)."""
-    spark = table.sparkSession
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
     item = table.schema["embedding"].dataType.elementType
     if not isinstance(item, (T.FloatType, T.DoubleType)):
@@ -193,7 +192,7 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, axes: int = AXES,
     one = stage(classes, "vectors")
     basis = principal_axes(one.select("v"), axes)
     cells = [f"c{k}" for k in range(axes)]
-    parts = buckets(spark)
+    parts = buckets(table)
     kinds = f"label string, v {src.schema['v'].dataType.simpleString()}, rep long, n long, d int, {', '.join(f'{c} int' for c in cells)}"
     ordered = one.mapInArrow(_cells(basis, eps, axes), kinds).repartitionByRange(parts, "label", "d", *cells, "rep").sortWithinPartitions("label", "d", *cells, "rep")
     made = ordered.select("label", "v", "rep", "n", "d", F.spark_partition_id().alias("pid")).mapInArrow(
