@@ -47,8 +47,8 @@ class Model:
     factors: np.ndarray
 
 
-def terms(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(document, slot) of every distinct term."""
+def terms(buf: np.ndarray, off: np.ndarray, bits: int = BITS, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, slot) of every distinct term; with ``number`` (a slot's, -1 for none) only of those that have one."""
     low = words.LOWER[buf]
     starts, ends, first = words.spans(low, off, words.ALNUM)
     eight = np.ndarray((len(low) - 7,), "<u8", buffer=low, strides=(1,))[starts] if len(starts) else np.zeros(0, np.uint64)
@@ -59,7 +59,11 @@ def terms(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarra
         long = size > k
         keys.append(words.mix(words.mix(eight[long] & words._MASK[k]) + np.uint64(k)))
         docs.append(doc[long])
-    both = np.unique(np.concatenate(docs).astype(np.int64) << bits | (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64))
+    slot, doc = (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(docs)
+    if number is not None:
+        used = np.flatnonzero(number[slot] >= 0)
+        slot, doc = slot[used], doc[used]
+    both = np.unique(doc.astype(np.int64) << bits | slot)
     return both >> bits, both & ((1 << bits) - 1)
 
 
@@ -158,9 +162,8 @@ def scores(docs: DataFrame, model: Model, bits: int = BITS, into: str = "toxicit
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for lo, hi, buf, off in chunks(batch.column("text")):
-                doc, slot = terms(buf, off, bits)
-                at = number[slot]
-                z = raw(model, doc[at >= 0], at[at >= 0], hi - lo)
+                doc, slot = terms(buf, off, bits, number)
+                z = raw(model, doc, number[slot], hi - lo)
                 out[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, into])
 
