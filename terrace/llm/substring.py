@@ -30,6 +30,8 @@ from terrace.llm.common import binaries, buckets, chunks, flat, gathered, lists,
 WINDOW = 50
 _LAST = (1 << 63) - 1
 _U = np.uint64
+#: Entries that are packed together.
+_HELD = 1 << 20
 #: Bits of a position; above them is a hash of the text, 23 bits, that tells rows of one doc_id apart.
 _SHIFT = 40
 
@@ -77,18 +79,18 @@ _AT = "doc long, at long"
 def _probes(block: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, poss, rows = [], [], []
-            for lo, _, buf, off in chunks(batch.column("text")):
+            doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for lo, hi, buf, off in chunks(batch.column("text")):
                 starts, ends, first = words.spans(buf, off, words.PLAIN)
-                key = words.runs(words.hashes(buf, starts, ends), block)
                 at = words.inside(first, block)
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))[at]
-                keys.append(key[at])
-                poss.append((at - first[row]).astype(np.uint32))
-                rows.append((row + lo).astype(np.int32))
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            if len(key):
-                yield _packed([key.astype(np.uint32)], _bucket(key, parts), np.concatenate(poss), np.concatenate(rows), batch.column("doc").to_numpy(), batch.column("tag").to_numpy())
+                held.append((words.runs(words.hashes(buf, starts, ends), block)[at], (at - first[row]).astype(np.uint32), (row + lo).astype(np.int32)))
+                if hi == batch.num_rows or sum(len(k) for k, _, _ in held) >= _HELD:
+                    key, pos, row = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held = []
+                    if len(key):
+                        yield _packed([key.astype(np.uint32)], _bucket(key, parts), pos, row, doc, tag)
 
     return run
 
