@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm import words
-from terrace.llm.common import chunks, lists
+from terrace.llm.common import chunks
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 16 << 20
 _BITS = 20
