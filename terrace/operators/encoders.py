@@ -118,6 +118,19 @@ def bspline(x: Column, least: float, most: float, knots: int, degree: int = 3, l
     return F.when(x.isNotNull(), exprs.let(clamped, basis))
 
 
+def bspline_rows(x: np.ndarray, least: float, most: float, knots: int, degree: int = 3) -> np.ndarray:
+    """``bspline`` in numpy, without the last function."""
+    h, count = ((most - least) or 1.0) / (knots - 1), knots + 2 * degree - 1
+    at = (np.clip(x, least, most) - least) / h
+    b = np.zeros((len(x), count))
+    b[np.arange(len(x)), np.minimum(np.floor(at), knots - 2).astype(int) + degree] = 1.0
+    at = at[:, None] + degree
+    for d in range(1, degree + 1):
+        i = np.arange(count - d)
+        b = (at - i) / d * b[:, :-1] + (i + d + 1 - at) / d * b[:, 1:]
+    return b[:, : knots + degree - 2]
+
+
 def category_table(df: DataFrame, column: str) -> DataFrame:
     """(value, id): the column's values in order, numbered from 1."""
     return df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct().withColumn("id", F.row_number().over(Window.orderBy("value")))

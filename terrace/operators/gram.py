@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Build = Callable[[pa.RecordBatch], np.ndarray]
 #: Tasks of the second stage; as many matrices come to the driver.
 FAN_IN = 8
 
@@ -37,11 +38,20 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
-def gram(df: DataFrame, vector: Column, width: int, y: Column | None = None, weight: Column | None = None, blocks: list[int] | None = None) -> Gram:
-    """Statistics of ``vector`` (array of ``width`` doubles); rows where any of the inputs is NULL do not count. ``blocks`` are widths for ``norms``."""
+def vectors_of(width: int) -> Build:
+    """Rows of an array column b."""
+    return lambda batch: _matrix(batch.column("b"), width)
+
+
+def gram(df: DataFrame, vector: Column | dict[str, Column], width: int, y: Column | None = None, weight: Column | None = None, blocks: list[int] | None = None, build: Build | None = None) -> Gram:
+    """Statistics of ``vector`` (array of ``width`` doubles); rows where any of the inputs is NULL do not count. ``blocks`` are widths for ``norms``.
+
+    With ``build``, ``vector`` names the columns that it makes the rows x width matrix of, in numpy: a basis need not be a column.
+    """
     cuts = np.cumsum([0, *(blocks or [width])])
-    src = df.select(vector.alias("b"), (y if y is not None else F.lit(0.0)).cast("double").alias("y"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"))
-    src = src.where("b is not null and y is not null and w is not null")
+    inputs = vector if isinstance(vector, dict) else {"b": vector}
+    build = build or vectors_of(width)
+    src = df.select(*(c.alias(k) for k, c in inputs.items()), (y if y is not None else F.lit(0.0)).cast("double").alias("y"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w")).dropna()
     size = width * width + 2 * width + 4
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +59,7 @@ def gram(df: DataFrame, vector: Column, width: int, y: Column | None = None, wei
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b, t, w = _matrix(batch.column("b"), width), batch.column("y").to_numpy(), batch.column("w").to_numpy()
+            b, t, w = build(batch), batch.column("y").to_numpy(), batch.column("w").to_numpy()
             wb = b * w[:, None]
             total += np.concatenate([[len(b), w.sum(), w @ t, w @ (t * t)], wb.sum(0), wb.T @ t, (wb.T @ b).ravel()])
             top = np.maximum(top, np.add.reduceat(np.abs(b), cuts[:-1], axis=1).max(0))

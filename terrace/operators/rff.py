@@ -27,5 +27,11 @@ class RandomFeatures:
         scale = float(np.sqrt(2 / len(self.z)))
         return F.when(x.isNotNull(), F.transform(pairs, lambda p: scale * F.cos(p["z"] * x + p["c"])))
 
+    def effect(self, x: Column, weights: np.ndarray) -> Column:
+        """``column`` times weights, as one fold."""
+        scale = float(np.sqrt(2 / len(self.z)))
+        terms = F.array(*(F.struct(F.lit(float(z / self.width)).alias("z"), F.lit(float(c)).alias("c"), F.lit(float(w) * scale).alias("w")) for z, c, w in zip(self.z, self.c, weights, strict=True)))
+        return F.when(x.isNotNull(), F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["w"] * F.cos(t["z"] * x + t["c"])))
+
     def rows(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(2 / len(self.z)) * np.cos(np.outer(x, self.z / self.width) + self.c)

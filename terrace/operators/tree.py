@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions import exprs
+
 MAX_POINTS = 1 << 14
 
 
@@ -97,3 +99,38 @@ def ple(x: Column, cuts: list[float], top: float) -> Column:
     bin_ = F.when(x >= cuts[-1], F.lit(m)).otherwise(at)
     slot = F.struct(bin_.alias("b"), own.alias("v"))
     return F.get(F.transform(F.array(slot), lambda s: F.transform(F.sequence(F.lit(0), F.lit(m)), lambda k: F.when(k < s["b"], 1.0).when(k == s["b"], s["v"]).otherwise(0.0))), F.lit(0))
+
+
+def ple_rows(x: np.ndarray, cuts: list[float], top: float) -> np.ndarray:
+    """``ple`` in numpy."""
+    if not cuts:
+        return x[:, None]
+    edge = np.array([*cuts[:-1], min(cuts[-1], top)])
+    m = len(edge)
+    at = np.searchsorted(edge, x, "left")
+    end = (x >= edge[-1]) | (x <= edge[0])
+    inner = np.clip(at, 1, m - 1)
+    gap = edge[inner] - edge[inner - 1] if m > 1 else np.ones(len(x))
+    own = np.where(end, x, (x - edge[inner - 1]) / np.where(gap == 0, 1, gap)) if m > 1 else x
+    bin_ = np.where(x >= edge[-1], m, at)
+    out = (np.arange(m + 1) < bin_[:, None]).astype(float)
+    out[np.arange(len(x)), bin_] = own
+    return out
+
+
+def ple_effect(x: Column, cuts: list[float], top: float, weights: list[float]) -> Column:
+    """``ple`` times weights: a sum of whole bins and a share of x's own."""
+    if not cuts:
+        return x * weights[0]
+    edge = [*cuts[:-1], min(cuts[-1], top)]
+    m = len(edge)
+    edges, w = F.array(*map(F.lit, edge)), F.array(*map(F.lit, map(float, weights)))
+    below = F.array(*map(F.lit, np.append(0, np.cumsum(weights[:-1])).tolist()))
+    at = F.size(F.filter(edges, lambda e: e < x))
+    inner = F.when(x >= edge[-1], F.get(below, F.lit(m)) + x * float(weights[m])).when(x <= edge[0], x * float(weights[0]))
+
+    def between(b: Column) -> Column:
+        lo = F.get(edges, b - 1)
+        return F.get(below, b) + F.get(w, b) * (x - lo) / (F.get(edges, b) - lo)
+
+    return inner.otherwise(exprs.let(at, between)) if m > 1 else inner

@@ -1,6 +1,6 @@
 """Additive models that are linear in their parameters: linear, spline and Gaussian-process shapes, with interactions, for any family.
 
-Each feature has a block of basis functions (a Column); an interaction's block is the product of its features' blocks. For every
+Each feature has a block of basis functions; an interaction's block is the product of its features' blocks. For every
 parameter of the family the raw output is an intercept and a sum of blocks times coefficients.
 
 * squared error: one job for the cross products, one solve, ridge or spline penalties, smoothing chosen by GCV;
@@ -8,24 +8,27 @@ parameter of the family the raw output is an intercept and a sum of blocks times
   (central differences of the family's numpy loss, so user families work) and tasks add up weighted cross products; the step is halved until
   the mean loss falls.
 
-Scoring is one projection with a column a term.
+Scoring is one projection with a column a term, in closed forms (look-ups and polynomials) rather than vectors wherever the basis has one.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 import itertools
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.functions.exprs import dot, one_hot
 from terrace.operators import families
-from terrace.operators.gram import FAN_IN, Gram, _matrix, gram
+from terrace.operators.gram import FAN_IN, Build, Gram, gram
 from terrace.operators.rff import RandomFeatures
 from terrace.operators.splines import CubicSpline, scale_penalty
 from terrace.plans.preprocess import Feature, Preprocessor
@@ -68,32 +71,36 @@ class AdditiveModel:
         self.spline = CubicSpline.over(0.0, 1.0, self.knots)
         self.rff = RandomFeatures.draw(self.random_features, self.kernel_width, self.seed)
 
-    def _block(self, f: Feature) -> tuple[Column, int]:
-        """A feature's basis from its encoded column."""
-        col = F.col(f.block)
-        if f.kind == "cat":
-            if f.encoding == "one_hot":
-                return col, f.width
-            size = len(f.state["categories"]) + 1
-            return one_hot(col, size), size
-        if self.shape == "linear" or f.width > 1:
-            return col, f.width
-        x = F.get(col, F.lit(0))
-        if self.shape == "spline":
-            return self.spline.column(x), self.spline.width
-        return F.concat(col, self.rff.column(x)), 1 + self.random_features
-
-    def _design(self, pre: Preprocessor) -> list[tuple[Term, Column]]:
-        single = {f.name: self._block(f) for f in pre.features}
-        out = [(Term(n, [n], w), c) for n, (c, w) in single.items()]
-        for d in range(2, (self.interaction_degree or 1) + 1):
-            for names in itertools.combinations(single, d):
-                block, width = single[names[0]]
-                for n in names[1:]:
-                    more, w = single[n]
-                    block, width = _products(block, more), width * w
-                out.append((Term(":".join(names), list(names), width), block))
-        return out
+    def _single(self, f: Feature) -> bool:
+        """Whether the shape makes a basis of a feature's one number."""
+        return f.kind == "num" and f.width == 1 and f.encoding != "one_hot" and self.shape != "linear"
+
+    def _rows(self, pre: Preprocessor, f: Feature, x: np.ndarray) -> np.ndarray:
+        """A feature's basis in numpy, from its source."""
+        if not self._single(f):
+            return pre.rows(f, x)
+        return self.spline.rows(x) if self.shape == "spline" else np.hstack([x[:, None], self.rff.rows(x)])
+
+    def _terms(self, pre: Preprocessor) -> list[Term]:
+        width = {f.name: self._rows(pre, f, np.zeros(1)).shape[1] for f in pre.features}
+        groups = [[n] for n in width] + [list(c) for d in range(2, (self.interaction_degree or 1) + 1) for c in itertools.combinations(width, d)]
+        return [Term(":".join(g), g, math.prod(width[n] for n in g)) for g in groups]
+
+    def _build(self, pre: Preprocessor) -> Build:
+        """Rows of the design: 1, blocks, and products of blocks."""
+        terms, number = self.terms, {f.name: i for i, f in enumerate(pre.features)}
+
+        def build(batch: pa.RecordBatch) -> np.ndarray:
+            own = {n: self._rows(pre, pre.features[i], batch.column(f"x{i}").to_numpy()) for n, i in number.items()}
+            parts = [np.ones((batch.num_rows, 1))]
+            for t in terms:
+                block = own[t.features[0]]
+                for n in t.features[1:]:
+                    block = (block[:, :, None] * own[n][:, None, :]).reshape(len(block), -1)
+                parts.append(block)
+            return np.hstack(parts)
+
+        return build
 
     def _penalty(self, norms: np.ndarray, lam: float) -> np.ndarray:
         size = 1 + sum(t.width for t in self.terms)
@@ -107,17 +114,19 @@ class AdditiveModel:
         return out
 
     def fit(self, df: DataFrame, y: str, pre: Preprocessor, family: families.Family | None = None, weight: str | None = None) -> AdditiveModel:
-        """``df`` holds the encoded blocks and the target; without a family the loss is squared error."""
-        design = self._design(pre)
-        self.terms, self.family = [t for t, _ in design], family
+        """``df`` holds the features as they are and the target; without a family the loss is squared error. Bases are made in numpy, a batch at a time."""
+        self.terms, self.family = self._terms(pre), family
         self.width = sum(t.width for t in self.terms)
-        src = df.select(F.concat(F.array(F.lit(1.0)), *(c for _, c in design)).alias("b"), F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")).where("b is not null and y is not null")
+        inputs = {f"x{i}": pre.source(f, df.schema[f.name].dataType) for i, f in enumerate(pre.features)}
+        src = df.select(*(c.alias(k) for k, c in inputs.items()), F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")).dropna()
+        self._make = self._build(pre)
         if family is None:
-            g = gram(src, F.col("b"), 1 + self.width, F.col("y"), F.col("w"), [1, *(t.width for t in self.terms)])
+            g = gram(src, {k: F.col(k) for k in inputs}, 1 + self.width, F.col("y"), F.col("w"), [1, *(t.width for t in self.terms)], self._make)
             self.n, self.history = g.n, []
             self.coefficients = self._least_squares(g)[None]
         else:
             self._local_scoring(src, family)
+        del self._make
         return self
 
     def _least_squares(self, g: Gram) -> np.ndarray:
@@ -164,13 +173,13 @@ class AdditiveModel:
 
     def _loss(self, src: DataFrame, family: families.Family, betas: list[np.ndarray]) -> list[tuple[int, float]]:
         """(rows, mean loss) of several coefficients, in one job; rows with a loss that is not finite make it infinite."""
-        width = 1 + self.width
+        make = self._make
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(betas), 2))
             for batch in batches:
                 if batch.num_rows:
-                    b, y = _matrix(batch.column("b"), width), batch.column("y").to_numpy()
+                    b, y = make(batch), batch.column("y").to_numpy()
                     w = batch.column("w").to_numpy()
                     with np.errstate(all="ignore"):
                         for i, beta in enumerate(betas):
@@ -182,7 +191,7 @@ class AdditiveModel:
 
     def _curvature(self, src: DataFrame, family: families.Family, beta: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weighted cross products for parameter p: sum of curvature b b', minus the slope times b, and largest row sums by block."""
-        width = 1 + self.width
+        width, make = 1 + self.width, self._make
         cuts = np.cumsum([0, 1, *(t.width for t in self.terms)])[:-1]
 
         def pack(h: np.ndarray, r: np.ndarray, top: np.ndarray) -> pa.RecordBatch:
@@ -193,7 +202,7 @@ class AdditiveModel:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                b, y, w = _matrix(batch.column("b"), width), batch.column("y").to_numpy(), batch.column("w").to_numpy()
+                b, y, w = make(batch), batch.column("y").to_numpy(), batch.column("w").to_numpy()
                 raw = b @ beta.T
                 step = 1e-4 * np.maximum(1.0, np.abs(raw[:, p]))
                 with np.errstate(all="ignore"):
@@ -223,20 +232,39 @@ class AdditiveModel:
         rows = src.mapInArrow(run, kinds).repartition(FAN_IN).mapInArrow(merge, kinds).collect()
         return np.sum([np.frombuffer(x["h"]) for x in rows], 0).reshape(width, width), np.sum([np.frombuffer(x["r"]) for x in rows], 0), np.max([np.frombuffer(x["top"]) for x in rows], 0)
 
-    def contributions(self, pre: Preprocessor, p: int = 0) -> dict[str, Column]:
+    def _effect(self, pre: Preprocessor, f: Feature, kind: T.DataType, weights: np.ndarray) -> Column:
+        """A feature's block times weights."""
+        if not self._single(f):
+            return pre.effect(f, kind, list(map(float, weights)))
+        x = pre.source(f, kind)
+        return self.spline.effect(x, weights) if self.shape == "spline" else x * float(weights[0]) + self.rff.effect(x, weights[1:])
+
+    def _block(self, pre: Preprocessor, f: Feature, kind: T.DataType) -> Column:
+        """A feature's block as an array."""
+        if self._single(f):
+            x = pre.source(f, kind)
+            return self.spline.column(x) if self.shape == "spline" else F.concat(F.array(x), self.rff.column(x))
+        return one_hot(pre.source(f, kind).cast("int"), len(f.state["categories"]) + 1) if f.kind == "cat" else pre.column(f, kind)
+
+    def contributions(self, df: DataFrame, pre: Preprocessor, p: int = 0) -> dict[str, Column]:
         """{term: its share of the raw output of parameter p}."""
-        out, at = {}, 1
-        for t, c in self._design(pre):
-            out[t.name] = dot(c, F.array(*map(F.lit, map(float, self.coefficients[p, at : at + t.width]))))
+        by_name, out, at = {f.name: f for f in pre.features}, {}, 1
+        for t in self.terms:
+            own = self.coefficients[p, at : at + t.width]
+            if len(t.features) == 1:
+                out[t.name] = self._effect(pre, by_name[t.name], df.schema[t.name].dataType, own)
+            else:
+                blocks = [self._block(pre, by_name[n], df.schema[n].dataType) for n in t.features]
+                out[t.name] = dot(functools.reduce(_products, blocks), F.array(*map(F.lit, map(float, own))))
             at += t.width
         return out
 
     def transform(self, df: DataFrame, pre: Preprocessor) -> DataFrame:
-        """Adds ``raw`` (an output a parameter), ``f_<term>`` of the first parameter, and ``output``, its raw value."""
-        own = self.contributions(pre)
+        """Adds ``raw`` (an output a parameter), ``f_<term>`` of the first parameter, and ``output``, its raw value, to rows as they are."""
+        own = self.contributions(df, pre)
         out = df.withColumns({f"f_{t}": c for t, c in own.items()})
         first = sum((F.col(f"`f_{t}`") for t in own), F.lit(float(self.coefficients[0, 0])))
-        others = [sum(self.contributions(pre, p).values(), F.lit(float(self.coefficients[p, 0]))) for p in range(1, len(self.coefficients))]
+        others = [sum(self.contributions(df, pre, p).values(), F.lit(float(self.coefficients[p, 0]))) for p in range(1, len(self.coefficients))]
         return out.withColumn("output", first).withColumn("raw", F.array("output", *others))
 
     def to_json(self) -> str:

@@ -77,9 +77,12 @@ class Estimator:
             self.model = TabulatedGam(**{**self._model_params, "loss": loss}).fit(self._coded(train), "_y", num, cat)
             return self
         self.pre.fit(base, target, exclude)
-        enc = self.pre.transform(self._coded(train), ("_y",))
         self.model = self._model_type(**self._model_params)
-        extra = {"validation": self.pre.transform(self._coded(val), ("_y",))} if self._model_type is NeuralModel and val is not None else {}
+        if self._model_type is AdditiveModel:
+            self.model.fit(self._coded(train), "_y", self.pre, self._family())
+            return self
+        enc = self.pre.transform(self._coded(train), ("_y",))
+        extra = {"validation": self.pre.transform(self._coded(val), ("_y",))} if val is not None else {}
         self.model.fit(enc, "_y", self.pre, self._family(), **extra)
         return self
 
@@ -94,6 +97,8 @@ class Estimator:
         """``df`` with ``f_<term>``, ``output`` and ``raw``."""
         if self._model_type is TabulatedGam:
             return self.model.transform(df).withColumn("raw", F.array("output"))
+        if self._model_type is AdditiveModel:
+            return self.model.transform(df, self.pre)
         enc = df.withColumns({f.block: self.pre.column(f, df.schema[f.name].dataType) for f in self.pre.features})
         return self.model.transform(enc, self.pre).drop(*(f.block for f in self.pre.features))
 

@@ -15,7 +15,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.functions.exprs import dot
 from terrace.operators.gram import Gram, gram
 from terrace.operators.splines import CubicSpline, scale_penalty, sum_to_zero
 
@@ -64,14 +63,13 @@ class Gam:
     splines: list[CubicSpline] = field(default_factory=list)
     lambdas: np.ndarray | None = None
 
-    def _basis(self) -> Column:
-        return F.concat(*(s.column(F.col(c)) for c, s in zip(self.columns, self.splines, strict=True)))
-
     def fit(self, df: DataFrame, y: str, lambdas: list[float] | None = None) -> Gam:
         """Two jobs: ranges, and cross products. Without ``lambdas`` they are chosen by generalised cross-validation."""
         row = df.agg(*(f(F.col(c).cast("double")).alias(f"{m}{i}") for i, c in enumerate(self.columns) for m, f in (("a", F.min), ("b", F.max)))).first()
         self.splines = [CubicSpline.over(row[f"a{i}"], row[f"b{i}"], self.k) for i in range(len(self.columns))]
-        self._use(gram(df, self._basis(), self.k * len(self.columns), F.col(y), blocks=[self.k] * len(self.columns)))
+        splines, inputs = self.splines, {f"x{i}": F.col(c).cast("double") for i, c in enumerate(self.columns)}
+        build = lambda batch: np.hstack([s.rows(batch.column(f"x{i}").to_numpy()) for i, s in enumerate(splines)])
+        self._use(gram(df, inputs, self.k * len(self.columns), F.col(y), blocks=[self.k] * len(self.columns), build=build))
         self.lambdas = np.asarray(lambdas, float) if lambdas is not None else self._search()
         self._solve(self.lambdas, keep=True)
         return self
@@ -168,7 +166,7 @@ class Gam:
     def effect(self, j: int, x: Column) -> Column:
         """Spline j's contribution at x."""
         raw = self.q[j * self.k : (j + 1) * self.k, j * (self.k - 1) : (j + 1) * (self.k - 1)] @ self.beta[self._at(j)]
-        return dot(self.splines[j].column(x), F.array(*map(F.lit, map(float, raw))))
+        return self.splines[j].effect(x, raw)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``f_<column>`` and ``output``, their sum with the intercept."""

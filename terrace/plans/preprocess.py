@@ -191,6 +191,51 @@ class Preprocessor:
             return encoders.bspline(x, s["min"], s["max"], s["knots"], s["degree"])
         return F.array(x)
 
+    def source(self, f: Feature, kind: T.DataType) -> Column:
+        """The number that a feature's block depends on: a category's number, a bin, or x, scaled as the encoding takes it."""
+        s = f.state
+        if f.kind == "cat":
+            return encoders.ordinal(F.coalesce(F.col(f.name).cast("string"), F.lit(s["fill"])), s["categories"]).cast("double")
+        x = F.coalesce(schema.missing(f.name, kind).cast("double"), F.lit(s["mean"]))
+        if f.encoding == "ple":
+            return encoders.minmax(x, s["min"], s["max"])
+        if f.encoding in ("binning", "one_hot"):
+            return (encoders.custom_bin(x, s["edges"], clip=True) if s["closed"] == "right" else encoders.k_bin(x, s["edges"])).cast("double")
+        if f.encoding in ("polynomial", "splines"):
+            return x
+        return F.get(self.column(f, kind), F.lit(0))
+
+    def rows(self, f: Feature, x: np.ndarray, one_hot: bool = True) -> np.ndarray:
+        """A feature's block in numpy, from its ``source``; ``one_hot`` also for categories that are encoded as numbers."""
+        s = f.state
+        if f.kind == "cat" or f.encoding == "one_hot":
+            if f.kind == "cat" and not one_hot:
+                return x[:, None]
+            return np.eye(len(s["categories"]) + 1 if f.kind == "cat" else f.width)[x.astype(int)]
+        if f.encoding == "ple":
+            return tree.ple_rows(x, s["cuts"], 1.0 if s["max"] > s["min"] else 0.0)
+        if f.encoding == "polynomial":
+            return x[:, None] ** np.arange(1, s["degree"] + 1)
+        if f.encoding == "splines":
+            return encoders.bspline_rows(x, s["min"], s["max"], s["knots"], s["degree"])
+        return x[:, None]
+
+    def effect(self, f: Feature, kind: T.DataType, weights: list[float]) -> Column:
+        """A feature's block times weights, without making the block where the encoding allows it."""
+        s, x = f.state, self.source(f, kind)
+        if f.kind == "cat" or f.encoding == "one_hot":
+            return F.get(F.array(*map(F.lit, weights)), x.cast("int"))
+        if f.encoding == "ple":
+            return tree.ple_effect(x, s["cuts"], 1.0 if s["max"] > s["min"] else 0.0, weights)
+        if f.encoding == "polynomial":
+            total = F.lit(0.0)
+            for w in reversed(weights):
+                total = (total + w) * x
+            return total
+        if f.encoding == "splines":
+            return exprs.dot(self.column(f, kind), F.array(*map(F.lit, weights)))
+        return x * weights[0]
+
     def transform(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """``keep`` and one column a feature, numerical ones first: ``num_<name>`` arrays and ``cat_<name>`` integers or arrays. No job runs."""
         if not self.features:
