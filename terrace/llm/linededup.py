@@ -3,7 +3,10 @@
 A line's hash and the hash of the line before it decide whether a chunk ends with it (one in ``EVERY`` does), so boundaries move
 with the content when lines are put in or taken out. Chunks of two lines or more are counted by hash over the whole corpus;
 those whose hash repeats are fetched, grouped by their bytes, and removed everywhere but in the smallest document (and there
-the first place). Single-line chunks stay.
+the first place). Single-line chunks stay. So of a repeat that is only part of a document, what lies before its first boundary and after its last stays.
+
+``without_repeated_runs``, which the pipeline uses, has no boundaries: every pair of neighbouring lines is counted, by two 64-bit hashes, and
+the lines of a pair go wherever it is not the pair's first place. That is every line of a run of two or more that an earlier place has.
 
 Hashes without texts are counted first (partial sums before the exchange), so that only repeated chunks move their text. A
 hot chunk meets in one task as one row a task; its places are found by joins with written tables, which adaptive execution splits.
@@ -68,6 +71,35 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return chunked.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), n.alias("n_lines"), removed.alias("n_removed"))
 
 
+def _paired(docs: DataFrame) -> DataFrame:
+    """Adds row key (_ld_doc, _ld_tag) and _ld_lines."""
+    return (
+        docs.withColumn("_ld_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_ld_tag", F.xxhash64("text"))
+        .withColumn("_ld_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(_ld_doc, _ld_tag, _ld_gone): for every row with pairs of lines that an earlier place has, where they begin (from 1)."""
+    lines = _paired(docs.select("doc_id", "text")).where(F.size("_ld_lines") > 1)
+    pair = lambda i: F.struct(i.alias("no"), F.xxhash64(F.get("_ld_lines", i - 1), F.get("_ld_lines", i)).alias("h1"), F.xxhash64(F.lit(1), F.get("_ld_lines", i), F.get("_ld_lines", i - 1)).alias("h2"))
+    some = lines.select("_ld_doc", "_ld_tag", F.explode(F.transform(F.sequence(F.lit(1), F.size("_ld_lines") - 1), pair)).alias("p")).select("_ld_doc", "_ld_tag", "p.*")
+    often = stage(some.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
+    places = stage(some.join(often, ["h1", "h2"]), "pairs")
+    first = stage(places.groupBy("h1", "h2").agg(F.min(F.struct("_ld_doc", "_ld_tag", "no")).alias("first")), "first")
+    gone = places.join(first, ["h1", "h2"]).where(F.struct("_ld_doc", "_ld_tag", "no") != F.col("first"))
+    return stage(gone.groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("no").alias("_ld_gone")), "lines")
+
+
+def without_repeated_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines of any run of two or more that an earlier place has, and n_lines and n_removed."""
+    lines = _paired(docs).join(repeated_pairs(docs).hint("shuffle_hash"), ["_ld_doc", "_ld_tag"], "left")
+    left = F.array_except(F.sequence(F.lit(1), F.size("_ld_lines")), F.concat("_ld_gone", F.transform("_ld_gone", lambda i: i + 1)))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_lines")).cast("long")
+    removed = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_lines") - F.size("_ld_left")).cast("long")
+    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_ld_left", lambda i: F.get("_ld_lines", i - 1)), "\n"))
+    return lines.withColumn("_ld_left", left).select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), n.alias("n_lines"), removed.alias("n_removed"))
+
+
 def digest(cleaned: DataFrame) -> DataFrame:
     """Counts of lines and the digest of the text that is left."""
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
