@@ -1,18 +1,19 @@
 """One-dimensional regression and classification trees from sufficient statistics.
 
 A feature's rows are reduced to (x, n, sums of the target) a distinct x by one grouping for all features; the search then runs on
-that table alone, one task a feature. Features with more than ``MAX_POINTS`` distinct values are first put into so many bins of equal
-width, with their smallest and largest x, so the table's size is bounded; thresholds then lie between bins.
+that table alone, one task a feature. A feature with more than ``MAX_POINTS`` distinct values is dealt into ranges of them and searched by
+running sums over the ranges, a round of two jobs for all its open leaves; a leaf of ``MAX_POINTS`` values or fewer is finished on the
+driver. So splits are exact at any size. Bins, of equal frequency, are made only where ``max_points`` asks for them.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions import exprs
@@ -56,31 +57,158 @@ def thresholds(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, s: np.ndarray, max
     return sorted(out)
 
 
-def target_tables(df: DataFrame, features: dict[str, Column], target: Column, classes: list | None = None, max_points: int = MAX_POINTS) -> DataFrame:
-    """(feature, lo, hi, n, s): each feature's distinct values or bins with row count and target sums (one a class, or the target's)."""
+def _ranged(tables: DataFrame, counts: dict[str, int], size: int) -> DataFrame:
+    """``tables`` with ``part``: ascending ranges of about ``size`` points of a feature."""
+    most = max(-(-n // size) for n in counts.values())
+    at = F.array(*(F.lit(k / most) for k in range(1, most))) if most > 1 else None
+    edges = {r["feature"]: sorted(set(r["e"])) for r in tables.groupBy("feature").agg(F.percentile_approx("lo", at, max(10_000, 10 * most)).alias("e")).collect()} if most > 1 else {}
+    part = F.lit(0)
+    for f, e in edges.items():
+        part = F.when(F.col("feature") == f, F.size(F.filter(F.array(*map(F.lit, e)), lambda v: v < F.col("lo")))).otherwise(part)
+    return tables.withColumn("part", part)
+
+
+def _binned(tables: DataFrame, max_points: int) -> DataFrame:
+    """Bins of equal frequency of the features with more than ``max_points`` points; the others keep their distinct values."""
+    counts = {r["feature"]: r["count"] for r in tables.groupBy("feature").count().collect()}
+    large = {f: k for f, k in counts.items() if k > max_points}
+    if not large:
+        return tables
+    some = _ranged(tables.where(F.col("feature").isin(*large)), large, MAX_POINTS)
+    up = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = some.groupBy("feature", "part").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(up), F.lit(0.0))).withColumn("all", F.sum("m").over(Window.partitionBy("feature"))).drop("m")
+    within = Window.partitionBy("feature", "part").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0.0))).join(base, ["feature", "part"])
+    some = some.withColumn("bin", F.floor((F.col("base") + F.col("before")) / F.col("all") * max_points))
+    width = tables.select(F.size("s").alias("k")).first()["k"]
+    sums = F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(width)))
+    some = some.groupBy("feature", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n_"), sums.alias("s_"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
+    return some.select("feature", "lo", "hi", F.col("n_").alias("n"), F.col("s_").alias("s"), "mean").unionByName(tables.where(~F.col("feature").isin(*large)))
+
+
+def target_tables(df: DataFrame, features: dict[str, Column], target: Column, classes: list | None = None, max_points: int | None = None) -> DataFrame:
+    """(feature, lo, hi, n, s, mean): each feature's distinct values with row count and target sums (one a class, or the target's).
+
+    With ``max_points``, features of more distinct values are put into at most so many bins of equal frequency.
+    """
     pairs = F.array(*(F.struct(F.lit(f).alias("feature"), c.cast("double").alias("x")) for f, c in features.items()))
     long = df.select(F.explode(pairs).alias("p"), target.alias("y")).select("p.feature", "p.x", "y").where("x is not null and y is not null")
-    some = df.agg(*(F.approx_count_distinct(c.cast("double")).alias(f"d{i}") for i, c in enumerate(features.values())), *(f(c.cast("double")).alias(f"{m}{i}") for i, c in enumerate(features.values()) for m, f in (("a", F.min), ("b", F.max)))).first()
-    bins = F.col("x")
-    for i, f in enumerate(features):
-        if some[f"d{i}"] > max_points * 0.9:
-            a, b = some[f"a{i}"], some[f"b{i}"]
-            bins = F.when(F.col("feature") == f, F.floor((F.col("x") - a) / ((b - a) / max_points)).cast("double")).otherwise(bins)
     sums = [F.sum(F.col("y").cast("double"))] if classes is None else [F.sum(F.when(F.col("y") == k, 1.0).otherwise(0.0)) for k in classes]
-    return long.groupBy("feature", bins.alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").cast("double").alias("n"), F.array(*sums).alias("s")).drop("bin")
+    tables = long.groupBy("feature", "x").agg(F.count("*").cast("double").alias("n"), F.array(*sums).alias("s"))
+    tables = tables.select("feature", F.col("x").alias("lo"), F.col("x").alias("hi"), "n", "s", F.col("x").alias("mean"))
+    return tables if max_points is None else _binned(tables, max_points)
+
+
+Leaf = tuple[str, float | None, float | None]
+
+
+def _cuts_of_leaves(tables: DataFrame, leaves: list[Leaf], width: int, max_points: int) -> list[tuple | pd.DataFrame]:
+    """Of each leaf (feature, after, up to): (gain, last x left, first x right) of its best cut, or its points if they are few."""
+    mark = F.lit(None).cast("int")
+    for k, (f, after, upto) in enumerate(leaves):
+        inside = F.col("feature") == f
+        inside = inside if after is None else inside & (F.col("lo") > after)
+        mark = F.when(inside if upto is None else inside & (F.col("lo") <= upto), k).otherwise(mark)
+    marked = tables.withColumn("leaf", mark).where("leaf is not null")
+    s = [F.get("s", F.lit(i)) for i in range(width)]
+    parts = marked.groupBy("leaf", "part").agg(F.min("lo").alias("lo"), F.count("*").alias("k"), F.sum("n").alias("m"), F.array(*map(F.sum, s)).alias("t"), F.sum(sum(v * v for v in s)).alias("q")).toPandas().sort_values(["leaf", "part"])
+    own = {k: p for k, p in parts.groupby("leaf")}
+    out: list = [(0.0, None, None)] * len(leaves)
+    few = [k for k, p in own.items() if p["k"].sum() <= max_points]
+    if few:
+        rows = marked.where(F.col("leaf").isin(*few)).select("leaf", "lo", "hi", "n", "s").toPandas()
+        for k, p in rows.groupby("leaf"):
+            out[k] = p.sort_values("lo", kind="stable")
+    many = {k: p for k, p in own.items() if k not in few}
+    if many:
+        starts = {}
+        for k, p in many.items():
+            n, t, lo = p["m"].to_numpy(), np.stack(p["t"].to_numpy()), p["lo"].tolist()
+            for i, part in enumerate(p["part"]):
+                starts[k, part] = (n[:i].sum(), t[:i].sum(0), n.sum(), t.sum(0), lo[i + 1] if i + 1 < len(lo) else None)
+
+        def best(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("lo", kind="stable")
+            key = int(g["leaf"].iloc[0]), int(g["part"].iloc[0])
+            n0, s0, all_n, all_s, after = starts[key]
+            follow = np.append(g["lo"].to_numpy()[1:], np.nan if after is None else after)
+            left_n, left_s = n0 + np.cumsum(g["n"].to_numpy()), s0 + np.cumsum(np.stack(g["s"].to_numpy()), axis=0)
+            if after is None:
+                left_n, left_s, follow = left_n[:-1], left_s[:-1], follow[:-1]
+            if not len(left_n):
+                return pd.DataFrame({"leaf": [], "part": [], "gain": [], "hi": [], "next": []}).astype({"leaf": "int32", "part": "int32"})
+            gain = (left_s**2).sum(1) / left_n + ((all_s - left_s) ** 2).sum(1) / (all_n - left_n) - (all_s**2).sum() / all_n
+            at = int(np.argmax(gain > gain.max() - 1e-12 * max(1.0, abs(gain.max()))))
+            return pd.DataFrame({"leaf": [key[0]], "part": [key[1]], "gain": [gain[at]], "hi": [g["hi"].iloc[at]], "next": [follow[at]]})
+
+        found = marked.where(F.col("leaf").isin(*many)).groupBy("leaf", "part").applyInPandas(best, "leaf int, part int, gain double, hi double, next double").toPandas()
+        for k, p in found.sort_values("part").groupby("leaf"):
+            top = p["gain"].max()
+            p = p[p["gain"] > top - 1e-12 * max(1.0, abs(top))].iloc[0]
+            if top > 1e-12 * max(1.0, float(many[k]["q"].sum())):
+                out[k] = (float(p["gain"]), float(p["hi"]), float(p["next"]))
+    return out
+
+
+def _grow_ranged(tables: DataFrame, counts: dict[str, int], max_leaves: int | None, max_depth: int | None, max_points: int) -> dict[str, list[float]]:
+    """``thresholds`` of features whose points are too many for a task."""
+    tables = _ranged(tables, counts, max_points)
+    width = tables.select(F.size("s").alias("k")).first()["k"]
+    cuts: dict[str, list[float]] = {f: [] for f in counts}
+    heaps: dict[str, list] = {f: [] for f in counts}
+    number = itertools.count()
+
+    def put(f: str, depth: int, points: pd.DataFrame) -> None:
+        gain, at = best_split(points["n"].to_numpy(), np.stack(points["s"].to_numpy()))
+        if at >= 0 and gain > 1e-12 * max(1.0, float((np.stack(points["s"].to_numpy()) ** 2).sum())):
+            heapq.heappush(heaps[f], (-gain, points["lo"].iloc[0], next(number), points["hi"].iloc[at], points["lo"].iloc[at + 1], depth, points, None))
+
+    more = lambda depth: max_depth is None or depth < max_depth
+    pending: list[tuple[Leaf, int]] = [((f, None, None), 0) for f in counts if more(0)]
+    while pending:
+        for (leaf, depth), found in zip(pending, _cuts_of_leaves(tables, [p[0] for p in pending], width, max_points), strict=True):
+            if isinstance(found, pd.DataFrame):
+                put(leaf[0], depth, found)
+            elif found[0] > 0:
+                heapq.heappush(heaps[leaf[0]], (-found[0], -np.inf if leaf[1] is None else leaf[1], next(number), found[1], found[2], depth, None, leaf))
+        pending = []
+        for f, heap in heaps.items():
+            waits = False
+            while heap and not waits and (max_leaves is None or len(cuts[f]) + 1 < max_leaves):
+                _, _, _, left, right, depth, points, leaf = heapq.heappop(heap)
+                middle = left + (right - left) / 2
+                cuts[f].append(float(left if middle >= right else middle))
+                if not more(depth + 1):
+                    continue
+                if points is None:
+                    pending += [((f, leaf[1], left), depth + 1), ((f, left, leaf[2]), depth + 1)]
+                    waits = max_leaves is not None
+                else:
+                    put(f, depth + 1, points[points["lo"] <= left])
+                    put(f, depth + 1, points[points["lo"] > left])
+        pending = [p for p in pending if max_leaves is None or len(cuts[p[0][0]]) + 1 < max_leaves]
+    return {f: sorted(t) for f, t in cuts.items()}
 
 
-def fit_thresholds(tables: DataFrame, max_leaves: int | None = None, max_depth: int | None = None) -> dict[str, list[float]]:
-    """Thresholds of each feature; at most ``max_leaves`` - 1 (or 2^depth - 1) a feature come to the driver."""
+def fit_thresholds(tables: DataFrame, max_leaves: int | None = None, max_depth: int | None = None, max_points: int = MAX_POINTS) -> dict[str, list[float]]:
+    """Thresholds of each feature; at most ``max_leaves`` - 1 (or 2^depth - 1) a feature come to the driver, and leaves of ``max_points`` values."""
 
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            t = t.sort_values("lo", kind="stable")
-            found = thresholds(t["lo"].to_numpy(), t["hi"].to_numpy(), t["n"].to_numpy(), np.stack(t["s"].to_numpy()), max_leaves, max_depth)
-            yield pd.DataFrame({"feature": [t["feature"].iloc[0]], "thresholds": [found]})
+    def grow(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("lo", kind="stable")
+        found = thresholds(t["lo"].to_numpy(), t["hi"].to_numpy(), t["n"].to_numpy(), np.stack(t["s"].to_numpy()), max_leaves, max_depth)
+        return pd.DataFrame({"feature": [t["feature"].iloc[0]], "thresholds": [found]})
 
-    rows = tables.groupBy("feature").applyInPandas(lambda t: next(grow(iter([t]))), "feature string, thresholds array<double>").collect()
-    return {r["feature"]: list(r["thresholds"]) for r in rows}
+    tables = tables.persist()
+    try:
+        counts = {r["feature"]: r["count"] for r in tables.groupBy("feature").count().collect()}
+        large = {f: k for f, k in counts.items() if k > max_points}
+        found = _grow_ranged(tables.where(F.col("feature").isin(*large)), large, max_leaves, max_depth, max_points) if large else {}
+        if len(large) < len(counts):
+            rows = tables.where(~F.col("feature").isin(*large)) if large else tables
+            found |= {r["feature"]: list(r["thresholds"]) for r in rows.groupBy("feature").applyInPandas(grow, "feature string, thresholds array<double>").collect()}
+    finally:
+        tables.unpersist()
+    return found
 
 
 def ple(x: Column, cuts: list[float], top: float) -> Column:

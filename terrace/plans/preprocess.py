@@ -125,7 +125,7 @@ class Preprocessor:
             for i, c in enumerate(num):
                 base[c]["quantiles"] = list(got[f"q{i}"])
         if kind in ("binning", "one_hot") and self.binning_strategy == "kmeans" and not treelike:
-            tables = tree.target_tables(df, full, F.lit(0.0)).select("feature", ((F.col("lo") + F.col("hi")) / 2).alias("x"), "n").toPandas()  # at most tree.MAX_POINTS a feature
+            tables = tree.target_tables(df, full, F.lit(0.0), max_points=tree.MAX_POINTS).select("feature", F.col("mean").alias("x"), "n").toPandas()  # at most tree.MAX_POINTS a feature
             for c, t in tables.groupby("feature"):
                 base[c]["edges"] = encoders.kmeans_edges(t["x"].to_numpy(), t["n"].to_numpy(), self.n_bins)
         out = []

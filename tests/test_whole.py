@@ -1,0 +1,35 @@
+"""Operators of the engine do the whole job: what an earlier rule cut off."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from terrace.operators import tree
+
+
+@pytest.mark.parametrize("kwargs", [{"max_leaves": 9}, {"max_depth": 3}])
+def test_tree_splits_exactly_over_ranges(spark, kwargs):
+    """Skewed columns with more values than a task takes: the same cuts as a search over all distinct values."""
+    rng = np.random.default_rng(3)
+    x = np.append(rng.permutation(3000) / 7.0, 1e9)
+    pdf = pd.DataFrame({"x": x, "z": rng.integers(0, 20, len(x)).astype(float), "y": np.sin(x / 40) + (x > 200) + rng.normal(0, 0.1, len(x))})
+    df = spark.createDataFrame(pdf)
+    tables = tree.target_tables(df, {"x": F.col("x"), "z": F.col("z")}, F.col("y"))
+    want = {}
+    for f in ("x", "z"):
+        g = pdf.groupby(f)["y"].agg(["count", "sum"])
+        v = g.index.to_numpy()
+        want[f] = tree.thresholds(v, v, g["count"].to_numpy(float), g["sum"].to_numpy()[:, None], **kwargs)
+    found = tree.fit_thresholds(tables, max_points=200, **kwargs)
+    assert len(want["x"]) > 6 and np.allclose(found["x"], want["x"], atol=1e-9) and np.allclose(found["z"], want["z"])
+
+
+def test_one_large_value_leaves_splits(spark):
+    n = tree.MAX_POINTS + 2000
+    df = spark.range(n).select(F.when(F.col("id") == n - 1, 1e12).otherwise(F.col("id").cast("double")).alias("x"), (F.col("id") > 700).cast("int").alias("y"))
+    assert tree.fit_thresholds(tree.target_tables(df, {"x": F.col("x")}, F.col("y"), [0, 1]), max_depth=1) == {"x": [700.5]}
+    bins = tree.target_tables(df, {"x": F.col("x")}, F.lit(0.0), max_points=100).toPandas()
+    assert len(bins) <= 100 and bins["n"].sum() == n and bins["n"].max() <= 2 * n / 100
