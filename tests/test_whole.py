@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import tree
+from terrace.operators import thinplate, tree
+from terrace.queries import QUERIES
 
 
 @pytest.mark.parametrize("kwargs", [{"max_leaves": 9}, {"max_depth": 3}])
@@ -33,3 +34,11 @@ def test_one_large_value_leaves_splits(spark):
     assert tree.fit_thresholds(tree.target_tables(df, {"x": F.col("x")}, F.col("y"), [0, 1]), max_depth=1) == {"x": [700.5]}
     bins = tree.target_tables(df, {"x": F.col("x")}, F.lit(0.0), max_points=100).toPandas()
     assert len(bins) <= 100 and bins["n"].sum() == n and bins["n"].max() <= 2 * n / 100
+
+
+def test_thin_plate_query_takes_all_rows(spark):
+    d = "/root/testdata/sf0.1"
+    x = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_acctbal") / 10_000).alias("x"), (F.col("s_nationkey") / 25.0).alias("y")).toPandas().sort_values("s_suppkey")[["x", "y"]].to_numpy()
+    full = thinplate.ThinPlate(np.unique(x, axis=0), 6, 2)
+    found = QUERIES["thin_plate_basis"](spark, d).toPandas().sort_values(["s_suppkey", "pos"])["value"].to_numpy().reshape(-1, 6)
+    assert len(full.knots) == 1000 and np.allclose(found, np.abs(full.rows(x)), atol=1e-6)
