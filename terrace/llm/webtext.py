@@ -1,10 +1,12 @@
 """Main text of web pages by consensus paths of hosts.
 
-1. Each page's containers are scored: a text block counts its length without link text for the container it stands in, and half
-   for the next one outward; articles and main elements, and classes that name content, count more.
+1. Each page's containers are scored: a text block counts its length without link text for the container it stands in, and ``DECAY``
+   times that for each one further outward (half for the body); articles and main elements, and classes that name content, count more.
 2. A container's path is its chain of tags and classes with digits generalised. Pages vote for paths with their shares of score,
    and Spark sums the votes of a host; the best path wins (ties: the first in order of code points).
-3. Pages are read again: the text of all elements on the host's winning path, or, in a page without one, on the page's own best.
+3. Pages are read again: the text of all elements on the host's winning path, or, in a page without one, on the page's own best. The path
+   is first climbed to the outermost article around it, or else to the outermost main element or class that names content
+   whose other text in the page is mostly unlinked, so headings and sibling sections stay.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and comments of readers never count:
 they are known by tag, by role, and by words in class and id. Unclosed and misnested tags are closed as browsers close them.
@@ -50,6 +52,9 @@ _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
+_ROOTS = ("", "html", "body")
+#: What a container outward counts of the one inside it.
+DECAY = 0.95
 _GOOD = set("content article post entry story main text body".split())
 
 
@@ -154,35 +159,59 @@ class Page:
         self.path.append(f"{self.path[top]}>{tag}{names}" if tag in _CONTAINERS else self.path[top])
         self.bad.append(bad)
 
-    def _containers(self, i: int) -> Iterator[int]:
-        while i >= 0:
-            if self.tag[i] in _CONTAINERS:
-                yield i
-            i = self.parent[i]
-
     def votes(self) -> dict[str, float]:
         """Shares of the page's score by path."""
-        score: dict[str, float] = {}
+        worth = [0.0] * len(self.tag)
         for own, text, link in self.blocks:
-            worth = max(0, len(text) - 3 * link)
-            for k, c in enumerate(self._containers(own)):
-                if k > 1 or not worth:
-                    break
-                path = self.path[c]
-                last = path.rpartition(">")[2]
-                boost = 2.5 if self.tag[c] == "article" else 2.0 if self.tag[c] == "main" else 1.5 if _GOOD & set(_SPLIT.split(last)[1:]) else 1.0 if self.tag[c] not in ("", "html", "body") else 0.7
-                score[path] = score.get(path, 0.0) + worth * boost / (1 + k)
+            worth[own] += len(text) - 3 * link
+        score: dict[str, float] = {}
+        for i in range(len(self.tag) - 1, -1, -1):  # children come after their parents
+            tag, up = self.tag[i], self.parent[i]
+            if tag in _CONTAINERS:
+                if worth[i] > 0:
+                    boost = 2.5 if tag == "article" else 2.0 if tag == "main" else 1.5 if _named(self.path[i]) else 1.0 if tag not in _ROOTS else 0.7
+                    score[self.path[i]] = score.get(self.path[i], 0.0) + worth[i] * boost
+                worth[i] *= 0.5 if up >= 0 and self.tag[up] in _ROOTS else DECAY
+            if up >= 0:
+                worth[up] += worth[i]
         total = sum(score.values())
         return {p: s / total for p, s in score.items()} if total else {}
 
+    def _on(self, path: str) -> list[tuple[int, str, int]]:
+        on = [False] * len(self.tag)
+        for i, up in enumerate(self.parent):
+            on[i] = (self.tag[i] in _CONTAINERS and self.path[i] == path) or (up >= 0 and on[up])
+        return [b for b in self.blocks if on[b[0]]]
+
+    def _climb(self, path: str) -> list[tuple[int, str, int]]:
+        """The blocks on ``path``, or on what encloses it as one article."""
+        inner = self._on(path)
+        steps = path.split(">")
+        outer = [(">".join(steps[:k]), steps[k - 1].partition(".")[0]) for k in range(2, len(steps))]
+        for p, tag in outer:
+            if inner and tag == "article":
+                return self._on(p)
+        if inner and steps[-1].partition(".")[0] != "article":
+            for p, tag in outer:
+                if tag == "main" or (tag not in _ROOTS and _named(p)):
+                    more = self._on(p)
+                    size, link = (sum(len(b[1]) for b in more) - sum(len(b[1]) for b in inner), sum(b[2] for b in more) - sum(b[2] for b in inner))
+                    if 3 * link <= size:
+                        return more
+        return inner
+
     def text(self, path: str | None) -> str:
         """The text on ``path``, or on the page's own best path."""
-        on = [t for own, t, _ in self.blocks if path is not None and any(self.path[c] == path for c in self._containers(own))]
+        on = self._climb(path) if path is not None else []
         if not on and self.blocks:
             own_votes = self.votes()
-            best = min(own_votes, key=lambda p: (-own_votes[p], p)) if own_votes else self.path[0]
-            on = [t for own, t, _ in self.blocks if any(self.path[c] == best for c in self._containers(own))]
-        return " ".join(on)
+            on = self._climb(min(own_votes, key=lambda p: (-own_votes[p], p)) if own_votes else self.path[0])
+        return " ".join(b[1] for b in on)
+
+
+def _named(path: str) -> bool:
+    """Whether the classes of a path's last element name content."""
+    return bool(_GOOD & set(_SPLIT.split(path.rpartition(">")[2])[1:]))
 
 
 def host_of(url: Column) -> Column:
@@ -196,6 +225,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             for path, share in Page(source or "").votes().items():
                 total[host, path] = total.get((host, path), 0.0) + share
+        total = {k: v for k, v in total.items() if round(v * 1e6)}
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array([round(v * 1e6) for v in total.values()], pa.int64())], ["host", "path", "votes"])
 
 

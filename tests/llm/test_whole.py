@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from terrace.llm import linededup
+from terrace.llm import linededup, webtext
 
 
 def runs_by_force(rows):
@@ -35,3 +35,20 @@ def test_runs_of_lines_recall(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     want = runs_by_force([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.without_repeated_runs(docs).collect()} == want
+
+
+def test_main_text_keeps_the_whole_article(spark):
+    """Headings and sibling sections of an article stay, however long its main part is."""
+    long = "<p>" + "word " * 400 + "</p>"
+    bodies = {
+        "entry": ("<article><h1>Head</h1><p>Intro here</p><div class='entry-content'>" + long + "</div><section class='more'><p>Second part</p></section></article>", ("Head Intro here word", "word Second part")),
+        "deep": ("<article><div class='w'><section class='a'>" + long + "</section><section class='b'><p>Short b</p></section></div></article>", ("word", "word Short b")),
+        "main": ("<main><h1>Head</h1><div class='content'>" + long + "</div></main>", ("Head word", "word")),
+        "post": ("<div class='post'><h1>Head</h1><div class='entry-content'>" + long + "</div></div>", ("Head word", "word")),
+        "sections": ("<div class='x'><section class='a'>" + long + "</section><section class='b'>" + long + "</section></div>", ("word", "word")),
+        "list": ("<div class='content'><div class='post'>" + long + "</div><div class='y'>" + "<a href='/'>Another page of ours</a> " * 9 + "</div></div>", ("word", "word")),
+    }
+    rows = [(i, f"https://{name}.example/{i}", f"<html><body><nav>Menu</nav>{body}<div class='z'><p>Outside</p></div><footer>f</footer></body></html>") for i, (name, (body, _)) in enumerate(bodies.items())]
+    found = {r["page_id"]: r["text"] for r in webtext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (name, (body, (head, tail))) in enumerate(bodies.items()):
+        assert found[i].startswith(head) and found[i].endswith(tail) and found[i].count("word") == body.count("word "), name
