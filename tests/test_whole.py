@@ -42,3 +42,10 @@ def test_thin_plate_query_takes_all_rows(spark):
     full = thinplate.ThinPlate(np.unique(x, axis=0), 6, 2)
     found = QUERIES["thin_plate_basis"](spark, d).toPandas().sort_values(["s_suppkey", "pos"])["value"].to_numpy().reshape(-1, 6)
     assert len(full.knots) == 1000 and np.allclose(found, np.abs(full.rows(x)), atol=1e-6)
+
+
+def test_entmax15_unity_reads_whole_vectors(spark, tiny):
+    """Only the sum is returned, so the plan tells whether a part of the column was cut off."""
+    df = QUERIES["entmax15_unity"](spark, tiny)
+    assert "slice(" not in df._jdf.queryExecution().analyzed().toString()
+    assert [r["total"] for r in df.collect()] == [1.0]
