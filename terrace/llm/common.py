@@ -21,9 +21,11 @@ _tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one made here (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a master in one process (tests) gets a folder made here; on a cluster that would be lost."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = _own[0] if _own else tempfile.mkdtemp(prefix="terrace-")
         _own[:] = [there]
     return there.rstrip("/")

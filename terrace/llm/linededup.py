@@ -1,103 +1,124 @@
 """Line deduplication over content-defined chunks of lines, in DataFrame functions only.
 
-A line's hash and the hash of the line before it decide whether a chunk ends with it (one in ``EVERY`` does), so boundaries move
-with the content when lines are put in or taken out. Chunks of two lines or more are counted by hash over the whole corpus;
-those whose hash repeats are fetched, grouped by their bytes, and removed everywhere but in the smallest document (and there
-the first place). Single-line chunks stay. So of a repeat that is only part of a document, what lies before its first boundary and after its last stays.
+Every line has a hash, and a rolling hash runs over the last ``WINDOW`` of them (a polynomial in ``BASE`` modulo 2^32). A chunk ends where
+the rolling hash is a local minimum, and on every second line of a stretch where it stays equal (as in repeated lines), never one line after
+another end: chunks have two lines or more, three on average, and boundaries move with the content when lines are put in or
+taken out. What happens to the chunks:
+
+1. their 64-bit hashes are computed in one pass and written with their places; those that occur more than once are found by partial sums;
+2. the documents that hold such chunks give the bytes of these chunks, and the lines of the chunk before and of the chunk after;
+3. places are grouped by bytes. Everywhere but in the first place (smallest document, then first in it) a chunk goes, and with it the
+   neighbouring lines that are byte for byte those of the first place: so a repeat also loses what lies before its first boundary and after its last.
 
 ``without_repeated_runs``, which the pipeline uses, has no boundaries: every pair of neighbouring lines is counted, by two 64-bit hashes, and
 the lines of a pair go wherever it is not the pair's first place. That is every line of a run of two or more that an earlier place has.
 
-Hashes without texts are counted first (partial sums before the exchange), so that only repeated chunks move their text. A
-hot chunk meets in one task as one row a task; its places are found by joins with written tables, which adaptive execution splits.
+A hot chunk meets in one task as one row a task; its places are found by joins with written tables, which adaptive execution splits. Texts join
+what is found about them: Spark sends the found lists to all tasks if their files are small, and otherwise sorts both sides, which spills.
 
-Nulls: a null text has no lines and stays null. A null doc_id counts as larger than any. Rows of one doc_id are told apart by a hash
-of their text; equal rows get equal results. Columns are kept, but for n_lines and n_removed, which are replaced, and
-names that begin with _ld_, which are its own. An empty table gives an empty result.
+Nulls: a null text has no lines and stays null. A null doc_id comes after all others; ids may have any type with an order. Rows of one doc_id are told apart by a hash
+of their text; equal rows get equal results, so ties need no rule. Texts are worked on whole, one row at a time, with memory in proportion to the row.
+Columns are kept, but for n_lines and n_removed, which are replaced, and names that begin with _ld_, which are its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import stage
 
-EVERY = 4
-_LAST = (1 << 63) - 1
+WINDOW, BASE = 2, 31
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """Adds row key (_ld_doc, _ld_tag), _ld_lines, and _ld_chunks: number, first and last line (from 1) of each chunk."""
-    code = lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds row key (_ld_doc, _ld_tag) and _ld_lines."""
     return (
-        docs.withColumn("_ld_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_ld_tag", F.xxhash64("text"))
-        .withColumn("_ld_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-        .withColumn("_ld_codes", F.transform("_ld_lines", code))
-        .withColumn("_ld_ends", F.expr(f"filter(sequence(1, size(_ld_codes)), i -> i = size(_ld_codes) OR ((CASE WHEN i > 1 THEN _ld_codes[i - 2] ELSE 0 END) * 31 + _ld_codes[i - 1]) % {EVERY} = 0)"))
+        docs.withColumn("_ld_doc", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).withColumn("_ld_tag", F.xxhash64("text"))
+        .withColumn("_ld_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)))
+
+
+def _rolling(window: int) -> Column:
+    """The rolling hash at every line; hashes before the first line count as 0."""
+    terms = (f"(CASE WHEN i > {k} THEN _ld_codes[i - {k + 1}] ELSE 0 END) * {BASE**k}" for k in range(window))
+    return F.expr(f"transform(sequence(1, size(_ld_codes)), i -> ({' + '.join(terms)}) % {1 << 32})")
+
+
+def _chunked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Adds the row key, _ld_lines, and _ld_chunks: number, first and last line (from 1) of each chunk."""
+    low = "i > 1 AND i < size(_ld_roll) - 1 AND _ld_roll[i - 1] < _ld_roll[i - 2] AND _ld_roll[i - 1] <= _ld_roll[i]"
+    level = "i > 2 AND i < size(_ld_roll) - 1 AND i % 2 = 0 AND _ld_roll[i - 1] = _ld_roll[i - 3] AND _ld_roll[i - 1] = _ld_roll[i - 2] AND _ld_roll[i - 1] = _ld_roll[i]"
+    return (
+        _keyed(docs).withColumn("_ld_codes", F.transform("_ld_lines", lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")))
+        .withColumn("_ld_roll", _rolling(window))
+        .withColumn("_ld_ends", F.expr(f"filter(sequence(1, size(_ld_roll)), i -> i = size(_ld_roll) OR ({low}) OR ({level}))"))
         .withColumn("_ld_chunks", F.expr("transform(_ld_ends, (e, k) -> struct(k AS no, CASE WHEN k = 0 THEN 1 ELSE _ld_ends[k - 1] + 1 END AS a, e AS b))"))
-        .drop("_ld_codes", "_ld_ends"))
+        .drop("_ld_codes", "_ld_roll", "_ld_ends"))
+
 
+def _lines(c: Column) -> Column:
+    """The lines of a chunk, none of a null one."""
+    return F.when(c.isNotNull(), F.slice("_ld_lines", c["a"], c["b"] - c["a"] + 1)).otherwise(F.array().cast("array<string>"))
 
-def _texts(chunked: DataFrame) -> DataFrame:
-    """(_ld_doc, _ld_tag, no, bytes) of the chunks of two lines or more."""
-    many = chunked.select("_ld_doc", "_ld_tag", "_ld_lines", F.explode(F.filter("_ld_chunks", lambda c: c["b"] > c["a"])).alias("c"))
-    return many.select("_ld_doc", "_ld_tag", F.col("c.no").alias("no"), F.array_join(F.slice("_ld_lines", F.col("c.a"), F.col("c.b") - F.col("c.a") + 1), "\n").alias("bytes"))
 
+def _alike(x: Column, y: Column) -> Column:
+    """Number of leading items that two arrays have in common."""
+    n = F.least(F.size(x), F.size(y))
+    return F.when(n > 0, F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(x, i - 1) != F.get(y, i - 1))) - 1, n)).otherwise(0)
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(_ld_doc, _ld_tag, gone): for every row with chunks to remove, their numbers."""
+
+def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_ld_doc, _ld_tag, _ld_gone): for every row with lines to remove, their numbers (from 1)."""
     docs = docs.select("doc_id", "text")
-    some = _texts(_chunked(docs)).select("_ld_doc", "_ld_tag", "no", F.xxhash64("bytes").alias("hash"))
-    often = stage(some.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
-    held = some.join(often, "hash").groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("no").alias("nos"))
-    fetched = _chunked(docs).select("_ld_doc", "_ld_tag", "_ld_lines", "_ld_chunks").join(held.hint("shuffle_hash"), ["_ld_doc", "_ld_tag"])
-    fetched = fetched.withColumn("_ld_chunks", F.filter("_ld_chunks", lambda c: F.array_contains("nos", c["no"])))
-    texts = _texts(fetched).withColumn("hash", F.xxhash64("bytes"))
-    texts = stage(texts, "chunks")
-    first = stage(texts.groupBy("hash", "bytes").agg(F.min(F.struct("_ld_doc", "_ld_tag", "no")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    gone = texts.join(first, ["hash", "bytes"]).where(F.struct("_ld_doc", "_ld_tag", "no") != F.col("first"))
-    return stage(gone.groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("no").alias("_ld_gone")), "lines")
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text that is left, and n_lines and n_removed."""
-    chunked = _chunked(docs).join(repeated_chunks(docs).hint("shuffle_hash"), ["_ld_doc", "_ld_tag"], "left")
-    gone = F.filter("_ld_chunks", lambda c: F.array_contains("_ld_gone", c["no"]))
-    kept = F.flatten(F.transform(F.filter("_ld_chunks", lambda c: ~F.array_contains("_ld_gone", c["no"])), lambda c: F.slice("_ld_lines", c["a"], c["b"] - c["a"] + 1)))
+    whole = F.transform(F.filter("_ld_chunks", lambda c: c["b"] > c["a"]), lambda c: F.struct(c["no"].alias("no"), F.xxhash64(F.array_join(_lines(c), "\n")).alias("hash")))
+    hashes = stage(_chunked(docs, window).select("_ld_doc", "_ld_tag", F.explode(whole).alias("c")).select("_ld_doc", "_ld_tag", "c.no", "c.hash"), "hashes")
+    often = stage(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
+    held = stage(hashes.join(often, "hash").groupBy("_ld_doc", "_ld_tag").agg(F.array_distinct(F.collect_list("no")).alias("nos")), "held")
+    around = lambda k: F.struct(
+        k.alias("no"), F.get("_ld_chunks", k).alias("at"), F.array_join(_lines(F.get("_ld_chunks", k)), "\n").alias("bytes"),
+        F.reverse(_lines(F.get("_ld_chunks", k - 1))).alias("before"), _lines(F.get("_ld_chunks", k + 1)).alias("after"))
+    fetched = _chunked(docs.join(held, (F.struct(F.col("doc_id").isNull(), F.col("doc_id")) == F.col("_ld_doc")) & (F.xxhash64("text") == F.col("_ld_tag"))).drop("_ld_doc", "_ld_tag"), window)
+    places = fetched.select("_ld_doc", "_ld_tag", F.explode(F.transform("nos", around)).alias("c")).select("_ld_doc", "_ld_tag", "c.*").withColumn("hash", F.xxhash64("bytes"))
+    places = stage(places, "chunks")
+    here = F.struct("_ld_doc", "_ld_tag", "no")
+    first = places.groupBy("hash", "bytes").agg(F.min(F.struct(*(F.col(c).alias(c) for c in ("_ld_doc", "_ld_tag", "no", "before", "after")))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stage(first.select("hash", "bytes", F.struct("first._ld_doc", "first._ld_tag", "first.no").alias("first"), F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after")), "first")
+    gone = places.join(first, ["hash", "bytes"]).where(here != F.col("first"))
+    span = F.sequence(F.col("at.a") - _alike(F.col("before"), F.col("first_before")), F.col("at.b") + _alike(F.col("after"), F.col("first_after")))
+    gone = gone.select("_ld_doc", "_ld_tag", F.explode(span).alias("line")).groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("line").alias("_ld_gone"))
+    return stage(gone, "lines")
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the lines in ``found``, and n_lines and n_removed."""
+    lines = _keyed(docs).join(found, ["_ld_doc", "_ld_tag"], "left")
+    left = F.array_except(F.sequence(F.lit(1), F.size("_ld_lines")), "_ld_gone")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_lines")).cast("long")
-    removed = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda s, c: s + (c["b"] - c["a"] + 1)))
-    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return chunked.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), n.alias("n_lines"), removed.alias("n_removed"))
+    removed = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_lines") - F.size("_ld_left")).cast("long")
+    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_ld_left", lambda i: F.get("_ld_lines", i - 1)), "\n"))
+    return lines.withColumn("_ld_left", left).select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), n.alias("n_lines"), removed.alias("n_removed"))
 
 
-def _paired(docs: DataFrame) -> DataFrame:
-    """Adds row key (_ld_doc, _ld_tag) and _ld_lines."""
-    return (
-        docs.withColumn("_ld_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_ld_tag", F.xxhash64("text"))
-        .withColumn("_ld_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)))
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the text that is left, and n_lines and n_removed."""
+    return _without(docs, repeated_lines(docs, window))
 
 
 def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """(_ld_doc, _ld_tag, _ld_gone): for every row with pairs of lines that an earlier place has, where they begin (from 1)."""
-    lines = _paired(docs.select("doc_id", "text")).where(F.size("_ld_lines") > 1)
+    """(_ld_doc, _ld_tag, _ld_gone): for every row with pairs of lines that an earlier place has, the numbers of their lines (from 1)."""
+    lines = _keyed(docs.select("doc_id", "text")).where(F.size("_ld_lines") > 1)
     pair = lambda i: F.struct(i.alias("no"), F.xxhash64(F.get("_ld_lines", i - 1), F.get("_ld_lines", i)).alias("h1"), F.xxhash64(F.lit(1), F.get("_ld_lines", i), F.get("_ld_lines", i - 1)).alias("h2"))
     some = lines.select("_ld_doc", "_ld_tag", F.explode(F.transform(F.sequence(F.lit(1), F.size("_ld_lines") - 1), pair)).alias("p")).select("_ld_doc", "_ld_tag", "p.*")
     often = stage(some.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
     places = stage(some.join(often, ["h1", "h2"]), "pairs")
     first = stage(places.groupBy("h1", "h2").agg(F.min(F.struct("_ld_doc", "_ld_tag", "no")).alias("first")), "first")
     gone = places.join(first, ["h1", "h2"]).where(F.struct("_ld_doc", "_ld_tag", "no") != F.col("first"))
-    return stage(gone.groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("no").alias("_ld_gone")), "lines")
+    return stage(gone.select("_ld_doc", "_ld_tag", F.explode(F.array(F.col("no"), F.col("no") + 1)).alias("line")).groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("line").alias("_ld_gone")), "lines")
 
 
 def without_repeated_runs(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines of any run of two or more that an earlier place has, and n_lines and n_removed."""
-    lines = _paired(docs).join(repeated_pairs(docs).hint("shuffle_hash"), ["_ld_doc", "_ld_tag"], "left")
-    left = F.array_except(F.sequence(F.lit(1), F.size("_ld_lines")), F.concat("_ld_gone", F.transform("_ld_gone", lambda i: i + 1)))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_lines")).cast("long")
-    removed = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_lines") - F.size("_ld_left")).cast("long")
-    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_ld_left", lambda i: F.get("_ld_lines", i - 1)), "\n"))
-    return lines.withColumn("_ld_left", left).select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), n.alias("n_lines"), removed.alias("n_removed"))
+    return _without(docs, repeated_pairs(docs))
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -60,13 +60,19 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, r AS component_id, vec
 OP2 = """
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
 c AS (SELECT *, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM d),
-e AS (SELECT *, list_filter(generate_series(1, len(h)), lambda i: i = len(h) OR ((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 31 + h[i]) % 4 = 0) AS ends FROM c),
+r AS (SELECT *, list_transform(generate_series(1, len(h)), lambda i: (h[i] + 31 * (CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END)) % 4294967296) AS r FROM c),
+e AS (SELECT *, list_filter(generate_series(1, len(r)), lambda i: i = len(r) OR (i > 1 AND i < len(r) - 1 AND r[i] < r[i - 1] AND r[i] <= r[i + 1])
+  OR (i > 2 AND i < len(r) - 1 AND i % 2 = 0 AND r[i] = r[i - 2] AND r[i] = r[i - 1] AND r[i] = r[i + 1])) AS ends FROM r),
 k AS (SELECT doc_id, no, CASE WHEN no = 1 THEN 1 ELSE ends[no - 1] + 1 END AS a, ends[no] AS b, w FROM (SELECT doc_id, ends, w, unnest(generate_series(1, len(ends))) AS no FROM e)),
-t AS (SELECT doc_id, no, a, b, array_to_string(list_slice(w, a, b), chr(10)) AS bytes FROM k),
-r AS (SELECT *, b > a AND row_number() OVER (PARTITION BY bytes, b > a ORDER BY doc_id, no) > 1 AS gone FROM t),
-g AS (SELECT doc_id, sum(CASE WHEN gone THEN b - a + 1 ELSE 0 END) AS n, string_agg(bytes, chr(10) ORDER BY no) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
-SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(w) END AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d JOIN g USING (doc_id)
+t AS (SELECT doc_id, no, a, b, list_slice(w, a, b) AS lines FROM k),
+n AS (SELECT *, array_to_string(lines, chr(10)) AS bytes, list_reverse(coalesce(lag(lines) OVER (PARTITION BY doc_id ORDER BY no), [])) AS before, coalesce(lead(lines) OVER (PARTITION BY doc_id ORDER BY no), []) AS after FROM t),
+f AS (SELECT *, row_number() OVER p AS place, first_value(before) OVER p AS before1, first_value(after) OVER p AS after1 FROM n WHERE b > a WINDOW p AS (PARTITION BY bytes ORDER BY doc_id, no)),
+x AS (SELECT doc_id, a, b, list_transform(generate_series(1, least(len(before), len(before1))), lambda i: before[i] = before1[i]) AS up, list_transform(generate_series(1, least(len(after), len(after1))), lambda i: after[i] = after1[i]) AS down FROM f WHERE place > 1),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(a - coalesce(list_position(up, false) - 1, len(up)), b + coalesce(list_position(down, false) - 1, len(down)))) AS line FROM x),
+gone AS (SELECT doc_id, list(line) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(w) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN coalesce(text, '') ELSE array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
 """
 
 OP4 = rf"""
