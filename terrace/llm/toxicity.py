@@ -3,15 +3,18 @@
 A text's terms are its distinct lower-cased words and their beginnings of 4, 5 and 6 bytes (inflected and coined forms share
 them), hashed to ``2 ** BITS`` slots. The score is a logistic function of a bias, a weight a term, and for every pair of terms the
 product of their ``FACTORS`` latent values, so that a pair such as an insult and the mention of a group counts for more than
-both alone. It is fitted to labelled rows by AdaGrad with an L1 penalty on weights and an L2 penalty on factors; terms that say
-little of the label on their own are left out, as most are noise.
+both alone. It is fitted to labelled rows by AdaGrad with an L1 penalty on weights and an L2 penalty on factors. The machine's terms
+are those that tell on their own, and those that tell in a pair: of all pairs of the ``PAIR_TERMS`` most frequent terms (terms that occur in the
+same texts count once), a pair tells if what a first fit leaves unexplained in the texts that hold both is ``PAIR_DEVIATIONS`` standard deviations
+from nothing. So two terms that say nothing alone, or a neutral one that makes an insult toxic, get weights and factors.
 
-``SAMPLE`` bounds the labelled rows used for fitting: they are those with the smallest hashes of their doc_id. Every text is
-scored whole.
+``SAMPLE`` bounds the labelled rows used for fitting: they are those with the smallest hashes of their doc_id. They are picked out of the documents in one
+job on all cores, written, and gathered. Every text is scored whole, a chunk of about 2 MB of an Arrow batch at a time (a longer text is a chunk of its own).
 
 Nulls: a null or empty text has the bias alone. Rows without doc_id are scored and count as not held out. Labels that are null
 are no labels; of several labels of one document the largest counts. Without any positive or any negative label, every
-score is a smoothed prior. Columns are kept; one named ``toxicity`` is replaced.
+score is a smoothed prior. Repeated rows get equal scores, and a repeated labelled document counts as often as it is there; rows that are fitted are put in order first, so ties of nothing decide.
+Columns are kept; one named ``toxicity`` is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.llm import words
-from terrace.llm.common import binaries, chunks
+from terrace.llm.common import binaries, chunks, drop, stage
 
 SAMPLE, BITS, FACTORS, THRESHOLD = 12_000, 20, 4, 0.3
 PREFIXES = (4, 5, 6)
 #: A term is used if its count among positive texts is so many standard deviations from what its frequency makes likely.
 DEVIATIONS = 4.0
+#: Terms whose pairs are searched, the standard deviations that a pair needs, and the texts that have to hold both.
+PAIR_TERMS, PAIR_DEVIATIONS, PAIR_TEXTS = 2048, 6.0, 8
 #: A positive row counts as so many: the classes are uneven, and short texts hold one telling term.
 POSITIVE = 4.0
 STEPS, BATCH, RATE, L1, L2 = 2_000, 256, 0.3, 5e-5, 1e-3
@@ -96,24 +101,44 @@ def raw(model: Model, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return model.bias + np.bincount(row, model.weight[at], n) + 0.5 * (s * s - q).sum(1)
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: int = 7) -> Model:
-    """Fit to texts, each an array of slots, with labels 0 and 1."""
-    prior = (y.sum() + 0.5) / (len(y) + 10)
-    empty = Model(float(np.log(prior / (1 - prior))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
-    if not 0 < y.sum() < len(y):
-        return empty
-    rng = np.random.default_rng(seed)
-    slots, at = np.unique(np.concatenate(texts), return_inverse=True)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    count, bad, share = np.bincount(at), np.bincount(at, y[row]), y.mean()
-    telling = np.abs(bad - count * share) >= DEVIATIONS * np.sqrt(count * share * (1 - share))
-    slots, keep = slots[telling], telling[at]
-    row, at = row[keep], (np.cumsum(telling) - 1)[at[keep]]
-    first = np.searchsorted(row, np.arange(len(texts) + 1))
-    m = Model(empty.bias, slots, np.zeros(len(slots)), rng.normal(0, 0.01, (len(slots), factors)))
-    gw, gv, g0 = np.full(len(slots), 1e-6), np.full((len(slots), factors), 1e-6), 1e-6
-    for _ in range(1 + STEPS * BATCH // len(texts)):
-        order = rng.permutation(len(texts))
+def telling_pairs(row: np.ndarray, at: np.ndarray, terms: int, residual: np.ndarray, spread: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
+    """Whether each term is part of a pair whose texts are left unexplained; text ``row`` (ascending) holds term ``at``, and has a residual and its variance."""
+    n = len(residual)
+    by = np.argsort(at, kind="stable")
+    count = np.bincount(at, minlength=terms)
+    first = np.append(0, np.cumsum(count))
+    mark = np.random.default_rng(0).integers(0, 1 << 62, n)
+    column = np.add.reduceat(np.append(mark[row[by]], 0), first[:-1])  # equal for terms of the same texts
+    alike, group = np.unique(column, return_inverse=True)
+    size = np.zeros(len(alike), np.int64)
+    size[group] = count
+    used = np.flatnonzero(size >= PAIR_TEXTS)
+    used = used[np.argsort(-size[used], kind="stable")][:most]
+    place = np.full(len(alike), -1)
+    place[used] = np.arange(len(used))
+    left, var, both = (np.zeros((len(used), len(used)), np.float32) for _ in range(3))
+    col = place[group[at]]
+    row, col = row[col >= 0], col[col >= 0]
+    for a in range(0, n, 512):
+        lo, hi = np.searchsorted(row, [a, a + 512])
+        x = np.zeros((min(512, n - a), len(used)), np.float32)
+        x[row[lo:hi] - a, col[lo:hi]] = 1
+        left += x.T @ (x * residual[a : a + 512, None].astype(np.float32))
+        var += x.T @ (x * spread[a : a + 512, None].astype(np.float32))
+        both += x.T @ x
+    tells = (np.abs(left) >= PAIR_DEVIATIONS * np.sqrt(var)) & (both >= PAIR_TEXTS) & (var > 0)
+    np.fill_diagonal(tells, False)
+    out = np.zeros(len(alike), bool)
+    out[used] = tells.any(1)
+    return out[group]
+
+
+def _descend(m: Model, row: np.ndarray, at: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Model:
+    """AdaGrad from ``m`` over mini-batches of texts."""
+    first = np.searchsorted(row, np.arange(len(y) + 1))
+    gw, gv, g0 = np.full(len(m.slots), 1e-6), np.full(m.factors.shape, 1e-6), 1e-6
+    for _ in range(1 + STEPS * BATCH // len(y)):
+        order = rng.permutation(len(y))
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
             n = first[own + 1] - first[own]
@@ -126,7 +151,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: in
             touched, no = np.unique(i, return_inverse=True)
             dw = np.bincount(no, g[r], len(touched))
             dv = g[r][:, None] * (s[r] - v)
-            dv = np.stack([np.bincount(no, dv[:, k], len(touched)) for k in range(factors)], 1) + L2 * len(own) * m.factors[touched]
+            dv = np.stack([np.bincount(no, dv[:, k], len(touched)) for k in range(dv.shape[1])], 1) + L2 * len(own) * m.factors[touched]
             gw[touched] += dw * dw
             gv[touched] += dv * dv
             step = RATE / np.sqrt(gw[touched])
@@ -135,6 +160,32 @@ def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: in
             m.factors[touched] -= 0.2 * RATE / np.sqrt(gv[touched]) * np.clip(dv, -5, 5)
             g0 += g.sum() ** 2
             m.bias -= RATE * g.sum() / np.sqrt(g0)
+    return m
+
+
+def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: int = 7) -> Model:
+    """Fit to texts, each an array of slots, with labels 0 and 1."""
+    prior = (y.sum() + 0.5) / (len(y) + 10)
+    bias = float(np.log(prior / (1 - prior)))
+    if not 0 < y.sum() < len(y):
+        return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
+    slots, at = np.unique(np.concatenate(texts), return_inverse=True)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    count, bad, share = np.bincount(at, minlength=len(slots)), np.bincount(at, y[row], len(slots)), y.mean()
+
+    def machine(used: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(seed)
+        keep = used[at]
+        own = (np.cumsum(used) - 1)[at[keep]]
+        return _descend(Model(bias, slots[used], np.zeros(used.sum()), rng.normal(0, 0.01, (used.sum(), factors))), row[keep], own, y, rng), row[keep], own
+
+    alone = np.abs(bad - count * share) >= DEVIATIONS * np.sqrt(count * share * (1 - share))
+    m, own_row, own = machine(alone)
+    p = 1 / (1 + np.exp(-np.clip(raw(m, own_row, own, len(y)), -30, 30)))
+    p = p / (p + (1 - p) * POSITIVE)  # as likely as it is without the weight of positive rows
+    pairs = telling_pairs(row, at, len(slots), y - p, np.maximum(p * (1 - p), share * (1 - share) / 10)) & ~alone
+    if pairs.any():
+        m, _, _ = machine(alone | pairs)
     m.factors[np.abs(m.factors) < 1e-3] = 0
     some = (m.weight != 0) | m.factors.any(1)
     return Model(float(m.bias), m.slots[some], m.weight[some], m.factors[some])
@@ -148,8 +199,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # binomial: within a few hundredths of sample
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_terms, f"doc_id {kind}, y int, slots binary")
-    rows = sorted((r["doc_id"], bytes(r["slots"]), r["y"]) for r in rows.toLocalIterator())
-    return fit([np.frombuffer(r[1], np.int32) for r in rows], np.array([r[2] for r in rows], np.float64))
+    rows = stage(rows, "labelled")
+    found = sorted((r["doc_id"], bytes(r["slots"]), r["y"]) for r in rows.collect())  # the bounded sample
+    drop(rows)
+    return fit([np.frombuffer(r[1], np.int32) for r in found], np.array([r[2] for r in found], np.float64))
 
 
 def scores(docs: DataFrame, model: Model, bits: int = BITS, into: str = "toxicity") -> DataFrame:
