@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.llm import linededup, toxicity
+from terrace.llm import chat, linededup, toxicity
 from terrace.llm.common import chunks
 
 # ---- 2
@@ -137,3 +138,67 @@ def test_toxicity_scores_by_force(spark):
         got = {r["doc_id"]: r["toxicity"] for r in toxicity.scores(docs.repartition(n), m).collect()}
         assert got.keys() == want.keys() and np.allclose([got[i] for i in want], [want[i] for i in want])
     assert len({round(v, 6) for v in want.values()}) > 3
+
+
+# ---- 1
+
+
+def shared_conversations():
+    """Deep sharing: 400 conversations whose beginnings are drawn from few turns, some twice, and one opening that a third has."""
+    rng = random.Random(11)
+    rows = []
+    for c in range(400):
+        path = [("user", "hello 0")] if c % 3 == 0 else [("user", f"hello {rng.randrange(4)}")]
+        for t in range(rng.randrange(1, 6)):
+            path.append(("assistant" if t % 2 == 0 else "user", f"turn {t} {rng.randrange(3)} " + "x" * rng.randrange(3)))
+        rows += [(c, t, role, text) for t, (role, text) in enumerate(path)]
+    return rows
+
+
+def trie_by_force(rows):
+    """Signs of all distinct beginnings, each once, and each distinct conversation's formatted turns."""
+    talks = {}
+    for c, _, role, text in sorted(rows):
+        talks[c] = (*talks.get(c, ()), chat.formatted([(role, text)])[0])
+    nodes = {v[: k + 1] for v in talks.values() for k in range(len(v))}
+    return sum(len(v[-1]) for v in nodes), set(talks.values())
+
+
+@pytest.mark.parametrize(("pack", "part"), [(chat.PACK, chat.PART), (900, chat.PART), (900, 2000)])
+def test_chat_tree_is_the_trie_whatever_the_partitions(spark, pack, part):
+    rows = shared_conversations()
+    total, leaves = trie_by_force(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    seen, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            tree, talks = chat.prefix_tree(df.repartition(n), pack, part)
+            found = sorted(tuple(r) for r in tree.select("pack", "start", "text", "position", F.to_json("ancestors"), F.to_json("loss"), F.hex("leaf")).collect())
+            seen.append(found)
+        read = {r["conv_id"]: r["formatted_chars"] for r in chat.digest(tree, talks).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] == seen[2] and len(found) == len(leaves)
+    # what stands twice is what the first leaf of a pack shares with the leaf before it
+    order = sorted(found)
+    path, whole = {}, []
+    for no, start, text, position, *_ in order:
+        path.setdefault(no, []).append((start, text, position))
+    again = 0
+    stream = {no: "".join(t for _, t, _ in v) for no, v in path.items()}
+    for no, start, text, position, ancestors, *_ in order:
+        whole.append("".join(stream[no][i["start"] : i["end"]] for i in json.loads(ancestors)) + text)
+        assert len(whole[-1]) == position + len(text)
+    assert set(whole) == {"".join(v) for v in leaves}
+    turns = {"".join(v): v for v in leaves}
+    for k, (no, start, *_) in enumerate(order):
+        if k and start == 0:
+            a, b = turns[whole[k - 1]], turns[whole[k]]
+            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            again += sum(map(len, b[:n]))
+    assert sum(len(r[2]) for r in found) == total + again
+    if pack == chat.PACK:
+        assert again == 0 and len(path) == 1 and total < sum(read.values()) / 2
+    if part == 2000:
+        assert len({no >> 32 for no in path}) > 3
