@@ -6,11 +6,13 @@ corpus) the prefix that has to be indexed is that one shingle. A document positi
 shingle's place in the window fixes where the window would start, windows that would leave the document are dropped (length
 and positional bounds), and what is left is compared word by word.
 
-The benchmark side is sent to the executors in blocks of ``BLOCK_BYTES`` of text: one pass of the corpus a block, so its
-size is bounded whatever the benchmark's.
+The benchmark is cut into pieces of ``PIECE`` words that overlap by a window, so an item of any length is split, and the pieces are sent to the executors in blocks of
+``BLOCK_BYTES`` of text: two passes of the corpus a block (counts, hits), so what is held is bounded whatever the benchmark's size. A block is one byte buffer and arrays of numbers: about 6 bytes
+go to the executors for each byte of benchmark text, and at its peak the driver holds about 30. Windows that items share are stored once, by a 128-bit hash.
 
 Nulls: a null text has no words, a null doc_id stays as it is; a null item_id reads as ''. Rows are kept one for one: repeated
-doc_ids stay separate rows. Extra columns are dropped by ``contamination``; an empty table gives an empty result.
+doc_ids stay separate rows, and equal rows get equal results; shingles that tie in rarity are interchangeable, as any of them finds the window. Texts of any length are worked on whole. Extra columns
+are dropped by ``contamination``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm import words
-from terrace.llm.common import chunks
+from terrace.llm.common import chunks, drop, stage
 
-WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 16 << 20
+WINDOW, SHINGLE, PIECE, BLOCK_BYTES = 10, 3, 1 << 14, 8 << 20
 _BITS = 20
 
 
@@ -36,33 +38,47 @@ def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return low, starts, ends, first, words.hashes(low, starts, ends)
 
 
-def _windows(rows: list[tuple[str, str | None]], window: int, shingle: int) -> dict:
-    """Distinct windows of the items: words, items that have them, and every shingle (hash, size, place) in them."""
-    low, starts, ends, first, h = [None] * 5
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in rows:
-        for _, _, buf, off in chunks(pa.array([text], pa.string())):
-            low, starts, ends, first, h = _tokens(buf, off)
-            own = [low[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-            for p in range(max(len(own) - window + 1, min(len(own), 1))):
-                found.setdefault(tuple(own[p : p + window]), set()).add(item)
-    texts = sorted(found)
-    flat = np.frombuffer(b" ".join(w for t in texts for w in t) + b" " * 8, np.uint8)
-    starts, ends, _ = words.spans(flat, np.array([0, len(flat) - 8]), words.ALNUM)
-    h = words.hashes(flat, starts, ends)
-    window_of, place, size, key, at = [], [], [], [], 0
-    for i, t in enumerate(texts):
-        width = min(shingle, len(t))
-        k = words.runs(h[at : at + len(t)], width)
-        at += len(t)
-        window_of += [i] * len(k)
-        place += range(len(k))
-        size += [width] * len(k)
-        key += [k]
-    return {
-        "joined": [b" ".join(t) for t in texts], "length": np.array([len(t) for t in texts], np.int64), "items": [sorted(found[t]) for t in texts],
-        "window": np.array(window_of, np.int64), "place": np.array(place, np.int64), "size": np.array(size, np.int64), "key": np.concatenate(key) if key else np.zeros(0, np.uint64),
-    }
+def _pieces(window: int):
+    """Items as runs of at most ``PIECE`` lower-cased words joined by spaces; neighbours share what a window needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, off in chunks(batch.column("text")):
+                low, starts, ends, first, _ = _tokens(buf, off)
+                item, piece = [], []
+                for i in range(hi - lo):
+                    for a in range(first[i], max(first[i + 1] - window + 1, first[i] + (first[i] < first[i + 1])), PIECE - window + 1):
+                        b = min(a + PIECE, first[i + 1])
+                        item.append(lo + i)
+                        piece.append(b" ".join([low[x:y].tobytes() for x, y in zip(starts[a:b], ends[a:b], strict=True)]))
+                yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(item, pa.int64())), pa.array(piece, pa.binary()).cast(pa.string())], ["item_id", "text"])
+
+    return run
+
+
+def _windows(pieces: pa.Table, window: int, shingle: int) -> dict:
+    """The distinct windows of a block of pieces: first word, length and hash of each, its items, and the block's words and shingles."""
+    texts, ids = pieces.column("text").combine_chunks(), pieces.column("item_id").to_pylist()
+    got = list(chunks(texts, 1 << 62))
+    low, starts, ends, first, h = _tokens(*got[0][2:]) if got else (np.zeros(8, np.uint8), *(np.zeros(0, np.int64),) * 2, np.zeros(1, np.int64), np.zeros(0, np.uint64))
+    names = sorted(set(ids))
+    number = {x: i for i, x in enumerate(names)}
+    item = np.array([number[x] for x in ids], np.int32)
+    n = np.diff(first)
+    out = {"bytes": low.tobytes(), "starts": starts.astype(np.int32), "ends": ends.astype(np.int32), "names": names, "keys": {}, "by": {}}
+    other = words.hashes(low, starts, ends, 1) if len(h) else h
+    for length in sorted({int(min(k, window)) for k in np.unique(n) if k}):
+        at = words.inside(first, window) if length == window else first[:-1][n == length]
+        k1, k2 = (words.runs(x, length, which)[at] for which, x in enumerate((h, other)))
+        order = np.lexsort((k2, k1))
+        head = np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1]))
+        heads = order[np.flatnonzero(head)]
+        owner = (np.cumsum(head) - 1) * len(names) + item[np.searchsorted(first, at[order], "right") - 1]
+        owner = np.unique(owner)
+        width = min(shingle, length)
+        out["by"][length] = {"at": at[heads].astype(np.int32), "hash": k1[heads], "cut": np.searchsorted(owner, np.arange(len(heads) + 1) * len(names)).astype(np.int32), "items": (owner % max(len(names), 1)).astype(np.int32)}
+        out["keys"].setdefault(width, words.runs(h, width))
+    return out
 
 
 class _Index:
@@ -83,9 +99,12 @@ class _Index:
         return at[same], no[same]
 
 
-def _counts(docs: DataFrame, win: dict) -> dict[int, int]:
-    """Occurrences of every shingle of the windows over all documents."""
-    index = {int(w): _Index(win["key"][win["size"] == w]) for w in np.unique(win["size"])}
+def _counts(docs: DataFrame, win: dict, shingle: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each size of shingle, those of the windows and how often they occur over all documents."""
+    index = {}
+    for w in win["keys"]:
+        used = [win["keys"][w][b["at"] + k] for length, b in win["by"].items() if min(shingle, length) == w for k in range(length - w + 1)]
+        index[w] = _Index(np.unique(np.concatenate([np.unique(x) for x in used])))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {w: np.zeros(len(x.keys), np.int64) for w, x in index.items()}
@@ -98,24 +117,43 @@ def _counts(docs: DataFrame, win: dict) -> dict[int, int]:
                     total[w] += np.bincount(no[inside], minlength=len(x.keys))
         for w, x in index.items():
             some = np.flatnonzero(total[w])
-            yield pa.RecordBatch.from_arrays([pa.array(x.keys[some].view(np.int64)), pa.array(total[w][some])], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), w, np.int32)), pa.array(x.keys[some].view(np.int64)), pa.array(total[w][some])], ["w", "key", "n"])
 
-    got = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r["key"] % (1 << 64): r["n"] for r in got.collect()}  # at most the block's shingles
+    got = docs.select("text").mapInArrow(count, "w int, key long, n long").groupBy("w", "key").agg(F.sum("n").alias("n")).toArrow()  # at most the block's shingles, as Arrow
+    size, key, n = (got.column(c).to_numpy() for c in ("w", "key", "n"))
+    out = {}
+    for w, x in index.items():
+        own = np.zeros(len(x.keys), np.int64)
+        own[np.searchsorted(x.keys, key[size == w].view(np.uint64))] = n[size == w]
+        out[w] = (x.keys, own)
+    return out
 
 
-def _probe(docs: DataFrame, win: dict, count: dict[int, int], have: bool) -> DataFrame:
-    """Adds the block's hits to what the rows hold: n_words, hit spans as (start, end) words, items."""
-    order = np.lexsort((win["place"], win["key"], [count.get(int(k), 0) for k in win["key"]], win["window"]))
-    rarest = order[np.unique(win["window"][order], return_index=True)[1]] if len(order) else order
+def _rarest(win: dict, counts: dict[int, tuple[np.ndarray, np.ndarray]], shingle: int) -> dict:
+    """For each length of window its size of shingle, and of each window the rarest shingle: its place, and windows by shingle."""
     probe = {}
-    for w in np.unique(win["size"]):
-        own = rarest[win["size"][rarest] == w]
-        x = _Index(win["key"][own])
-        no = np.searchsorted(x.keys, win["key"][own])
+    for length, b in win["by"].items():
+        w = min(shingle, length)
+        keys, n = counts[w]
+        place = np.zeros(len(b["at"]), np.uint8)
+        least = np.full(len(b["at"]), np.iinfo(np.int64).max)
+        for k in range(length - w + 1):
+            own = n[np.searchsorted(keys, win["keys"][w][b["at"] + k])]
+            rarer = own < least
+            place[rarer], least = k, np.minimum(least, own)
+        live = np.flatnonzero(least > 0)  # a shingle that no document has
+        key = win["keys"][w][b["at"][live] + place[live]]
+        x = _Index(key)
+        no = np.searchsorted(x.keys, key)
         by = np.argsort(no, kind="stable")
-        probe[int(w)] = x, own[by], np.searchsorted(no[by], np.arange(len(x.keys) + 1))
-    window_of, place, length, joined, items = win["window"], win["place"], win["length"], win["joined"], win["items"]
+        probe[length] = (w, x, live[by].astype(np.int32), np.searchsorted(no[by], np.arange(len(x.keys) + 1)).astype(np.int32), place)
+    return probe
+
+
+def _probe(docs: DataFrame, win: dict, counts: dict[int, tuple[np.ndarray, np.ndarray]], have: bool, shingle: int) -> DataFrame:
+    """Adds the block's hits to what the rows hold: n_words, hit spans as (start, end) words, items."""
+    probe = _rarest(win, counts, shingle)
+    by_length, raw, start, end, names = win["by"], win["bytes"], win["starts"], win["ends"], win["names"]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,32 +161,35 @@ def _probe(docs: DataFrame, win: dict, count: dict[int, int], have: bool) -> Dat
             for _, _, buf, off in chunks(batch.column("text")):
                 low, starts, ends, first, h = _tokens(buf, off)
                 sizes.append(np.diff(first))
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                hit_at, hit_no = [], []
-                for w, (x, own, cut) in probe.items():
-                    at, no = x.find(words.runs(h, w))
+                hit_at, hit_size, hit_item = [], [], []
+                shingles: dict[int, np.ndarray] = {}
+                for length, (w, x, own, cut, place) in probe.items():
+                    at, no = x.find(shingles.setdefault(w, words.runs(h, w)))
                     n = cut[no + 1] - cut[no]
                     row = own[np.repeat(cut[no], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                    at = np.repeat(at, n) - place[row]
-                    good = (at >= np.repeat(first[doc[at + place[row]]], 1)) & (at + length[window_of[row]] <= first[doc[at + place[row]] + 1])
-                    at, no = at[good], window_of[row[good]]
-                    same = [b" ".join(low[a:b].tobytes() for a, b in zip(starts[p : p + length[k]], ends[p : p + length[k]], strict=True)) == joined[k] for p, k in zip(at, no, strict=True)]
-                    hit_at.append(at[same])
-                    hit_no.append(no[same])
-                at, no = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (hit_at, hit_no))
-                by = np.argsort(at, kind="stable")
-                at, no = at[by], no[by]
+                    at = np.repeat(at, n)
+                    doc = np.searchsorted(first, at, "right") - 1
+                    at = at - place[row]
+                    good = (at >= first[doc]) & (at + length <= first[doc + 1])  # positional and length bounds
+                    at, row = at[good], row[good]
+                    good = words.runs(h, length)[at] == by_length[length]["hash"][row] if len(at) else good[:0]
+                    for p, r in zip(at[good].tolist(), row[good].tolist(), strict=True):
+                        q = by_length[length]["at"][r]
+                        if b" ".join([low[a:b].tobytes() for a, b in zip(starts[p : p + length], ends[p : p + length], strict=True)]) == raw[start[q] : end[q + length - 1]]:
+                            hit_at.append(p)
+                            hit_size.append(length)
+                            hit_item.append((length, r))
+                by = np.argsort(hit_at, kind="stable") if hit_at else []
+                at, size, items = np.array([hit_at[i] for i in by], np.int64), [hit_size[i] for i in by], [hit_item[i] for i in by]
                 cut = np.searchsorted(at, first)
                 for d in range(len(first) - 1):
                     a, b = cut[d], cut[d + 1]
-                    spans.append([(int(p - first[d]), int(p - first[d] + length[k])) for p, k in zip(at[a:b], no[a:b], strict=True)])
-                    found.append(sorted({i for k in set(no[a:b].tolist()) for i in items[k]}))
+                    spans.append([v for p, k in zip(at[a:b].tolist(), size[a:b], strict=True) for v in (p - int(first[d]), p - int(first[d]) + k)])
+                    found.append(sorted({names[i] for k, r in set(items[a:b]) for i in by_length[k]["items"][by_length[k]["cut"][r] : by_length[k]["cut"][r + 1]]}))
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             if have:
-                spans = [x + y for x, y in zip(batch.column("flat").to_pylist(), ([v for s in x for v in s] for x in spans), strict=True)]
+                spans = [x + y for x, y in zip(batch.column("flat").to_pylist(), spans, strict=True)]
                 found = [sorted({*x, *y}) for x, y in zip(batch.column("item_ids").to_pylist(), found, strict=True)]
-            else:
-                spans = [[v for s in x for v in s] for x in spans]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "flat", "item_ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -175,17 +216,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, hit_spans, item_ids) for every row of ``docs``; spans count words from 0, ends exclusive."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    items = stage(items.mapInArrow(_pieces(window), "item_id string, text string"), "items")
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = 1 + size // block_bytes
-    kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     have = False
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # about block_bytes
-        win = _windows([tuple(r) for r in rows], window, shingle)
-        if have and not len(win["key"]):
+        win = _windows(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow(), window, shingle)  # about block_bytes
+        if have and not win["by"]:
             continue
-        out, have = _probe(out, win, _counts(docs, win) if len(win["key"]) else {}, have), True
+        out, have = _probe(out, win, _counts(docs, win, shingle) if win["by"] else {}, have, shingle), True
+    drop(items)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     return out.select("doc_id", "n_words", "flat", "item_ids").mapInArrow(_merge, f"doc_id {kind}, n_words long, n_hit long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>")
 
 

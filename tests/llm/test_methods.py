@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, linededup, toxicity
+from terrace.llm import chat, decontam, linededup, toxicity
 from terrace.llm.common import chunks
 
 # ---- 2
@@ -202,3 +203,56 @@ def test_chat_tree_is_the_trie_whatever_the_partitions(spark, pack, part):
         assert again == 0 and len(path) == 1 and total < sum(read.values()) / 2
     if part == 2000:
         assert len({no >> 32 for no in path}) > 3
+
+
+# ---- 10
+
+
+def test_decontamination_of_long_and_nameless_items(spark):
+    """Items without id, one of several pieces, shared windows, and more than one block: what a search for every window finds."""
+    rng = random.Random(4)
+    w = [f"w{rng.randrange(400)}" for _ in range(40_000)]
+    items = [(None, " ".join(w[:60])), (None, " ".join(w[30_000:30_040])), ("a", " ".join(w)), ("b", " ".join(w[100:140])), ("c", "two words"), ("d", "One"), ("e", " ".join(w[16_380:16_392])), ("f", None), ("g", "!!")]
+    docs = [(i, " ".join([*(f"x{k}" for k in range(i % 5)), *w[(a := rng.randrange(39_000)) : a + rng.randrange(5, 40)], "two", "words" if i % 2 else "lines"])) for i in range(60)]
+    docs += [(100, " ".join(w[16_370:16_400])), (101, "one"), (102, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    own = {}
+    for i, t in items:
+        v = re.findall("[a-z0-9]+", (t or "").lower())
+        for p in range(max(len(v) - 9, min(len(v), 1))):
+            own.setdefault(tuple(v[p : p + 10]), set()).add(i or "")
+    want = {}
+    for i, t in docs:
+        v = re.findall("[a-z0-9]+", (t or "").lower())
+        hit, found = set(), set()
+        for n in {len(k) for k in own}:
+            for p in range(len(v) - n + 1):
+                if tuple(v[p : p + n]) in own:
+                    hit |= set(range(p, p + n))
+                    found |= own[tuple(v[p : p + n])]
+        want[i] = (len(v), len(hit), sorted(found))
+    for block in (decontam.BLOCK_BYTES, 40_000):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontam.contamination(df, bench, block_bytes=block).collect()}
+        assert got == want
+
+
+def test_decontamination_holds_little():
+    """A block of 8 MB of distinct items: what the driver and a closure hold."""
+    import tracemalloc
+
+    from pyspark import cloudpickle
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300_000, 1000)) for _ in range(decontam.BLOCK_BYTES // 7800)]
+    table = pa.table({"item_id": [str(i) for i in range(len(texts))], "text": texts})
+    size = sum(map(len, texts))
+    assert size > 0.9 * decontam.BLOCK_BYTES
+    tracemalloc.start()
+    win = decontam._windows(table, 10, 3)
+    counts = {3: (np.unique(win["keys"][3]), np.ones(len(np.unique(win["keys"][3])), np.int64))}
+    probe = decontam._rarest(win, counts, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    closure = len(cloudpickle.dumps((probe, win["by"], win["bytes"], win["starts"], win["ends"], win["names"])))
+    print(size, peak, closure)
+    assert peak < 500e6 and closure < 100e6
