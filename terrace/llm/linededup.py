@@ -14,7 +14,7 @@ taken out. What happens to the chunks:
 the lines of a pair go wherever it is not the pair's first place. That is every line of a run of two or more that an earlier place has.
 
 A hot chunk meets in one task as one row a task; its places are found by joins with written tables, which adaptive execution splits. Texts join
-what is found about them: Spark sends the found lists to all tasks if their files are small, and otherwise sorts both sides, which spills.
+what is found about them by sorting both sides, which spills, at every size: neither a table in memory nor a plan that changes with the input.
 
 Nulls: a null text has no lines and stays null. A null doc_id comes after all others; ids may have any type with an order. Rows of one doc_id are told apart by a hash
 of their text; equal rows get equal results, so ties need no rule. Texts are worked on whole, one row at a time, with memory in proportion to the row.
@@ -77,7 +77,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     around = lambda k: F.struct(
         k.alias("no"), F.get("_ld_chunks", k).alias("at"), F.array_join(_lines(F.get("_ld_chunks", k)), "\n").alias("bytes"),
         F.reverse(_lines(F.get("_ld_chunks", k - 1))).alias("before"), _lines(F.get("_ld_chunks", k + 1)).alias("after"))
-    fetched = _chunked(docs.join(held, (F.struct(F.col("doc_id").isNull(), F.col("doc_id")) == F.col("_ld_doc")) & (F.xxhash64("text") == F.col("_ld_tag"))).drop("_ld_doc", "_ld_tag"), window)
+    fetched = _chunked(docs.join(held.hint("merge"), (F.struct(F.col("doc_id").isNull(), F.col("doc_id")) == F.col("_ld_doc")) & (F.xxhash64("text") == F.col("_ld_tag"))).drop("_ld_doc", "_ld_tag"), window)
     places = fetched.select("_ld_doc", "_ld_tag", F.explode(F.transform("nos", around)).alias("c")).select("_ld_doc", "_ld_tag", "c.*").withColumn("hash", F.xxhash64("bytes"))
     places = stage(places, "chunks")
     here = F.struct("_ld_doc", "_ld_tag", "no")
@@ -91,7 +91,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the lines in ``found``, and n_lines and n_removed."""
-    lines = _keyed(docs).join(found, ["_ld_doc", "_ld_tag"], "left")
+    lines = _keyed(docs).join(found.hint("merge"), ["_ld_doc", "_ld_tag"], "left")
     left = F.array_except(F.sequence(F.lit(1), F.size("_ld_lines")), "_ld_gone")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_lines")).cast("long")
     removed = F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_lines") - F.size("_ld_left")).cast("long")
