@@ -2,23 +2,28 @@
 
 1. Each page's containers are scored: a text block counts its length without link text for the container it stands in, and ``DECAY``
    times that for each one further outward (half for the body); articles and main elements, and classes that name content, count more.
-2. A container's path is its chain of tags and classes with digits generalised. Pages vote for paths with their shares of score,
-   and Spark sums the votes of a host; the best path wins (ties: the first in order of code points).
+2. A container's path is its chain of tags and classes with digits generalised, as a digest. Pages vote for paths with their shares of score, in whole
+   millionths, and Spark sums the votes of a host; the best path wins (ties: the smallest digest), however pages are dealt.
 3. Pages are read again: the text of all elements on the host's winning path, or, in a page without one, on the page's own best. The path
    is first climbed to the outermost article around it, or else to the outermost main element or class that names content
    whose other text in the page is mostly unlinked, so headings and sibling sections stay.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and comments of readers never count:
-they are known by tag, by role, and by words in class and id. Unclosed and misnested tags are closed as browsers close them.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and comments of readers never count. They are known by tag and role, and by
+class and id: a name is one of theirs if it has a word of theirs (``sidebar``, ``comments``) and otherwise only words of place and shape (``left-sidebar``, ``comment-list-2``); ``with-sidebar``,
+``no-comments``, ``search-results`` or ``comment-on-policy`` are not. Names are forgiven, those of layout first, where they would leave a page without its articles or without
+any text. Of a header inside an article, its headings stay. Unclosed and misnested tags are closed as browsers close them.
 
 Votes are summed before the exchange, so a hot host moves a row a task and path. The table of winners is written first;
 Spark broadcasts it if its files are small enough, and otherwise joins by host.
 
-Nulls: a null html is empty, a null url belongs to host ''. Rows are kept one for one. Extra columns are dropped.
+Nulls: a null html is empty, a null url belongs to host ''. Rows are kept one for one, and repeated rows vote as often as they are there and get equal texts. Extra columns are dropped. An empty table gives
+an empty result. Pages of any length are read whole, in time and memory in proportion to their length; a batch holds 64 MB of them, or one.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -33,17 +38,24 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _DIGITS = re.compile(r"\d+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements whose content is not markup.
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in _RAW}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = _RAW | set("head nav header footer aside form menu template svg canvas object audio video button select option label dialog".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar note".split())
-_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
-    "comment comments disqus respond reply replies cookie cookies consent gdpr notice notices newsletter subscribe subscription share sharing social related recommended recommendations "
-    "popup modal overlay widget pager pagination login signup search toolbar topbar skip hidden".split())
-_KEEPS_HEADER = set("article entry post content story".split())
+#: Words of layout, and of what is not the page's own text.
+_LAYOUT = set("sidebar side menu nav navbar navigation header footer masthead toolbar topbar overlay modal widget pager skip hidden".split())
+_WORDS = _LAYOUT | set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments disqus respond reply replies cookie cookies consent gdpr "
+    "notice notices newsletter subscribe subscription share sharing social related recommended recommendations popup pagination login signup search".split())
+#: Words of place and shape that may stand beside them in a name.
+_NEUTRAL = set(
+    "article articles author area bar block blocks body bottom box btn button buttons col column container content count default desktop div entry form global group head heading icon id image inner item items "
+    "js large left link links list lists main meta mobile module more my news outer page panel post posts primary right row secondary section single site slot small stories story text the thread title top unit "
+    "view wrap wrapper zone".split())
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _BLOCKS = set(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul aside dialog caption".split())
 _CONTAINERS = {"", "html", "body", "div", "section", "article", "main", "td", "center"}
@@ -58,13 +70,29 @@ DECAY = 0.95
 _GOOD = set("content article post entry story main text body".split())
 
 
+@functools.lru_cache(1 << 16)
+def _mark(name: str) -> int:
+    """0 for a class or id that says nothing, 1 for one of layout, 2 for one of what is not the page's own text."""
+    parts = {p for p in _SPLIT.split(_HUMP.sub("-", name).lower()) if p and not p.isdigit()}
+    hit = parts & _WORDS
+    if not hit or parts - _WORDS - _NEUTRAL or hit == {"header"} and parts & _GOOD:
+        return 0
+    return 1 if hit <= _LAYOUT else 2
+
+
+@functools.lru_cache(1 << 16)
+def _step(path: bytes, step: str) -> bytes:
+    """The digest of a path that goes on by a step."""
+    return hashlib.blake2b(path + step.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
+
 class Page:
-    """Elements (parent, tag, path, whether they never count) and text blocks (element, text, length of link text) in page order."""
+    """Elements (parent, tag, classes, path) and the text blocks that count (element, text, length of link text), in page order."""
 
     def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.path, self.bad = [-1], [""], [""], [False]
+        self.parent, self.tag, self.names, self.path, self._bad, self._soft = [-1], [""], [""], [b""], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._text, self._link = [0], [], 0
+        self._stack, self._text, self._link, self._open_tags = [0], [], 0, {}
         at, size = 0, len(source)
         while at < size:
             m = _TOKEN.search(source, at)
@@ -82,10 +110,30 @@ class Page:
                         end = _RAW_END[tag].search(source, at)
                         at = end.start() if end else size
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Drops the blocks of elements that their names mark, unless that leaves no article of the page's own, or no text."""
+
+        def below(marks: tuple[int, ...]) -> list[bool]:
+            lost = [False] * len(self.tag)
+            for i, up in enumerate(self.parent):
+                lost[i] = self._soft[i] in marks or (up >= 0 and lost[up])
+            return lost
+
+        if any(self._soft):
+            foreign = below((2,))
+            mains = [i for i, t in enumerate(self.tag) if t in ("article", "main") and not self._bad[i] and not foreign[i]]
+            for marks in ((1, 2), (2,), ()):
+                lost = below(marks)
+                some = any(not lost[b[0]] for b in self.blocks)
+                if some and (marks != (1, 2) or not mains or not all(lost[i] for i in mains)):
+                    break
+            self.blocks = [b for b in self.blocks if not lost[b[0]]]
 
     def _add(self, raw: str) -> None:
         top = self._stack[-1]
-        if raw and not self.bad[top]:
+        if raw and not self._bad[top]:
             text = html.unescape(raw) if "&" in raw else raw
             self._text.append(text)
             if any(self.tag[i] == "a" for i in self._stack[-4:]):
@@ -102,6 +150,8 @@ class Page:
     def _pop(self, depth: int) -> None:
         if any(self.tag[i] in _BLOCKS for i in self._stack[depth:]):
             self._flush()
+        for i in self._stack[depth:]:
+            self._open_tags[self.tag[i]] -= 1
         del self._stack[depth:]
 
     def _close(self, tag: str) -> None:
@@ -109,7 +159,7 @@ class Page:
             self._text.append(" ")
         elif tag == "p" or tag in _BLOCKS:
             self._flush()
-        for d in range(len(self._stack) - 1, 0, -1):
+        for d in range(len(self._stack) - 1, 0, -1) if self._open_tags.get(tag) else ():
             if self.tag[self._stack[d]] == tag:
                 self._pop(d)
                 return
@@ -143,77 +193,90 @@ class Page:
                     if tag != "tr" and tag != "tbody":
                         break
         top = self._stack[-1]
-        names, bad = "", self.bad[top] or tag in _DROP
+        names, soft, bad = "", 0, self._bad[top]
+        if bad == 2 and tag in _HEADINGS:
+            bad = 0
+        elif not bad and tag == "header" and self._open_tags.get("article"):
+            bad = 2  # of an article's header its headings stay
+        elif tag in _DROP:
+            bad = 1
         if attrs and not attrs.isspace():
             got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-            css = got.get("class", "").lower()
-            words = set(_SPLIT.split(f"{css} {got.get('id', '').lower()}"))
-            hit = words & _WORDS
-            if hit and hit <= {"header"} and words & _KEEPS_HEADER:
-                hit = set()
-            bad = bad or (bool(hit) and tag not in ("html", "body")) or "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in _ROLES or "display:none" in got.get("style", "").replace(" ", "").lower()
-            names = "".join(f".{c}" for c in sorted({_DIGITS.sub("#", c) for c in css.split()}))
+            css = got.get("class", "").split()
+            if tag not in ("html", "body", "header"):
+                soft = max([_mark(c) for c in (*css, *got.get("id", "").split())], default=0)
+            if "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in _ROLES or "display:none" in got.get("style", "").replace(" ", "").lower():
+                bad = 1
+            names = "".join(f".{c}" for c in sorted({_DIGITS.sub("#", c.lower()) for c in css}))
         self._stack.append(len(self.tag))
+        self._open_tags[tag] = self._open_tags.get(tag, 0) + 1
         self.parent.append(top)
         self.tag.append(tag)
-        self.path.append(f"{self.path[top]}>{tag}{names}" if tag in _CONTAINERS else self.path[top])
-        self.bad.append(bad)
+        self.names.append(names)
+        self.path.append(_step(self.path[top], tag + names) if tag in _CONTAINERS else self.path[top])
+        self._bad.append(bad)
+        self._soft.append(soft)
 
-    def votes(self) -> dict[str, float]:
-        """Shares of the page's score by path."""
+    def votes(self) -> dict[bytes, int]:
+        """Millionths of the page's score by path."""
         worth = [0.0] * len(self.tag)
         for own, text, link in self.blocks:
             worth[own] += len(text) - 3 * link
-        score: dict[str, float] = {}
+        score: dict[bytes, float] = {}
         for i in range(len(self.tag) - 1, -1, -1):  # children come after their parents
             tag, up = self.tag[i], self.parent[i]
             if tag in _CONTAINERS:
                 if worth[i] > 0:
-                    boost = 2.5 if tag == "article" else 2.0 if tag == "main" else 1.5 if _named(self.path[i]) else 1.0 if tag not in _ROOTS else 0.7
+                    boost = 2.5 if tag == "article" else 2.0 if tag == "main" else 1.5 if self._named(i) else 1.0 if tag not in _ROOTS else 0.7
                     score[self.path[i]] = score.get(self.path[i], 0.0) + worth[i] * boost
                 worth[i] *= 0.5 if up >= 0 and self.tag[up] in _ROOTS else DECAY
             if up >= 0:
                 worth[up] += worth[i]
         total = sum(score.values())
-        return {p: s / total for p, s in score.items()} if total else {}
+        return {p: round(1e6 * s / total) for p, s in score.items()} if total else {}
+
+    def _named(self, i: int) -> bool:
+        """Whether an element's classes name content."""
+        return bool(self.names[i]) and not _GOOD.isdisjoint(_SPLIT.split(self.names[i]))
 
-    def _on(self, path: str) -> list[tuple[int, str, int]]:
+    def _on(self, path: bytes) -> list[tuple[int, str, int]]:
         on = [False] * len(self.tag)
         for i, up in enumerate(self.parent):
             on[i] = (self.tag[i] in _CONTAINERS and self.path[i] == path) or (up >= 0 and on[up])
         return [b for b in self.blocks if on[b[0]]]
 
-    def _climb(self, path: str) -> list[tuple[int, str, int]]:
+    def _climb(self, path: bytes) -> list[tuple[int, str, int]]:
         """The blocks on ``path``, or on what encloses it as one article."""
         inner = self._on(path)
-        steps = path.split(">")
-        outer = [(">".join(steps[:k]), steps[k - 1].partition(".")[0]) for k in range(2, len(steps))]
-        for p, tag in outer:
-            if inner and tag == "article":
-                return self._on(p)
-        if inner and steps[-1].partition(".")[0] != "article":
-            for p, tag in outer:
-                if tag == "main" or (tag not in _ROOTS and _named(p)):
-                    more = self._on(p)
+        first = next((i for i, p in enumerate(self.path) if p == path and self.tag[i] in _CONTAINERS), -1)
+        if not inner or first < 0:
+            return inner
+        outer, i = [], self.parent[first]
+        while i >= 0:
+            if self.tag[i] in _CONTAINERS:
+                outer.append(i)
+            i = self.parent[i]
+        for i in reversed(outer):
+            if self.tag[i] == "article":
+                return self._on(self.path[i])
+        if self.tag[first] != "article":
+            for i in reversed(outer):
+                if self.tag[i] == "main" or (self.tag[i] not in _ROOTS and self._named(i)):
+                    more = self._on(self.path[i])
                     size, link = (sum(len(b[1]) for b in more) - sum(len(b[1]) for b in inner), sum(b[2] for b in more) - sum(b[2] for b in inner))
                     if 3 * link <= size:
                         return more
         return inner
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: bytes | None) -> str:
         """The text on ``path``, or on the page's own best path."""
-        on = self._climb(path) if path is not None else []
+        on = self._climb(bytes(path)) if path is not None else []
         if not on and self.blocks:
             own_votes = self.votes()
             on = self._climb(min(own_votes, key=lambda p: (-own_votes[p], p)) if own_votes else self.path[0])
         return " ".join(b[1] for b in on)
 
 
-def _named(path: str) -> bool:
-    """Whether the classes of a path's last element name content."""
-    return bool(_GOOD & set(_SPLIT.split(path.rpartition(">")[2])[1:]))
-
-
 def host_of(url: Column) -> Column:
     """The lower-cased host of a URL, '' if it has none."""
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
@@ -221,23 +284,24 @@ def host_of(url: Column) -> Column:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total: dict[tuple[str, str], float] = {}
-        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for path, share in Page(source or "").votes().items():
-                total[host, path] = total.get((host, path), 0.0) + share
-        total = {k: v for k, v in total.items() if round(v * 1e6)}
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array([round(v * 1e6) for v in total.values()], pa.int64())], ["host", "path", "votes"])
+        total: dict[tuple[str, bytes], int] = {}
+        for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
+            host = host.as_py()
+            for path, share in Page(source.as_py() or "").votes().items():
+                if share:
+                    total[host, path] = total.get((host, path), 0) + share
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.binary()), pa.array(list(total.values()), pa.int64())], ["host", "path", "votes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(source or "").text(path) for path, source in zip(batch.column("path").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+        texts = [Page(source.as_py() or "").text(path) for path, source in zip(batch.column("path").to_pylist(), batch.column("html"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the path with most votes of each host."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path string, votes long")
+    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path binary, votes long")
     votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path"))["path"].alias("path"))
 

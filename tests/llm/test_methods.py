@@ -6,13 +6,14 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, decontam, linededup, toxicity
+from terrace.llm import chat, decontam, linededup, toxicity, webtext
 from terrace.llm.common import chunks
 
 # ---- 2
@@ -256,3 +257,64 @@ def test_decontamination_holds_little():
     closure = len(cloudpickle.dumps((probe, win["by"], win["bytes"], win["starts"], win["ends"], win["names"])))
     print(size, peak, closure)
     assert peak < 500e6 and closure < 100e6
+
+
+# ---- 8
+
+WRAPPERS = ["with-sidebar", "has-sidebar", "no-sidebar", "layout side-by-side", "container search-results", "main-content related-off", "no-comments", "content-with-menu"]
+NOISE = [
+    "<div class='left-sidebar'><p>Side text that is here</p></div>", "<div id='comment-list-2'><article class='comment'><p>First! " + "so true " * 60 + "</p></article></div>", "<div class='cookieNotice'>We use cookies</div>",
+    "<section class='related-posts'><article><h2>Another</h2><p>teaser of it</p></article></section>", "<div class='newsletter-signup'>Join</div>", "<div class='social share-buttons'>Share</div>", "<div role='complementary'>More</div>",
+]
+
+
+def test_main_text_of_wrapped_articles(spark):
+    """Names of layout around an article do not drop it; noise of every kind stays out, on hosts that have one layout each."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for k, name in enumerate([*WRAPPERS, "plain"]):
+        for n in range(6):
+            body = [f"Title {k} {n}", *(" ".join(f"word{rng.randrange(99)}" for _ in range(rng.randrange(5, 60))) for _ in range(rng.randrange(1, 6)))]
+            inner = f"<header><h1>{body[0]}</h1><p>by somebody</p></header>" + "".join(f"<p>{b}</p>" if rng.random() < 0.7 else f"<section class='part'><p>{b}</p></section>" for b in body[1:])
+            noise = rng.sample(NOISE, 3)
+            page_id = 10 * k + n
+            tag = "<article id='comment-on-policy'>" if n % 2 else "<article>"
+            rows.append((page_id, f"https://h{k}.example/{n}", f"<body><header><h1>Site</h1></header><nav><a href='/'>Home</a></nav><div class=\"{name}\">{noise[0]}{tag}{inner}</article>{noise[1]}</div>{noise[2]}<footer>f</footer></body>"))
+            want[page_id] = " ".join(body)
+    # every container is marked: the names are forgiven, those of layout first
+    rows += [(900, "https://menu.example/1", "<div class='menu'><article><p>Soup of the day</p></article></div><div class='ads'>Buy</div>"), (901, "https://all.example/1", "<div class='comments'><p>Only this</p></div>"), (902, "https://menu.example/2", "<div class='sidebar'><p>Just text</p></div>")]
+    want |= {900: "Soup of the day", 901: "Only this", 902: "Just text"}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 5):
+        assert {r["page_id"]: r["text"] for r in webtext.main_text(df.repartition(n)).collect()} == want
+
+
+def test_votes_are_sums_of_pages(spark, tiny):
+    """Winners by a plain sum over pages, whatever the partitions and batches."""
+    pages = spark.read.parquet(f"{tiny}/pages.parquet")
+    odd = spark.createDataFrame([(i, f"https://odd.example/{i}", f"<div class='a{i % 2}x'><p>{'word ' * (3 + i % 5)}</p></div><div class='b'><p>{'other ' * (i % 4)}</p></div>") for i in range(200)], "page_id long, url string, html string")
+    pages = pages.select("page_id", "url", "html").unionByName(odd).unionByName(odd)
+    votes = {}
+    for r in pages.collect():
+        host = re.match(r"[a-z]+://([^/?#:]*)", (r["url"] or "").lower())
+        for path, n in webtext.Page(r["html"] or "").votes().items():
+            own = votes.setdefault(host[1] if host else "", {})
+            own[path] = own.get(path, 0) + n
+    want = {h: min(v, key=lambda p: (-v[p], p)) for h, v in votes.items()}
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n, size in ((1, 10_000), (7, 10_000), (3, 11)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            assert {r["host"]: bytes(r["path"]) for r in webtext.winning_paths(pages.repartition(n)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_deep_pages_take_linear_time():
+    def seconds(n):
+        began = time.process_time()
+        assert webtext.Page("<div class='x'>" * n + "deep" + "</p></section></b>" * n).text(None) == "deep"
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 40 * max(seconds(1_000), 0.002)
