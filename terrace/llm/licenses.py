@@ -2,13 +2,15 @@
 
 A text is cut into sentences twice: as running text (line breaks are spaces, blank lines end a sentence, for hard-wrapped
 licences) and line by line. Sentences are normalised (lower-cased, runs of other signs than letters and digits become a
-space) and looked up in a dictionary of known licence sentences. A rule is an ordered list of identifiers; it matches if one of
-the two identifier sequences holds them in that order. Rules are tried longest first; the licences of all that match count.
+space, the holder's name in the third BSD clause becomes the usual one) and looked up in a dictionary of known licence sentences. A rule is an ordered list of identifiers; it matches a sequence of
+identifiers that holds them in that order. Rules are tried longest first, and one that matches consumes its sentences, in both sequences and as often as it matches: so
+the three clauses that BSD-3-Clause begins with are not BSD-2-Clause as well, and only what is left over can match a shorter rule.
 
-Everything is one projection: no exchange, and the dictionary is a constant of the plan.
+Everything is one projection: no exchange, and dictionary and rules are constants of the plan. Every known sentence has one of the words in ``SIGNS``; texts without
+any of them are cut by line once, to count their sentences, and not looked up.
 
-Nulls: a null text has no sentences. Rows are kept one for one whatever their doc_id. Extra columns are dropped. An empty table
-gives an empty result.
+Nulls: a null text has no sentences. Rows are kept one for one whatever their doc_id, and equal rows get equal results. Extra columns are dropped. An empty table
+gives an empty result. Texts of any length are read whole, in memory in proportion to the row. Rules of one length are tried in the order of the list, which decides ties.
 """
 
 from __future__ import annotations
@@ -79,21 +81,58 @@ SENTENCES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "reserved": "All rights reserved.",
+    "apache-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "apache-definition": "License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "apache-grant": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "gpl-three-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-three-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl-two-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-one-title": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "lgpl-three-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-three-incorporates": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "lgpl-three-may": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-two-one-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-two-title": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl-free": "This library is free software:",
+    "lgpl-two-may": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl-two-one-version": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-two-one-spdx": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "lgpl-three-spdx": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "agpl-preamble": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "agpl-may": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-spdx": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "mpl-title": "Mozilla Public License Version 2.0",
+    "mpl-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl-one-title": "MOZILLA PUBLIC LICENSE Version 1.1",
+    "cc-zero-elects": "For these and/or other purposes and motivations, and without any expectation of additional consideration or compensation, the person associating CC0 with a Work (the Affirmer), to the extent that he or she is an owner of Copyright and Related Rights in the Work, voluntarily elects to apply CC0 to the Work and publicly distribute the Work under its terms, with knowledge of his or her Copyright and Related Rights in the Work and the meaning and intended legal effect of CC0 on those rights.",
+    "gfdl-title": "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "gfdl-two-title": "GNU Free Documentation License Version 1.2, November 2002",
 }
-#: Rules, longest first; licence and identifiers in order.
+#: Beginnings of words of which every known sentence has one, in any case.
+SIGNS = ("licen", "spdx", "permission", "redistribut", "warranty", "software", "copyright", "reserved", "distributed")
+#: Rules; licence and identifiers in order.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]), ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
-    ("Apache-2.0", ["apache-header", "apache-use", "apache-unless", "apache-see"]), ("GPL-2.0", ["gpl-free", "gpl-two-may", "gpl-two-version"]),
-    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]), ("GPL-3.0", ["gpl-free", "gpl-three-may"]), ("ISC", ["isc-grant", "isc-warranty"]),
-    ("MPL-2.0", ["mpl-form", "mpl-copy"]), ("Unlicense", ["unlicense", "unlicense-anyone"]), ("MIT", ["mit-grant", "mit-notice"]), ("Apache-2.0", ["apache-header", "apache-use"]),
+    ("Apache-2.0", ["apache-header", "apache-use", "apache-unless", "apache-see"]), ("Apache-2.0", ["apache-title", "apache-definition", "apache-grant"]),
+    ("GPL-2.0", ["gpl-free", "gpl-two-may", "gpl-two-version"]), ("LGPL-2.1", ["lgpl-free", "lgpl-two-may", "lgpl-two-one-version"]), ("LGPL-2.1", ["gpl-free", "lgpl-two-may", "lgpl-two-one-version"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]), ("GPL-3.0", ["gpl-free", "gpl-three-may"]), ("LGPL-3.0", ["gpl-free", "lgpl-three-may"]), ("LGPL-3.0", ["lgpl-free", "lgpl-three-may"]),
+    ("AGPL-3.0", ["gpl-free", "agpl-may"]), ("GPL-3.0", ["gpl-three-title", "gpl-three-preamble"]), ("LGPL-3.0", ["lgpl-three-title", "lgpl-three-incorporates"]), ("AGPL-3.0", ["agpl-title", "agpl-preamble"]),
+    ("ISC", ["isc-grant", "isc-warranty"]), ("MPL-2.0", ["mpl-form", "mpl-copy"]), ("MPL-2.0", ["mpl-form", "mpl-copy-https"]), ("Unlicense", ["unlicense", "unlicense-anyone"]), ("MIT", ["mit-grant", "mit-notice"]),
+    ("Apache-2.0", ["apache-header", "apache-use"]),
     ("MIT", ["mit-title"]), ("MIT", ["mit-title-the"]), ("MIT", ["mit-released"]), ("MIT", ["mit-licensed"]), ("MIT", ["mit-this"]), ("MIT", ["mit-work"]), ("MIT", ["mit-spdx"]),
     ("ISC", ["isc-spdx"]), ("BSD-2-Clause", ["bsd-two-released"]), ("BSD-3-Clause", ["bsd-three-released"]), ("BSD-2-Clause", ["bsd-two-spdx"]), ("BSD-3-Clause", ["bsd-three-spdx"]),
-    ("Apache-2.0", ["apache-licensed"]), ("Apache-2.0", ["apache-work"]), ("Apache-2.0", ["apache-released"]), ("Apache-2.0", ["apache-spdx"]),
-    ("GPL-3.0", ["gpl-three-work"]), ("GPL-3.0", ["gpl-three-licensed"]), ("GPL-3.0", ["gpl-three-released"]), ("GPL-3.0", ["gpl-three-spdx"]), ("GPL-3.0", ["gpl-three-only-spdx"]),
-    ("GPL-2.0", ["gpl-two-work"]), ("GPL-2.0", ["gpl-two-licensed"]), ("GPL-2.0", ["gpl-two-spdx"]), ("LGPL-3.0", ["lgpl-work"]), ("AGPL-3.0", ["agpl-work"]),
-    ("MPL-2.0", ["mpl-spdx"]), ("CC-BY-4.0", ["cc-by-licensed"]), ("CC-BY-4.0", ["cc-by-work"]), ("CC-BY-SA-4.0", ["cc-by-sa-licensed"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-licensed"]), ("CC-BY-NC-4.0", ["cc-by-nc-work"]), ("CC-BY-ND-4.0", ["cc-by-nd-licensed"]), ("CC0-1.0", ["cc-zero"]), ("Unlicense", ["unlicense"]),
+    ("Apache-2.0", ["apache-licensed"]), ("Apache-2.0", ["apache-work"]), ("Apache-2.0", ["apache-released"]), ("Apache-2.0", ["apache-spdx"]), ("Apache-2.0", ["apache-title"]),
+    ("GPL-3.0", ["gpl-three-work"]), ("GPL-3.0", ["gpl-three-licensed"]), ("GPL-3.0", ["gpl-three-released"]), ("GPL-3.0", ["gpl-three-spdx"]), ("GPL-3.0", ["gpl-three-only-spdx"]), ("GPL-3.0", ["gpl-three-title"]),
+    ("GPL-2.0", ["gpl-two-work"]), ("GPL-2.0", ["gpl-two-licensed"]), ("GPL-2.0", ["gpl-two-spdx"]), ("GPL-2.0", ["gpl-two-title"]), ("GPL-1.0", ["gpl-one-title"]),
+    ("LGPL-3.0", ["lgpl-work"]), ("LGPL-3.0", ["lgpl-three-title"]), ("LGPL-3.0", ["lgpl-three-spdx"]), ("LGPL-2.1", ["lgpl-two-one-title"]), ("LGPL-2.1", ["lgpl-two-one-spdx"]), ("LGPL-2.0", ["lgpl-two-title"]),
+    ("AGPL-3.0", ["agpl-work"]), ("AGPL-3.0", ["agpl-title"]), ("AGPL-3.0", ["agpl-spdx"]), ("MPL-2.0", ["mpl-spdx"]), ("MPL-2.0", ["mpl-title"]), ("MPL-1.1", ["mpl-one-title"]),
+    ("CC-BY-4.0", ["cc-by-licensed"]), ("CC-BY-4.0", ["cc-by-work"]), ("CC-BY-SA-4.0", ["cc-by-sa-licensed"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-licensed"]), ("CC-BY-NC-4.0", ["cc-by-nc-work"]), ("CC-BY-ND-4.0", ["cc-by-nd-licensed"]), ("CC0-1.0", ["cc-zero"]), ("CC0-1.0", ["cc-zero-elects"]), ("Unlicense", ["unlicense"]),
+    ("GFDL-1.3", ["gfdl-title"]), ("GFDL-1.2", ["gfdl-two-title"]),
 ]
+#: Names of holders in the third BSD clause, and what stands for them.
+HOLDER, USUAL = r"neither the name of [^\x01]{1,200}? nor the names of (its|their|the) contributors", "neither the name of the copyright holder nor the names of its contributors"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END = r"([.;:!?])[\x20\x09-\x0D]+"
 
@@ -103,6 +142,14 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[\W_]+", " ", sentence.lower()).strip(" ")
 
 
+def ordered_rules() -> list[tuple[str, str, str, str]]:
+    """Rules, longest first: licence, pattern over identifiers in angle brackets, what is left of a match (by number of group), and a pattern for each of its identifiers alone."""
+    out = []
+    for name, ids in sorted(RULES, key=lambda r: -len(r[1])):
+        out.append((name, "((?:<[^>]*>)*?)".join(f"<{i}>" for i in ids), "".join(f"${k}" for k in range(1, len(ids))), f"<(?:{'|'.join(ids)})>"))
+    return out
+
+
 def _sentences(text: Column, by_line: bool) -> Column:
     breaks = r"\n" if by_line else r"\n[\x20\x09-\x0D]*\n"
     marked = F.regexp_replace(F.regexp_replace(text, breaks, "\x01"), _END, "$1\x01")
@@ -112,19 +159,30 @@ def _sentences(text: Column, by_line: bool) -> Column:
 
 def _known(sentences: Column) -> Column:
     table = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (normalised(v), k)))
-    return F.filter(F.transform(sentences, lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
+    return F.filter(F.transform(sentences, lambda s: F.element_at(table, F.regexp_replace(s, HOLDER, USUAL))), lambda x: x.isNotNull())
+
+
+def _matched(a: Column, b: Column) -> Column:
+    """Licences of the rules that match, in order, what those before them left of two sequences."""
+    rules = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("name", "pattern", "rest", "each"), rule, strict=True))) for rule in ordered_rules()))
+
+    def step(acc: Column, rule: Column) -> Column:
+        hit = {c: F.regexp(acc[c], rule["pattern"]) for c in "ab"}
+        left = {c: F.when(hit[c], F.regexp_replace(acc[c], rule["pattern"], rule["rest"])).when(hit[o], F.regexp_replace(acc[c], rule["each"], F.lit(""))).otherwise(acc[c]) for c, o in ("ab", "ba")}
+        return F.struct(left["a"].alias("a"), left["b"].alias("b"), F.when(hit["a"] | hit["b"], F.array_append(acc["names"], rule["name"])).otherwise(acc["names"]).alias("names"))
+
+    start = F.struct(a.alias("a"), b.alias("b"), F.array().cast("array<string>").alias("names"))
+    return F.aggregate(rules, start, step, lambda acc: F.array_sort(F.array_distinct(acc["names"])))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences) of every row: sentences by line, known ones in order, and licences in order of name."""
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", _sentences(text, True).alias("lines"), _sentences(text, False).alias("running"))
-    found = found.select("doc_id", F.size("lines").alias("n_sentences"), _known(F.col("lines")).alias("sentence_ids"), _known(F.col("running")).alias("more"))
-    ids = [F.concat(F.lit("<"), F.array_join(c, "><"), F.lit(">")) for c in ("sentence_ids", "more")]
-    found = found.withColumn("a", ids[0]).withColumn("b", ids[1])
-    rules = [F.when(F.col("a").like(p) | F.col("b").like(p), F.lit(name)) for name, rule in RULES for p in ["%" + "%".join(f"<{i}>" for i in rule) + "%"]]
-    licences = F.when((F.size("sentence_ids") > 0) | (F.size("more") > 0), F.array_sort(F.array_distinct(F.array_compact(F.array(*rules))))).otherwise(F.array().cast("array<string>"))
-    return found.select("doc_id", F.col("n_sentences").cast("long").alias("n_sentences"), "sentence_ids", licences.alias("licences"))
+    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast("array<string>")
+    found = docs.select("doc_id", _sentences(text, True).alias("lines"), F.when(text.rlike(f"(?i){'|'.join(SIGNS)}"), text).alias("seen"))
+    found = found.select("doc_id", F.size("lines").cast("long").alias("n_sentences"), F.when(F.col("seen").isNotNull(), _known(F.col("lines"))).otherwise(none).alias("sentence_ids"), F.when(F.col("seen").isNotNull(), _known(_sentences(F.col("seen"), False))).otherwise(none).alias("more"))
+    chain = lambda c: F.concat(F.lit("<"), F.array_join(c, "><"), F.lit(">"))
+    licences = F.when((F.size("sentence_ids") > 0) | (F.size("more") > 0), _matched(chain("sentence_ids"), chain("more"))).otherwise(none)
+    return found.select("doc_id", "n_sentences", "sentence_ids", licences.alias("licences"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """SQL that other engines can run for the queries of this package."""
 
-from terrace.llm.licenses import RULES, SENTENCES, normalised
+from terrace.llm.licenses import HOLDER, SENTENCES, USUAL, normalised, ordered_rules
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PLAIN = r"[^\x20\x09-\x0D]+"
@@ -102,20 +102,26 @@ FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard JO
 def _op7() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     table = ", ".join(f"({quote(normalised(v))}, {quote(k)})" for k, v in SENTENCES.items())
-    rules = ", ".join(f"({quote(n)}, '%{'%'.join(f'<{i}>' for i in r)}%')" for n, r in RULES)
+    rules = ", ".join(f"({i}, {quote(name)}, {quote(pattern)}, {quote(rest.replace('$', chr(92)))}, {quote(each)})" for i, (name, pattern, rest, each) in enumerate(ordered_rules(), 1))
 
     def sentences(breaks: str) -> str:
         marked = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{breaks}', chr(1), 'g'), '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g')"
         return rf"list_filter(list_transform(string_split(regexp_replace(translate({marked}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\pL\pN\x01]+', ' ', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
 
     return rf"""
-WITH known(t, id) AS (VALUES {table}), rules(name, pattern) AS (VALUES {rules}),
+WITH RECURSIVE known(t, id) AS (VALUES {table}), rules(no, name, pattern, rest, each) AS (VALUES {rules}),
 d AS (SELECT doc_id, {sentences(r'\n')} AS l, {sentences(r'\n[\x20\x09-\x0D]*\n')} AS r FROM documents),
-s AS (SELECT doc_id, k, pos, id FROM (SELECT doc_id, 'l' AS k, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM d UNION ALL SELECT doc_id, 'r', unnest(r), generate_subscripts(r, 1) FROM d) JOIN known USING (t)),
+cut AS (SELECT doc_id, 'l' AS k, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM d UNION ALL SELECT doc_id, 'r', unnest(r), generate_subscripts(r, 1) FROM d),
+s AS (SELECT doc_id, k, pos, id FROM (SELECT doc_id, k, pos, regexp_replace(t, '{HOLDER}', '{USUAL}', 'g') AS t FROM cut) JOIN known USING (t)),
 q AS (SELECT doc_id, k, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, '<' || string_agg(id, '><' ORDER BY pos) || '>' AS seq FROM s GROUP BY doc_id, k),
-m AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM q JOIN rules ON seq LIKE pattern GROUP BY doc_id)
+pair AS (SELECT doc_id, coalesce(max(seq) FILTER (WHERE k = 'l'), '') AS a, coalesce(max(seq) FILTER (WHERE k = 'r'), '') AS b FROM q GROUP BY doc_id),
+m(doc_id, no, a, b, names) AS (SELECT doc_id, 0, a, b, CAST([] AS VARCHAR[]) FROM pair UNION ALL
+  SELECT doc_id, rules.no, CASE WHEN regexp_matches(a, pattern) THEN regexp_replace(a, pattern, rest, 'g') WHEN regexp_matches(b, pattern) THEN regexp_replace(a, each, '', 'g') ELSE a END,
+    CASE WHEN regexp_matches(b, pattern) THEN regexp_replace(b, pattern, rest, 'g') WHEN regexp_matches(a, pattern) THEN regexp_replace(b, each, '', 'g') ELSE b END,
+    CASE WHEN regexp_matches(a, pattern) OR regexp_matches(b, pattern) THEN list_append(names, name) ELSE names END FROM m JOIN rules ON rules.no = m.no + 1),
+f AS (SELECT doc_id, array_to_string(list_sort(list_distinct(names)), ',') AS licences FROM m WHERE no = (SELECT max(no) FROM rules))
 SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_sentences, CAST(coalesce(n, 0) AS BIGINT) AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences
-FROM d LEFT JOIN (SELECT * FROM q WHERE k = 'l') q USING (doc_id) LEFT JOIN m USING (doc_id)
+FROM d LEFT JOIN (SELECT * FROM q WHERE k = 'l') q USING (doc_id) LEFT JOIN f USING (doc_id)
 """.replace("\\\\", "\\")
 
 

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
 import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
+from helpers import run_sql, same
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, decontam, linededup, toxicity, webtext
+from terrace.llm import chat, decontam, licenses, linededup, toxicity, webtext
 from terrace.llm.common import chunks
+from terrace.llm.oracles import ORACLES
 
 # ---- 2
 
@@ -318,3 +322,54 @@ def test_deep_pages_take_linear_time():
 
     seconds(500)
     assert seconds(16_000) < 40 * max(seconds(1_000), 0.002)
+
+
+# ---- 7
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+HEADER = "This {} is free software{} you can redistribute it and/or\nmodify it under the terms of the GNU {}General Public\nLicense as published by the Free Software Foundation{} either\nversion {} of the License, or (at your option) any later version.\n"
+
+
+def test_licence_rules_consume_their_sentences(spark):
+    line = lambda t: " ".join(t.split())
+    cases = [
+        (BSD, "BSD-2-Clause"), (BSD + THIRD.format("the copyright holder"), "BSD-3-Clause"), (BSD + THIRD.format("Example and Sons"), "BSD-3-Clause"), (line(BSD + THIRD.format("the University")), "BSD-3-Clause"),
+        (BSD + THIRD.format("X") + "\n\n" + BSD, "BSD-2-Clause,BSD-3-Clause"), ((BSD + THIRD.format("X") + "\n\n") * 2, "BSD-3-Clause"),
+        (line(BSD) + "\n" + THIRD.format("Y"), "BSD-3-Clause"),
+        (HEADER.format("program", ":", "", ",", "3"), "GPL-3.0"), (HEADER.format("program", ";", "", ";", "2"), "GPL-2.0"), (HEADER.format("library", ";", "Lesser ", ";", "2.1"), "LGPL-2.1"),
+        (HEADER.format("program", ":", "Lesser ", ",", "3"), "LGPL-3.0"), (HEADER.format("program", ":", "Affero ", ",", "3"), "AGPL-3.0"), ("All rights reserved.", ""), ("LICENSED UNDER THE MIT LICENSE!", "MIT"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007\n\nThe GNU Affero General Public License is a free, copyleft license for\nsoftware and other kinds of works, specifically designed to ensure\ncooperation with the community in the case of network server software.\n", "AGPL-3.0"),
+        ("no such words", ""), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licenses.digest(licenses.scan(df)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    frame = pd.DataFrame([(i, t) for i, (t, _) in enumerate(cases)], columns=["doc_id", "text"])
+    same(licenses.digest(licenses.scan(df)).toPandas(), run_sql("/root/testdata/sf0.001", ORACLES["op7_license_scan"], documents=frame))
+    assert all(any(x in licenses.normalised(s) for x in licenses.SIGNS) for s in licenses.SENTENCES.values())
+    twice = licenses.scan(df.unionByName(df)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("licences").alias("k"))
+    assert {(r["n"], r["k"]) for r in twice.collect()} == {(2, 1)}
+
+
+@pytest.mark.parametrize(("file", "want"), [("Apache-2.0", "Apache-2.0"), ("GPL-1", "GPL-1.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("BSD", "BSD-3-Clause"), ("CC0-1.0", "CC0-1.0")])
+def test_full_licence_texts(spark, file, want):
+    path = f"/usr/share/common-licenses/{file}"
+    if not os.path.exists(path):
+        pytest.skip("no licence texts on this machine")
+    text = open(path, encoding="utf-8").read()
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licences"]
+    assert want in got and set(got) <= {want, "GPL-2.0"} if file == "GPL-1" else got == [want]
