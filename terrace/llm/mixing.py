@@ -3,15 +3,15 @@
 Targets share ``share`` times all words among the sources by weight; a source's target stops at ``most`` times its size and the
 excess goes to the others by weight (the level is found in closed form over the sorted sources). The targets are then cut
 into blocks of ``block`` words, and blocks are apportioned to the sources, and each source's blocks to its shards, by highest
-quotients v / (2k - 1). A shard takes whole passes over its documents and then the first blocks of their seeded order, so a
-document is taken whole numbers of times but for one a shard, which gives its first words.
+quotients v / (2k - 1); a source with a target gets one block at least. A shard takes whole passes over its documents and then the first blocks of their seeded order, so a
+document is taken whole numbers of times but for one a shard, which gives its first words; a shard's last block is cut short where its documents end.
 
-A seat count lies within n v / 2V + 1/2 of its share, for n parties with V votes, so only that many quotients a party are ranked
-and the others are sure: n parties rank about 5n quotients. Documents are dealt by source and shard, so a hot source is split
-``SHARDS`` ways; nothing but sums a source and shard meets in one task, and no result depends on partitions.
+A source has one shard for as many words as the square root of its size times ``CELL`` words is, so at least ``CELL`` blocks' worth of words are in each and none goes empty-handed, while a source of
+10^13 words is split 70,000 ways. A seat count lies within n v / 2V + 1/2 of its share, for n parties with V votes, so only that many quotients a party are ranked
+and the others are sure: n parties rank about 5n quotients. Only a row a source meets in one task (levels, quotients of sources), and a row a shard in its source's; documents meet by shard. No result depends on partitions.
 
 Nulls: a null text has size 0. A null source is a source of its own, after all others. Documents with equal ids are
-ordered by size. Sources without words have target 0. Extra columns are not read. An empty table gives an empty result.
+ordered by size, and equal rows tie without a difference; equal quotients go to the first source or shard. Sources without words have target 0. Texts of any length are counted whole. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import stage
 
-WEIGHTS, SHARE, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 1.5, 2, 32, 128, 20
+WEIGHTS, SHARE, MOST, BLOCK, CELL, SEED = (5, 2, 1), 1.5, 2, 32, 2048, 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,17 +62,18 @@ def apportion(votes: DataFrame, group: list[str], party: list[str]) -> DataFrame
     return seat.withColumn("quotient", F.col("votes") / (2 * F.col("seat") - 1)).withColumn("rank", F.row_number().over(ranked)).groupBy(*votes.columns).agg(won.alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, cell: int = CELL, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row of ``docs``; taken counts a document's words in the mix, repeats too."""
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = stage(
-        docs.select("doc_id", "source", words_in(F.col("text")).alias("size")).withColumn("drawn", drawn)
-        .withColumn("shard", F.conv(F.substring("drawn", 1, 8), 16, 10).cast("long") % shards), "sizes")
+    sized = stage(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")).withColumn("drawn", drawn), "sizes")
+    of = sized.groupBy(F.col("source").alias("own")).agg(F.greatest(F.lit(1), F.floor(F.sqrt(F.sum("size") / cell))).cast("long").alias("shards"))
+    place = F.conv(F.substring("drawn", 1, 8), 16, 10).cast("long") % F.col("shards")
+    sized = sized.join(stage(of, "shards"), F.col("source").eqNullSafe(F.col("own"))).select("doc_id", "source", "size", "drawn", place.alias("shard"))
     cells = sized.groupBy("source", "shard").agg(F.sum("size").alias("votes"))
     goal = targets(cells.groupBy("source").agg(F.sum("votes").alias("source_size")), weights, share, most)
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
     goal = apportion(goal.withColumn("votes", F.col("target")).withColumn("seats", seats).withColumn("all", F.lit(0)), ["all"], ["source"])
-    goal = goal.select(F.col("source").alias("own"), "source_size", "target", F.col("quota").alias("seats"))
+    goal = goal.select(F.col("source").alias("own"), "source_size", "target", F.when(F.col("target") > 0, F.greatest("quota", F.lit(1))).otherwise(0).alias("seats"))
     cells = apportion(cells.join(goal.select("own", "seats"), F.col("source").eqNullSafe(F.col("own"))).drop("own"), ["source"], ["shard"])
     quota = cells.join(goal.drop("seats"), F.col("source").eqNullSafe(F.col("own"))).select(
         "own", F.col("shard").alias("at"), "source_size", "target",

@@ -77,7 +77,8 @@ FROM d LEFT JOIN gone USING (doc_id)
 
 OP4 = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{PLAIN}')) AS BIGINT) AS size, md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS drawn FROM documents),
-d2 AS (SELECT *, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) % 128 AS shard FROM d),
+sh AS (SELECT source AS own, greatest(1, CAST(floor(sqrt(sum(size) / 2048.0)) AS BIGINT)) AS shards FROM d GROUP BY source),
+d2 AS (SELECT doc_id, source, size, drawn, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) % shards AS shard FROM d JOIN sh ON source IS NOT DISTINCT FROM own),
 cells AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS v FROM d2 GROUP BY ALL),
 s0 AS (SELECT source, CAST(sum(v) AS BIGINT) AS source_size FROM cells GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS no FROM s0),
@@ -88,7 +89,8 @@ s5 AS (SELECT *, max(CASE WHEN th <= level THEN th END) OVER () AS theta FROM s4
 s6 AS (SELECT source, source_size, coalesce(least(cap, weight * theta), cap) AS target FROM s5),
 n AS (SELECT CAST(round(sum(target) / 32) AS BIGINT) AS seats FROM s6),
 sq AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source IS NULL, source) AS r FROM (SELECT source, target, unnest(generate_series(1, CAST(ceil(target / 32) AS BIGINT) + 40)) AS k FROM s6 WHERE target > 0)),
-sn AS (SELECT source, count(*) AS seats FROM sq, n WHERE r <= n.seats GROUP BY source),
+won AS (SELECT source, count(*) AS seats FROM sq, n WHERE r <= n.seats GROUP BY source),
+sn AS (SELECT s6.source, greatest(1, coalesce(won.seats, 0)) AS seats FROM s6 LEFT JOIN won ON s6.source IS NOT DISTINCT FROM won.source WHERE target > 0),
 cq AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY v / (2 * k - 1) DESC, shard) AS r
   FROM (SELECT cells.source, shard, v, seats, unnest(generate_series(1, CAST(ceil(2 * v / 32.0) AS BIGINT) + 80)) AS k FROM cells JOIN sn ON cells.source IS NOT DISTINCT FROM sn.source WHERE v > 0)),
 cn AS (SELECT source, shard, count(*) AS quota FROM cq WHERE r <= seats GROUP BY source, shard),

@@ -16,7 +16,7 @@ import pytest
 from helpers import run_sql, same
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, decontam, licenses, linededup, toxicity, webtext
+from terrace.llm import chat, decontam, licenses, linededup, mixing, toxicity, webtext
 from terrace.llm.common import chunks
 from terrace.llm.oracles import ORACLES
 
@@ -373,3 +373,23 @@ def test_full_licence_texts(spark, file, want):
     text = open(path, encoding="utf-8").read()
     got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licences"]
     assert want in got and set(got) <= {want, "GPL-2.0"} if file == "GPL-1" else got == [want]
+
+
+# ---- 4
+
+
+def test_mix_comes_near_every_target(spark):
+    """Sources of one-word, five-word and few documents, a large one, one of a single word and a hot one of many shards."""
+    rows = [(i, "one", "words") for i in range(100)] + [(1000 + i, "a b c d e", "lines") for i in range(200)] + [(2000 + i, "w " * 97, "large") for i in range(3000)] + [(9000, "lonely", "single"), (9001, None, "nothing"), (9002, "x " * 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    assert (got["taken"] <= 2 * got["size"]).all() and (got["taken"] >= 0).all()
+    got["source"] = got["source"].fillna("null")
+    for name, g in got.groupby("source"):
+        target = g["target"].iloc[0]
+        assert abs(g["taken"].sum() - target) <= max(0.02 * target, 32), (name, g["taken"].sum(), target)
+    own = got.groupby("source")[["taken", "target"]].agg({"taken": "sum", "target": "first"})
+    assert own.loc["words", "taken"] >= 0.9 * own.loc["words", "target"] and own.loc["lines", "taken"] >= 0.95 * own.loc["lines", "target"] and own.loc["single", "taken"] == own.loc["single", "target"] == 2
+    twice = mixing.mix(df.unionByName(df))  # repeated rows
+    assert twice.where("taken > 2 * size").count() == 0 and twice.count() == 2 * len(rows)
+    assert sorted(map(tuple, mixing.mix(df.repartition(7)).select("doc_id", "taken").collect())) == sorted(map(tuple, got[["doc_id", "taken"]].itertuples(index=False)))
