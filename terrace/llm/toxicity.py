@@ -104,11 +104,8 @@ def raw(model: Model, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def telling_pairs(row: np.ndarray, at: np.ndarray, terms: int, residual: np.ndarray, spread: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
     """Whether each term is part of a pair whose texts are left unexplained; text ``row`` (ascending) holds term ``at``, and has a residual and its variance."""
     n = len(residual)
-    by = np.argsort(at, kind="stable")
     count = np.bincount(at, minlength=terms)
-    first = np.append(0, np.cumsum(count))
-    mark = np.random.default_rng(0).integers(0, 1 << 62, n)
-    column = np.add.reduceat(np.append(mark[row[by]], 0), first[:-1])  # equal for terms of the same texts
+    column = np.bincount(at, np.random.default_rng(0).random(n)[row], terms)  # equal for terms of the same texts
     alike, group = np.unique(column, return_inverse=True)
     size = np.zeros(len(alike), np.int64)
     size[group] = count
@@ -117,7 +114,7 @@ def telling_pairs(row: np.ndarray, at: np.ndarray, terms: int, residual: np.ndar
     place = np.full(len(alike), -1)
     place[used] = np.arange(len(used))
     left, var, both = (np.zeros((len(used), len(used)), np.float32) for _ in range(3))
-    col = place[group[at]]
+    col = place.astype(np.int32)[group][at]
     row, col = row[col >= 0], col[col >= 0]
     for a in range(0, n, 512):
         lo, hi = np.searchsorted(row, [a, a + 512])
@@ -169,9 +166,12 @@ def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: in
     bias = float(np.log(prior / (1 - prior)))
     if not 0 < y.sum() < len(y):
         return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
-    slots, at = np.unique(np.concatenate(texts), return_inverse=True)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    count, bad, share = np.bincount(at, minlength=len(slots)), np.bincount(at, y[row], len(slots)), y.mean()
+    at = np.concatenate(texts)
+    slots = np.unique(at)
+    at = np.searchsorted(slots, at).astype(np.int32)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    count, share = np.bincount(at, minlength=len(slots)), y.mean()
+    bad = np.bincount(at[y[row] == 1], minlength=len(slots))
 
     def machine(used: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
         rng = np.random.default_rng(seed)
@@ -200,9 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_terms, f"doc_id {kind}, y int, slots binary")
     rows = stage(rows, "labelled")
-    found = sorted((r["doc_id"], bytes(r["slots"]), r["y"]) for r in rows.collect())  # the bounded sample
+    found = rows.sort("doc_id", "slots").toArrow().combine_chunks()  # the bounded sample
     drop(rows)
-    return fit([np.frombuffer(r[1], np.int32) for r in found], np.array([r[2] for r in found], np.float64))
+    return fit([np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")], found.column("y").to_numpy().astype(np.float64))
 
 
 def scores(docs: DataFrame, model: Model, bits: int = BITS, into: str = "toxicity") -> DataFrame:
