@@ -4,13 +4,15 @@ Unit vectors with cosine >= c lie within eps = sqrt(2 - 2c) of each other, and s
 Vectors are sorted by label and by the cells, eps wide, of their coordinates on the leading ``AXES`` principal axes (fitted to
 all vectors), and the sequence is cut into intervals: ranges of partitions, partitions, blocks of ``BLOCK`` vectors. From the top
 down, pairs of intervals of one label are joined unless their bounding boxes are more than eps apart; pairs of blocks go on
-recursively in halves, down to tiles that a matrix product in double precision decides.
+recursively in halves, down to tiles of ``TILE`` vectors that a matrix product in double precision decides. How much is skipped depends on how much
+of the vectors' variance the axes hold and on how many vectors there are; ``tiles`` gives it. Any axes give the same links.
 
 Equal vectors of one label are one class, and a class goes on as one vector with a count. A pair of blocks gives a link count
 a vector and a spanning forest of its links, never the list of its links. Dense groups of any size are split into blocks.
 
 Nulls: rows with a null label, or a vector that is null, empty, zero or has a null or non-finite component, have no links; vectors of
-different lengths have none to each other. Rows with one vec_id count as several vectors; a null vec_id has no links. Extra columns are not read.
+different lengths have none to each other. Equal rows count as several vectors; different vectors of one vec_id are one node, whose links add up. Ties in all cells are put in order by vec_id; a null vec_id has no links. Ids are integers (others stop the job with a cast error). Extra columns are not read. An
+empty table gives an empty result. Vectors of any length are read whole; d numbers need a matrix of d^2 in a task, summed up by tasks of a few rows each, and one at the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from terrace.llm.common import binaries, buckets, stage
 from terrace.llm.components import components
 
-COSINE, AXES, BLOCK, TILE, FAN = 0.98, 6, 1024, 128, 6
+COSINE, AXES, BLOCK, TILE, FAN = 0.98, 6, 1024, 32, 6
 
 
 def _unit(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -50,18 +52,26 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.hstack([x, np.ones((len(x), 1))])
             total[d] = total.get(d, 0) + x.T @ x
     for d, m in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, d, np.int32)), pa.array(np.arange(m.size)), pa.array(m.ravel())], ["d", "i", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([m.tobytes()])], ["d", "m"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for d, m in zip(batch.column("d").to_pylist(), batch.column("m"), strict=True):
+            total[d] = total.get(d, 0) + np.frombuffer(m.as_buffer())
+    for d, m in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([m.tobytes()])], ["d", "m"])
 
 
 def principal_axes(vectors: DataFrame, axes: int = AXES) -> dict[int, np.ndarray]:
-    """For each length d of vector, its leading principal axes as a d x axes matrix."""
-    rows = vectors.mapInArrow(_moments, "d int, i long, m double").groupBy("d", "i").agg(F.sum("m").alias("m")).collect()  # (d + 1)^2 numbers
+    """For each length d of vector, its leading principal axes as a d x axes matrix. A task gives one matrix of sums, and a few tasks add them up before the driver does."""
+    sums, kind = vectors.mapInArrow(_moments, "d int, m binary"), "d int, m binary"
+    for parts in (64, 8):
+        sums = sums.repartition(parts).mapInArrow(_added, kind)
     out = {}
-    for d in {r["d"] for r in rows}:
-        m = np.zeros((d + 1) ** 2)
-        for r in rows:
-            if r["d"] == d:
-                m[r["i"]] = r["m"]
+    for (batch,) in ((b,) for b in _added(sums.toArrow().to_batches())):
+        d, m = batch.column("d")[0].as_py(), np.frombuffer(batch.column("m")[0].as_buffer())
         m = m.reshape(d + 1, d + 1) / m[-1]
         out[d] = np.linalg.eigh(m[:d, :d] - np.outer(m[d, :d], m[d, :d]))[1][:, ::-1][:, :axes]
     return out
@@ -118,30 +128,39 @@ def _blocks(basis: dict[int, np.ndarray], axes: int, block: int):
     return run
 
 
-def tiles(za: np.ndarray, zb: np.ndarray, eps: float, tile: int) -> Iterator[tuple[int, int, int, int]]:
-    """Intervals of two sequences that may hold neighbours, halved until both are short; those provably apart are skipped."""
-    todo = [(0, len(za), 0, len(zb))]
-    while todo:
-        a, b, c, d = todo.pop()
-        x, y = za[a:b], zb[c:d]
-        gap = np.maximum(np.maximum(x.min(0) - y.max(0), y.min(0) - x.max(0)), 0)
-        if gap @ gap > eps * eps:
-            continue
-        if b - a <= tile and d - c <= tile:
-            yield a, b, c, d
-        elif b - a >= d - c:
-            m = (a + b) // 2
-            todo += [(a, m, c, d), (m, b, c, d)]
-        else:
-            m = (c + d) // 2
-            todo += [(a, b, c, m), (a, b, m, d)]
+def _boxes(z: np.ndarray, tile: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bounding boxes of the tiles of a sequence, of pairs of tiles, and so on up to the whole."""
+    cut = np.arange(0, len(z), tile)
+    out = [(np.minimum.reduceat(z, cut), np.maximum.reduceat(z, cut))]
+    while len(out[-1][0]) > 1:
+        lo, hi = out[-1]
+        cut = np.arange(0, len(lo), 2)
+        out.append((np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)))
+    return out
+
+
+def tiles(za: np.ndarray, zb: np.ndarray, eps: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the tiles of two sequences that may hold neighbours: pairs of intervals are halved from the whole down, and those provably apart are skipped."""
+    a, b = _boxes(za, tile), _boxes(zb, tile)
+    top = max(len(a), len(b))
+    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for k in range(top - 1, -1, -1):
+        (la, ha), (lb, hb) = a[min(k, len(a) - 1)], b[min(k, len(b) - 1)]
+        if k < top - 1:  # the halves of what is left
+            x, y = np.repeat(2 * x, 4) + np.tile([0, 0, 1, 1], len(x)) if k < len(a) - 1 else np.repeat(x, 4), np.repeat(2 * y, 4) + np.tile([0, 1, 0, 1], len(y)) if k < len(b) - 1 else np.repeat(y, 4)
+            x, y = np.unique(np.stack([x, y])[:, (x < len(la)) & (y < len(lb))], axis=1)
+        gap = np.maximum(np.maximum(la[x] - hb[y], lb[y] - ha[x]), 0)
+        near = (gap * gap).sum(1) <= eps * eps
+        x, y = x[near], y[near]
+    return x, y
 
 
 def _join(basis: dict[int, np.ndarray], cosine: float, eps: float, tile: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, links, root = [], [], []
-            for row in batch.to_pylist():
+            for no in range(batch.num_rows):
+                row = batch.slice(no, 1).to_pylist()[0]  # a pair of blocks
                 d, ids, ns, xs = row["d"], [], [], []
                 for s in "ab":
                     ids.append(np.frombuffer(row[f"ids_{s}"], np.int64))
@@ -151,8 +170,11 @@ def _join(basis: dict[int, np.ndarray], cosine: float, eps: float, tile: int, ki
                     xs.append(v / np.linalg.norm(v, axis=1, keepdims=True))
                 same = row["same"]
                 near = np.zeros((len(ids[0]), len(ids[1])), bool)
-                for a, b, c, e in tiles(xs[0] @ basis[d], xs[1] @ basis[d], eps, tile):
-                    near[a:b, c:e] = xs[0][a:b] @ xs[1][c:e].T >= cosine
+                left, right = tiles(xs[0] @ basis[d], xs[1] @ basis[d], eps, tile)
+                for i in np.unique(left):
+                    column = (right[left == i][:, None] * tile + np.arange(tile)).ravel()
+                    column = column[column < len(xs[1])]
+                    near[i * tile : (i + 1) * tile, column] = xs[0][i * tile : (i + 1) * tile] @ xs[1][column].T >= cosine
                 if same:
                     near |= near.T
                     np.fill_diagonal(near, False)

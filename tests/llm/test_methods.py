@@ -16,7 +16,7 @@ import pytest
 from helpers import run_sql, same
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, decontam, licenses, linededup, mixing, toxicity, webtext
+from terrace.llm import chat, decontam, licenses, linededup, mixing, toxicity, vectors, webtext
 from terrace.llm.common import chunks
 from terrace.llm.oracles import ORACLES
 
@@ -393,3 +393,50 @@ def test_mix_comes_near_every_target(spark):
     twice = mixing.mix(df.unionByName(df))  # repeated rows
     assert twice.where("taken > 2 * size").count() == 0 and twice.count() == 2 * len(rows)
     assert sorted(map(tuple, mixing.mix(df.repartition(7)).select("doc_id", "taken").collect())) == sorted(map(tuple, got[["doc_id", "taken"]].itertuples(index=False)))
+
+
+# ---- 9
+
+
+def test_tiles_skip_what_is_far_and_nothing_near():
+    rng = np.random.default_rng(9)
+    eps = (2 - 2 * vectors.COSINE) ** 0.5
+    for dims, least in ((4, 0.7), (64, 0.02)):
+        x = rng.normal(size=(4000, dims)) * np.linspace(2, 0.5, dims)
+        x[2000:] = x[:2000] + rng.normal(size=(2000, dims)) * 0.05
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = x @ np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, : vectors.AXES]
+        order = np.lexsort(np.floor(z / eps).astype(int).T[::-1])
+        x, z = x[order], z[order]
+        for a, b in ((slice(0, 4000), slice(0, 4000)), (slice(0, 1000), slice(1000, 1357)), (slice(7, 8), slice(0, 4000))):
+            left, right = vectors.tiles(z[a], z[b], eps)
+            kept = set(zip(left.tolist(), right.tolist(), strict=True))
+            assert len(kept) == len(left)
+            i, j = np.nonzero(x[a] @ x[b].T >= vectors.COSINE)
+            assert {(p // vectors.TILE, q // vectors.TILE) for p, q in zip(i.tolist(), j.tolist(), strict=True)} <= kept
+            if a.stop - a.start == 4000:
+                assert 1 - len(kept) / 125**2 > least
+
+
+def test_vectors_in_many_blocks_and_repeated_ids(spark):
+    """A label that fills several blocks, with a chain through them, repeated rows and repeated ids."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(700, 8))
+    x[300:340] = np.cumsum(rng.normal(size=(40, 8)) * 0.03, 0) + 1
+    x[500:600] = x[:100] + rng.normal(size=(100, 8)) * 0.08
+    rows = [(i, v.tolist(), "one" if i % 3 else "two") for i, v in enumerate(x)] + [(5, x[5].tolist(), "one"), (5, x[5].tolist(), "one"), (900, x[1].tolist(), "one"), (901, x[1].tolist(), "one"), (902, None, "one")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    n, unit = len(rows), np.array([np.array(v if v else [0] * 8) / max(np.linalg.norm(v if v else [0]), 1e-300) for _, v, _ in rows])
+    label = np.array([c for *_, c in rows])
+    near = (unit @ unit.T >= vectors.COSINE) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    root = np.array([i for i, *_ in rows])
+    for _ in range(n):
+        new = np.minimum(root, np.where(near, root[None, :], 1 << 40).min(1))
+        if (new == root).all():
+            break
+        root = new
+    want = sorted((rows[k][0], int(near[k].sum()), int(root[k])) for k in range(n))
+    for block in (vectors.BLOCK, 64):
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df, block=block).collect())
+        assert got == want
