@@ -9,12 +9,14 @@ register is the larger of two. Documents with equal sets are one class, and only
    threshold (the log-likelihood is concave, so its maximum lies above), and are verified on the full sets.
 3. A member that is not yet in its bucket's component meets the bucket's other members in blocks of ``BLOCK``: the estimate
    picks which documents have a partner in another component, and those are compared exactly, block against block, with a
-   spanning forest of the links as output. Buckets of any size are split into blocks, and no list of pairs is formed.
+   spanning forest of the links as output. Buckets of any size are split into blocks, and no list of pairs is formed. A block has ``BLOCK`` documents and
+   ``BLOCK_SHINGLES`` shingles on average, so long documents make blocks of fewer (one document is the least), and a task holds two blocks at a time.
 
 A pair of similarity 0.85 shares no band of 7 with probability 1e-6 (0.8 and 6: 3e-6), and fails the estimate with about 4e-6.
 
 Nulls: a null or wordless text has the empty set, which is linked with nothing; so is a null doc_id (component null, kept).
-Rows with one doc_id are one document with the links of each row. Extra columns are not read. Empty tables give empty results.
+Rows with one doc_id are one document with the links of each row, so repeated rows are linked; ids are integers (others stop the job with a cast error). Documents at exactly the threshold are linked; of equal
+sets the smallest doc_id stands for all, and nothing else can tie. Texts of any length are worked on whole. Extra columns are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from terrace.llm.components import components
 SHINGLE, PERCENT = 3, 85
 #: Registers, registers a band (6 for a similarity of 0.8), documents a block, and standard errors below the threshold that the estimate lets pass.
 REGISTERS, ROWS, BLOCK, MARGIN = 252, 7, 512, 4.5
+#: Shingles a block (16 MB of hashes).
+BLOCK_SHINGLES = 1 << 21
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 _M = REGISTERS
 _RUN = 1 << 16
@@ -141,7 +145,8 @@ def _active(j: float, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             no, docs, roots = [], [], []
-            for key, band, ly, lx, ys, xs in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "block_y", "block_x", "ys", "xs")), strict=True):
+            for k in range(batch.num_rows):
+                key, band, ly, lx, ys, xs = (batch.column(c)[k].as_py() for c in ("key", "band", "block_y", "block_x", "ys", "xs"))  # one pair of blocks
                 rx = np.frombuffer(b"".join(m["regs"] for m in xs), np.uint16).reshape(-1, _M)
                 nx, cx = np.array([m["n"] for m in xs]), np.array([m["root"] for m in xs])
                 hit_x, hit_y = np.zeros(len(xs), bool), []
@@ -197,7 +202,8 @@ def _blockwise(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for members in batch.column("members").to_pylist():
+            for k in range(batch.num_rows):
+                members = batch.column("members")[k].as_py()  # one group of sets
                 root = forest([np.frombuffer(m["own"], np.uint64) for m in members], percent)
                 a += [m["doc"] for m, r in zip(members, root, strict=True) if members[r]["doc"] != m["doc"]]
                 b += [members[r]["doc"] for m, r in zip(members, root, strict=True) if members[r]["doc"] != m["doc"]]
@@ -214,9 +220,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     reps = stage(
         sketch.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "regs")).alias("s")).select("digest", F.col("s.doc_id").alias("doc"), "s.n", "s.regs"), "classes")
     keys = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("regs", 2 * rows * i + 1, 2 * rows)).alias("key")) for i in range(_M // rows)))
-    member = reps.select("doc", F.explode(keys).alias("k")).select("doc", "k.band", "k.key")
-    hub = stage(member.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
-    member = stage(member.join(hub, "key"), "buckets")
+    member = reps.select("doc", "n", F.explode(keys).alias("k")).select("doc", "n", "k.band", "k.key")
+    hub = stage(member.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "hubs")
+    member = stage(member.drop("n").join(hub, "key"), "buckets")
     own = stage(src.withColumnRenamed("doc_id", "doc").join(member.select("doc").distinct().hint("shuffle_hash"), "doc").mapInArrow(_sets(shingle), "doc long, own binary"), "sets")
 
     pairs = member.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
@@ -232,7 +238,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         placed = placed.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     placed = stage(placed.withColumn("open", F.col("doc_root") != F.col("hub_root")), "placed")
     live = placed.where("open").select("key").distinct()
-    placed = placed.join(live, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK)))
+    placed = placed.join(live, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))))
     block = (
         placed.join(reps.select("doc", "n", "regs"), "doc").groupBy("key", "band", "block")
         .agg(F.collect_list(F.struct("doc", F.col("doc_root").alias("root"), "n", "regs", "open")).alias("members")))
@@ -241,7 +247,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     active = both.select("key", "band", "block_y", "block_x", "ys", "xs").mapInArrow(_active(at, rows), "key long, block_y long, block_x long, doc long, root long")
     groups = active.join(own, "doc").groupBy("key", "block_y", "block_x").agg(F.collect_list(F.struct("doc", "own")).alias("members"))
     more = groups.select("members").mapInArrow(_blockwise(percent), "a long, b long")
-    root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    some = sketch.where("n > 0 and doc_id is not null").select("doc_id", "digest")
+    twice = some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")  # ids of several texts
+    alike = some.join(twice, "doc_id").join(reps.select("digest", "doc"), "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(alike))
 
     of = reps.select("digest", F.col("doc").alias("node")).join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return (

@@ -16,7 +16,7 @@ import pytest
 from helpers import run_sql, same
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, decontam, licenses, linededup, mixing, toxicity, vectors, webtext
+from terrace.llm import chat, decontam, licenses, linededup, mixing, neardup, toxicity, vectors, webtext
 from terrace.llm.common import chunks
 from terrace.llm.oracles import ORACLES
 
@@ -440,3 +440,37 @@ def test_vectors_in_many_blocks_and_repeated_ids(spark):
     for block in (vectors.BLOCK, 64):
         got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df, block=block).collect())
         assert got == want
+
+
+# ---- 5
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(512, 1 << 21), (4, 1 << 21), (512, 400)])
+def test_buckets_of_several_blocks(spark, monkeypatch, block, shingles):
+    """Clusters that share bands: many members are not in the component of their bucket's smallest one. The components are those of all pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    rng, base, rows = random.Random(12), [f"w{k}" for k in range(122)], []
+    for c in range(6):  # centres that are alike, but not alike enough
+        centre = base.copy()
+        for k in rng.sample(range(122), 4):
+            centre[k] = f"c{c}_{k}"
+        for m in range(14):
+            w = centre.copy()
+            for k in rng.sample(range(122), m % 4):
+                w[k] = f"m{c}_{m}_{k}"
+            rows.append((len(rows) * 7 % 101, " ".join(w)))
+    rows += [(200, rows[0][1]), (200, "other words here now"), (201, None)]
+    own = [(i, {tuple(t.split()[p : p + 3]) for p in range(len(t.split()) - 2)} if t else set()) for i, t in rows]
+    root = {i: i for i, _ in own}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in own:
+            for j, b in own:
+                if root[i] != root[j] and a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    assert 2 < len(set(root.values())) < len(root) - 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == root
