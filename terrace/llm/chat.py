@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import stage
+from terrace.llm.common import drop, stage
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: The role whose texts count for the loss.
@@ -159,7 +159,9 @@ def prefix_tree(rows: DataFrame, pack: int = PACK, part: int = PART) -> tuple[Da
     cuts = _cuts(leaves, part)
     ordered = leaves.mapInArrow(_dealt(cuts), f"{leaf}, pid int").repartitionById(len(cuts) + 1, "pid").sortWithinPartitions("pid", "chain")
     tree = ordered.mapInArrow(_packed(pack), f"leaf binary, pack long, start long, text string, position long, ancestors {spans}, loss {spans}")
-    return stage(tree, "packs"), talks.select("conv_id", "leaf")
+    tree = stage(tree, "packs")
+    drop(leaves)
+    return tree, talks.select("conv_id", "leaf")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

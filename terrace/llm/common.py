@@ -45,7 +45,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, was)
     _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged = path
+    return table
 
 
 def staged() -> list[str]:
@@ -62,10 +64,10 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
             _tables.remove(path)
 
 
-def drop(table: DataFrame) -> None:
-    """Delete a table that ``stage`` wrote and that no result reads any more."""
-    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
-    delete(table.sparkSession, [p for p in _tables if any(f.endswith(p.split(":")[-1].rstrip("/")) for f in folders)])
+def drop(*tables: DataFrame) -> None:
+    """Delete tables as ``stage`` returned them, once no result that is still to be computed reads them."""
+    for table in tables:
+        delete(table.sparkSession, [table._staged])
 
 
 def buckets(df: DataFrame) -> int:

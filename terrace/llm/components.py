@@ -16,9 +16,10 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, written: list[DataFrame]) -> DataFrame:
     """Every edge with the smallest b of its a. The minima are written first: a join of two exchanges of its own can be split where one a has many edges."""
-    return edges.join(stage(edges.groupBy("a").agg(F.min("b").alias("m")), "least"), "a")
+    written.append(stage(edges.groupBy("a").agg(F.min("b").alias("m")), "least"))
+    return edges.join(written[-1], "a")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,11 +28,12 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        small = _least(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        written = [edges]
+        large = _least(both, written).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        small = _least(large, written).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = stage(small, "edges")
         was, mark = mark, _mark(new)
-        drop(edges)
+        drop(*written)
         edges = new
         if mark == was:
             break

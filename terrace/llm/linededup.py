@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import stage
+from terrace.llm.common import drop, stage
 
 WINDOW, BASE = 2, 31
 
@@ -86,7 +86,9 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     gone = places.join(first, ["hash", "bytes"]).where(here != F.col("first"))
     span = F.sequence(F.col("at.a") - _alike(F.col("before"), F.col("first_before")), F.col("at.b") + _alike(F.col("after"), F.col("first_after")))
     gone = gone.select("_ld_doc", "_ld_tag", F.explode(span).alias("line")).groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("line").alias("_ld_gone"))
-    return stage(gone, "lines")
+    gone = stage(gone, "lines")
+    drop(hashes, often, held, places, first)
+    return gone
 
 
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -113,7 +115,9 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     places = stage(some.join(often, ["h1", "h2"]), "pairs")
     first = stage(places.groupBy("h1", "h2").agg(F.min(F.struct("_ld_doc", "_ld_tag", "no")).alias("first")), "first")
     gone = places.join(first, ["h1", "h2"]).where(F.struct("_ld_doc", "_ld_tag", "no") != F.col("first"))
-    return stage(gone.select("_ld_doc", "_ld_tag", F.explode(F.array(F.col("no"), F.col("no") + 1)).alias("line")).groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("line").alias("_ld_gone")), "lines")
+    gone = stage(gone.select("_ld_doc", "_ld_tag", F.explode(F.array(F.col("no"), F.col("no") + 1)).alias("line")).groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("line").alias("_ld_gone")), "lines")
+    drop(often, places, first)
+    return gone
 
 
 def without_repeated_runs(docs: DataFrame) -> DataFrame:

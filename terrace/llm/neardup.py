@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm import words
-from terrace.llm.common import chunks, stage
+from terrace.llm.common import chunks, drop, stage
 from terrace.llm.components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     pairs = member.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     for side in "ba":
         pairs = pairs.join(reps.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}")), side)
-    pairs = stage(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(at), "a long, b long").distinct(), "pairs")
+    pairs = likely = stage(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(at), "a long, b long").distinct(), "pairs")
     for side in "ba":
         pairs = pairs.join(own.select(F.col("doc").alias(side), F.col("own").alias(f"own_{side}")), side)
     root = components(pairs.select("a", "b", "own_a", "own_b").mapInArrow(_verify(percent), "a long, b long"))
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     placed = member.where("size > 2")
     for c in ("doc", "hub"):
         placed = placed.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    placed = stage(placed.withColumn("open", F.col("doc_root") != F.col("hub_root")), "placed")
+    placed = placed_all = stage(placed.withColumn("open", F.col("doc_root") != F.col("hub_root")), "placed")
     live = placed.where("open").select("key").distinct()
     placed = placed.join(live, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))))
     block = (
@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     alike = some.join(twice, "doc_id").join(reps.select("digest", "doc"), "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(alike))
 
+    drop(hub, member, own, likely, placed_all)
     of = reps.select("digest", F.col("doc").alias("node")).join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return (
         sketch.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of, "digest", "left")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.llm.common import binaries, buckets, stage
+from terrace.llm.common import binaries, buckets, drop, stage
 from terrace.llm.components import components
 
 COSINE, AXES, BLOCK, TILE, FAN = 0.98, 6, 1024, 32, 6
@@ -247,6 +247,7 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, axes: int = AXES,
     pairs = pairs.select("d", (F.col("i_a") == F.col("i_b")).alias("same"), *(f"{c}_{s}" for c in ("ids", "ns", "vs") for s in "ab"))
     kind = np.float32 if isinstance(item, T.FloatType) else np.float64
     found = stage(pairs.mapInArrow(_join(basis, cosine, eps, TILE, kind), "node long, links long, root long"), "links")
+    drop(made)
     root = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     done = one.join(links, one["rep"] == links["node"], "left").join(root.withColumnRenamed("root", "top").withColumnRenamed("node", "own"), F.col("rep") == F.col("own"), "left").select(

@@ -8,15 +8,18 @@ import os
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from helpers import run_sql, same
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, decontam, licenses, linededup, mixing, neardup, toxicity, vectors, webtext
+import corpus_pipeline
+from terrace.llm import chat, common, decontam, licenses, linededup, mixing, neardup, toxicity, vectors, webtext
 from terrace.llm.common import chunks
 from terrace.llm.oracles import ORACLES
 
@@ -243,10 +246,6 @@ def test_decontamination_of_long_and_nameless_items(spark):
 
 def test_decontamination_holds_little():
     """A block of 8 MB of distinct items: what the driver and a closure hold."""
-    import tracemalloc
-
-    from pyspark import cloudpickle
-
     rng = np.random.default_rng(2)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 300_000, 1000)) for _ in range(decontam.BLOCK_BYTES // 7800)]
     table = pa.table({"item_id": [str(i) for i in range(len(texts))], "text": texts})
@@ -474,3 +473,77 @@ def test_buckets_of_several_blocks(spark, monkeypatch, block, shingles):
     assert 2 < len(set(root.values())) < len(root) - 20
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == root
+
+
+# ---- the pipeline
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Nulls in every column, empty and long texts, repeated rows, ties, and columns that carry the stages' own names."""
+    long = " ".join(f"w{k % 4000}" for k in range(30_000))
+    rows = [
+        (1, "a line\nanother line\na third", "en", "s1", 28), (2, "a line\nanother line\nits own", "en", None, 26), (2, "a line\nanother line\nits own", "en", None, 26), (3, None, None, "s2", None), (4, "", "de", "s2", 0), (None, "no id here at all", None, None, None),
+        (None, None, None, None, None), (5, long, "en", "s1", len(long)), (6, long + " end", "en", "s2", len(long) + 4), (7, "x" * 50_000, "en", "s1", 50_000), (8, "one", "en", "s1", 3), (9, "one", "en", "s3", 3),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit("clash") for c in ("toxicity", "_toxicity", "own", "doc", "grp", "node", "root", "kept", "flat", "item_ids", "n_words", "size", "target", "shard", "drawn", "digest", "hash", "first")})
+
+
+def test_stages_on_odd_documents(spark, odd_docs, tiny):
+    for step in (s for _, s in corpus_pipeline.STAGES[:-1]):
+        out = step(spark, odd_docs, tiny)
+        assert out.columns == odd_docs.columns and out.where("hash <> 'clash'").count() == 0
+        assert step(spark, odd_docs.limit(0), tiny).count() == 0
+    ids = lambda df: sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in df.select("doc_id").collect())
+    everything = ids(odd_docs)
+    assert ids(corpus_pipeline.drop_toxic(spark, odd_docs, tiny)) == everything
+    lines = corpus_pipeline.drop_repeated_lines(spark, odd_docs, tiny)
+    assert ids(lines) == everything and {r["text"] for r in lines.where("doc_id = 2").collect()} == {"its own"} and lines.where("doc_id = 3 and text is null and n_chars is null").count() == 1
+    near = corpus_pipeline.drop_near_duplicates(spark, odd_docs, tiny)
+    assert ids(near) == [i for i in everything if i not in (6, 9)]
+    assert ids(corpus_pipeline.drop_contaminated(spark, odd_docs, tiny)) == everything
+    mixed = corpus_pipeline.mix_sources(spark, odd_docs, tiny)
+    assert ids(mixed) == everything and mixed.where("taken > 2 * size").count() == 0 and corpus_pipeline.mix_sources(spark, odd_docs.limit(0), tiny).count() == 0
+
+
+def test_toxic_stage_by_force(spark, tmp_path):
+    """What goes is what scores 0.3 or more by the sum over terms and pairs, on tables of its own."""
+    rng = random.Random(13)
+    rows = [(i, " ".join([*(["idiots"] if (bad := i % 4 == 0) else []), *(rng.choice(["green", "tree", "house", "walk"]) for _ in range(6))]), "en", "s", 1, int(bad)) for i in range(400)]
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert got == {r[0] for r in rows if not r[5]}
+
+
+def test_mix_stage_by_force(spark, odd_docs, tiny):
+    """Targets by sharing the excess again and again, and what each source takes against them."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    got = corpus_pipeline.mix_sources(spark, docs, tiny).toPandas()
+    size = docs.select("doc_id", "source", "text").toPandas()
+    size["n"] = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in size["text"]]
+    by = size.groupby("source", dropna=False)["n"].sum()
+    names = sorted((x for x in by.index if isinstance(x, str)), key=lambda x: [ord(c) for c in x]) + [x for x in by.index if not isinstance(x, str)]
+    weight, left, target, free = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}, 1.5 * by.sum(), {}, list(names)
+    while free:
+        share = {x: left * weight[x] / sum(weight[f] for f in free) for x in free}
+        full = [x for x in free if share[x] > 2 * by[x]]
+        for x in full or free:
+            target[x] = 2.0 * by[x] if full else share[x]
+        left, free = left - sum(target[x] for x in full), [x for x in free if x not in target]
+    assert dict(zip(size["doc_id"], size["n"], strict=True)) == dict(zip(got["doc_id"], got["size"], strict=True))
+    for x, g in got.groupby("source", dropna=False):
+        goal = target[x] if isinstance(x, str) else target[names[-1]]
+        assert abs(g["target"].iloc[0] - goal) <= 1e-6 * max(goal, 1) and abs(g["taken"].sum() - goal) <= max(0.03 * goal, 32)
+    assert (got["taken"] <= 2 * got["size"]).all()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    monkeypatch.setattr(common, "_own", [])
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Cluster)
