@@ -81,6 +81,45 @@ class Var:
         s = e / e.sum(-1, keepdims=True)
         return Var(s, ((self, lambda g: s * (g - (g * s).sum(-1, keepdims=True))),))
 
+    def sigmoid(self) -> Var:
+        s = 1 / (1 + np.exp(-np.clip(self.value, -500, 500)))
+        return Var(s, ((self, lambda g: g * s * (1 - s)),))
+
+    def sparsemax(self) -> Var:
+        """Projection of the last axis to the simplex."""
+        z = -np.sort(-self.value, -1)
+        k = np.arange(1, z.shape[-1] + 1)
+        total = np.cumsum(z, -1) - 1
+        n = (z * k > total).sum(-1, keepdims=True)
+        s = np.maximum(self.value - np.take_along_axis(total, n - 1, -1) / n, 0)
+        return Var(s, ((self, lambda g: (s > 0) * (g - (g * (s > 0)).sum(-1, keepdims=True) / n)),))
+
+    def entmax15(self) -> Var:
+        """The 1.5-entmax of the last axis: squares of what lies above a threshold, which add up to 1."""
+        v = (self.value - self.value.max(-1, keepdims=True)) / 2
+        z = -np.sort(-v, -1)
+        k = np.arange(1, z.shape[-1] + 1)
+        mean, square = np.cumsum(z, -1) / k, np.cumsum(z * z, -1) / k
+        tau = mean - np.sqrt(np.maximum((1 - k * (square - mean * mean)) / k, 0))
+        n = (tau <= z).sum(-1, keepdims=True)
+        root = np.maximum(v - np.take_along_axis(tau, n - 1, -1), 0)
+        return Var(root * root, ((self, lambda g: root * (g - (g * root).sum(-1, keepdims=True) / root.sum(-1, keepdims=True))),))
+
+    def entmoid15(self) -> Var:
+        """The 1.5-entmax of (x, 0), of which this is the first."""
+        t = np.abs(self.value)
+        low = np.where(t < 2, np.maximum((np.sqrt(np.maximum(8 - t * t, 0)) - t) / 4, 0) ** 2, 0.0)
+        s = np.where(self.value >= 0, 1 - low, low)
+        a, b = np.sqrt(s), np.sqrt(1 - s)
+        return Var(s, ((self, lambda g: g * a * b / (a + b)),))
+
+    def standardized(self, axis: int, eps: float = 1e-5) -> Var:
+        """Centred and scaled along ``axis``."""
+        c = self.value - self.value.mean(axis, keepdims=True)
+        d = np.sqrt((c * c).mean(axis, keepdims=True) + eps)
+        z = c / d
+        return Var(z, ((self, lambda g: (g - g.mean(axis, keepdims=True) - z * (g * z).mean(axis, keepdims=True)) / d),))
+
     def layer_norm(self, eps: float = 1e-5) -> Var:
         c = self.value - self.value.mean(-1, keepdims=True)
         d = np.sqrt((c * c).mean(-1, keepdims=True) + eps)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import dataclasses
 import itertools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ def logistic(y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.logaddexp(0, z) - y * z, p - y, np.maximum(p * (1 - p), 1e-6)
 
 
+#: Numbers in the tables that a job adds up (64 MB): features and pairs beyond it take further jobs.
+TABLE_NUMBERS = 1 << 23
 LOSSES: dict[str, Loss] = {"squared": squared, "logistic": logistic}
 
 
@@ -116,46 +119,69 @@ class TabulatedGam:
         total = sum(np.frombuffer(r["t"]) for r in src.mapInArrow(run, "t binary").repartition(FAN_IN).mapInArrow(merge, "t binary").collect())
         return total[:-2], float(total[-2] / max(total[-1], 1)), int(total[-1])
 
-    def _step(self, src: DataFrame) -> None:
-        """A job for slopes, curvatures by bin and pairs of bins, then boosting on them."""
-        at, cuts = 0, {}
+    def _groups(self) -> list[list[str]]:
+        """Features in groups whose tables of pairs fit into one job."""
+        out: list[list[str]] = [[]]
+        held = 0
         for c in self.features:
+            more = 3 * self.size[c] + sum(self.size[c] * self.size[o] for o in out[-1])
+            if out[-1] and held + more > TABLE_NUMBERS:
+                out.append([])
+                held, more = 0, 3 * self.size[c]
+            out[-1].append(c)
+            held += more
+        return out
+
+    def _step(self, src: DataFrame) -> None:
+        """For each group of features a job for slopes, curvatures by bin and pairs of bins, then boosting on them."""
+        index = {c: i for i, c in enumerate(self.features)}
+        masks = schema.feature_masks(len(self.features), self.n_estimators, self.colsample, self.seed)
+        for k, group in enumerate(self._groups()):
+            loss = self._group_step(src, group, index, masks)
+            if loss is None:
+                return
+            if not k:
+                self.history.append(loss)
+
+    def _group_step(self, src: DataFrame, group: list[str], index: dict[str, int], masks) -> float | None:
+        at, cuts, size = 0, {}, self.size
+        for c in group:
             cuts[c] = at
-            at += 3 * self.size[c]
-        for a, b in itertools.combinations(self.features, 2):
+            at += 3 * size[c]
+        for a, b in itertools.combinations(group, 2):
             cuts[a, b] = at
-            at += self.size[a] * self.size[b]
-        size, index = self.size, {c: i for i, c in enumerate(self.features)}
+            at += size[a] * size[b]
 
         def work(bins, slope, curve, total):
-            for c, i in index.items():
-                n, o = size[c], cuts[c]
+            for c in group:
+                n, o, i = size[c], cuts[c], index[c]
                 total[o : o + n] += np.bincount(bins[i], slope, n)
                 total[o + n : o + 2 * n] += np.bincount(bins[i], curve, n)
                 total[o + 2 * n : o + 3 * n] += np.bincount(bins[i], minlength=n)
-            for a, b in itertools.combinations(index, 2):
+            for a, b in itertools.combinations(group, 2):
                 n, o = size[a] * size[b], cuts[a, b]
                 total[o : o + n] += np.bincount(bins[index[a]] * size[b] + bins[index[b]], curve, n)
 
         total, loss, rows = self._sum(src, at, work)
-        self.history.append(loss)
         if not rows:
-            return
+            return None
         slope, curve = {}, {}
-        for c in self.features:
+        for c in group:
             n, o = size[c], cuts[c]
             slope[c], curve[c], self.counts[c] = total[o : o + n].copy(), total[o + n : o + 2 * n], total[o + 2 * n : o + 3 * n]
-        cross = {(a, b): total[cuts[a, b] : cuts[a, b] + size[a] * size[b]].reshape(size[a], size[b]) for a, b in itertools.combinations(self.features, 2)}
-        masks = schema.feature_masks(len(self.features), self.n_estimators, self.colsample, self.seed)
+        cross = {(a, b): total[cuts[a, b] : cuts[a, b] + size[a] * size[b]].reshape(size[a], size[b]) for a, b in itertools.combinations(group, 2)}
         for mask in masks:
             for c in itertools.compress(self.features, mask):
+                if c not in cuts:
+                    continue
                 d = self._tree(c, slope[c], curve[c]) * self.learning_rate
                 self.mains[c] = self.mains[c] + d
                 slope[c] += curve[c] * d
-                for other in self.features:  # what the move changes in the others' slopes
+                for other in group:  # what the move changes in the others' slopes
                     if other != c:
                         m = cross[c, other] if (c, other) in cross else cross[other, c].T
                         slope[other] += d @ m
+        return loss
 
     def _tree(self, c: str, slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
         """A tree's step by bin: categories are ordered by their own step, numbers by value; missing values are a leaf of their own."""
@@ -189,10 +215,20 @@ class TabulatedGam:
             self.history.append(loss)
             return {(a, b): (total[o : o + (n := size[a] * size[b])].reshape(size[a], size[b]), total[o + n : o + 2 * n].reshape(size[a], size[b])) for (a, b), o in zip(pairs, cuts, strict=False)}
 
-        every = list(itertools.combinations(self.features, 2))
-        found = tables(every)
-        self.gains = {p: self._quadrants(g, h)[0] for p, (g, h) in found.items()}
-        best = sorted(every, key=lambda p: (-self.gains[p], p))[: self.pairs]
+        every, part, held = [], [], 0
+        for p in itertools.combinations(self.features, 2):
+            n = 2 * size[p[0]] * size[p[1]]
+            if part and held + n > TABLE_NUMBERS:
+                every.append(part)
+                part, held = [], 0
+            part.append(p)
+            held += n
+        self.gains, found = {}, {}
+        for part in [*every, part]:  # a job each; only the best tables so far are held
+            found |= tables(part)
+            self.gains |= {p: self._quadrants(*found[p])[0] for p in part}
+            found = {p: found[p] for p in sorted(found, key=lambda p: (-self.gains[p], p))[: self.pairs]}
+        best = list(found)
         self.tables = {p: np.zeros((size[p[0]], size[p[1]])) for p in best}
         for r in range(self.pair_rounds):
             found = {p: found[p] for p in best} if r == 0 else tables(best)
@@ -245,6 +281,20 @@ class TabulatedGam:
             out.intercept += m
         return out
 
+    def to_json(self) -> str:
+        """Parameters and tables, without what only a fit needs."""
+        tables = {"mains": [[c, v.tolist()] for c, v in self.mains.items()], "tables": [[*p, v.tolist()] for p, v in self.tables.items()], "counts": [[c, v.tolist()] for c, v in self.counts.items()], "pair_counts": [[*p, v.tolist()] for p, v in getattr(self, "pair_counts", {}).items()]}
+        return json.dumps({"config": dataclasses.asdict(self), "features": self.features, "edges": self.edges, "categories": self.categories, "size": self.size, "intercept": self.intercept, "history": self.history, **tables})
+
+    @classmethod
+    def from_json(cls, text: str) -> TabulatedGam:
+        got = json.loads(text)
+        m = cls(**got["config"])
+        m.__dict__ |= {k: got[k] for k in ("features", "edges", "categories", "size", "intercept", "history")}
+        m.mains, m.counts = ({c: np.array(v) for c, v in got[k]} for k in ("mains", "counts"))
+        m.tables, m.pair_counts = ({(a, b): np.array(v) for a, b, v in got[k]} for k in ("tables", "pair_counts"))
+        return m
+
     def contributions(self) -> dict[str, Column]:
         """{term: effect}, looked up by bin."""
         own = {c: F.get(F.array(*map(F.lit, map(float, t))), self.bin(c)) for c, t in self.mains.items()}
@@ -258,3 +308,26 @@ class TabulatedGam:
         out = df.withColumns({f"f_{t}": c for t, c in own.items()})
         out = out.withColumn("output", sum((F.col(f"`f_{t}`") for t in own), F.lit(self.intercept)))
         return out.withColumn("probability", exprs.sigmoid(F.col("output"))) if self.loss == "logistic" else out
+
+
+@dataclasses.dataclass
+class OneVsRest:
+    """A tabulated model a class, each against all others; ``raw`` holds their scores in order, terms are those of the first class."""
+
+    models: list[TabulatedGam]
+
+    @property
+    def intercept(self) -> float:
+        return self.models[0].intercept
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``f_<term>``, ``output`` and ``raw``."""
+        scores = [sum(m.contributions().values(), F.lit(m.intercept)) for m in self.models]
+        return self.models[0].transform(df).drop("probability").withColumn("raw", F.array(*scores))
+
+    def to_json(self) -> str:
+        return json.dumps([m.to_json() for m in self.models])
+
+    @classmethod
+    def from_json(cls, text: str) -> OneVsRest:
+        return cls([TabulatedGam.from_json(t) for t in json.loads(text)])

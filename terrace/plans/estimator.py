@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from terrace.functions import exprs
 from terrace.operators import effects, families, metrics, schema
 from terrace.plans.additive import AdditiveModel
-from terrace.plans.boosted import TabulatedGam
+from terrace.plans.boosted import OneVsRest, TabulatedGam
 from terrace.plans.neural import NeuralModel
 from terrace.plans.preprocess import Preprocessor
 
@@ -36,7 +36,7 @@ class Estimator:
     def __init__(self, shape: str = "linreg", **params: Any) -> None:
         if shape not in SHAPES:
             raise ValueError(f"shape must be one of {', '.join(SHAPES)}, not {shape!r}")
-        self.shape = shape
+        self.shape, self.norm_fn = shape, params.pop("norm_fn", None)
         self._model_type, self._model_params = SHAPES[shape][0], dict(SHAPES[shape][1])
         task = "classification" if self.task == "classification" else "regression"
         default = {"linreg": "standardization", "snam": "normalization", "gpnam": "normalization"}.get(shape, "standardization" if self._model_type is NeuralModel else "none")
@@ -62,6 +62,7 @@ class Estimator:
 
     def fit(self, df: DataFrame, target: str, validation: DataFrame | None = None, val_size: float = 0.2, random_state: int = 101, keys: list[str] | None = None, fit_on: str = "train", exclude: tuple[str, ...] = ()) -> Estimator:
         """Without ``validation`` a hash of ``keys`` (or of all columns) sets ``val_size`` of the rows aside where the shape needs them. ``fit_on="all"`` fits the preprocessor to both parts."""
+        df, validation = self._normed(df), None if validation is None else self._normed(validation)
         self.target, self._validation = target, validation
         train, val = df, validation
         if val is None and self._model_type is NeuralModel and val_size:
@@ -72,8 +73,13 @@ class Estimator:
         if self._model_type is TabulatedGam:
             num, cat = schema.detect_column_types(base, self.pre.cat_cutoff, self.pre.treat_all_integers_as_numerical, {target, *exclude})
             loss = "logistic" if self.task == "classification" else "squared"
-            if self.task == "lss" or self.task == "classification" and len(self.classes) > 2:
-                raise ValueError(f"{self.shape} fits regression and two classes")
+            if self.task == "lss":
+                raise ValueError(f"{self.shape} fits regression and classes")
+            if self.task == "classification" and len(self.classes) > 2:
+                coded = self._coded(train)
+                fits = [TabulatedGam(**{**self._model_params, "loss": loss}).fit(coded.withColumn("_y", (F.col("_y") == k).cast("double")), "_y", num, cat) for k in range(len(self.classes))]
+                self.model = OneVsRest(fits)
+                return self
             self.model = TabulatedGam(**{**self._model_params, "loss": loss}).fit(self._coded(train), "_y", num, cat)
             return self
         self.pre.fit(base, target, exclude)
@@ -89,12 +95,19 @@ class Estimator:
     def _prepare(self, df: DataFrame) -> None:
         pass
 
+    def _normed(self, df: DataFrame) -> DataFrame:
+        """``df`` as ``norm_fn`` makes it: the hook that fit, scores and effects share."""
+        return df.transform(self.norm_fn) if self.norm_fn else df
+
     def _coded(self, df: DataFrame) -> DataFrame:
         """``df`` with the target as the model sees it."""
         return df.withColumn("_y", F.col(self.target).cast("double"))
 
     def contributions(self, df: DataFrame) -> DataFrame:
         """``df`` with ``f_<term>``, ``output`` and ``raw``."""
+        df = self._normed(df)
+        if isinstance(self.model, OneVsRest):
+            return self.model.transform(df)
         if self._model_type is TabulatedGam:
             return self.model.transform(df).withColumn("raw", F.array("output"))
         if self._model_type is AdditiveModel:
@@ -115,7 +128,7 @@ class Estimator:
         terms = [c[2:] for c in found.columns if c.startswith("f_")]
         singles, doubles = [t for t in terms if ":" not in t and t in df.columns], [t for t in terms if t.count(":") == 1]
         names = list(dict.fromkeys([*singles, *(n for t in doubles for n in t.split(":"))]))
-        intercept = self.model.intercept if self._model_type is TabulatedGam else float(self.model.coefficients[0, 0]) if self._model_type is AdditiveModel else float(self.model.params["intercept"][0])
+        intercept = self.model.intercept if self._model_type is TabulatedGam or isinstance(self.model, OneVsRest) else float(self.model.coefficients[0, 0]) if self._model_type is AdditiveModel else float(self.model.params["intercept"][0])
         return effects.effect_table(found, names, {t: F.col(f"`f_{t}`") for t in singles}, {t: F.col(f"`f_{t}`") for t in doubles}, intercept, **options)
 
     def plot_data(self, df: DataFrame, column: str, bins: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -157,8 +170,11 @@ class Classifier(Estimator):
         return df.withColumn("_y", (F.array_position(F.array(*map(F.lit, self.classes)), F.col(self.target)) - 1).cast("double"))
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``probabilities``, one a class in order."""
+        """``df`` with ``probabilities``, one a class in order; models of one class each are scaled to sum to 1."""
         one = exprs.sigmoid(F.col("output"))
+        if isinstance(self.model, OneVsRest):
+            own = F.transform("raw", exprs.sigmoid)
+            return self.contributions(df).withColumn("probabilities", F.transform(own, lambda v: v / F.aggregate(own, F.lit(0.0), lambda a, b: a + b)))
         p = F.array(1 - one, one) if len(self.classes) == 2 else exprs.softmax(F.col("raw"))
         return self.contributions(df).withColumn("probabilities", p)
 

@@ -4,12 +4,13 @@ Kinds (all give one output a feature or interaction and per-output sums):
 
 * ``nam``: a network a feature, and a network an interaction on the joined blocks;
 * ``qnam``: as nam with ordered outputs (quantiles), v0, v0 + exp(v1), ...;
-* ``nbm``: shared basis functions for all features, mixed by a weight a feature;
+* ``nbm``: shared basis functions for all features, mixed by a weight a feature, and others for all interactions of a degree;
 * ``natt``: networks for numerical features, attention over embeddings of categories;
 * ``namformer``: linear effects, and a head on attention over embeddings of all features;
-* ``nodegam``: soft oblivious trees of one or two chosen features each.
+* ``nodegam``: soft oblivious trees of one or two chosen features each (see ``odst``).
 
-Rows come as one array column of the joined blocks; nothing row-wise reaches the driver but the averaged parameters.
+Rows come as one array column of the joined blocks, dealt by a hash to tasks of about ``rows_per_task`` rows, so that neither the session nor the order of the input changes a fit. Parameters
+are summed by rows in tasks, by ``FAN_IN`` more, and ``FAN_IN`` of them reach the driver.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from terrace.functions.exprs import one_hot
+from terrace.functions.exprs import one_hot, temperature
 from terrace.operators import families
-from terrace.operators.gram import _matrix
+from terrace.operators.gram import FAN_IN, _matrix
+from terrace.plans import odst
 from terrace.plans.autodiff import Var, concat
 from terrace.plans.preprocess import Preprocessor
 
 KINDS = ("nam", "qnam", "nbm", "natt", "namformer", "nodegam")
+NORMS, ACTIVATIONS = ("none", "layer", "rms", "batch"), ("relu", "glu", "reglu")
+#: Tasks of an epoch at most; a task has more rows then.
+MOST_TASKS = 4096
 
 
 @dataclasses.dataclass
@@ -46,10 +51,23 @@ class NeuralModel:
     n_layers: int = 1
     num_trees: int = 20
     depth: int = 3
+    tree_layers: int = 1
+    tree_attention: int = 0
+    choice: str = "entmax15"
+    bins: str = "entmoid15"
+    anneal_epochs: int | None = None
+    least_temperature: float = 0.01
+    data_start: bool = True
+    output_l2: float = 0.0
     dropout: float = 0.0
+    attention_dropout: float = 0.0
+    token_norm: bool = False
+    token_activation: bool = False
     feature_dropout: float = 0.0
     skip_connections: bool = False
     layer_norm: bool = False
+    norm: str = "none"
+    activation: str = "relu"
     intercept: bool = True
     batch_size: int = 128
     max_epochs: int = 20
@@ -58,9 +76,17 @@ class NeuralModel:
     lr_factor: float = 0.1
     weight_decay: float = 1e-6
     patience: int = 15
+    rows_per_task: int = 75_000
+    checkpoint: str | None = None
+    frozen: tuple[str, ...] = ()
     seed: int = 101
 
     def __post_init__(self) -> None:
+        if self.norm not in NORMS or self.activation not in ACTIVATIONS:
+            raise ValueError(f"norm must be one of {NORMS} and activation one of {ACTIVATIONS}")
+        if self.layer_norm and self.norm == "none":
+            self.norm = "layer"
+        self.temperature = 1.0
         if self.kind not in KINDS:
             raise ValueError(f"kind must be one of {KINDS}, not {self.kind!r}")
 
@@ -86,7 +112,12 @@ class NeuralModel:
         def net(name: str, a: int, out: int) -> None:
             sizes = [a, *self.hidden, out]
             for i, (x, y) in enumerate(itertools.pairwise(sizes)):
-                dense(f"{name}.{i}", x, y)
+                last = i == len(sizes) - 2
+                dense(f"{name}.{i}", x, y if last or self.activation == "relu" else 2 * y)
+                if not last and self.norm != "none":
+                    self.params[f"{name}.{i}.scale"], self.params[f"{name}.{i}.shift"] = np.ones(y), np.zeros(y)
+                    if self.norm == "batch":
+                        self.params[f"{name}.{i}.running"] = np.stack([np.zeros(y), np.ones(y)])
             self.params[f"{name}.{len(sizes) - 2}.w"] *= 0.1
 
         mlp = [n for n, c in zip(self.names, self.is_cat, strict=True) if self.kind != "natt" or not c]
@@ -100,6 +131,10 @@ class NeuralModel:
             net("bases", top, self.num_bases)
             for n in self.names:
                 dense(f"mix.{n}", self.num_bases, outputs)
+            for d in range(2, (self.interaction_degree or 1) + 1):
+                net(f"bases{d}", d * top, self.num_bases)
+            for pair in self.pairs:
+                dense(f"mix.{':'.join(pair)}", self.num_bases, outputs)
         if self.kind in ("natt", "namformer"):
             tokens = [n for n, c in zip(self.names, self.is_cat, strict=True) if c or self.kind == "namformer"]
             self.params["cls"] = rng.normal(0, 0.1, (1, 1, self.d_model))
@@ -115,13 +150,11 @@ class NeuralModel:
             dense("head", self.d_model, outputs)
             self.params["head.w"] *= 0.1
         if self.kind == "nodegam":
-            self.choices = []
-            for _ in range(self.num_trees):
-                size = 1 if (self.interaction_degree or 1) < 2 or rng.random() < 0.5 or len(self.names) < 2 else 2
-                self.choices.append([self.names[i] for i in sorted(rng.choice(len(self.names), size, replace=False))])
-            for t, chosen in enumerate(self.choices):
-                dense(f"tree{t}.split", sum(map(own, chosen)), self.depth)
-                self.params[f"tree{t}.leaf"] = rng.normal(0, 0.05, (2**self.depth, outputs))
+            self.params |= self._trees().build(rng)
+
+    def _trees(self) -> odst.Trees:
+        columns = [i for i, n in enumerate(self.names) for _ in range(*self.slices[n])]
+        return odst.Trees(columns, self.names, self.outputs, self.num_trees, self.depth, self.tree_layers, 2 if (self.interaction_degree or 1) > 1 else 1, self.choice, self.bins, self.tree_attention)
 
     # ---- forward
 
@@ -130,7 +163,13 @@ class NeuralModel:
         for i in range(layers):
             y = x @ p[f"{name}.{i}.w"] + p[f"{name}.{i}.b"]
             if i < layers - 1:
-                y = y.layer_norm().relu() if self.layer_norm else y.relu()
+                if self.activation != "relu":
+                    half = y.value.shape[1] // 2
+                    y = y[:, :half] * (y[:, half:].sigmoid() if self.activation == "glu" else y[:, half:].relu())
+                if self.norm != "none":
+                    y = self._normed(p, f"{name}.{i}", y, rng is not None)
+                if self.activation == "relu":
+                    y = y.relu()
                 if rng is not None and self.dropout:
                     y = y.dropped((rng.random(y.value.shape) >= self.dropout) / (1 - self.dropout))
                 if self.skip_connections and y.value.shape == x.value.shape:
@@ -138,13 +177,30 @@ class NeuralModel:
             x = y
         return x
 
-    def _attention(self, p: dict[str, Var], x: Var) -> Var:
+    def _normed(self, p: dict[str, Var], name: str, y: Var, train: bool) -> Var:
+        """Normalised by row (layer, rms) or by batch, with a learned scale; batches leave their moments for the running ones."""
+        if self.norm == "layer":
+            y = y.layer_norm()
+        elif self.norm == "rms":
+            y = y * (((y * y).sum(1) * (1 / y.value.shape[1]) + 1e-5).power(-0.5)).reshape(-1, 1)
+        elif train and len(y.value) > 1:
+            self.moments[f"{name}.running"] = np.stack([y.value.mean(0), y.value.var(0)])
+            y = y.standardized(0)
+        else:
+            mean, var = p[f"{name}.running"].value
+            y = (y - mean) * (1 / np.sqrt(var + 1e-5))
+        return y * p[f"{name}.scale"] + p[f"{name}.shift"]
+
+    def _attention(self, p: dict[str, Var], x: Var, rng: np.random.Generator | None = None) -> Var:
         n, t, d = x.value.shape
         h = self.n_heads
         for k in range(self.n_layers):
             z = x.layer_norm()
             q, key, v = ((z @ p[f"layer{k}.{m}.w"] + p[f"layer{k}.{m}.b"]).reshape(n, t, h, d // h).transpose(0, 2, 1, 3) for m in "qkv")
-            mixed = (q @ key.transpose(0, 1, 3, 2) * (d // h) ** -0.5).softmax() @ v
+            weight = (q @ key.transpose(0, 1, 3, 2) * (d // h) ** -0.5).softmax()
+            if rng is not None and self.attention_dropout:
+                weight = weight.dropped((rng.random(weight.value.shape) >= self.attention_dropout) / (1 - self.attention_dropout))
+            mixed = weight @ v
             x = x + (mixed.transpose(0, 2, 1, 3).reshape(n, t, d) @ p[f"layer{k}.o.w"] + p[f"layer{k}.o.b"])
             z = x.layer_norm()
             x = x + ((z @ p[f"layer{k}.up.w"] + p[f"layer{k}.up.b"]).relu() @ p[f"layer{k}.down.w"] + p[f"layer{k}.down.b"])
@@ -172,27 +228,34 @@ class NeuralModel:
                 block = x[n].value
                 padded = Var(np.hstack([block, np.zeros((len(block), top - block.shape[1]))]))
                 terms[n] = self._net(p, "bases", padded, rng).relu() @ p[f"mix.{n}.w"] + p[f"mix.{n}.b"]
+            for pair in self.pairs:
+                wide = [np.hstack([x[n].value, np.zeros((len(rows), top - x[n].value.shape[1]))]) for n in pair]
+                name = ":".join(pair)
+                terms[name] = self._net(p, f"bases{len(pair)}", Var(np.hstack(wide)), rng).relu() @ p[f"mix.{name}.w"] + p[f"mix.{name}.b"]
         if self.kind in ("natt", "namformer"):
             tokens = [n for n, c in zip(self.names, self.is_cat, strict=True) if c or self.kind == "namformer"]
             if tokens:
-                each = [(x[n] @ p[f"embed.{n}.w"] + p[f"embed.{n}.b"]).reshape(len(rows), 1, self.d_model) for n in tokens]
-                seen = self._attention(p, concat([p["cls"] + np.zeros((len(rows), 1, self.d_model)), *each], 1))
+                each = [x[n] @ p[f"embed.{n}.w"] + p[f"embed.{n}.b"] for n in tokens]
+                each = [e.relu() if self.token_activation else e for e in each]
+                each = [(e.layer_norm() if self.token_norm else e).reshape(len(rows), 1, self.d_model) for e in each]
+                seen = self._attention(p, concat([p["cls"] + np.zeros((len(rows), 1, self.d_model)), *each], 1), rng)
                 terms["attention"] = seen[:, 0, :] @ p["head.w"] + p["head.b"]
             for n in tokens if self.kind == "namformer" else []:
                 terms[n] = x[n] @ p[f"linear.{n}.w"] + p[f"linear.{n}.b"]
         if self.kind == "nodegam":
-            for t, chosen in enumerate(self.choices):
-                z = concat([x[n] for n in chosen], 1) @ p[f"tree{t}.split.w"] + p[f"tree{t}.split.b"]
-                right = (z * 0.5 + 0.5).relu()  # sparsemoid: 0 below -1, 1 above 1
-                right = right - (right - 1.0).relu()
-                weight = None
-                for k in range(self.depth):
-                    r = right[:, k : k + 1]
-                    both = concat([1.0 - r, r], 1).reshape(len(rows), 2, 1)
-                    weight = both.reshape(len(rows), 2) if weight is None else (weight.reshape(len(rows), 1, -1) * both).transpose(0, 2, 1).reshape(len(rows), -1)
-                out = weight @ p[f"tree{t}.leaf"]
-                name = ":".join(chosen)
-                terms[name] = terms[name] + out if name in terms else out
+            trees = self._trees()
+            layers, square = trees.forward(p, rows, self.temperature, rng, rng is not None)
+            self.penalty = square * self.output_l2 if self.output_l2 else None
+            if rng is not None:
+                each = concat(layers, 1)
+                if self.dropout:
+                    each = each.dropped((rng.random((len(rows), each.value.shape[1], 1)) >= self.dropout) / (1 - self.dropout))
+                return {"trees": each.sum(1)}
+            chosen = trees.chosen({k: v.value for k, v in p.items()})
+            each = concat(layers, 1).value
+            for name in sorted({":".join(c) for c in chosen}):
+                terms[name] = Var(each[:, [i for i, c in enumerate(chosen) if ":".join(c) == name]].sum(1))
+            return terms
         if rng is not None and self.feature_dropout:
             terms = {n: v.dropped((rng.random((len(rows), 1)) >= self.feature_dropout) / (1 - self.feature_dropout)) for n, v in terms.items()}
         return terms
@@ -209,7 +272,7 @@ class NeuralModel:
 
     def _epoch(self, loss: families.Family | None, lr: float, epoch: int, train: bool):
         params = {k: v.copy() for k, v in self.params.items()}
-        width = self.width
+        width, fixed = self.width, [k for k in params if k.endswith(".running") or k == "intercept" and not self.intercept or k.startswith(tuple(self.frozen) or ("\0",))]
 
         def gradient(y: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if loss is None:
@@ -238,16 +301,20 @@ class NeuralModel:
                 for a in range(0, len(order), size):
                     at = order[a : a + size]
                     p = {k: Var(v) for k, v in own.items()}
+                    self.moments, self.penalty = {}, None
                     raw, _ = self._raw(p, rows[at], rng if train else None)
                     with np.errstate(all="ignore"):
                         value, g = gradient(y[at], raw.value)
                     n, total = n + len(at), total + float(np.nan_to_num(value, posinf=1e9).sum())
                     if not train:
                         continue
-                    raw.backward(g / len(at))
+                    root = (raw * Var(g / len(at))).reshape(-1).sum(0)  # its gradient at raw is g
+                    (root + self.penalty if self.penalty is not None else root).backward(np.array(1.0))
                     t += 1
+                    for k, v in self.moments.items():
+                        own[k] = 0.9 * own[k] + 0.1 * v
                     for k, v in p.items():
-                        if v.grad is None or k == "intercept" and not self.intercept:
+                        if v.grad is None or k in fixed:
                             continue
                         d = v.grad + self.weight_decay * own[k]
                         m[k] = 0.9 * m[k] + 0.1 * d
@@ -260,38 +327,66 @@ class NeuralModel:
         return run
 
     def _pass(self, src: DataFrame, loss: families.Family | None, lr: float, epoch: int, train: bool) -> float:
-        n, total, packed = 0, 0.0, None
-        for r in src.mapInArrow(self._epoch(loss, lr, epoch, train), "n long, total double, params binary").toLocalIterator():  # one parameter vector at a time
-            n, total = n + r["n"], total + r["total"]
-            v = np.frombuffer(r["params"])
-            packed = v if packed is None else packed + v
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total, packed = 0, 0.0, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    v = np.frombuffer(batch.column("params")[i].as_buffer())
+                    n, total, packed = n + batch.column("n")[i].as_py(), total + batch.column("total")[i].as_py(), v.copy() if packed is None else packed + v
+            if packed is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total]), pa.array([packed.tobytes()])], ["n", "total", "params"])
+
+        kind = "n long, total double, params binary"
+        rows = src.mapInArrow(self._epoch(loss, lr, epoch, train), kind).repartition(FAN_IN).mapInArrow(merge, kind).collect()
+        n, total = sum(r["n"] for r in rows), sum(r["total"] for r in rows)
         if train and n:
-            at = 0
+            at, packed = 0, sum(np.frombuffer(r["params"]) for r in rows)
             for k in sorted(self.params):
                 size = self.params[k].size
                 self.params[k] = (packed[at : at + size] / n).reshape(self.params[k].shape)
                 at += size
         return total / n if n else float("inf")
 
-    def fit(self, df: DataFrame, y: str, pre: Preprocessor, family: families.Family | None = None, validation: DataFrame | None = None, partitions: int | None = None) -> NeuralModel:
-        """``df`` (and ``validation``) hold the encoded blocks and the target. Stops early on the validation loss and keeps the best parameters."""
-        self._build(pre, family.size if family else 1)
+    def _percentiles(self, src: DataFrame) -> np.ndarray:
+        """Percentiles of every input column, from 1 to 99 of 100 (grid x columns)."""
+        grid = F.array(*map(F.lit, np.linspace(0.01, 0.99, 99).tolist()))
+        out = []
+        for a in range(0, self.width, 200):  # a job for 200 columns
+            row = src.agg(*(F.percentile_approx(F.get("b", F.lit(i)), grid, 1000).alias(f"q{i}") for i in range(a, min(a + 200, self.width)))).first()
+            out += [q or [0.0] * 99 for q in row]
+        return np.array(out, float).T
+
+    def _save(self, spark, path: str) -> None:
+        """The best parameters so far, as a table of one row in any store that Spark writes; an epoch that is lost loses no more than itself."""
+        spark.createDataFrame([(type(self).__name__, self.to_json())], "kind string, state string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    def fit(self, df: DataFrame, y: str, pre: Preprocessor, family: families.Family | None = None, validation: DataFrame | None = None, partitions: int | None = None, go_on: bool = False) -> NeuralModel:
+        """``df`` (and ``validation``) hold the encoded blocks and the target. Stops early on the validation loss and keeps the best parameters. ``go_on`` starts from the parameters of the fit before."""
+        if not go_on:
+            self._build(pre, family.size if family else 1)
         self.family = family
         spark = df.sparkSession
-        n = partitions or spark.sparkContext.defaultParallelism
-        src = df.select(self._input(pre).alias("b"), F.col(y).cast("double").alias("y")).where("b is not null and y is not null").repartition(n).persist(StorageLevel.MEMORY_AND_DISK_2)
+        n = partitions or int(min(max(-(-df.count() // self.rows_per_task), 1), MOST_TASKS))
+        rows = df.select(self._input(pre).alias("b"), F.col(y).cast("double").alias("y")).where("b is not null and y is not null").withColumn("k", F.xxhash64("b", "y"))
+        src = rows.repartition(n, "k").sortWithinPartitions("k").drop("k").persist(StorageLevel.MEMORY_AND_DISK_2)
         val = validation.select(self._input(pre).alias("b"), F.col(y).cast("double").alias("y")).where("b is not null and y is not null").persist(StorageLevel.MEMORY_AND_DISK_2) if validation is not None else src
-        if family is None or family.name == "quantile":
+        if not go_on and (family is None or family.name == "quantile"):
             start = src.agg(F.percentile_approx("y", F.array(*map(F.lit, np.linspace(0, 1, self.outputs + 2)[1:-1].tolist()))).alias("q"), F.avg("y").alias("m")).first()
             self.params["intercept"][0] = start["m"] if family is None else start["q"][0]
+        if self.kind == "nodegam" and self.data_start and not go_on:
+            self._trees().start(self.params, self._percentiles(src), np.random.default_rng(self.seed))
         best, kept, wait, lr, self.history = float("inf"), self.params, 0, self.lr, []
+        steps = self.anneal_epochs or max(self.max_epochs // 2, 1)
         try:
             for epoch in range(self.max_epochs):
+                self.temperature = temperature(epoch, steps, 1.0, self.least_temperature)
                 self._pass(src, family, lr, epoch, True)
                 loss = self._pass(val, family, lr, epoch, False)
                 self.history.append(loss)
                 if loss < best - 1e-9:
                     best, kept, wait = loss, {k: v.copy() for k, v in self.params.items()}, 0
+                    if self.checkpoint:
+                        self._save(spark, self.checkpoint)
                 else:
                     wait += 1
                     if wait % (self.lr_patience + 1) == self.lr_patience:
@@ -329,17 +424,27 @@ class NeuralModel:
         fields = [*df.schema.fields, *(T.StructField(f"f_{t}", T.DoubleType()) for t in names), T.StructField("raw", T.ArrayType(T.DoubleType())), T.StructField("output", T.DoubleType())]
         return df.withColumn("_b", self._input(pre)).mapInArrow(run, T.StructType(fields))
 
+    def freeze(self, *beginnings: str) -> NeuralModel:
+        """Parameters whose names begin so are left as they are by a fit that continues from here (none given: all are free again)."""
+        self.frozen = beginnings
+        return self
+
+    def summary(self, spark) -> DataFrame:
+        """(parameter, shape, size, trained) of every parameter."""
+        rows = [(k, list(v.shape), v.size, not k.endswith(".running") and not (self.frozen and k.startswith(tuple(self.frozen)))) for k, v in self.params.items()]
+        return spark.createDataFrame(rows, "parameter string, shape array<int>, size long, trained boolean")
+
     def parameter_count(self) -> int:
         return sum(v.size for v in self.params.values())
 
     def to_json(self) -> str:
-        state = {k: getattr(self, k) for k in ("names", "is_cat", "slices", "width", "outputs", "pairs", *(["choices"] if self.kind == "nodegam" else []))}
+        state = {k: getattr(self, k) for k in ("names", "is_cat", "slices", "width", "outputs", "pairs")}
         return json.dumps({"config": dataclasses.asdict(self), "state": state, "params": {k: v.tolist() for k, v in self.params.items()}})
 
     @classmethod
     def from_json(cls, text: str) -> NeuralModel:
         got = json.loads(text)
-        m = cls(**{**got["config"], "hidden": tuple(got["config"]["hidden"])})
+        m = cls(**{**got["config"], "hidden": tuple(got["config"]["hidden"]), "frozen": tuple(got["config"].get("frozen", ()))})
         m.__dict__ |= got["state"]
         m.slices = {k: tuple(v) for k, v in m.slices.items()}
         m.params, m.family = {k: np.array(v) for k, v in got["params"].items()}, None
