@@ -44,7 +44,7 @@ def thresholds(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, s: np.ndarray, max
     def push(a: int, b: int, depth: int) -> None:
         if max_depth is None or depth < max_depth:
             gain, at = best_split(n[a:b], s[a:b])
-            if at >= 0 and gain > 1e-12 * max(1.0, float((s[a:b] ** 2).sum())):
+            if at >= 0 and gain > 1e-12 * float((s[a:b] ** 2 / n[a:b, None]).sum()):  # what rounding leaves of equal means, at any number of rows
                 heapq.heappush(heap, (-gain, a, b, a + at, depth))
 
     push(0, len(n), 0)
@@ -99,6 +99,46 @@ def target_tables(df: DataFrame, features: dict[str, Column], target: Column, cl
     return tables if max_points is None else _binned(tables, max_points)
 
 
+def quantiles(df: DataFrame, features: dict[str, Column], grid: list[float], max_points: int = MAX_POINTS) -> dict[str, list[float]]:
+    """Exact percentiles of all features, interpolated between neighbours. Distinct values are counted, ranges of them add up on the driver, and only the ranges that hold a wanted rank are sorted, each in a task of its own."""
+    tables = target_tables(df, features, F.lit(0.0)).select("feature", "lo", "n").persist()
+    try:
+        counts = {r["feature"]: r["count"] for r in tables.groupBy("feature").count().collect()}
+        if not counts:
+            return {}
+        ranged = _ranged(tables, counts, max_points)
+        parts = ranged.groupBy("feature", "part").agg(F.sum("n").cast("long").alias("n")).toPandas().sort_values(["feature", "part"])  # a row a range
+        wanted, where = {}, {}
+        for f, p in parts.groupby("feature"):
+            ends = p["n"].cumsum().to_numpy()
+            at = [(ends[-1] - 1) * q for q in grid]
+            where[f] = at
+            for rank in sorted({r for a in at for r in (int(np.floor(a)), int(np.ceil(a)))}):
+                k = int(np.searchsorted(ends, rank, "right"))
+                wanted.setdefault((f, int(p["part"].iloc[k])), []).append((rank, rank - (int(ends[k - 1]) if k else 0)))
+
+        def pick(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("lo", kind="stable")
+            own = wanted[g["feature"].iloc[0], int(g["part"].iloc[0])]
+            at = np.searchsorted(np.cumsum(g["n"].to_numpy()), [r for _, r in own], "right")
+            return pd.DataFrame({"feature": g["feature"].iloc[0], "rank": [r for r, _ in own], "x": g["lo"].to_numpy()[at]})
+
+        some = F.lit(False)
+        for f, k in wanted:
+            some = some | ((F.col("feature") == f) & (F.col("part") == k))
+        found = {(r["feature"], r["rank"]): r["x"] for r in ranged.where(some).groupBy("feature", "part").applyInPandas(pick, "feature string, rank long, x double").collect()}
+    finally:
+        tables.unpersist()
+    out = {}
+    for f, at in where.items():
+        out[f] = []
+        for a in at:
+            lo, hi = int(np.floor(a)), int(np.ceil(a))
+            x, y = found[f, lo], found[f, hi]
+            out[f].append(x if lo == hi or x == y else (hi - a) * x + (a - lo) * y)
+    return out
+
+
 Leaf = tuple[str, float | None, float | None]
 
 
@@ -111,7 +151,7 @@ def _cuts_of_leaves(tables: DataFrame, leaves: list[Leaf], width: int, max_point
         mark = F.when(inside if upto is None else inside & (F.col("lo") <= upto), k).otherwise(mark)
     marked = tables.withColumn("leaf", mark).where("leaf is not null")
     s = [F.get("s", F.lit(i)) for i in range(width)]
-    parts = marked.groupBy("leaf", "part").agg(F.min("lo").alias("lo"), F.count("*").alias("k"), F.sum("n").alias("m"), F.array(*map(F.sum, s)).alias("t"), F.sum(sum(v * v for v in s)).alias("q")).toPandas().sort_values(["leaf", "part"])
+    parts = marked.groupBy("leaf", "part").agg(F.min("lo").alias("lo"), F.count("*").alias("k"), F.sum("n").alias("m"), F.array(*map(F.sum, s)).alias("t"), F.sum(sum(v * v for v in s) / F.col("n")).alias("q")).toPandas().sort_values(["leaf", "part"])
     own = {k: p for k, p in parts.groupby("leaf")}
     out: list = [(0.0, None, None)] * len(leaves)
     few = [k for k, p in own.items() if p["k"].sum() <= max_points]
@@ -145,7 +185,7 @@ def _cuts_of_leaves(tables: DataFrame, leaves: list[Leaf], width: int, max_point
         for k, p in found.sort_values("part").groupby("leaf"):
             top = p["gain"].max()
             p = p[p["gain"] > top - 1e-12 * max(1.0, abs(top))].iloc[0]
-            if top > 1e-12 * max(1.0, float(many[k]["q"].sum())):
+            if top > 1e-12 * float(many[k]["q"].sum()):
                 out[k] = (float(p["gain"]), float(p["hi"]), float(p["next"]))
     return out
 
@@ -160,7 +200,7 @@ def _grow_ranged(tables: DataFrame, counts: dict[str, int], max_leaves: int | No
 
     def put(f: str, depth: int, points: pd.DataFrame) -> None:
         gain, at = best_split(points["n"].to_numpy(), np.stack(points["s"].to_numpy()))
-        if at >= 0 and gain > 1e-12 * max(1.0, float((np.stack(points["s"].to_numpy()) ** 2).sum())):
+        if at >= 0 and gain > 1e-12 * float((np.stack(points["s"].to_numpy()) ** 2 / points["n"].to_numpy()[:, None]).sum()):
             heapq.heappush(heaps[f], (-gain, points["lo"].iloc[0], next(number), points["hi"].iloc[at], points["lo"].iloc[at + 1], depth, points, None))
 
     more = lambda depth: max_depth is None or depth < max_depth

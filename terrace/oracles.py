@@ -5,7 +5,7 @@ from __future__ import annotations
 _ORDERS = "o AS (SELECT o_totalprice / 1e5 + 0.01 AS y, (o_custkey % 7) / 2.0 + 0.5 AS a, (o_orderkey % 5) / 4.0 + 0.75 AS b, CAST(o_orderkey % 9 AS DOUBLE) AS k FROM orders)"
 _LOGIT = "l AS (SELECT labels.doc_id, quality, 1 / (1 + exp(-(0.5 + n_chars / 10000.0))) AS p FROM labels JOIN documents USING (doc_id))"
 _C = "c AS (SELECT l_quantity AS q, l_discount AS t, l_quantity / 10 AS fq, l_discount * l_discount * 100 AS ft, l_quantity * l_discount AS fqt FROM lineitem)"
-_Z = "z AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE) * 6) AS z FROM embeddings)"
+_Z = "z AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 6) AS z FROM embeddings)"
 _ERF = "CASE WHEN {z} = 0 THEN 0 ELSE sign({z}) * least(1, exp(-({z}) * ({z})) * list_sum(list_transform(generate_series(0, 160), lambda n: exp((2 * n + 1) * ln(abs({z})) - lgamma(n + 1.5))))) END"
 _NORMAL = "0.5 * ln(2 * pi()) + ln(b) + 0.5 * ((y - a) / b) * ((y - a) / b)"
 
@@ -32,7 +32,22 @@ g AS (SELECT x, nx, sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) AS gain FRO
 SELECT '{x}' AS feature, CAST(x + (nx - x) / 2 AS DOUBLE) AS threshold FROM g ORDER BY gain DESC, x LIMIT 1"""
 
 
+def _tree(source: str, features: list[str], y: str, depth: int) -> str:
+    """All thresholds of a regression tree of each feature: at every level the best cut of every node."""
+    parts = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, sum(CAST({y} AS DOUBLE)) AS s FROM {source} GROUP BY 2" for f in features)
+    sql, cuts = f"WITH t0 AS (SELECT *, 0 AS node FROM ({parts}))", []
+    for k in range(depth):
+        sql += f""",
+c{k} AS (SELECT feature, node, x, lead(x) OVER w AS nx, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER p AS na, sum(s) OVER p AS sa FROM t{k} WINDOW w AS (PARTITION BY feature, node ORDER BY x), p AS (PARTITION BY feature, node)),
+g{k} AS (SELECT feature, node, x, nx, sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) - sa * sa / na AS gain, sa FROM c{k} WHERE nx IS NOT NULL),
+b{k} AS (SELECT feature, node, x + (nx - x) / 2 AS cut FROM (SELECT *, row_number() OVER (PARTITION BY feature, node ORDER BY gain DESC, x) AS r FROM g{k}) WHERE r = 1 AND gain > 1e-9 * abs(sa)),
+t{k + 1} AS (SELECT t.feature, t.x, t.n, t.s, 2 * t.node + CAST(t.x > b.cut AS INTEGER) AS node FROM t{k} t JOIN b{k} b ON t.feature = b.feature AND t.node = b.node)"""
+        cuts.append(f"SELECT feature, cut FROM b{k}")
+    return f"{sql} SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY cut) - 1 AS i, round(cut, 6) AS threshold FROM ({' UNION ALL '.join(cuts)})"
+
+
 ORACLES: dict[str, str] = {
+    "tree_bins_depth3": _tree("lineitem", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 3),
     "infer_feature_types": """
 WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(DISTINCT l_orderkey) AS o, count(DISTINCT l_partkey) AS p, count(DISTINCT l_suppkey) AS s, count(DISTINCT l_linenumber) AS l FROM lineitem)
 SELECT 'l_orderkey' AS feature, CASE WHEN o / n < 0.03 THEN 'categorical' ELSE 'numerical' END AS kind FROM n
@@ -122,7 +137,7 @@ WITH {_ORDERS} SELECT round(2 * sum(CASE WHEN k = 0 THEN 0 ELSE k * ln(k / a) EN
     "err_dirichlet": f"WITH {_ORDERS} SELECT {_r('avg((b - a) * (b - a) + (y - b) * (y - b) + (a - y) * (a - y))')} AS error FROM o",
     "crps_gaussian": f"WITH {_ORDERS}, z AS (SELECT b, (y - a) / b AS z FROM o), e AS (SELECT b, z, {_ERF.format(z='z / sqrt(2)')} AS erf FROM z) SELECT {_r('avg(b * (z * erf + 2 * exp(-0.5 * z * z) / sqrt(2 * pi()) - 1 / sqrt(pi())))')} AS crps FROM e",
     "sparsemax": f"""
-WITH {_Z}, s AS (SELECT vec_id, z, list_reverse_sort(z) AS s FROM z), k AS (SELECT *, list_filter(generate_series(1, 8), lambda k: 1 + k * s[k] > list_sum(s[1:k])) AS ks FROM s),
+WITH {_Z}, s AS (SELECT vec_id, z, list_reverse_sort(z) AS s FROM z), k AS (SELECT *, list_filter(generate_series(1, len(s)), lambda k: 1 + k * s[k] > list_sum(s[1:k])) AS ks FROM s),
 t AS (SELECT vec_id, z, (list_sum(s[1:ks[-1]]) - 1) / ks[-1] AS tau FROM k) {_long('t', 'vec_id', 'list_transform(z, lambda x: greatest(x - tau, 0))')}""",
     "entmax15_unity": "SELECT CAST(1.0 AS DOUBLE) AS total, count(*) AS n FROM embeddings",
     "softmax_argmax": f"WITH {_Z}, s AS (SELECT vec_id, z, list_sum(list_transform(z, lambda x: exp(x))) AS s FROM z) SELECT vec_id, {_r('exp(list_max(z)) / s')} AS p, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS at, {_r('ln(s)')} AS norm FROM s",
@@ -131,11 +146,11 @@ WITH x AS (SELECT s_suppkey, s_acctbal / 3000 AS x FROM supplier), t AS (SELECT
 y AS (SELECT s_suppkey, x, 0.25 * pow(greatest(CASE WHEN t <= a THEN 2.0 ELSE t END - a, 0), 2) AS y FROM t)
 SELECT s_suppkey, {_r('CASE WHEN x >= 0 THEN 1 - y ELSE y END')} AS entmoid, {_r('greatest(least(0.5 * x + 0.5, 1), 0)')} AS sparsemoid FROM y""",
     "norms": f"""
-WITH {_Z}, m AS (SELECT vec_id, z, list_avg(z) AS m, list_avg(z[1:4]) AS m1, list_avg(z[5:8]) AS m2, sqrt(list_avg(list_transform(z, lambda x: x * x)) + 1e-5) AS rms FROM z),
-d AS (SELECT *, sqrt(list_avg(list_transform(z, lambda x: (x - m) * (x - m))) + 1e-5) AS s, sqrt(list_avg(list_transform(z[1:4], lambda x: (x - m1) * (x - m1))) + 1e-5) AS s1, sqrt(list_avg(list_transform(z[5:8], lambda x: (x - m2) * (x - m2))) + 1e-5) AS s2 FROM m),
+WITH {_Z}, w AS (SELECT vec_id, z, len(z) // 2 AS h FROM z), m AS (SELECT vec_id, z, h, list_avg(z) AS m, list_avg(z[1:h]) AS m1, list_avg(z[h + 1:]) AS m2, sqrt(list_avg(list_transform(z, lambda x: x * x)) + 1e-5) AS rms FROM w),
+d AS (SELECT *, sqrt(list_avg(list_transform(z, lambda x: (x - m) * (x - m))) + 1e-5) AS s, sqrt(list_avg(list_transform(z[1:h], lambda x: (x - m1) * (x - m1))) + 1e-5) AS s1, sqrt(list_avg(list_transform(z[h + 1:], lambda x: (x - m2) * (x - m2))) + 1e-5) AS s2 FROM m),
 v AS (SELECT vec_id, 'rms' AS norm, list_transform(z, lambda x: x / rms) AS v FROM d UNION ALL SELECT vec_id, 'layer', list_transform(z, lambda x: (x - m) / s) FROM d
-  UNION ALL SELECT vec_id, 'group', list_concat(list_transform(z[1:4], lambda x: (x - m1) / s1), list_transform(z[5:8], lambda x: (x - m2) / s2)) FROM d
-  UNION ALL SELECT vec_id, 'glu', list_transform(generate_series(1, 4), lambda i: z[i] / (1 + exp(-z[i + 4]))) FROM d UNION ALL SELECT vec_id, 'reglu', list_transform(generate_series(1, 4), lambda i: z[i] * greatest(z[i + 4], 0)) FROM d)
+  UNION ALL SELECT vec_id, 'group', list_concat(list_transform(z[1:h], lambda x: (x - m1) / s1), list_transform(z[h + 1:], lambda x: (x - m2) / s2)) FROM d
+  UNION ALL SELECT vec_id, 'glu', list_transform(generate_series(1, h), lambda i: z[i] / (1 + exp(-z[i + h]))) FROM d UNION ALL SELECT vec_id, 'reglu', list_transform(generate_series(1, h), lambda i: z[i] * greatest(z[i + h], 0)) FROM d)
 {_long('v', 'vec_id, norm', 'v')}""",
     "effect_main": f"WITH {_C} SELECT 'l_quantity' AS term, {_r('q')} AS x, count(*) AS n, {_r('min(fq)')} AS y FROM c GROUP BY q UNION ALL SELECT 'l_discount', {_r('t')}, count(*), {_r('min(ft)')} FROM c GROUP BY t",
     "effect_pair": f"""

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from terrace.functions import exprs
 from terrace.operators import encoders, schema, tree
 
+#: Categories of a column that stand in a plan; more are joined.
+LITERALS = 20_000
 NUMERICAL = ("ple", "binning", "one_hot", "standardization", "normalization", "quantile", "quantile_normal", "polynomial", "splines", "none")
 CATEGORICAL = ("int", "one_hot", "one-hot")
 STRATEGIES = ("uniform", "quantile", "kmeans")
@@ -65,7 +67,9 @@ class Preprocessor:
     treat_all_integers_as_numerical: bool = False
     degree: int = 3
     knots: int = 12
+    literals: int = LITERALS
     features: list[Feature] = dataclasses.field(default_factory=list)
+    vocabularies: dict[str, DataFrame] = dataclasses.field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self.numerical_preprocessing, self.categorical_preprocessing = self.numerical_preprocessing.lower(), self.categorical_preprocessing.lower()
@@ -78,7 +82,7 @@ class Preprocessor:
 
     @classmethod
     def parameters(cls) -> list[str]:
-        return [f.name for f in dataclasses.fields(cls) if f.name != "features"]
+        return [f.name for f in dataclasses.fields(cls) if f.name not in ("features", "vocabularies")]
 
     def get_params(self, deep: bool = True) -> dict[str, Any]:
         return {p: getattr(self, p) for p in self.parameters()}
@@ -120,10 +124,8 @@ class Preprocessor:
             cuts = tree.fit_thresholds(tree.target_tables(df, scaled, F.col(target), classes), **({"max_leaves": self.n_bins} if kind == "ple" else {"max_depth": 3}))
         if kind.startswith("quantile") or kind in ("binning", "one_hot") and self.binning_strategy == "quantile" and not treelike:
             points = min(self.n_bins, row["n"]) if kind.startswith("quantile") else self.n_bins + 1
-            grid = F.array(*map(F.lit, np.linspace(0, 1, max(points, 2)).tolist()))
-            got = df.agg(*(F.percentile(full[c], grid).alias(f"q{i}") for i, c in enumerate(num))).first()
-            for i, c in enumerate(num):
-                base[c]["quantiles"] = list(got[f"q{i}"])
+            for c, q in tree.quantiles(df, full, np.linspace(0, 1, max(points, 2)).tolist()).items():
+                base[c]["quantiles"] = q
         if kind in ("binning", "one_hot") and self.binning_strategy == "kmeans" and not treelike:
             tables = tree.target_tables(df, full, F.lit(0.0), max_points=tree.MAX_POINTS).select("feature", F.col("mean").alias("x"), "n").toPandas()  # at most tree.MAX_POINTS a feature
             for c, t in tables.groupby("feature"):
@@ -154,11 +156,24 @@ class Preprocessor:
             return []
         one_hot = self.categorical_preprocessing != "int"
         values: dict[str, list[tuple[str, int]]] = {c: [] for c in cat}
-        for r in schema.category_counts(df, cat).collect():  # a row a category; see encoders.ordinal_join for more of them
-            values[r["feature"]].append((r["value"], r["n"]))
+        counted = schema.category_counts(df, cat).persist()
+        try:
+            size = {r["feature"]: r["count"] for r in counted.groupBy("feature").count().collect()}  # a row a column
+            large = [c for c in cat if size.get(c, 0) > self.literals]
+            if large and one_hot:
+                raise ValueError(f"one-hot blocks of over {self.literals} categories: {large}")
+            for r in counted.where(~F.col("feature").isin(large)).collect():  # at most literals a column
+                values[r["feature"]].append((r["value"], r["n"]))
+            modes = {r["feature"]: r["m"]["value"] for r in counted.where(F.col("feature").isin(large)).groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("m")).collect()} if large else {}
+        finally:
+            counted.unpersist()
         n = df.count() if one_hot else 0
         out = []
         for c in cat:
+            if c in modes:  # the vocabulary stays a table, which transform joins
+                self.vocabularies[c] = encoders.category_table(df, c)
+                out.append(Feature(c, "cat", "int", 1, {"fill": modes[c], "categories": None, "size": size[c]}))
+                continue
             if not values[c] and not one_hot:
                 raise ValueError(f"columns without a value: {[c]}")
             fill = "missing" if one_hot else min(values[c], key=lambda v: (-v[1], v[0]))[0]
@@ -169,6 +184,8 @@ class Preprocessor:
     def column(self, f: Feature, kind: T.DataType) -> Column:
         """The encoded block of a feature, an array or (ordinal) an integer."""
         s = f.state
+        if f.kind == "cat" and s["categories"] is None:
+            raise ValueError(f"{f.name} has {s['size']} categories: only transform encodes it, by a join")
         if f.kind == "cat":
             code = encoders.ordinal(F.coalesce(F.col(f.name).cast("string"), F.lit(s["fill"])), s["categories"])
             return encoders.one_hot_ordinal(code, len(s["categories"])) if f.encoding == "one_hot" else code
@@ -240,14 +257,18 @@ class Preprocessor:
         """``keep`` and one column a feature, numerical ones first: ``num_<name>`` arrays and ``cat_<name>`` integers or arrays. No job runs."""
         if not self.features:
             raise RuntimeError("fit comes before transform")
-        return df.select(*keep, *(self.column(f, df.schema[f.name].dataType).alias(f.block) for f in self.features))
+        kinds = {f.name: df.schema[f.name].dataType for f in self.features}
+        for c, vocabulary in self.vocabularies.items():
+            fill = next(f.state["fill"] for f in self.features if f.name == c)
+            df = encoders.ordinal_join(df.withColumn(f"_text_{c}", F.coalesce(F.col(c).cast("string"), F.lit(fill))), f"_text_{c}", vocabulary, f"_code_{c}")
+        return df.select(*keep, *((F.col(f"_code_{f.name}").cast("int") if f.name in self.vocabularies else self.column(f, kinds[f.name])).alias(f.block) for f in self.features))
 
     def fit_transform(self, df: DataFrame, target: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
         return self.fit(df, target, keep).transform(df, (*keep, *([target] if target else [])))
 
     def feature_info(self, spark: SparkSession) -> DataFrame:
         """(feature, kind, encoding, dimension, unique_vals) of the fitted features."""
-        rows = [(f.name, f.kind, f.encoding, f.width, len(f.state["categories"]) + 1 if f.kind == "cat" else None) for f in self.features]
+        rows = [(f.name, f.kind, f.encoding, f.width, (f.state["size"] if f.state["categories"] is None else len(f.state["categories"])) + 1 if f.kind == "cat" else None) for f in self.features]
         return spark.createDataFrame(rows, "feature string, kind string, encoding string, dimension int, unique_vals int")
 
     def input_width(self) -> int:
@@ -255,6 +276,8 @@ class Preprocessor:
         return sum(f.width for f in self.features)
 
     def to_json(self) -> str:
+        if self.vocabularies:
+            raise ValueError(f"vocabularies of {sorted(self.vocabularies)} are tables: write those of ``vocabularies`` too")
         return json.dumps({**self.get_params(), "features": [dataclasses.asdict(f) for f in self.features]})
 
     @classmethod

@@ -123,7 +123,7 @@ def bins_uniform(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bins_quantile(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "orders")
-    edges = encoders.distinct_edges(list(df.agg(F.percentile("o_totalprice", F.array(*(F.lit(k / 10) for k in range(11))))).first()[0]))
+    edges = encoders.distinct_edges(tree.quantiles(df, {"x": F.col("o_totalprice")}, [k / 10 for k in range(11)])["x"])
     return df.groupBy(encoders.k_bin(F.col("o_totalprice"), edges).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -149,14 +149,14 @@ def bins_onehot(spark: SparkSession, d: str) -> DataFrame:
 @query
 def quantile_uniform(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "customer")
-    q = list(df.agg(F.percentile("c_acctbal", F.array(*(F.lit(k / 20) for k in range(21))))).first()[0])
+    q = tree.quantiles(df, {"x": F.col("c_acctbal")}, [k / 20 for k in range(21)])["x"]
     return df.select("c_custkey", r6(encoders.quantile_map(F.col("c_acctbal"), q)).alias("u"))
 
 
 @query
 def quantile_normal(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "customer")
-    q = list(df.agg(F.percentile("c_acctbal", F.array(*(F.lit(k / 20) for k in range(21))))).first()[0])
+    q = tree.quantiles(df, {"x": F.col("c_acctbal")}, [k / 20 for k in range(21)])["x"]
     return df.select("c_custkey", r6(encoders.quantile_map(F.col("c_acctbal"), q, normal=True)).alias("z"))
 
 
@@ -441,14 +441,9 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 6).alias("z"))
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first 8 components, which the SQL of these queries fixes."""
-    return table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 6).alias("z"))
-
-
 @query
 def sparsemax(spark: SparkSession, d: str) -> DataFrame:
-    return _long(_vectors(spark, d), ["vec_id"], exprs.sparsemax(F.col("z")))
+    return _long(_embeddings(spark, d), ["vec_id"], exprs.sparsemax(F.col("z")))
 
 
 @query
@@ -460,7 +455,7 @@ def entmax15_unity(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).select("vec_id", r6(F.array_max(exprs.softmax(F.col("z")))).alias("p"), exprs.argmax(F.col("z")).alias("at"), r6(exprs.logsumexp(F.col("z"))).alias("norm"))
+    return _embeddings(spark, d).select("vec_id", r6(F.array_max(exprs.softmax(F.col("z")))).alias("p"), exprs.argmax(F.col("z")).alias("at"), r6(exprs.logsumexp(F.col("z"))).alias("norm"))
 
 
 @query
@@ -472,8 +467,8 @@ def entmoid(spark: SparkSession, d: str) -> DataFrame:
 @query
 def norms(spark: SparkSession, d: str) -> DataFrame:
     z = F.col("z")
-    rows = F.array(F.struct(F.lit("rms").alias("norm"), exprs.rms_norm(z).alias("v")), F.struct(F.lit("layer").alias("norm"), exprs.layer_norm(z).alias("v")), F.struct(F.lit("group").alias("norm"), exprs.group_norm(z, 2, 8).alias("v")), F.struct(F.lit("glu").alias("norm"), exprs.glu(z).alias("v")), F.struct(F.lit("reglu").alias("norm"), exprs.reglu(z).alias("v")))
-    return _long(_vectors(spark, d).select("vec_id", F.explode(rows).alias("x")).select("vec_id", "x.norm", "x.v"), ["vec_id", "norm"], F.col("v"))
+    rows = F.array(F.struct(F.lit("rms").alias("norm"), exprs.rms_norm(z).alias("v")), F.struct(F.lit("layer").alias("norm"), exprs.layer_norm(z).alias("v")), F.struct(F.lit("group").alias("norm"), exprs.group_norm(z, 2, 64).alias("v")), F.struct(F.lit("glu").alias("norm"), exprs.glu(z).alias("v")), F.struct(F.lit("reglu").alias("norm"), exprs.reglu(z).alias("v")))
+    return _long(_embeddings(spark, d).select("vec_id", F.explode(rows).alias("x")).select("vec_id", "x.norm", "x.v"), ["vec_id", "norm"], F.col("v"))
 
 
 # ---- effects

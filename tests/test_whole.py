@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.operators import thinplate, tree
+from terrace.plans.preprocess import Preprocessor
 from terrace.queries import QUERIES
 
 
@@ -49,3 +50,38 @@ def test_entmax15_unity_reads_whole_vectors(spark, tiny):
     df = QUERIES["entmax15_unity"](spark, tiny)
     assert "slice(" not in df._jdf.queryExecution().analyzed().toString()
     assert [r["total"] for r in df.collect()] == [1.0]
+
+
+def test_quantiles_are_exact_over_ranges(spark):
+    """Skewed columns with ties, in one range or many: numpy's percentiles."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": np.round(rng.lognormal(0, 2, 4000), 3), "z": rng.integers(0, 5, 4000).astype(float)})
+    pdf.loc[0, "x"] = 1e12
+    df = spark.createDataFrame(pdf)
+    grid = np.linspace(0, 1, 21).tolist()
+    for most in (tree.MAX_POINTS, 100):
+        found = tree.quantiles(df, {c: F.col(c) for c in "xz"}, grid, most)
+        assert all(np.allclose(found[c], np.quantile(pdf[c], grid), rtol=1e-12) for c in "xz")
+    assert tree.quantiles(df.limit(0), {"x": F.col("x")}, grid) == {}
+
+
+def test_large_vocabularies_are_joined(spark):
+    """The same codes and fill on both sides of the size from which vocabularies stay tables."""
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 7 == 0, None).otherwise(F.format_string("v%04d", F.col("id") % 900)).alias("c"))
+    codes = []
+    for most in (20_000, 100):
+        pre = Preprocessor(literals=most).fit(df, exclude=("id",))
+        assert bool(pre.vocabularies) == (most == 100)
+        codes.append(pre.transform(df.unionByName(spark.sql("SELECT 9000L AS id, 'unknown' AS c")), ("id",)).orderBy("id").toPandas()["cat_c"].tolist())
+    assert codes[0] == codes[1] and codes[0][-1] == 0
+    with pytest.raises(ValueError):
+        Preprocessor(literals=100, categorical_preprocessing="one_hot").fit(df, exclude=("id",))
+
+
+def test_splits_stay_when_rows_multiply():
+    """A hundred million times the rows have the same thresholds."""
+    rng = np.random.default_rng(5)
+    x, n = np.arange(11.0), rng.integers(900, 1100, 11).astype(float)
+    s = (n * (40_000 + 3 * np.sin(x)))[:, None]
+    assert len(tree.thresholds(x, x, n, s, max_depth=3)) > 4 and tree.thresholds(x, x, n * 1e8, s * 1e8, max_depth=3) == tree.thresholds(x, x, n, s, max_depth=3)
+    assert tree.thresholds(x, x, n, (n * 7.1)[:, None], max_depth=3) == []
