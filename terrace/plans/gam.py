@@ -7,6 +7,7 @@ no search step touches the rows.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 from statistics import NormalDist
@@ -168,6 +169,20 @@ class Gam:
         raw = self.q[j * self.k : (j + 1) * self.k, j * (self.k - 1) : (j + 1) * (self.k - 1)] @ self.beta[self._at(j)]
         return self.splines[j].effect(x, raw)
 
+    def to_json(self) -> str:
+        """The statistics of the fit, from which everything else follows."""
+        arrays = {k: getattr(self, k).tolist() for k in ("g", "r", "q", "lambdas")}
+        return json.dumps({"columns": self.columns, "k": self.k, "intercept": self.intercept, "knots": [s.knots.tolist() for s in self.splines], "n": self.n, "y": self.y, "yy": self.yy, "penalties": [p.tolist() for p in self.penalties], **arrays})
+
+    @classmethod
+    def from_json(cls, text: str) -> Gam:
+        got = json.loads(text)
+        m = cls(got["columns"], got["k"], got["intercept"], [CubicSpline(np.array(k)) for k in got["knots"]], np.array(got["lambdas"]))
+        m.n, m.y, m.yy, m.penalties = got["n"], got["y"], got["yy"], [np.array(p) for p in got["penalties"]]
+        m.g, m.r, m.q = (np.array(got[k]) for k in ("g", "r", "q"))
+        m._solve(m.lambdas, keep=True)
+        return m
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``f_<column>`` and ``output``, their sum with the intercept."""
         out = df.withColumns({f"f_{c}": self.effect(j, F.col(c)) for j, c in enumerate(self.columns)})

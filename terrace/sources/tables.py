@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.plans.additive import AdditiveModel
+from terrace.plans.boosted import OneVsRest, TabulatedGam
+from terrace.plans.gam import Gam
 from terrace.plans.neural import NeuralModel
 from terrace.plans.preprocess import Preprocessor, as_frame
 
 __all__ = ["as_frame", "load_state", "map_chunks", "read", "save_state", "table", "training_batches"]
 
-_MODELS = {"AdditiveModel": AdditiveModel, "NeuralModel": NeuralModel}
+Model = AdditiveModel | NeuralModel | TabulatedGam | OneVsRest | Gam
+_MODELS = {m.__name__: m for m in (AdditiveModel, NeuralModel, TabulatedGam, OneVsRest, Gam)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +58,14 @@ def training_batches(df: DataFrame, batch_size: int, epoch: int = 0, shuffle: bo
         yield pd.DataFrame(rows, columns=df.columns)
 
 
-def save_state(spark: SparkSession, path: str, pre: Preprocessor, model: AdditiveModel | NeuralModel) -> None:
-    """Preprocessor and model as a table of JSON, in any store that Spark writes."""
-    rows = [("preprocessor", "Preprocessor", pre.to_json()), ("model", type(model).__name__, model.to_json())]
+def save_state(spark: SparkSession, path: str, pre: Preprocessor | None, model: Model) -> None:
+    """Preprocessor (None for models that bin for themselves) and model as a table of JSON, in any store that Spark writes."""
+    rows = [*([("preprocessor", "Preprocessor", pre.to_json())] if pre else []), ("model", type(model).__name__, model.to_json())]
     spark.createDataFrame(rows, "part string, kind string, state string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_state(spark: SparkSession, path: str) -> tuple[Preprocessor, AdditiveModel | NeuralModel]:
+def load_state(spark: SparkSession, path: str) -> tuple[Preprocessor | None, Model]:
     """What ``save_state`` wrote."""
-    rows = {r["part"]: r for r in spark.read.parquet(path).collect()}
-    return Preprocessor.from_json(rows["preprocessor"]["state"]), _MODELS[rows["model"]["kind"]].from_json(rows["model"]["state"])
+    rows = {r["part"]: r for r in spark.read.parquet(path).collect()}  # two rows
+    pre = Preprocessor.from_json(rows["preprocessor"]["state"]) if "preprocessor" in rows else None
+    return pre, _MODELS[rows["model"]["kind"]].from_json(rows["model"]["state"])

@@ -8,8 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.operators import thinplate, tree
+from terrace.plans import boosted as boosted_plans
+from terrace.plans.boosted import TabulatedGam
+from terrace.plans.estimator import Classifier
+from terrace.plans.gam import Gam
 from terrace.plans.preprocess import Preprocessor
 from terrace.queries import QUERIES
+from terrace.sources.tables import load_state, save_state
 
 
 @pytest.mark.parametrize("kwargs", [{"max_leaves": 9}, {"max_depth": 3}])
@@ -85,3 +90,36 @@ def test_splits_stay_when_rows_multiply():
     s = (n * (40_000 + 3 * np.sin(x)))[:, None]
     assert len(tree.thresholds(x, x, n, s, max_depth=3)) > 4 and tree.thresholds(x, x, n * 1e8, s * 1e8, max_depth=3) == tree.thresholds(x, x, n, s, max_depth=3)
     assert tree.thresholds(x, x, n, (n * 7.1)[:, None], max_depth=3) == []
+
+
+def test_models_of_every_kind_are_saved(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.normal(size=300), "b": rng.normal(size=300), "c": rng.choice(["u", "v"], 300)})
+    pdf["y"], pdf["k"] = pdf.a**2 + pdf.b, np.digitize(pdf.a, [-0.5, 0.5])
+    df = spark.createDataFrame(pdf)
+    gam = Gam(["a", "b"], k=6).fit(df, "y")
+    boosted = TabulatedGam(n_bins=16, n_estimators=20, pairs=1).fit(df, "y", ["a", "b"], ["c"])
+    rest = Classifier("nodegam", n_estimators=10).fit(df.select("a", "b", "k"), "k").model
+    total = lambda m: m.transform(df).agg(F.sum("output")).first()[0]
+    for m in (gam, boosted, rest):
+        save_state(spark, f"{tmp_path}/{type(m).__name__}", None, m)
+        pre, again = load_state(spark, f"{tmp_path}/{type(m).__name__}")
+        assert pre is None and type(again) is type(m) and np.isclose(total(again), total(m))
+    again = load_state(spark, f"{tmp_path}/Gam")[1]
+    assert np.allclose(again.covariance, gam.covariance) and again.gcv() == gam.gcv()
+    assert np.isclose(load_state(spark, f"{tmp_path}/TabulatedGam")[1].purified().intercept, boosted.purified().intercept)
+
+
+def test_groups_of_features_and_pairs_take_jobs_of_their_own(spark, monkeypatch):
+    """With room for few tables a job, boosting still fits, and the same pair is found."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({c: rng.integers(0, 6, 1500).astype(float) for c in "abcd"})
+    pdf["y"] = pdf.a - pdf.d + 2.0 * (pdf.b > 2) * (pdf.c > 2)
+    df = spark.createDataFrame(pdf)
+    whole = TabulatedGam(n_bins=8, n_estimators=60, pairs=1).fit(df, "y", list("abcd"))
+    monkeypatch.setattr(boosted_plans, "TABLE_NUMBERS", 150)
+    parts = TabulatedGam(n_bins=8, n_estimators=60, pairs=1)
+    parts.fit(df, "y", list("abcd"))
+    assert len(parts._groups()) > 1 and list(parts.tables) == list(whole.tables) == [("b", "c")] and parts.gains.keys() == whole.gains.keys()
+    mse = lambda m: m.transform(df).agg(F.avg(F.pow(F.col("y") - F.col("output"), 2))).first()[0]
+    assert mse(parts) < 0.2 * pdf["y"].var()
