@@ -41,7 +41,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
     _tables.append(path)
