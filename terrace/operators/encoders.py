@@ -84,9 +84,12 @@ def quantile_map(x: Column, quantiles: list[float], normal: bool = False) -> Col
     return special.normal_quantile(F.least(F.greatest(u, F.lit(1e-7)), F.lit(1 - 1e-7)))
 
 
-def quantile_noise(x: Column, noise: float, deviation: float, seed: int = 101) -> Column:
-    """x with normal noise of standard deviation noise / max(deviation, noise): what the normal quantile map is fitted to."""
-    return x + F.randn(seed) * (noise / max(deviation, noise)) if noise else x
+def quantile_noise(x: Column, noise: float, deviation: float, *keys: Column, seed: int = 101) -> Column:
+    """x with normal noise of standard deviation noise / max(deviation, noise): what the normal quantile map is fitted to. The noise follows from a hash of the keys, so it is the same in any partitioning."""
+    if not noise:
+        return x
+    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), *keys), 11).cast("double") + 0.5) / float(1 << 53)
+    return x + F.sqrt(-2 * F.ln(unit(0))) * F.cos(2 * np.pi * unit(1)) * (noise / max(deviation, noise))
 
 
 def polynomial(x: Column, degree: int) -> Column:

@@ -21,7 +21,9 @@ from terrace.operators import encoders, schema, tree
 
 #: Categories of a column that stand in a plan; more are joined.
 LITERALS = 20_000
-NUMERICAL = ("ple", "binning", "one_hot", "standardization", "normalization", "quantile", "quantile_normal", "polynomial", "splines", "none")
+#: Noise of "quantile_noise", over the deviation, and its percentiles at most.
+NOISE, NOISE_POINTS = 1e-3, 2000
+NUMERICAL = ("ple", "binning", "one_hot", "standardization", "normalization", "quantile", "quantile_normal", "quantile_noise", "polynomial", "splines", "none")
 CATEGORICAL = ("int", "one_hot", "one-hot")
 STRATEGIES = ("uniform", "quantile", "kmeans")
 
@@ -123,8 +125,9 @@ class Preprocessor:
             scaled = {c: encoders.minmax(full[c], base[c]["min"], base[c]["max"]) if kind == "ple" else full[c] for c in num}
             cuts = tree.fit_thresholds(tree.target_tables(df, scaled, F.col(target), classes), **({"max_leaves": self.n_bins} if kind == "ple" else {"max_depth": 3}))
         if kind.startswith("quantile") or kind in ("binning", "one_hot") and self.binning_strategy == "quantile" and not treelike:
-            points = min(self.n_bins, row["n"]) if kind.startswith("quantile") else self.n_bins + 1
-            for c, q in tree.quantiles(df, full, np.linspace(0, 1, max(points, 2)).tolist()).items():
+            points = min(NOISE_POINTS if kind == "quantile_noise" else self.n_bins, row["n"]) if kind.startswith("quantile") else self.n_bins + 1
+            smooth = {c: encoders.quantile_noise(full[c], NOISE, base[c]["deviation"], F.lit(c), *map(F.col, df.columns)) for c in num} if kind == "quantile_noise" else full
+            for c, q in tree.quantiles(df, smooth, np.linspace(0, 1, max(points, 2)).tolist()).items():
                 base[c]["quantiles"] = q
         if kind in ("binning", "one_hot") and self.binning_strategy == "kmeans" and not treelike:
             tables = tree.target_tables(df, full, F.lit(0.0), max_points=tree.MAX_POINTS).select("feature", F.col("mean").alias("x"), "n").toPandas()  # at most tree.MAX_POINTS a feature
@@ -200,8 +203,8 @@ class Preprocessor:
             return F.array(encoders.standardize(x, s["mean"], s["deviation"]))
         if f.encoding == "normalization":
             return F.array(encoders.minmax(x, s["min"], s["max"]))
-        if f.encoding in ("quantile", "quantile_normal"):
-            return F.array(encoders.quantile_map(x, s["quantiles"], f.encoding == "quantile_normal"))
+        if f.encoding in ("quantile", "quantile_normal", "quantile_noise"):
+            return F.array(encoders.quantile_map(x, s["quantiles"], f.encoding != "quantile"))
         if f.encoding == "polynomial":
             return encoders.polynomial(x, s["degree"])
         if f.encoding == "splines":

@@ -123,3 +123,16 @@ def test_groups_of_features_and_pairs_take_jobs_of_their_own(spark, monkeypatch)
     assert len(parts._groups()) > 1 and list(parts.tables) == list(whole.tables) == [("b", "c")] and parts.gains.keys() == whole.gains.keys()
     mse = lambda m: m.transform(df).agg(F.avg(F.pow(F.col("y") - F.col("output"), 2))).first()[0]
     assert mse(parts) < 0.2 * pdf["y"].var()
+
+
+def test_noise_of_quantiles_is_repeatable(spark):
+    """Ties are spread by noise that no partitioning changes; the map is normal and increasing."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"i": range(400), "x": np.round(rng.normal(size=400), 1), "y": 0.0})
+    df = spark.createDataFrame(pdf)
+    states = [Preprocessor(numerical_preprocessing="quantile_noise", cat_cutoff=2).fit(df.repartition(n), "y", exclude=("i",)) for n in (1, 7)]
+    assert np.allclose(states[0].features[0].state["quantiles"], states[1].features[0].state["quantiles"], rtol=1e-12, atol=1e-14) and len(set(states[0].features[0].state["quantiles"])) > 350
+    out = states[0].transform(df, ("i", "x")).toPandas().sort_values("x")
+    z = np.array([v[0] for v in out["num_x"]])
+    assert (np.diff(z) >= -1e-9).all() and abs(z.mean()) < 0.2 and 0.7 < np.clip(z, -3, 3).std() < 1.3
+    assert Preprocessor.from_json(states[0].to_json()).features[0].state["quantiles"] == states[0].features[0].state["quantiles"]
