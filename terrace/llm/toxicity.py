@@ -19,6 +19,7 @@ Columns are kept; one named ``toxicity`` is replaced. An empty table gives an em
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,11 +102,18 @@ def raw(model: Model, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return model.bias + np.bincount(row, model.weight[at], n) + 0.5 * (s * s - q).sum(1)
 
 
+def _count(at: np.ndarray, n: int) -> np.ndarray:
+    """``np.bincount``, which copies what it counts, a part at a time."""
+    return sum((np.bincount(at[a : a + (1 << 20)], minlength=n) for a in range(0, len(at), 1 << 20)), np.zeros(n, np.int64))
+
+
 def telling_pairs(row: np.ndarray, at: np.ndarray, terms: int, residual: np.ndarray, spread: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
     """Whether each term is part of a pair whose texts are left unexplained; text ``row`` (ascending) holds term ``at``, and has a residual and its variance."""
     n = len(residual)
-    count = np.bincount(at, minlength=terms)
-    column = np.bincount(at, np.random.default_rng(0).random(n)[row], terms)  # equal for terms of the same texts
+    count, column, mark = _count(at, terms), np.zeros(terms), np.random.default_rng(0).random(n)
+    some = np.searchsorted(row, np.arange(0, n + 512, 512))  # 512 texts at a time: entries are many
+    for lo, hi in itertools.pairwise(some):
+        column += np.bincount(at[lo:hi], mark[row[lo:hi]], terms)  # equal for terms of the same texts
     alike, group = np.unique(column, return_inverse=True)
     size = np.zeros(len(alike), np.int64)
     size[group] = count
@@ -114,16 +122,19 @@ def telling_pairs(row: np.ndarray, at: np.ndarray, terms: int, residual: np.ndar
     place = np.full(len(alike), -1)
     place[used] = np.arange(len(used))
     left, var, both = (np.zeros((len(used), len(used)), np.float32) for _ in range(3))
-    col = place.astype(np.int32)[group][at]
-    row, col = row[col >= 0], col[col >= 0]
-    for a in range(0, n, 512):
-        lo, hi = np.searchsorted(row, [a, a + 512])
+    place = place[group]
+    for a, (lo, hi) in zip(range(0, n, 512), itertools.pairwise(some), strict=False):
+        col = place[at[lo:hi]]
         x = np.zeros((min(512, n - a), len(used)), np.float32)
-        x[row[lo:hi] - a, col[lo:hi]] = 1
+        x[row[lo:hi][col >= 0] - a, col[col >= 0]] = 1
         left += x.T @ (x * residual[a : a + 512, None].astype(np.float32))
         var += x.T @ (x * spread[a : a + 512, None].astype(np.float32))
         both += x.T @ x
-    tells = (np.abs(left) >= PAIR_DEVIATIONS * np.sqrt(var)) & (both >= PAIR_TEXTS) & (var > 0)
+    tells = (both >= PAIR_TEXTS) & (var > 0)
+    np.abs(left, out=left)
+    np.sqrt(var, out=var)
+    var *= PAIR_DEVIATIONS
+    tells &= left >= var
     np.fill_diagonal(tells, False)
     out = np.zeros(len(alike), bool)
     out[used] = tells.any(1)
@@ -168,10 +179,11 @@ def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: in
         return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     at = np.concatenate(texts)
     slots = np.unique(at)
-    at = np.searchsorted(slots, at).astype(np.int32)
+    for a in range(0, len(at), 1 << 20):
+        at[a : a + (1 << 20)] = np.searchsorted(slots, at[a : a + (1 << 20)])
     row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    count, share = np.bincount(at, minlength=len(slots)), y.mean()
-    bad = np.bincount(at[y[row] == 1], minlength=len(slots))
+    count, share = _count(at, len(slots)), y.mean()
+    bad = _count(at[(y == 1)[row]], len(slots))
 
     def machine(used: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
         rng = np.random.default_rng(seed)
