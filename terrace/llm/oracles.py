@@ -153,8 +153,8 @@ w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n, length(word) AS size, translate(
 near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM (SELECT *, unnest([size - 1, size, size + 1]) AS s FROM w) a JOIN w b ON b.size = a.s AND a.z <> b.z AND levenshtein(a.z, b.z) = 1),
 best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
 f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
-chain(word, at) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word JOIN f g ON g.word = chain.at WHERE g.form IS NULL
+chain(word, root) AS (SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word JOIN f g ON g.word = chain.root WHERE g.form IS NULL
 """
 
 OP13 = rf"""
@@ -162,8 +162,8 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(strin
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
 g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100),
 c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
-cuts AS (SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
-  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c) c JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, cut), ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, k), ' ') JOIN n ON n.lang = c.lang),
+cuts AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c) c JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, cut), ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, cut + 1, c.k), ' ') JOIN n ON n.lang = c.lang),
 weak AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inside AS (SELECT lang, array_to_string(list_slice(w, i, i + j - 1), ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(generate_series(1, k - j + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS j FROM c WHERE k > 2)) GROUP BY ALL),
 kept AS (SELECT weak.* FROM weak LEFT JOIN inside ON inside.lang = weak.lang AND inside.phrase = weak.phrase WHERE coalesce(100 * most < 100 * a, true))
