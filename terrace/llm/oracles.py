@@ -104,14 +104,15 @@ FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard JO
 def _op7() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     table = ", ".join(f"({quote(normalised(v))}, {quote(k)})" for k, v in SENTENCES.items())
-    rules = ", ".join(f"({i}, {quote(name)}, {quote(pattern)}, {quote(rest.replace('$', chr(92)))}, {quote(each)})" for i, (name, pattern, rest, each) in enumerate(ordered_rules(), 1))
+    rules = ", ".join(f"({i}, {quote(name)}, [{', '.join(map(quote, ids))}])" for i, (name, ids) in enumerate(ordered_rules(), 1))
 
     def sentences(breaks: str) -> str:
         marked = rf"regexp_replace(regexp_replace(coalesce(text, ''), '{breaks}', chr(1), 'g'), '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g')"
         return rf"list_filter(list_transform(string_split(regexp_replace(translate({marked}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\pL\pN\x01]+', ' ', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
 
     return rf"""
-WITH RECURSIVE known(t, id) AS (VALUES {table}), rules(no, name, pattern, rest, each) AS (VALUES {rules}),
+WITH RECURSIVE known(t, id) AS (VALUES {table}), ordered(no, name, ids) AS (VALUES {rules}),
+rules AS (SELECT no, name, '<' || array_to_string(ids, '>((?:<[^>]*>)*?)<') || '>' AS pattern, array_to_string(list_transform(generate_series(1, len(ids) - 1), lambda i: '\\' || i), '') AS rest, '<(?:' || array_to_string(ids, '|') || ')>' AS each FROM ordered),
 d AS (SELECT doc_id, {sentences(r'\n')} AS l, {sentences(r'\n[\x20\x09-\x0D]*\n')} AS r FROM documents),
 cut AS (SELECT doc_id, 'l' AS k, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM d UNION ALL SELECT doc_id, 'r', unnest(r), generate_subscripts(r, 1) FROM d),
 s AS (SELECT doc_id, k, pos, id FROM (SELECT doc_id, k, pos, regexp_replace(t, '{HOLDER}', '{USUAL}', 'g') AS t FROM cut) JOIN known USING (t)),
