@@ -9,8 +9,9 @@
    whose other text in the page is mostly unlinked, so headings and sibling sections stay.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and comments of readers never count. They are known by tag and role, and by
-class and id: a name is one of theirs if it has a word of theirs (``sidebar``, ``comments``) and otherwise only words of place and shape (``left-sidebar``, ``comment-list-2``); ``with-sidebar``,
-``no-comments``, ``search-results`` or ``comment-on-policy`` are not. Names are forgiven, those of layout first, where they would leave a page without its articles or without
+class and id: a name is one of theirs if it has a word of theirs (``sidebar``, ``comments``) and otherwise only words of place and shape (``left-sidebar``, ``comment-list-2``), or if a strong word of theirs ends it after
+unknown ones (``wp-block-comments``); words written as one are taken apart (``commentlist``). ``with-sidebar``, ``no-comments``, ``search-results`` or ``comment-on-policy`` are not. A form around the page's own text
+is no form in this sense (an article or main element, or most of the text and a block of prose, is in it); asides that are quotes in an article, and buttons in a sentence, stay. Names are forgiven, those of layout first, where they would leave a page without its articles or without
 any text. Of a header inside an article, its headings stay. Unclosed and misnested tags are closed as browsers close them.
 
 Votes are summed before the exchange, so a hot host moves a row a task and path. The table of winners is written first;
@@ -43,7 +44,7 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in _RAW}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = _RAW | set("head nav header footer aside form menu template svg canvas object audio video button select option label dialog".split())
+_DROP = _RAW | set("head nav header footer aside menu template svg canvas object audio video button select option label dialog".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar note".split())
 #: Words of layout, and of what is not the page's own text.
 _LAYOUT = set("sidebar side menu nav navbar navigation header footer masthead toolbar topbar overlay modal widget pager skip hidden".split())
@@ -55,6 +56,15 @@ _NEUTRAL = set(
     "article articles author area bar block blocks body bottom box btn button buttons col column container content count default desktop div entry form global group head heading icon id image inner item items "
     "js large left link links list lists main meta mobile module more my news outer page panel post posts primary right row secondary section single site slot small stories story text the thread title top unit "
     "view wrap wrapper zone".split())
+#: Words that say so even after words that are not known, such as a vendor's (``wp-block-comments``), unless one of those turns the name round.
+_STRONG = set(
+    "ads advert adverts advertisement advertising sponsor sponsored breadcrumb breadcrumbs comments disqus respond replies cookie cookies consent gdpr newsletter subscribe subscription sharing related "
+    "recommended recommendations popup pagination adsbygoogle adsense taboola outbrain".split())
+_TURNS = set("no non not with without has have hide show is on of in to and or for from about before after under over law policy".split())
+#: Words by which an aside says that it is part of the article.
+_QUOTES = set("pullquote pull quote quotation callout note tip example".split())
+#: Code points of unlinked text by which a block in a form is prose.
+PROSE = 140
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _BLOCKS = set(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul aside dialog caption".split())
@@ -70,13 +80,26 @@ DECAY = 0.95
 _GOOD = set("content article post entry story main text body".split())
 
 
+def _parts(name: str) -> list[str]:
+    """The words of a class or id; one that two known words make (``commentlist``) counts as both."""
+    known, out = _WORDS | _NEUTRAL | _STRONG, []
+    for p in _SPLIT.split(_HUMP.sub("-", name).lower()):
+        if p and not p.isdigit():
+            cut = 0 if p in known else next((i for i in range(2, len(p) - 1) if p[:i] in known and p[i:] in known and (p[:i] in _WORDS or p[i:] in _WORDS)), 0)
+            out += [p[:cut], p[cut:]] if cut else [p]
+    return out
+
+
 @functools.lru_cache(1 << 16)
 def _mark(name: str) -> int:
     """0 for a class or id that says nothing, 1 for one of layout, 2 for one of what is not the page's own text."""
-    parts = {p for p in _SPLIT.split(_HUMP.sub("-", name).lower()) if p and not p.isdigit()}
-    hit = parts & _WORDS
-    if not hit or parts - _WORDS - _NEUTRAL or hit == {"header"} and parts & _GOOD:
+    parts = _parts(name)
+    hit, other = {p for p in parts if p in _WORDS or p in _STRONG}, {p for p in parts if p not in _WORDS and p not in _STRONG and p not in _NEUTRAL}
+    if not hit or hit == {"header"} and not _GOOD.isdisjoint(parts):
         return 0
+    if other:  # what follows the last unknown word has to say it
+        tail = parts[max(i for i, p in enumerate(parts) if p in other) + 1 :]
+        return 2 if not _STRONG.isdisjoint(tail) and other.isdisjoint(_TURNS) else 0
     return 1 if hit <= _LAYOUT else 2
 
 
@@ -92,7 +115,9 @@ class Page:
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.names, self.path, self._bad, self._soft = [-1], [""], [""], [b""], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._text, self._link, self._open_tags = [0], [], 0, {}
+        self._stack, self._text, self._link = [0], [], 0
+        self._depths: dict[str, list[int]] = {}  # of the open elements by tag
+        self._open_blocks: list[int] = []  # depths of open blocks
         at, size = 0, len(source)
         while at < size:
             m = _TOKEN.search(source, at)
@@ -110,8 +135,30 @@ class Page:
                         end = _RAW_END[tag].search(source, at)
                         at = end.start() if end else size
         self._flush()
+        self._forms()
         self._settle()
 
+    def _forms(self) -> None:
+        """Drops the blocks of forms, but for a form around the page's own text: one with an article or main element, or with most of the unlinked text that there is and a block of prose."""
+        forms = [i for i, t in enumerate(self.tag) if t == "form"]
+        if not forms:
+            return
+        inside = [-1] * len(self.tag)  # the outermost form around an element
+        keeps = set()
+        for i, up in enumerate(self.parent):
+            inside[i] = inside[up] if up >= 0 and inside[up] >= 0 else i if self.tag[i] == "form" else -1
+            if self.tag[i] in ("article", "main") and not self._bad[i]:
+                keeps.add(inside[i])
+        total, own, prose = 0, dict.fromkeys(forms, 0), set()
+        for at, text, link in self.blocks:
+            total += len(text) - link
+            if inside[at] >= 0:
+                own[inside[at]] += len(text) - link
+                if len(text) - link >= PROSE:
+                    prose.add(inside[at])
+        keeps |= {f for f in prose if 2 * own[f] > total}
+        self.blocks = [b for b in self.blocks if inside[b[0]] < 0 or inside[b[0]] in keeps]
+
     def _settle(self) -> None:
         """Drops the blocks of elements that their names mark, unless that leaves no article of the page's own, or no text."""
 
@@ -143,28 +190,31 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                own = next((i for i in reversed(self._stack) if self.tag[i] in _BLOCKS), 0)
+                own = self._stack[self._open_blocks[-1]] if self._open_blocks else 0
                 self.blocks.append((own, text, min(self._link, len(text))))
             self._text, self._link = [], 0
 
     def _pop(self, depth: int) -> None:
-        if any(self.tag[i] in _BLOCKS for i in self._stack[depth:]):
+        if self._open_blocks and self._open_blocks[-1] >= depth:
             self._flush()
         for i in self._stack[depth:]:
-            self._open_tags[self.tag[i]] -= 1
+            self._depths[self.tag[i]].pop()
+        while self._open_blocks and self._open_blocks[-1] >= depth:
+            self._open_blocks.pop()
         del self._stack[depth:]
 
+    def _nearest(self, tags: set[str]) -> int:
+        """The depth of the innermost open element of ``tags``, 0 if there is none."""
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=0)
+
     def _close(self, tag: str) -> None:
         if tag == "br":
             self._text.append(" ")
         elif tag == "p" or tag in _BLOCKS:
             self._flush()
-        for d in range(len(self._stack) - 1, 0, -1) if self._open_tags.get(tag) else ():
-            if self.tag[self._stack[d]] == tag:
-                self._pop(d)
-                return
-            if tag not in _BLOCKS and self.tag[self._stack[d]] in _BLOCKS:
-                return
+        d = self._nearest({tag})
+        if d and (tag in _BLOCKS or not self._open_blocks or self._open_blocks[-1] < d):  # an inline tag does not end a block
+            self._pop(d)
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag in _VOID:
@@ -174,30 +224,25 @@ class Page:
                 self._text.append(" ")
             return
         if tag in _BLOCKS:
-            for d in range(len(self._stack) - 1, 0, -1):  # a block ends the paragraph that is open
-                t = self.tag[self._stack[d]]
-                if t == "p":
-                    self._pop(d)
-                    break
-                if t in _BLOCKS:
-                    break
+            if self._open_blocks and self.tag[self._stack[self._open_blocks[-1]]] == "p":  # a block ends the paragraph that is open
+                self._pop(self._open_blocks[-1])
             self._flush()
         if tag in _CLOSES:
             ends, within = _CLOSES[tag]
-            for d in range(len(self._stack) - 1, 0, -1):
-                t = self.tag[self._stack[d]]
-                if t in within:
+            while (d := self._nearest(ends)) > self._nearest(within):
+                self._pop(d)
+                if tag != "tr" and tag != "tbody":
                     break
-                if t in ends:
-                    self._pop(d)
-                    if tag != "tr" and tag != "tbody":
-                        break
         top = self._stack[-1]
         names, soft, bad = "", 0, self._bad[top]
         if bad == 2 and tag in _HEADINGS:
             bad = 0
-        elif not bad and tag == "header" and self._open_tags.get("article"):
+        elif not bad and tag == "header" and self._depths.get("article"):
             bad = 2  # of an article's header its headings stay
+        elif tag == "aside" and self._depths.get("article") and not _QUOTES.isdisjoint(_SPLIT.split(attrs.lower())):
+            pass
+        elif tag == "button" and self._text and "".join(self._text).strip() and not self._depths.get("form"):
+            pass  # in a sentence
         elif tag in _DROP:
             bad = 1
         if attrs and not attrs.isspace():
@@ -208,8 +253,10 @@ class Page:
             if "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in _ROLES or "display:none" in got.get("style", "").replace(" ", "").lower():
                 bad = 1
             names = "".join(f".{c}" for c in sorted({_DIGITS.sub("#", c.lower()) for c in css}))
+        self._depths.setdefault(tag, []).append(len(self._stack))
+        if tag in _BLOCKS:
+            self._open_blocks.append(len(self._stack))
         self._stack.append(len(self.tag))
-        self._open_tags[tag] = self._open_tags.get(tag, 0) + 1
         self.parent.append(top)
         self.tag.append(tag)
         self.names.append(names)
