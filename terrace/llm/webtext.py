@@ -140,24 +140,32 @@ class Page:
 
     def _forms(self) -> None:
         """Drops the blocks of forms, but for a form around the page's own text: one with an article or main element, or with most of the unlinked text that there is and a block of prose."""
-        forms = [i for i, t in enumerate(self.tag) if t == "form"]
-        if not forms:
-            return
-        inside = [-1] * len(self.tag)  # the outermost form around an element
-        keeps = set()
+        near = [-1] * len(self.tag)  # the innermost form around an element
         for i, up in enumerate(self.parent):
-            inside[i] = inside[up] if up >= 0 and inside[up] >= 0 else i if self.tag[i] == "form" else -1
-            if self.tag[i] in ("article", "main") and not self._bad[i]:
-                keeps.add(inside[i])
-        total, own, prose = 0, dict.fromkeys(forms, 0), set()
+            near[i] = i if self.tag[i] == "form" else near[up] if up >= 0 else -1
+        outer = {i: near[self.parent[i]] for i, t in enumerate(self.tag) if t == "form"}  # in page order
+        if not outer:
+            return
+        total, own, prose = 0, dict.fromkeys(outer, 0), set()
+        keeps = {near[i] for i, t in enumerate(self.tag) if t in ("article", "main") and not self._bad[i]}
         for at, text, link in self.blocks:
             total += len(text) - link
-            if inside[at] >= 0:
-                own[inside[at]] += len(text) - link
+            if near[at] >= 0:
+                own[near[at]] += len(text) - link
                 if len(text) - link >= PROSE:
-                    prose.add(inside[at])
+                    prose.add(near[at])
+        for f, up in reversed(outer.items()):
+            if up >= 0:
+                own[up] += own[f]
+                if f in keeps:
+                    keeps.add(up)
+                if f in prose:
+                    prose.add(up)
         keeps |= {f for f in prose if 2 * own[f] > total}
-        self.blocks = [b for b in self.blocks if inside[b[0]] < 0 or inside[b[0]] in keeps]
+        lost: dict[int, bool] = {-1: False}
+        for f, up in outer.items():
+            lost[f] = f not in keeps or lost[up]
+        self.blocks = [b for b in self.blocks if not lost[near[b[0]]]]
 
     def _settle(self) -> None:
         """Drops the blocks of elements that their names mark, unless that leaves no article of the page's own, or no text."""
