@@ -111,6 +111,9 @@ UNION ALL SELECT 'cat_l_returnflag', k, round(CAST(count(*) FILTER (c = k) AS DO
     "gram_sufficient_stats": "WITH s AS (SELECT l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice / 1e5 AS y FROM lineitem) SELECT name, round(value, 3) AS value FROM (SELECT unnest(['n', 'sum_l_quantity', 'sum_l_discount', 'sum_l_tax', 'sum_y', 'l_quantity_l_quantity', 'l_quantity_l_discount', 'l_quantity_l_tax', 'l_quantity_y', 'l_discount_l_discount', 'l_discount_l_tax', 'l_discount_y', 'l_tax_l_tax', 'l_tax_y', 'y_y']) AS name, unnest([CAST(count(*) AS DOUBLE), sum(a), sum(b), sum(c), sum(y), sum(a * a), sum(a * b), sum(a * c), sum(a * y), sum(b * b), sum(b * c), sum(b * y), sum(c * c), sum(c * y), sum(y * y)]) AS value FROM s)",
     "linreg_fit_1d": "SELECT 'slope' AS name, round(regr_slope(l_extendedprice, l_quantity), 4) AS value FROM lineitem UNION ALL SELECT 'intercept', round(regr_intercept(l_extendedprice, l_quantity), 4) FROM lineitem",
     "linreg_mse": "WITH f AS (SELECT regr_slope(l_extendedprice / 1e4, l_quantity) AS s, regr_intercept(l_extendedprice / 1e4, l_quantity) AS i FROM lineitem) SELECT round(avg((l_extendedprice / 1e4 - i - s * l_quantity) * (l_extendedprice / 1e4 - i - s * l_quantity)), 5) AS mse FROM lineitem, f",
+    "gam_moments": "SELECT round(avg(l_extendedprice * l_quantity), 3) AS by_l_quantity, round(avg(l_extendedprice * l_discount), 3) AS by_l_discount FROM lineitem",
+    "gam_thin_plate": "WITH s AS (SELECT s_acctbal / 10000 AS x, s_nationkey / 25.0 AS y, CAST(s_suppkey % 13 AS DOUBLE) AS w, s_suppkey % 7 + s_acctbal / 1000 AS t FROM supplier) SELECT round(avg(t), 5) AS mean, round(avg(t * x), 5) AS by_x, round(avg(t * y), 5) AS by_y, round(avg(t * w), 5) AS by_w FROM s",
+    "gam_regions": "SELECT n_nationkey AS region, CAST(count(c_custkey) AS BIGINT) AS n, round(coalesce(sum(c_acctbal), 0), 2) AS total FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey",
     "gam_predict": "SELECT round(avg(l_extendedprice), 4) AS mean FROM lineitem",
     "logit_score": f"WITH {_LOGIT} SELECT doc_id, {_r('p')} AS p, CAST(p > 0.7 AS INTEGER) AS predicted FROM l",
     "accuracy": f"WITH {_LOGIT} SELECT {_r('avg(CASE WHEN quality = CAST(p > 0.7 AS INTEGER) THEN 1.0 ELSE 0.0 END)')} AS accuracy, {_r('sum(CASE WHEN quality = 1 AND p > 0.7 THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN p > 0.7 THEN 1.0 ELSE 0.0 END), 0)')} AS precision FROM l",

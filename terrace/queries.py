@@ -15,6 +15,8 @@ from terrace.operators.rff import RandomFeatures
 from terrace.plans.boosted import TabulatedGam
 from terrace.plans.estimator import ESTIMATORS, Regressor
 from terrace.plans.gam import Gam
+from terrace.plans.region import RegionGam
+from terrace.plans.smooths import Plate, Region
 from terrace.plans.preprocess import Preprocessor
 from terrace.sources.tables import table
 
@@ -327,6 +329,31 @@ def gam_predict(spark: SparkSession, d: str) -> DataFrame:
     return _gam(spark, d).transform(table(spark, d, "lineitem")).agg(F.round(F.avg("output"), 4).alias("mean"))
 
 
+@query
+def gam_moments(spark: SparkSession, d: str) -> DataFrame:
+    """What a penalty leaves free, constants and linear functions of each column, a fit has to meet: moments of the fitted values are those of the target."""
+    out = _gam(spark, d).transform(table(spark, d, "lineitem"))
+    return out.agg(*(F.round(F.avg(F.col("output") * F.col(c)), 3).alias(f"by_{c}") for c in ("l_quantity", "l_discount")))
+
+
+@query
+def gam_thin_plate(spark: SparkSession, d: str) -> DataFrame:
+    """A thin plate of two columns beside a spline: moments of the fitted values by what the plate leaves free."""
+    df = table(spark, d, "supplier").select((F.col("s_acctbal") / 10_000).alias("x"), (F.col("s_nationkey") / 25.0).alias("y"), (F.col("s_suppkey") % 13).cast("double").alias("w"), (F.col("s_suppkey") % 7 + F.col("s_acctbal") / 1000).alias("t"))
+    out = Gam([Plate(["x", "y"], 8), "w"], k=5).fit(df, "t").transform(df)
+    return out.agg(F.round(F.avg("output"), 5).alias("mean"), *(F.round(F.avg(F.col("output") * F.col(c)), 5).alias(f"by_{c}") for c in "xyw"))
+
+
+@query
+def gam_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as neighbouring regions: n times the fitted value plus what the neighbours' penalty adds is the region's sum of the target, which holds for no other effects."""
+    df = table(spark, d, "customer").select(F.col("c_nationkey").alias("region"), F.col("c_acctbal").alias("y"))
+    g = RegionGam(Region("region", mrf.neighbours(_polygons(spark, d)))).fit(df, "y", 50.0)
+    weight = g.region_lambda * g.scale
+    met = g.effects.join(g.laplacian_effects(), "region")
+    return met.select("region", F.col("n").cast("long").alias("n"), F.round(F.col("n") * (F.col("effect") + g.intercept) + weight * F.col("rough"), 2).alias("total"))
+
+
 # ---- classification
 
 
