@@ -7,7 +7,7 @@ shingle's place in the window fixes where the window would start, windows that w
 and positional bounds), and what is left is compared word by word.
 
 The benchmark is cut into pieces of ``PIECE`` words that overlap by a window, so an item of any length is split, and the pieces are sent to the executors in blocks of
-``BLOCK_BYTES`` of text: two passes of the corpus a block (counts, hits), so what is held is bounded whatever the benchmark's size. A block is one byte buffer and arrays of numbers: about 6 bytes
+``BLOCK_BYTES`` of text: two passes of the corpus a block (counts, hits), each a job of its own whose hits are written, so what is held is one block's whatever the benchmark's size. A block is one byte buffer and arrays of numbers: about 6 bytes
 go to the executors for each byte of benchmark text, and at its peak the driver holds about 30. Windows that items share are stored once, by a 128-bit hash.
 
 Nulls: a null text has no words, a null doc_id stays as it is; a null item_id reads as ''. Rows are kept one for one: repeated
@@ -150,8 +150,9 @@ def _rarest(win: dict, counts: dict[int, tuple[np.ndarray, np.ndarray]], shingle
     return probe
 
 
-def _probe(docs: DataFrame, win: dict, counts: dict[int, tuple[np.ndarray, np.ndarray]], have: bool, shingle: int) -> DataFrame:
-    """Adds the block's hits to what the rows hold: n_words, hit spans as (start, end) words, items."""
+def _probe(docs: DataFrame, win: dict, counts: dict[int, tuple[np.ndarray, np.ndarray]], shingle: int) -> DataFrame:
+    """A block's hits in every row: its other columns than text, n_words, hit spans as (start, end) words one after the other, items."""
+    keys = [c for c in docs.columns if c != "text"]
     probe = _rarest(win, counts, shingle)
     by_length, raw, start, end, names = win["by"], win["bytes"], win["starts"], win["ends"], win["names"]
 
@@ -187,13 +188,10 @@ def _probe(docs: DataFrame, win: dict, counts: dict[int, tuple[np.ndarray, np.nd
                     spans.append([v for p, k in zip(at[a:b].tolist(), size[a:b], strict=True) for v in (p - int(first[d]), p - int(first[d]) + k)])
                     found.append(sorted({names[i] for k, r in set(items[a:b]) for i in by_length[k]["items"][by_length[k]["cut"][r] : by_length[k]["cut"][r + 1]]}))
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            if have:
-                spans = [x + y for x, y in zip(batch.column("flat").to_pylist(), spans, strict=True)]
-                found = [sorted({*x, *y}) for x, y in zip(batch.column("item_ids").to_pylist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "flat", "item_ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(n), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], [*keys, "n_words", "flat", "item_ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(hits, f"doc_id {kind}, text string, n_words long, flat array<int>, item_ids array<string>")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+    return docs.mapInArrow(hits, f"{kinds}, n_words long, flat array<int>, item_ids array<string>")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,16 +217,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = stage(items.mapInArrow(_pieces(window), "item_id string, text string"), "items")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = 1 + size // block_bytes
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    have = False
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if blocks > 1:  # rows get a number that the blocks' hits meet by
+        rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    first, hits = None, []
     for k in range(blocks):
         win = _windows(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow(), window, shingle)  # about block_bytes
-        if have and not win["by"]:
+        if first is not None and not win["by"]:
             continue
-        out, have = _probe(out, win, _counts(docs, win, shingle) if win["by"] else {}, have, shingle), True
+        found = _probe(rows, win, _counts(rows, win, shingle) if win["by"] else {}, shingle)
+        if blocks == 1:
+            first = found
+            break
+        found = stage(found if first is None else found.where(F.size("flat") > 0), "hits")
+        first = found.select("_row", "doc_id", "n_words") if first is None else first
+        hits.append(found.where(F.size("flat") > 0).select("_row", "flat", "item_ids"))
     drop(items)
+    if blocks > 1:
+        all_hits = hits[0]
+        for h in hits[1:]:
+            all_hits = all_hits.unionByName(h)
+        joined = all_hits.groupBy("_row").agg(F.flatten(F.collect_list("flat")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+        none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+        first = first.join(joined, "_row", "left").select("doc_id", "n_words", none("flat", "array<int>"), none("item_ids", "array<string>"))
+        drop(rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return out.select("doc_id", "n_words", "flat", "item_ids").mapInArrow(_merge, f"doc_id {kind}, n_words long, n_hit long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>")
+    return first.select("doc_id", "n_words", "flat", "item_ids").mapInArrow(_merge, f"doc_id {kind}, n_words long, n_hit long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ document probes the index. A probe that meets a block of a smaller document is a
 owner. Anchors are extended: each window of ``WINDOW`` words around an anchor is compared with all others around anchors, and the
 windows that also start in a smaller document, joined where they overlap or touch, are the maximal exact repeats.
 
-Documents are held in groups of ``GROUP`` rows, written once. A group sends each hash once, with the least and the greatest document that has it,
+Documents are held in groups of ``GROUP`` rows and ``GROUP_BYTES`` of text at most (one longer text is a group), written once. A group sends each hash once, with the least and the greatest document that has it,
 and hears back for each hash that repeats which document is the least (and the greatest) of all; positions never travel, as a group finds them again in its texts. So a
 passage that all documents share adds one entry a group to its bucket, not one a document. Entries are packed: one row a batch of groups and bucket.
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from terrace.llm import words
 from terrace.llm.common import binaries, buckets, chunks, gathered, stage
 
 WINDOW = 50
-#: Rows of a group, a power of two; ranks of documents in it have 16 bits.
-GROUP = 512
+#: Rows and bytes of a group; ranks of documents in it have 16 bits.
+GROUP, GROUP_BYTES = 512, 16 << 20
 _LAST = (1 << 63) - 1
 _NONE = np.uint16(0xFFFF)
 _U = np.uint64
@@ -41,6 +42,19 @@ _U = np.uint64
 _HELD = 1 << 20
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task, cut into groups by rows and bytes."""
+    group, rows, held = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        out = []
+        for size in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
+            if rows and (rows == GROUP or held + size > GROUP_BYTES):
+                group, rows, held = group + 1, 0, 0
+            rows, held = rows + 1, held + size
+            out.append(group)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "grp"])
+
+
 def _bucket(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> _U(32)) % _U(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
 
@@ -278,7 +292,7 @@ def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, repeat_spans, kept_text) of every row: words in a repeat, starts from 0 and ends exclusive, and the other words joined by spaces."""
     parts, block = buckets(docs), width // 2
     src = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    held = stage(src.withColumn("grp", F.shiftright(F.monotonically_increasing_id(), GROUP.bit_length() - 1)), "groups")
+    held = stage(src.mapInArrow(_dealt, "i long, doc long, text string, grp long"), "groups")
     packed = held.mapInArrow(_probes(block, parts), f"bucket int, k0 binary, {_PACKED}")
     anchors = stage(packed.repartitionById(parts, "bucket").mapInArrow(_anchors, "grp long, bucket int, k0 binary, least binary, most binary"), "anchors")
     group = held.groupBy("grp")

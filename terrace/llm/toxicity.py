@@ -4,16 +4,16 @@ A text's terms are its distinct lower-cased words and their beginnings of 4, 5 a
 them), hashed to ``2 ** BITS`` slots. The score is a logistic function of a bias, a weight a term, and for every pair of terms the
 product of their ``FACTORS`` latent values, so that a pair such as an insult and the mention of a group counts for more than
 both alone. It is fitted to labelled rows by AdaGrad with an L1 penalty on weights and an L2 penalty on factors. The machine's terms
-are those that tell on their own, and those that tell in a pair: of all pairs of the ``PAIR_TERMS`` most frequent terms (terms that occur in the
-same texts count once), a pair tells if what a first fit leaves unexplained in the texts that hold both is ``PAIR_DEVIATIONS`` standard deviations
-from nothing. So two terms that say nothing alone, or a neutral one that makes an insult toxic, get weights and factors.
+are those that tell on their own, and those that tell in a pair (terms that occur in the same texts count once): of all terms, two that meet in ``PAIR_TEXTS`` positive texts or more that a first fit leaves
+unexplained, if the texts that hold both are positive more often than chance makes likely among all the pairs so tried (``CHANCE``); and of the ``PAIR_TERMS`` most frequent ones also two that make texts harmless, if
+what is unexplained in the texts that hold both is ``PAIR_DEVIATIONS`` standard deviations from nothing. So two terms that say nothing alone, or a neutral one that makes an insult toxic, get weights and factors.
 
-``SAMPLE`` bounds the labelled rows used for fitting: they are those with the smallest hashes of their doc_id. They are picked out of the documents in one
+``SAMPLE`` bounds the labelled rows used for fitting: they are those with the smallest hashes of their doc_id (and of their text, where ids have many). They are picked out of the documents in one
 job on all cores, written, and gathered. Every text is scored whole, a chunk of about 2 MB of an Arrow batch at a time (a longer text is a chunk of its own).
 
 Nulls: a null or empty text has the bias alone. Rows without doc_id are scored and count as not held out. Labels that are null
 are no labels; of several labels of one document the largest counts. Without any positive or any negative label, every
-score is a smoothed prior. Repeated rows get equal scores, and a repeated labelled document counts as often as it is there; rows that are fitted are put in order first, so ties of nothing decide.
+score is a smoothed prior. Repeated rows get equal scores, and a repeated labelled document counts as often as it is there, until repeats make up as many as ``SAMPLE``; then their numbers shrink in proportion; rows that are fitted are put in order first, so ties of nothing decide.
 Columns are kept; one named ``toxicity`` is replaced. An empty table gives an empty result.
 """
 
@@ -36,8 +36,10 @@ SAMPLE, BITS, FACTORS, THRESHOLD = 12_000, 20, 4, 0.3
 PREFIXES = (4, 5, 6)
 #: A term is used if its count among positive texts is so many standard deviations from what its frequency makes likely.
 DEVIATIONS = 4.0
-#: Terms whose pairs are searched, the standard deviations that a pair needs, and the texts that have to hold both.
+#: Terms whose pairs are searched in both directions, the standard deviations that such a pair needs, and the texts that have to hold both.
 PAIR_TERMS, PAIR_DEVIATIONS, PAIR_TEXTS = 2048, 6.0, 8
+#: The chance, over all pairs tried, of a pair of any terms that tells nothing; a positive text is unexplained from this residual up.
+CHANCE, UNEXPLAINED = 0.05, 0.5
 #: A positive row counts as so many: the classes are uneven, and short texts hold one telling term.
 POSITIVE = 4.0
 STEPS, BATCH, RATE, L1, L2 = 2_000, 256, 0.3, 5e-5, 1e-3
@@ -141,6 +143,60 @@ def telling_pairs(row: np.ndarray, at: np.ndarray, terms: int, residual: np.ndar
     return out[group]
 
 
+def meeting_pairs(row: np.ndarray, at: np.ndarray, terms: int, y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether each term, of all there are, is part of a pair that meets in unexplained positive texts and is positive beyond chance; text ``row`` (ascending) holds term ``at`` and is expected to be positive with p.
+
+    Terms are taken one by one: a count over the unexplained texts that hold it says which others it meets, and one over all texts that hold it how often both are positive and how often that is expected.
+    """
+    out = np.zeros(terms, bool)
+    want = (y == 1) & (1 - p >= UNEXPLAINED)
+    some = want[row]
+    often = _count(at[some], terms) >= PAIR_TEXTS
+    if not often.any():
+        return out
+    mark, column = np.random.default_rng(1).random(len(y)), np.zeros(terms)
+    first = np.searchsorted(row, np.arange(len(y) + 1))
+    for lo in range(0, len(at), 1 << 20):
+        column += np.bincount(at[lo : lo + (1 << 20)], mark[row[lo : lo + (1 << 20)]], terms)
+    column[~often] = -1
+    alike, number = np.unique(column, return_inverse=True)  # equal for terms of the same texts
+    number = np.where(often, number - (not often.all()), -1)
+    size = len(alike) - (not often.all())
+    held = number[at]
+    keep = held >= 0
+    held, owner = held[keep], row[keep]
+    by = np.unique(held.astype(np.int64) * len(y) + owner)  # a group once a text
+    held, owner = by // len(y), by % len(y)
+    cut = np.searchsorted(held, np.arange(size + 1))
+    order = np.argsort(owner, kind="stable")
+    of, first = held[order], np.searchsorted(owner[order], np.arange(len(y) + 1))
+
+    def others(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = first[texts + 1] - first[texts]
+        return of[np.repeat(first[texts], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], np.repeat(texts, n)
+
+    met, tried = [], 0
+    for a in range(size):
+        texts = owner[cut[a] : cut[a + 1]]
+        n = np.bincount(others(texts[want[texts]])[0], minlength=size)
+        n[: a + 1] = 0
+        b = np.flatnonzero(n >= PAIR_TEXTS)
+        if len(b):
+            met.append((a, b))
+            tried += len(b)
+    told = np.zeros(size, bool)
+    for a, b in met:
+        term, text = others(owner[cut[a] : cut[a + 1]])
+        good = np.bincount(term, y[text], size)[b]
+        likely = np.maximum(np.bincount(term, p[text], size)[b], 1e-3)
+        beyond = np.where(good > likely, good * np.log(good / likely) - good + likely, 0.0)  # the tail of a Poisson count
+        tells = beyond >= np.log(tried / CHANCE)
+        told[b[tells]] = True
+        told[a] |= tells.any()
+    out[often] = told[number[often]]
+    return out
+
+
 def _descend(m: Model, row: np.ndarray, at: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Model:
     """AdaGrad from ``m`` over mini-batches of texts."""
     first = np.searchsorted(row, np.arange(len(y) + 1))
@@ -196,6 +252,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: in
     p = 1 / (1 + np.exp(-np.clip(raw(m, own_row, own, len(y)), -30, 30)))
     p = p / (p + (1 - p) * POSITIVE)  # as likely as it is without the weight of positive rows
     pairs = telling_pairs(row, at, len(slots), y - p, np.maximum(p * (1 - p), share * (1 - share) / 10)) & ~alone
+    pairs |= meeting_pairs(row, at, len(slots), y, p) & ~alone
     if pairs.any():
         m, _, _ = machine(alone | pairs)
     m.factors[np.abs(m.factors) < 1e-3] = 0
@@ -211,10 +268,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # binomial: within a few hundredths of sample
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_terms, f"doc_id {kind}, y int, slots binary")
-    rows = stage(rows, "labelled")
-    found = rows.sort("doc_id", "slots").toArrow().combine_chunks()  # the bounded sample
+    rows = stage(rows.groupBy("doc_id", "y", "slots").agg(F.count("*").alias("times")), "labelled")  # equal rows once
+    many, total = rows.agg(F.count("*"), F.sum("times")).first()
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "slots"), F.lit(1 << 30)) < int(min(1.0, 1.5 * sample / max(many, 1)) * (1 << 30)))  # ids with many texts
+    found = some.sort("doc_id", "slots").toArrow().combine_chunks()  # the bounded sample
     drop(rows)
-    return fit([np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")], found.column("y").to_numpy().astype(np.float64))
+    times = np.ceil(found.column("times").to_numpy() * min(1.0, 2 * sample / max(total or 1, 1))).astype(np.int64)
+    at = np.repeat(np.arange(len(times)), times)
+    texts = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]
+    return fit([texts[i] for i in at], found.column("y").to_numpy().astype(np.float64)[at])
 
 
 def scores(docs: DataFrame, model: Model, bits: int = BITS, into: str = "toxicity") -> DataFrame:
