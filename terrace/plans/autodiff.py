@@ -85,6 +85,10 @@ class Var:
         s = 1 / (1 + np.exp(-np.clip(self.value, -500, 500)))
         return Var(s, ((self, lambda g: g * s * (1 - s)),))
 
+    def softplus(self) -> Var:
+        s = 1 / (1 + np.exp(-np.clip(self.value, -500, 500)))
+        return Var(np.logaddexp(0, self.value), ((self, lambda g: g * s),))
+
     def sparsemax(self) -> Var:
         """Projection of the last axis to the simplex."""
         z = -np.sort(-self.value, -1)

@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from terrace.functions import exprs
-from terrace.operators import effects, encoders, schema, tree
+from terrace.operators import effects, encoders, families, schema, tree
 from terrace.operators.gram import FAN_IN
 
 Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -35,6 +36,8 @@ def logistic(y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.logaddexp(0, z) - y * z, p - y, np.maximum(p * (1 - p), 1e-6)
 
 
+#: Categories of a column that get a bin of their own.
+MOST_CATEGORIES = 1000
 #: Numbers in the tables that a job adds up (64 MB): features and pairs beyond it take further jobs.
 TABLE_NUMBERS = 1 << 23
 LOSSES: dict[str, Loss] = {"squared": squared, "logistic": logistic}
@@ -57,27 +60,36 @@ class TabulatedGam:
     seed: int = 101
 
     def fit(self, df: DataFrame, y: str, numerical: list[str], categorical: list[str] = ()) -> TabulatedGam:
+        src = self._binned(df, y, numerical, categorical)
+        mean = src.agg(F.avg("y")).first()[0] or 0.0
+        self.intercept = float(np.log((mean + 1e-6) / (1 - mean + 1e-6))) if self.loss == "logistic" else float(mean)
+        for _ in range(self.newton_steps if self.loss == "squared" else max(self.newton_steps, 5)):
+            self._step(src)
+        if self.pairs and len(self.features) > 1:
+            self._fit_pairs(src)
+        return self
+
+    def _binned(self, df: DataFrame, y: str, numerical: list[str], categorical: list[str]) -> DataFrame:
+        """Finds bins and categories, and gives the rows in bins. Of a column's categories the ``MOST_CATEGORIES`` commonest get a bin (ties: the smaller value), and all others together the bin of unknown ones."""
         self.features = [*numerical, *categorical]
         grid = F.array(*map(F.lit, np.linspace(0, 1, self.n_bins + 1).tolist()))
         self.edges, self.categories = {}, {}
         if numerical:
             row = df.agg(*(F.percentile_approx(schema.missing(c, df.schema[c].dataType).cast("double"), grid, 10_000).alias(f"q{i}") for i, c in enumerate(numerical))).first()
             self.edges = {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(numerical)}
-        for r in schema.category_counts(df, list(categorical)).orderBy("feature", "value").collect() if categorical else ():
-            self.categories.setdefault(r["feature"], []).append(r["value"])
+        if categorical:
+            place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "value"))
+            part = F.row_number().over(Window.partitionBy("feature", "_part").orderBy(F.desc("n"), "value"))  # a wide column in parts first
+            counts = schema.category_counts(df, list(categorical)).withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("_in", part).where(F.col("_in") <= MOST_CATEGORIES)
+            kept = counts.withColumn("_at", place).where(F.col("_at") <= MOST_CATEGORIES)
+            for r in kept.select("feature", "value").orderBy("feature", "value").collect():  # at most MOST_CATEGORIES a column
+                self.categories.setdefault(r["feature"], []).append(r["value"])
         self.size = {c: max(len(self.edges[c]) - 1, 1) + 1 if c in self.edges else len(self.categories.get(c, [])) + 1 for c in self.features}
         self.mains = {c: np.zeros(self.size[c]) for c in self.features}
         self.tables: dict[tuple[str, str], np.ndarray] = {}
         self.counts: dict[str, np.ndarray] = {}
         self.history: list[float] = []
-        src = df.select(*(self.bin(c).alias(f"b{i}") for i, c in enumerate(self.features)), F.col(y).cast("double").alias("y")).where("y is not null")
-        mean = src.agg(F.avg("y")).first()[0] or 0.0
-        self.intercept = float(np.log((mean + 1e-6) / (1 - mean + 1e-6))) if self.loss == "logistic" else float(mean)
-        for _ in range(self.newton_steps if self.loss == "squared" else max(self.newton_steps, 5)):
-            self._step(src)
-        if self.pairs and len(self.features) > 1:
-            self._fit_pairs(src)
-        return self
+        return df.select(*(self.bin(c).alias(f"b{i}") for i, c in enumerate(self.features)), F.col(y).cast("double").alias("y")).where("y is not null")
 
     def bin(self, c: str) -> Column:
         """A feature's bin from 1; 0 for missing and unknown values."""
@@ -94,9 +106,24 @@ class TabulatedGam:
             z += t[bins[self.features.index(a)], bins[self.features.index(b)]]
         return z
 
+    def _parameter(self, y: np.ndarray, bins: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(loss, slope, curvature) of a family's loss by one of its raw outputs, at the scores of all: central differences, and a curvature of at least a part of the squared slope."""
+        family, at, models = self.family, self.index, self.models
+        raw = np.stack([m._scores(bins) for m in models], 1)
+        step = 1e-4 * np.maximum(1.0, np.abs(raw[:, at]))
+        with np.errstate(all="ignore"):
+            value = family.numpy_nll(y, raw)
+            up, down = raw.copy(), raw.copy()
+            up[:, at] += step
+            down[:, at] -= step
+            high, low = family.numpy_nll(y, up), family.numpy_nll(y, down)
+        slope = np.clip(np.nan_to_num((high - low) / (2 * step)), -1e3, 1e3)
+        curve = np.nan_to_num((high + low - 2 * value) / (step * step))
+        return np.nan_to_num(value, nan=1e9, posinf=1e9), slope, np.maximum(curve, 0.1 * slope * slope + 1e-6)
+
     def _sum(self, src: DataFrame, size: int, work: Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, float, int]:
         """The sum over all rows of ``work(bins, slope, curvature, total)``, with mean loss and rows."""
-        loss, d = LOSSES[self.loss], len(self.features)
+        loss, d = LOSSES.get(self.loss), len(self.features)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size + 2)
@@ -104,7 +131,7 @@ class TabulatedGam:
                 if batch.num_rows:
                     bins = [batch.column(f"b{i}").to_numpy() for i in range(d)]
                     y = batch.column("y").to_numpy()
-                    value, slope, curve = loss(y, self._scores(bins))
+                    value, slope, curve = loss(y, self._scores(bins)) if loss else self._parameter(y, bins)
                     work(bins, slope, curve, total)
                     total[-2:] += value.sum(), len(y)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["t"])
@@ -331,3 +358,107 @@ class OneVsRest:
     @classmethod
     def from_json(cls, text: str) -> OneVsRest:
         return cls([TabulatedGam.from_json(t) for t in json.loads(text)])
+
+
+@dataclasses.dataclass
+class BoostedFamily:
+    """All parameters of a distribution family, a tabulated model each on the same bins.
+
+    A round takes the parameters in turn: a job adds up slopes and curvatures of the loss by that parameter's raw output, by bin and pair of bins, trees are grown on the tables, and the step is halved until the
+    mean loss falls. Rounds end when a whole one gains less than ``tol`` of the loss.
+    """
+
+    params: dict
+    family: families.Family
+    rounds: int = 20
+    tol: float = 1e-4
+    models: list[TabulatedGam] = dataclasses.field(default_factory=list)
+    history: list[float] = dataclasses.field(default_factory=list)
+
+    @property
+    def intercept(self) -> float:
+        return self.models[0].intercept
+
+    def fit(self, df: DataFrame, y: str, numerical: list[str], categorical: list[str] = ()) -> BoostedFamily:
+        first = TabulatedGam(**{**self.params, "loss": "family", "pairs": 0})
+        src = first._binned(df, y, numerical, categorical).persist(StorageLevel.MEMORY_AND_DISK_2)
+        self.models = [first, *(dataclasses.replace(first) for _ in range(self.family.size - 1))]
+        for k, m in enumerate(self.models):
+            m.features, m.edges, m.categories, m.size, m.tables, m.counts, m.history = first.features, first.edges, first.categories, first.size, {}, {}, []
+            m.mains = {c: np.zeros(first.size[c]) for c in first.features}
+            m.family, m.index, m.models, m.intercept = self.family, k, self.models, 0.0
+        try:
+            for m, z in zip(self.models, self._start(src), strict=True):
+                m.intercept = float(z)
+            self.history = [self._loss(src)]
+            for _ in range(self.rounds):
+                before = self.history[-1]
+                for m in self.models:
+                    self._move(src, m)
+                if before - self.history[-1] <= self.tol * abs(before):
+                    break
+        finally:
+            src.unpersist()
+        for m in self.models:
+            m.models = None
+        return self
+
+    def _start(self, src: DataFrame) -> np.ndarray:
+        """Raw outputs without any feature, from at most some 10,000 targets of the smallest hashes; later steps see all rows and move them."""
+        n = src.count()
+        some = src.where(F.pmod(F.xxhash64("*"), F.lit(1 << 30)) < int(min(1.0, 1e4 / max(n, 1)) * (1 << 30))).select("y").limit(20_000).collect()
+        y = np.array([r["y"] for r in some] or [0.0])
+        mean = lambda z: float(np.nan_to_num(self.family.numpy_nll(y, np.tile(z, (len(y), 1))), nan=1e9, posinf=1e9).mean())
+        z, step = np.zeros(self.family.size), np.ones(self.family.size)
+        if self.family.parameters[0] in ("mean", "loc"):
+            z[0] = np.median(y)
+        with np.errstate(all="ignore"):
+            best = mean(z)
+            for _ in range(200):
+                for k in range(len(z)):
+                    for d in (step[k], -step[k]):
+                        new = z.copy()
+                        new[k] += d
+                        if (now := mean(new)) < best:
+                            z, best = new, now
+                            step[k] *= 1.5
+                            break
+                    else:
+                        step[k] /= 2
+                if step.max() < 1e-4:
+                    break
+        return z
+
+    def _loss(self, src: DataFrame) -> float:
+        return self.models[0]._sum(src, 0, lambda *_: None)[1]
+
+    def _move(self, src: DataFrame, m: TabulatedGam) -> None:
+        old = {c: v.copy() for c, v in m.mains.items()}
+        m._step(src)
+        new, size = m.mains, 1.0
+        for _ in range(8):
+            m.mains = {c: old[c] + size * (new[c] - old[c]) for c in old}
+            now = self._loss(src)
+            if now < self.history[-1]:
+                self.history.append(now)
+                return
+            size /= 2
+        m.mains = old
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``f_<term>`` and ``output`` of the first parameter, and ``raw`` of all."""
+        scores = [sum(m.contributions().values(), F.lit(m.intercept)) for m in self.models]
+        return self.models[0].transform(df).withColumn("raw", F.array(*scores))
+
+    def to_json(self) -> str:
+        return json.dumps({"params": self.params, "family": self.family.name, "rounds": self.rounds, "tol": self.tol, "history": self.history, "models": [m.to_json() for m in self.models]})
+
+    @classmethod
+    def from_json(cls, text: str) -> BoostedFamily:
+        """The models; the family by its name, so one of a user's own has to be set again."""
+        got = json.loads(text)
+        try:
+            family = families.by_name(got["family"])
+        except (KeyError, TypeError, ValueError):
+            family = None
+        return cls(got["params"], family, got["rounds"], got["tol"], [TabulatedGam.from_json(t) for t in got["models"]], got["history"])

@@ -1,7 +1,7 @@
 """Estimators: a preprocessor, a shape and a task in one object, with fit, predict, evaluate and saved state.
 
 ``Regressor``, ``Classifier`` and ``Lss`` take the name of a shape: linreg, snam (splines), gpnam (Gaussian process), boosted, nodegam (tabulated GA2M),
-or a neural one: nam, qnam, nbm, natt, namformer, nodegam_soft. Parameters of the preprocessor and of the shape are keywords and told apart by name.
+or a neural one: nam, qnam, nbm, natt, namformer, nodegam_soft, spline (learned knots), oblique (hard oblique trees), or one that ``register_shape`` was given. Parameters of the preprocessor and of the shape are keywords and told apart by name.
 """
 
 from __future__ import annotations
@@ -16,18 +16,27 @@ from pyspark.sql import functions as F
 from terrace.functions import exprs
 from terrace.operators import effects, families, metrics, schema
 from terrace.plans.additive import AdditiveModel
-from terrace.plans.boosted import OneVsRest, TabulatedGam
-from terrace.plans.neural import NeuralModel
+from terrace.plans.boosted import BoostedFamily, OneVsRest, TabulatedGam
+from terrace.plans.layers import REGISTRY, Shape
+from terrace.plans.neural import KINDS, NeuralModel
 from terrace.plans.preprocess import Preprocessor
 
 SHAPES: dict[str, tuple[type, dict[str, Any]]] = {
     "linreg": (AdditiveModel, {"shape": "linear"}), "snam": (AdditiveModel, {"shape": "spline"}), "gpnam": (AdditiveModel, {"shape": "gp", "ridge": 1e-3}),
     "boosted": (TabulatedGam, {"n_estimators": 64, "depth": 3}), "nodegam": (TabulatedGam, {"n_estimators": 200, "depth": 3, "pairs": 10}),
     "nam": (NeuralModel, {"kind": "nam"}), "qnam": (NeuralModel, {"kind": "qnam"}), "nbm": (NeuralModel, {"kind": "nbm"}), "natt": (NeuralModel, {"kind": "natt"}),
-    "namformer": (NeuralModel, {"kind": "namformer"}), "nodegam_soft": (NeuralModel, {"kind": "nodegam"}),
+    "namformer": (NeuralModel, {"kind": "namformer"}), "nodegam_soft": (NeuralModel, {"kind": "nodegam"}), "spline": (NeuralModel, {"kind": "spline"}), "oblique": (NeuralModel, {"kind": "trees", "num_trees": 64, "depth": 8}),
 }
 
 
+def register_shape(name: str, shape: Shape, **defaults: Any) -> None:
+    """Makes a shape function of one's own known by ``name`` to all three tasks; ``defaults`` are parameters of ``NeuralModel``. To load a saved model the shape has to be registered again."""
+    if name in KINDS:
+        raise ValueError(f"{name!r} is a shape already")
+    REGISTRY[name] = shape
+    SHAPES[name] = (NeuralModel, {"kind": name, **defaults})
+
+
 class Estimator:
     """What the three tasks share."""
 
@@ -39,7 +48,7 @@ class Estimator:
         self.shape, self.norm_fn = shape, params.pop("norm_fn", None)
         self._model_type, self._model_params = SHAPES[shape][0], dict(SHAPES[shape][1])
         task = "classification" if self.task == "classification" else "regression"
-        default = {"linreg": "standardization", "snam": "normalization", "gpnam": "normalization"}.get(shape, "standardization" if self._model_type is NeuralModel else "none")
+        default = {"linreg": "standardization", "snam": "normalization", "gpnam": "normalization", "spline": "normalization"}.get(shape, "standardization" if self._model_type is NeuralModel else "none")
         self._pre_params = {"numerical_preprocessing": default, "task": task}
         self.set_params(**params)
 
@@ -74,7 +83,8 @@ class Estimator:
             num, cat = schema.detect_column_types(base, self.pre.cat_cutoff, self.pre.treat_all_integers_as_numerical, {target, *exclude})
             loss = "logistic" if self.task == "classification" else "squared"
             if self.task == "lss":
-                raise ValueError(f"{self.shape} fits regression and classes")
+                self.model = BoostedFamily(self._model_params, self._family()).fit(self._coded(train), "_y", num, cat)
+                return self
             if self.task == "classification" and len(self.classes) > 2:
                 coded = self._coded(train)
                 fits = [TabulatedGam(**{**self._model_params, "loss": loss}).fit(coded.withColumn("_y", (F.col("_y") == k).cast("double")), "_y", num, cat) for k in range(len(self.classes))]
@@ -106,7 +116,7 @@ class Estimator:
     def contributions(self, df: DataFrame) -> DataFrame:
         """``df`` with ``f_<term>``, ``output`` and ``raw``."""
         df = self._normed(df)
-        if isinstance(self.model, OneVsRest):
+        if isinstance(self.model, OneVsRest | BoostedFamily):
             return self.model.transform(df)
         if self._model_type is TabulatedGam:
             return self.model.transform(df).withColumn("raw", F.array("output"))
@@ -128,7 +138,7 @@ class Estimator:
         terms = [c[2:] for c in found.columns if c.startswith("f_")]
         singles, doubles = [t for t in terms if ":" not in t and t in df.columns], [t for t in terms if t.count(":") == 1]
         names = list(dict.fromkeys([*singles, *(n for t in doubles for n in t.split(":"))]))
-        intercept = self.model.intercept if self._model_type is TabulatedGam or isinstance(self.model, OneVsRest) else float(self.model.coefficients[0, 0]) if self._model_type is AdditiveModel else float(self.model.params["intercept"][0])
+        intercept = self.model.intercept if self._model_type is TabulatedGam or isinstance(self.model, OneVsRest | BoostedFamily) else float(self.model.coefficients[0, 0]) if self._model_type is AdditiveModel else float(self.model.params["intercept"][0])
         return effects.effect_table(found, names, {t: F.col(f"`f_{t}`") for t in singles}, {t: F.col(f"`f_{t}`") for t in doubles}, intercept, **options)
 
     def plot_data(self, df: DataFrame, column: str, bins: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -229,6 +239,6 @@ _TITLES = {"NAM": "nam", "LinReg": "linreg", "GPNAM": "gpnam", "NBM": "nbm", "NA
 ESTIMATORS: dict[str, type[Estimator]] = {
     f"{t}{suffix}": _named(f"{t}{suffix}", base, "nodegam_soft" if s == "nodegam" and suffix == "LSS" else s) for t, s in _TITLES.items() for suffix, base in (("Regressor", Regressor), ("Classifier", Classifier), ("LSS", Lss))
 } | {
-    "QNAM": _named("QNAM", Lss, "qnam", family="quantile"), "SNAMRegressor": _named("SNAMRegressor", Regressor, "snam"), "TreeNAMRegressor": _named("TreeNAMRegressor", Regressor, "boosted"),
+    "QNAM": _named("QNAM", Lss, "qnam", family="quantile"), "SNAMRegressor": _named("SNAMRegressor", Regressor, "snam"), "TreeNAMLSS": _named("TreeNAMLSS", Lss, "boosted"), "TreeNAMRegressor": _named("TreeNAMRegressor", Regressor, "boosted"),
 }
 globals().update(ESTIMATORS)

@@ -7,7 +7,10 @@ Kinds (all give one output a feature or interaction and per-output sums):
 * ``nbm``: shared basis functions for all features, mixed by a weight a feature, and others for all interactions of a degree;
 * ``natt``: networks for numerical features, attention over embeddings of categories;
 * ``namformer``: linear effects, and a head on attention over embeddings of all features;
-* ``nodegam``: soft oblivious trees of one or two chosen features each (see ``odst``).
+* ``nodegam``: soft oblivious trees of one or two chosen features each (see ``odst``);
+* ``spline``: a cubic spline a numerical feature with learned knots, and penalties on roughness and on knots that meet; other blocks are linear;
+* ``trees``: ``num_trees`` hard oblique trees of ``depth`` a feature, each shrunk by ``shrinkage`` (see ``layers``);
+* any name that ``register_shape`` of ``terrace.plans.estimator`` was given: a shape function of a user's own.
 
 Rows come as one array column of the joined blocks, dealt by a hash to tasks of about ``rows_per_task`` rows, so that neither the session nor the order of the input changes a fit. Parameters
 are summed by rows in tasks, by ``FAN_IN`` more, and ``FAN_IN`` of them reach the driver.
@@ -30,11 +33,11 @@ from pyspark.storagelevel import StorageLevel
 from terrace.functions.exprs import one_hot, temperature
 from terrace.operators import families
 from terrace.operators.gram import FAN_IN, _matrix
-from terrace.plans import odst
+from terrace.plans import layers, odst
 from terrace.plans.autodiff import Var, concat
 from terrace.plans.preprocess import Preprocessor
 
-KINDS = ("nam", "qnam", "nbm", "natt", "namformer", "nodegam")
+KINDS = ("nam", "qnam", "nbm", "natt", "namformer", "nodegam", "spline", "trees")
 NORMS, ACTIVATIONS = ("none", "layer", "rms", "batch"), ("relu", "glu", "reglu")
 #: Tasks of an epoch at most; a task has more rows then.
 MOST_TASKS = 4096
@@ -59,6 +62,11 @@ class NeuralModel:
     least_temperature: float = 0.01
     data_start: bool = True
     output_l2: float = 0.0
+    knots: int = 12
+    learn_knots: bool = True
+    smooth_penalty: float = 0.0
+    knot_penalty: float = 0.0
+    shrinkage: float = 0.1
     dropout: float = 0.0
     attention_dropout: float = 0.0
     token_norm: bool = False
@@ -87,8 +95,9 @@ class NeuralModel:
         if self.layer_norm and self.norm == "none":
             self.norm = "layer"
         self.temperature = 1.0
-        if self.kind not in KINDS:
-            raise ValueError(f"kind must be one of {KINDS}, not {self.kind!r}")
+        self.custom = layers.REGISTRY.get(self.kind)
+        if self.kind not in KINDS and self.custom is None:
+            raise ValueError(f"kind must be one of {KINDS} or registered, not {self.kind!r}")
 
     # ---- structure
 
@@ -151,6 +160,40 @@ class NeuralModel:
             self.params["head.w"] *= 0.1
         if self.kind == "nodegam":
             self.params |= self._trees().build(rng)
+        for n in self.names if self.kind == "spline" else []:
+            if self._has_knots(n):
+                even = np.log(np.expm1(1.0))
+                self.params[f"{n}.distances"], self.params[f"{n}.spline"] = np.full(self.knots - 1, even), rng.normal(0, 0.01, (self.knots, outputs))
+            else:
+                dense(f"{n}.linear", own(n), outputs)
+                self.params[f"{n}.linear.w"] *= 0.1
+        for n in self.names if self.kind == "trees" else []:
+            self.params[f"{n}.split"], self.params[f"{n}.leaf"] = layers.start_trees(rng, self.num_trees, own(n), self.depth, outputs)
+        if self.custom:
+            self.params |= {k: np.asarray(v, float) for k, v in self.custom.start(rng, {n: own(n) for n in self.names}, outputs).items()}
+
+    def _has_knots(self, name: str) -> bool:
+        return self.slices[name][1] - self.slices[name][0] == 1 and not self.is_cat[self.names.index(name)]
+
+    def _splines(self, p: dict[str, Var], x: dict[str, Var], train: bool) -> dict[str, Var]:
+        terms = {}
+        for n in self.names:
+            if not self._has_knots(n):
+                terms[n] = x[n] @ p[f"{n}.linear.w"] + p[f"{n}.linear.b"]
+                continue
+            d = p[f"{n}.distances"]
+            t = layers.knots(d if self.learn_knots else Var(d.value))
+            terms[n] = layers.basis(x[n].value[:, 0], t) @ p[f"{n}.spline"]
+            if train:
+                for weight, part in ((self.smooth_penalty, layers.roughness), (self.knot_penalty, lambda t, _: layers.closeness(t))):
+                    if weight:
+                        more = part(t, p[f"{n}.spline"]) * weight
+                        self.penalty = more if self.penalty is None else self.penalty + more
+        return terms
+
+    def learned_knots(self, name: str) -> np.ndarray:
+        """A feature's knots, on the scale that its block has (0 to 1 for ``normalization``)."""
+        return layers.knots(Var(self.params[f"{name}.distances"])).value
 
     def _trees(self) -> odst.Trees:
         columns = [i for i, n in enumerate(self.names) for _ in range(*self.slices[n])]
@@ -244,18 +287,25 @@ class NeuralModel:
                 terms[n] = x[n] @ p[f"linear.{n}.w"] + p[f"linear.{n}.b"]
         if self.kind == "nodegam":
             trees = self._trees()
-            layers, square = trees.forward(p, rows, self.temperature, rng, rng is not None)
+            grown, square = trees.forward(p, rows, self.temperature, rng, rng is not None)
             self.penalty = square * self.output_l2 if self.output_l2 else None
             if rng is not None:
-                each = concat(layers, 1)
+                each = concat(grown, 1)
                 if self.dropout:
                     each = each.dropped((rng.random((len(rows), each.value.shape[1], 1)) >= self.dropout) / (1 - self.dropout))
                 return {"trees": each.sum(1)}
             chosen = trees.chosen({k: v.value for k, v in p.items()})
-            each = concat(layers, 1).value
+            each = concat(grown, 1).value
             for name in sorted({":".join(c) for c in chosen}):
                 terms[name] = Var(each[:, [i for i, c in enumerate(chosen) if ":".join(c) == name]].sum(1))
             return terms
+        if self.kind == "spline":
+            terms = self._splines(p, x, rng is not None)
+        if self.kind == "trees":
+            for n in self.names:
+                terms[n] = layers.hard_trees(x[n].value, p[f"{n}.split"], p[f"{n}.leaf"]) * self.shrinkage
+        if self.custom:
+            terms = self.custom.forward(p, x, rng)
         if rng is not None and self.feature_dropout:
             terms = {n: v.dropped((rng.random((len(rows), 1)) >= self.feature_dropout) / (1 - self.feature_dropout)) for n, v in terms.items()}
         return terms

@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.plans.additive import AdditiveModel
-from terrace.plans.boosted import OneVsRest, TabulatedGam
+from terrace.plans.boosted import BoostedFamily, OneVsRest, TabulatedGam
 from terrace.plans.gam import Gam
 from terrace.plans.neural import NeuralModel
 from terrace.plans.preprocess import Preprocessor, as_frame
 
 __all__ = ["as_frame", "load_state", "map_chunks", "read", "save_state", "table", "training_batches"]
 
-Model = AdditiveModel | NeuralModel | TabulatedGam | OneVsRest | Gam
-_MODELS = {m.__name__: m for m in (AdditiveModel, NeuralModel, TabulatedGam, OneVsRest, Gam)}
+Model = AdditiveModel | NeuralModel | TabulatedGam | OneVsRest | BoostedFamily | Gam
+_MODELS = {m.__name__: m for m in (AdditiveModel, NeuralModel, TabulatedGam, OneVsRest, BoostedFamily, Gam)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
