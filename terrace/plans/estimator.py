@@ -20,6 +20,7 @@ from terrace.plans.boosted import BoostedFamily, OneVsRest, TabulatedGam
 from terrace.plans.layers import REGISTRY, Shape
 from terrace.plans.neural import KINDS, NeuralModel
 from terrace.plans.preprocess import Preprocessor
+from terrace.sources.shared import removed, written
 
 SHAPES: dict[str, tuple[type, dict[str, Any]]] = {
     "linreg": (AdditiveModel, {"shape": "linear"}), "snam": (AdditiveModel, {"shape": "spline"}), "gpnam": (AdditiveModel, {"shape": "gp", "ridge": 1e-3}),
@@ -27,6 +28,8 @@ SHAPES: dict[str, tuple[type, dict[str, Any]]] = {
     "nam": (NeuralModel, {"kind": "nam"}), "qnam": (NeuralModel, {"kind": "qnam"}), "nbm": (NeuralModel, {"kind": "nbm"}), "natt": (NeuralModel, {"kind": "natt"}),
     "namformer": (NeuralModel, {"kind": "namformer"}), "nodegam_soft": (NeuralModel, {"kind": "nodegam"}), "spline": (NeuralModel, {"kind": "spline"}), "oblique": (NeuralModel, {"kind": "trees", "num_trees": 64, "depth": 8}),
 }
+#: What shrinks effects of columns of many categories, as so many rows of effect 0; rounds of fits beside them at most.
+WIDE_RIDGE, WIDE_ROUNDS = 1.0, 12
 
 
 def register_shape(name: str, shape: Shape, **defaults: Any) -> None:
@@ -93,7 +96,15 @@ class Estimator:
             self.model = TabulatedGam(**{**self._model_params, "loss": loss}).fit(self._coded(train), "_y", num, cat)
             return self
         self.pre.fit(base, target, exclude)
-        self.model = self._model_type(**self._model_params)
+        self.model, self.wide, self.shift = self._model_type(**self._model_params), {}, {}
+        wide = [f.name for f in self.pre.features if f.kind == "cat" and f.state["categories"] is None]
+        if wide:
+            if self.task != "regression":
+                raise ValueError(f"columns of over {self.pre.literals} categories are fitted by squared error and by boosted shapes only: {wide}")
+            self.pre.features = [f for f in self.pre.features if f.name not in wide]
+            self.pre.vocabularies = {c: v for c, v in self.pre.vocabularies.items() if c not in wide}
+            self._backfit(train, val, wide)
+            return self
         if self._model_type is AdditiveModel:
             self.model.fit(self._coded(train), "_y", self.pre, self._family())
             return self
@@ -102,6 +113,41 @@ class Estimator:
         self.model.fit(enc, "_y", self.pre, self._family(), **extra)
         return self
 
+    def _backfit(self, train: DataFrame, val: DataFrame | None, wide: list[str]) -> None:
+        """Columns whose categories are too many for blocks have a table of effects each: the shape is fitted to what the tables leave, then each table to what everything else leaves (sums by category, shrunk by
+        ``WIDE_RIDGE``, which for a given rest is the least-squares solution with that ridge), until the squared error settles."""
+        if not self.pre.features:
+            raise ValueError("a fit needs a feature beside the columns of many categories")
+        error = float("inf")
+        for k in range(WIDE_ROUNDS):
+            left = self._joined(self._coded(train)).withColumn("_y", F.col("_y") - F.col("_wide"))
+            if self._model_type is AdditiveModel:
+                self.model.fit(left, "_y", self.pre, None)
+            else:
+                after = self._joined(self._coded(val)).withColumn("_y", F.col("_y") - F.col("_wide")) if val is not None else None
+                extra = {"validation": self.pre.transform(after, ("_y",))} if after is not None else {}
+                self.model.fit(self.pre.transform(left, ("_y",)), "_y", self.pre, None, go_on=k > 0, **extra)
+            for c in wide:
+                found = self._scored(self._coded(train))
+                rest = F.col("_y") - (F.col("output") - F.col(f"f_{c}") - self.shift[c] if c in self.wide else F.col("output"))
+                sums = found.where(F.col(c).isNotNull() & F.col("_y").isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n"), F.sum(rest).alias("s"))
+                sums = written(sums, "sums")
+                share = F.col("n") / (F.col("n") + WIDE_RIDGE)
+                mean = sums.agg(F.sum(F.col("s") / (F.col("n") + WIDE_RIDGE)) / F.sum(share)).first()[0] or 0.0  # so effects sum to nothing, as they do at the solution
+                old, self.wide[c] = self.wide.get(c), written(sums.select("value", "n", (F.col("s") / (F.col("n") + WIDE_RIDGE) - mean * share).alias("effect")), "effects")
+                self.shift[c] = float(mean)
+                removed(sums, *([old] if old is not None else []))
+            was, error = error, self._scored(self._coded(train)).agg(F.avg((F.col("_y") - F.col("output")) ** 2)).first()[0] or 0.0
+            if k and was - error <= 1e-7 * was:
+                return
+
+    def _joined(self, df: DataFrame) -> DataFrame:
+        """Adds ``f_<column>`` of the columns of many categories (0 for one that is not known) and ``_wide``, their sum and what they have in common."""
+        for c, table in self.wide.items():
+            own = table.select(F.col("value").alias("_value"), F.col("effect").alias(f"f_{c}"))
+            df = df.join(own, F.col(c).cast("string") == F.col("_value"), "left").drop("_value").fillna(0.0, subset=[f"f_{c}"])
+        return df.withColumn("_wide", sum((F.col(f"f_{c}") for c in self.wide), F.lit(sum(self.shift.values()))))
+
     def _prepare(self, df: DataFrame) -> None:
         pass
 
@@ -115,7 +161,15 @@ class Estimator:
 
     def contributions(self, df: DataFrame) -> DataFrame:
         """``df`` with ``f_<term>``, ``output`` and ``raw``."""
-        df = self._normed(df)
+        return self._scored(self._normed(df))
+
+    def _scored(self, df: DataFrame) -> DataFrame:
+        if getattr(self, "wide", None):
+            found = self._shaped(self._joined(df))
+            return found.withColumns({"output": F.col("output") + F.col("_wide"), "raw": F.transform("raw", lambda v: v + F.col("_wide"))}).drop("_wide")
+        return self._shaped(df)
+
+    def _shaped(self, df: DataFrame) -> DataFrame:
         if isinstance(self.model, OneVsRest | BoostedFamily):
             return self.model.transform(df)
         if self._model_type is TabulatedGam:
