@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.operators import encoders
+from terrace.sources.shared import removed, written
 
 MAX_CELLS = 4_000_000
 
@@ -78,6 +79,47 @@ def purify_table(pairs: DataFrame, steps: int = 4) -> DataFrame:
     return out.drop("m")
 
 
+def purify_converged(pairs: DataFrame, tol: float = 1e-3, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(pairs, axes): ``pairs`` (term, x1, x2, n, y) with weighted row and column means moved out until no mean exceeds ``tol``, and (term, axis, x, effect) of what was moved.
+
+    Only effects of the axes are iterated, each half round from the cells less the other axis's effects, and written; the cells are read, not rewritten. Every axis value has to have been observed.
+    """
+    cells = written(pairs, "cells")
+    axis = {a: written(cells.select("term", F.col(a).alias("x")).distinct().withColumn("effect", F.lit(0.0)), "axis") for a in ("x1", "x2")}
+    for _ in range(rounds):
+        moved = 0.0
+        for a, b in (("x1", "x2"), ("x2", "x1")):
+            other, own = axis[b].select("term", F.col("x").alias(b), F.col("effect").alias("_other")), axis[a].select("term", "x", F.col("effect").alias("_was"))
+            mean = cells.join(other, ["term", b]).groupBy("term", F.col(a).alias("x")).agg((F.sum((F.col("y") - F.col("_other")) * F.col("n")) / F.sum("n")).alias("effect"))
+            new = written(mean.join(own, ["term", "x"]).select("term", "x", "effect", F.abs(F.col("effect") - F.col("_was")).alias("move")), "axis")
+            moved = max(moved, new.agg(F.max("move")).first()[0] or 0.0)
+            removed(axis[a])
+            axis[a] = new
+        if moved <= tol:
+            break
+    u, w = (axis[a].select("term", F.col("x").alias(a), F.col("effect").alias(f"_{a}")) for a in ("x1", "x2"))
+    out = cells.join(u, ["term", "x1"]).join(w, ["term", "x2"]).select("term", "x1", "x2", "n", (F.col("y") - F.col("_x1") - F.col("_x2")).alias("y"))
+    both = [axis[a].select("term", F.lit(i).alias("axis"), "x", "effect") for i, a in enumerate(("x1", "x2"))]
+    return out, both[0].unionByName(both[1])
+
+
+def effect_frames(df: DataFrame, mains: dict[str, Column | None], pairs: dict[str, Column] | None = None, intercept: float = 0.0, tol: float = 1e-3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``effect_table`` has, as DataFrames of any size: (term, x, n, y) of centred mains, (term, x1, x2, n, y) of the observed cells of purified pairs, and the offset (y)."""
+    pairs = pairs or {}
+    involved = dict.fromkeys([*mains, *(f for t in pairs for f in t.split(":"))])
+    main = main_effects(df, {f: (F.col(f), mains.get(f)) for f in involved})
+    cells = pair_effects(df, {t: (*(F.col(f) for f in t.split(":")), c) for t, c in pairs.items()}) if pairs else df.sparkSession.createDataFrame([], "term string, x1 double, x2 double, n long, y double")
+    if pairs:
+        cells, axes = purify_converged(cells, tol)
+        feature = F.get(F.split("term", ":"), F.col("axis"))
+        moved = axes.groupBy(feature.alias("term"), "x").agg(F.sum("effect").alias("_moved"))
+        main = main.join(moved, ["term", "x"], "left").select("term", "x", "n", (F.col("y") + F.coalesce("_moved", F.lit(0.0))).alias("y"))
+    main = written(main, "mains")
+    mean = main.groupBy("term").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("_mean"))
+    offset = mean.agg((F.coalesce(F.sum("_mean"), F.lit(0.0)) + intercept).alias("y"))
+    return main.join(F.broadcast(mean), "term").select("term", "x", "n", (F.col("y") - F.col("_mean")).alias("y")), cells, offset  # a row a term
+
+
 def term_order(term: str, features: list[str]) -> float:
     """The place of a term in the table: the offset, features in order, then pairs by their first and second feature."""
     if term == "offset":
@@ -101,7 +143,7 @@ def effect_table(df: DataFrame, features: list[str], mains: dict[str, Column | N
         found = pair_effects(df, {t: (*(F.col(f) for f in t.split(":")), scale(c)) for t, c in pairs.items()})
         sizes = {t: len(tables[t.split(":")[0]]) * len(tables[t.split(":")[1]]) for t in pairs}
         if big := {t: s for t, s in sizes.items() if s > MAX_CELLS}:
-            raise ValueError(f"too many cells to purify on the driver (bin the features, or use purify_table): {big}")
+            raise ValueError(f"too many cells for a table on the driver (effect_frames has no bound): {big}")
         for t, cells in found.toPandas().groupby("term"):
             a, b = t.split(":")
             xa, xb = tables[a]["x"].to_numpy(), tables[b]["x"].to_numpy()

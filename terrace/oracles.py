@@ -164,6 +164,9 @@ d AS (SELECT x1, x2, coalesce(n, 0) AS n, coalesce(y, 0) AS y FROM g LEFT JOIN p
     "purify_pair": f"WITH {_C}, p0 AS (SELECT q AS x1, t AS x2, count(*) AS n, min(fqt) AS y, 0.0 AS r, 0.0 AS k FROM c GROUP BY q, t)"
     + "".join(f", a{i} AS (SELECT *, sum(y * n) OVER (PARTITION BY x1) / sum(n) OVER (PARTITION BY x1) AS m FROM p{i}), b{i} AS (SELECT x1, x2, n, y - m AS y, r + m AS r, k FROM a{i}), d{i} AS (SELECT *, sum(y * n) OVER (PARTITION BY x2) / sum(n) OVER (PARTITION BY x2) AS m FROM b{i}), p{i + 1} AS (SELECT x1, x2, n, y - m AS y, r, k + m AS k FROM d{i})" for i in range(4))
     + f' SELECT x1, x2, n, {_r("y")} AS y, {_r("r")} AS "row", {_r("k")} AS col FROM p4',
+    "purify_converged": f"WITH {_C}, p0 AS (SELECT q AS x1, t AS x2, count(*) AS n, min(fqt) AS y, 0.0 AS r, 0.0 AS k FROM c GROUP BY q, t)"
+    + "".join(f", a{i} AS (SELECT *, sum(y * n) OVER (PARTITION BY x1) / sum(n) OVER (PARTITION BY x1) AS m FROM p{i}), b{i} AS (SELECT x1, x2, n, y - m AS y, r + m AS r, k FROM a{i}), d{i} AS (SELECT *, sum(y * n) OVER (PARTITION BY x2) / sum(n) OVER (PARTITION BY x2) AS m FROM b{i}), p{i + 1} AS (SELECT x1, x2, n, y - m AS y, r, k + m AS k FROM d{i})" for i in range(12))
+    + f' SELECT x1, x2, n, {_r("y")} AS y FROM p12',
     "effect_histogram": f"WITH b AS (SELECT CAST(len(list_filter(list_transform(generate_series(1, 29), lambda k: k * 2.0), lambda e: e <= l_quantity)) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT bin, n, {_r('n / CAST(max(n) OVER () AS DOUBLE)')} AS shade FROM b",
     "effect_sorted_columns": f"SELECT 'l_quantity' AS \"column\", row_number() OVER (ORDER BY l_quantity) AS rank, {_r('l_quantity')} AS value FROM lineitem UNION ALL SELECT 'l_extendedprice', row_number() OVER (ORDER BY l_extendedprice), {_r('l_extendedprice')} FROM lineitem",
     "tree_terms": "WITH s AS (SELECT DISTINCT c_custkey % 40 AS tree, c_mktsegment AS feature FROM customer) SELECT DISTINCT term FROM (SELECT tree, string_agg(feature, ':' ORDER BY feature) AS term FROM s GROUP BY tree)",

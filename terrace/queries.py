@@ -536,6 +536,13 @@ def purify_pair(spark: SparkSession, d: str) -> DataFrame:
     return effects.purify_table(e, 4).select("x1", "x2", "n", r6(F.col("y")).alias("y"), r6(F.col("row")).alias("row"), r6(F.col("col")).alias("col"))
 
 
+@query
+def purify_converged(spark: SparkSession, d: str) -> DataFrame:
+    """Until no weighted row or column mean is left, in Spark."""
+    e = effects.pair_effects(_contributions(spark, d), {"q:d": (F.col("l_quantity"), F.col("l_discount"), F.col("fqt"))})
+    return effects.purify_converged(e, 1e-9)[0].select("x1", "x2", "n", r6(F.col("y")).alias("y"))
+
+
 @query
 def effect_histogram(spark: SparkSession, d: str) -> DataFrame:
     return effects.density(table(spark, d, "lineitem"), "l_quantity", 0.0, 60.0, 30).select(F.col("bin").cast("long").alias("bin"), "n", r6(F.col("shade")).alias("shade"))

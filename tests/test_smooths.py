@@ -159,3 +159,31 @@ def test_smoothing_is_at_the_best_of_a_grid(spark):
             other[j] = v
             assert best <= g.gcv(np.exp(other)) * (1 + 1e-9)
     assert all(best <= g.gcv([np.exp(v)] * 10) * (1 + 1e-9) for v in np.linspace(-16, 16, 129))
+
+
+def test_purification_until_it_settles(spark, monkeypatch):
+    """Unbalanced counts and cells that are missing: numpy's result; frames equal the table where that fits the driver, and need no bound."""
+    from terrace.operators import effects
+
+    rng = np.random.default_rng(9)
+    n = rng.integers(0, 6, (12, 9)) * (rng.random((12, 9)) < 0.6)
+    n[np.arange(12), np.arange(12) % 9] += 1
+    n[np.arange(9), np.arange(9)] += 1
+    y = rng.normal(size=n.shape)
+    rows = [("a:b", float(i), float(j), int(n[i, j]), float(y[i, j])) for i, j in zip(*np.nonzero(n), strict=True)]
+    cells, axes = effects.purify_converged(spark.createDataFrame(rows, "term string, x1 double, x2 double, n long, y double"), 1e-9)
+    want, u, w = effects.purify(np.where(n > 0, y, 0), n, 1e-9)
+    got = {(int(r["x1"]), int(r["x2"])): r["y"] for r in cells.collect()}
+    assert all(np.isclose(got[i, j], want[i, j], atol=1e-6) for i, j in got) and len(got) == (n > 0).sum()
+    effect = {(r["axis"], int(r["x"])): r["effect"] for r in axes.collect()}
+    assert np.isclose(effect[0, 3] + effect[1, 2], u[3] + w[2], atol=1e-6)
+    df = spark.createDataFrame([(float(i), float(j), float(y[i, j])) for i, j in zip(*np.nonzero(n), strict=True) for _ in range(n[i, j])], "a double, b double, e double")
+    options = ({"a": F.col("a") * 0.1, "b": None}, {"a:b": F.col("e")}, 2.0)
+    table = effects.effect_table(df, ["a", "b"], *options, tol=1e-9).set_index("feat_name")
+    monkeypatch.setattr(effects, "MAX_CELLS", 5)
+    with pytest.raises(ValueError, match="effect_frames"):
+        effects.effect_table(df, ["a", "b"], *options)
+    main, pair, offset = effects.effect_frames(df, *options, tol=1e-9)
+    assert np.isclose(offset.first()["y"], table.loc["offset", "y"][0], atol=1e-6)
+    assert np.allclose([r["y"] for r in main.where("term = 'a'").orderBy("x").collect()], table.loc["a", "y"], atol=1e-6)
+    assert pair.count() == (n > 0).sum()
