@@ -37,3 +37,20 @@ def test_a_hundred_thousand_categories(spark, shape, more):
     e = Regressor(shape, literals=20_000, **more).fit(df, "y")
     assert e.wide["c"].count() > 79_000
     assert e.evaluate(df)["mse"] < 3.0 < df.agg(F.var_pop("y")).first()[0]
+
+
+def test_epochs_are_shuffled_on_executors(spark, monkeypatch):
+    """The same order and batches whatever the partitions and ranges, another one each epoch, every row once; one row by its place."""
+    from terrace.sources import tables
+
+    df = spark.range(500).select((F.col("id") % 250).alias("a"), (F.col("id") % 3).alias("b"))
+    order = lambda d, epoch: [(r["a"], r["b"]) for r in tables.shuffled(d, epoch).orderBy("_index").collect()]
+    one = order(df, 0)
+    monkeypatch.setattr(tables, "RANGE_ROWS", 40)
+    assert order(df.repartition(7), 0) == one and order(df, 1) != one and sorted(order(df, 1)) == sorted(one)
+    indexed = tables.shuffled(df, 0)
+    assert sorted(r["_index"] for r in indexed.collect()) == list(range(500))
+    assert tuple(tables.row_at(indexed, 123).first())[:2] == one[123]
+    got = tables.map_batches(df, 64, lambda b: pd.DataFrame({"batch": b["_batch"][:1], "n": [len(b)], "first": b["a"][:1]}), "batch long, n long, first long", 0).orderBy("batch").collect()
+    assert [r["n"] for r in got] == [64] * 7 + [52] and [r["first"] for r in got] == [one[64 * k][0] for k in range(8)]
+    assert tables.shuffled(df.limit(0)).count() == 0
