@@ -4,8 +4,9 @@ Words are cut into shards of one language and about ``SHARD`` positions; between
 positions as a bitmap of which only the bytes with a bit are kept (block, bits). A phrase's bitmap marks where it ends: shifted by one and ANDed with a word's bitmap it marks where the longer phrase ends, and the bits that are set
 are its occurrences. Shards extend phrases depth first, a slice of first words at a time, so what a task holds is bounded by a slice and five levels. All words of a block are ANDed at once through an index by block.
 
-Only sums over all shards say what is frequent, so shards send their counts, and each hears back which of its own words, pairs and then runs of three are frequent; longer phrases are extended only where every run of three in
-them is. No list of frequent phrases is broadcast: an answer goes to a shard by a join on its number and is as large as what the shard sent. Counts are by the phrases' text, so they are exact.
+Only sums over all shards say what is frequent. Shards send their counts by the phrases' text, so sums are exact, first of words, then of pairs, of runs of three, and of longer phrases; what is frequent comes back as a filter of
+fixed size (``FILTER`` bits a level, ORed together in tasks), and a phrase is extended only where it, and every run of up to three words in it, passes. A filter may let more pass, never less: what is not
+frequent falls out at the sums, and where there are more frequent phrases than the filter tells apart, more is counted and nothing is lost. Shards stay where they are written.
 
 Nulls: a null text has no words, a null language is ``und``, together with rows that say so. Repeated rows count as often as they are there. An empty table gives an empty result; columns other than text and lang are not read. A text
 of any length is worked on whole: one that is larger than a shard is cut between pieces, and a piece is never cut.
@@ -13,6 +14,7 @@ of any length is worked on whole: one that is larger than a shard is cut between
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +28,15 @@ from terrace.llm import words
 from terrace.llm.common import chunks, drop, lists, stage
 
 SHARD, LEAST, LONGEST, TOP = 1 << 20, 100, 5, 2000
-#: Entries of bitmaps that are extended at a time.
-SLICE = 1 << 18
+#: Entries of bitmaps that are extended at a time; bits of a filter, as a power of two, and how many a phrase sets.
+SLICE, FILTER, MARKS = 1 << 15, 26, 3
 #: Bytes that end a piece: ``[.,;:!?\x0A-\x0D]``; bytes that end a word without ending a piece: blank and tab.
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORD = ~ENDS
 WORD[[0x20, 0x09]] = False
+_NOT_BLANK = np.ones(256, bool)
+_NOT_BLANK[0x20] = False
 _SHARD = "lang string, shard long, total long, words array<string>, counts array<long>, entries binary, block binary, bits binary"
 
 
@@ -107,37 +111,82 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SHARD)
 
 
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+
+
+def _hashes(text: pa.Array) -> np.ndarray:
+    """A hash of each word."""
+    got = [words.hashes(buf, off[:-1], off[1:]) for _, _, buf, off in chunks(text, 1 << 62)]
+    return got[0] if got else np.zeros(0, np.uint64)
+
+
+def _chained(hashes: list[np.ndarray], seed: np.uint64 | np.ndarray) -> np.ndarray:
+    """A hash of phrases from those of their words, a column a word."""
+    out = words.mix(np.zeros(len(hashes[0]), np.uint64) + seed + np.uint64(len(hashes)))
+    for h in hashes:
+        out = words.mix(out * np.uint64(words._BASES[0]) + h)
+    return out
+
+
+class Filter:
+    """A set of hashes of fixed size that may hold more than was put in."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.size = bits, len(bits).bit_length() + 5
+
+    @staticmethod
+    def places(h: np.ndarray, size: int) -> np.ndarray:
+        return np.concatenate([words.mix(h + np.uint64(k)) >> np.uint64(64 - size) for k in range(MARKS)])
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = self.places(h, self.size)
+        return ((self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).reshape(MARKS, -1).all(0)
+
+    @classmethod
+    def of(cls, frequent: DataFrame, length: int, size: int) -> Filter:
+        """Of (lang, phrase), phrases of ``length`` words, with 2^``size`` bits."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                langs = batch.column("lang").to_pylist()
+                seeds = {x: _seed(x) for x in set(langs)}
+                for lo, hi, buf, off in chunks(batch.column("phrase")):
+                    starts, ends, _ = words.spans(buf, off, _NOT_BLANK)
+                    h = words.hashes(buf, starts, ends).reshape(-1, length)
+                    at = Filter.places(_chained(list(h.T), np.array([seeds[x] for x in langs[lo:hi]], np.uint64)), size)
+                    yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["at", "bit"])
+
+        got = frequent.select("lang", "phrase").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^size bits at most
+        bits = np.zeros(1 << size - 6, np.uint64)
+        bits[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+        return cls(bits)
+
+
 class _Vertical:
-    """A shard's bitmaps of the words that ``known`` phrases have, and an index of them by block."""
+    """A shard's bitmaps of the words that may be frequent, and an index of them by block. ``filters`` holds what is known of phrases of 1, 2, .. words; those of up to ``known`` words are counted already."""
 
-    def __init__(self, row: dict[str, np.ndarray], known: np.ndarray) -> None:
-        self.length = known.shape[1]
-        use = np.zeros(len(row["entries"]), bool)
-        use[known.ravel()] = True
+    def __init__(self, row: dict[str, np.ndarray], hashes: np.ndarray, seed: np.uint64, filters: list[Filter], known: int) -> None:
+        self.filters, self.known, self.seed = filters, known, seed
+        use = filters[0].has(_chained([hashes], seed))
         self.ids = np.flatnonzero(use)
+        self.hashes = hashes[self.ids]
         keep = np.repeat(use, row["entries"])
         self.cut = np.append(0, np.cumsum(row["entries"][self.ids]))
         self.block, self.bits = row["block"][keep], row["bits"][keep]
-        number = np.cumsum(use) - 1
         self.word = np.repeat(np.arange(len(self.ids)), row["entries"][self.ids]).astype(np.int32)
         by = np.argsort(self.block, kind="stable")
         self.by = by.astype(np.int32)
         self.blocks = int(self.block.max()) + 1 if len(self.block) else 0
         self.first = np.searchsorted(self.block[by], np.arange(self.blocks + 1)).astype(np.int64)
-        self.prefixes = [np.unique(self.keys(number[known[:, :j]])) for j in range(1, self.length + 1)]
-
-    def keys(self, path: np.ndarray) -> np.ndarray:
-        """One number for a phrase of at most three words."""
-        out = path[:, 0].astype(np.int64)
-        for j in range(1, path.shape[1]):
-            out = out * (len(self.ids) + 1) + path[:, j]
-        return out
 
     def wanted(self, path: np.ndarray) -> np.ndarray:
-        """Which phrases may be frequent: beginnings of known ones, then those that end in a known one."""
-        j = min(path.shape[1], self.length)
-        known, key = self.prefixes[j - 1], self.keys(path[:, -j:])
-        return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+        """Which phrases may be frequent, by their last words."""
+        j = min(path.shape[1], len(self.filters))
+        return self.filters[j - 1].has(self.key(path[:, path.shape[1] - j :]))
+
+    def key(self, path: np.ndarray) -> np.ndarray:
+        return _chained([self.hashes[c] for c in path.T], self.seed)
 
     def extended(self, cut: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
         """Bitmaps shifted by one position and ANDed with those of all words: phrase, word, and the bitmaps' bounds, blocks, bits and popcounts."""
@@ -164,65 +213,56 @@ class _Vertical:
             b = max(a + 1, int(np.searchsorted(cut, cut[a] + SLICE, "right")) - 1)
             owner, word, inner, where, what, count = self.extended(cut[a : b + 1] - cut[a], block[cut[a] : cut[b]], bits[cut[a] : cut[b]])
             more = np.column_stack([path[a:b][owner], word])
-            keep = self.wanted(more) if self.length > 1 and len(more) else np.ones(len(more), bool)
-            if more.shape[1] > self.length:
-                yield self.ids[more[keep]], count[keep]
+            keep = self.wanted(more) if len(self.filters) > 1 and len(more) else np.ones(len(more), bool)  # words are known to be frequent
+            if more.shape[1] > self.known:
+                yield more[keep], count[keep]
             if more.shape[1] < upto and keep.any():
                 entry = np.repeat(keep, np.diff(inner))
                 yield from self.grow(more[keep], np.append(0, np.cumsum(np.diff(inner)[keep])), where[entry], what[entry], upto)
             a = b
 
     def phrases(self, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        path = np.arange(len(self.ids))[:, None]
-        keep = self.wanted(path)
-        entry = np.repeat(keep, np.diff(self.cut))
-        yield from self.grow(path[keep], np.append(0, np.cumsum(np.diff(self.cut)[keep])), self.block[entry], self.bits[entry], upto)
-
-
-def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    """Of (lang, phrase, shard, ids, n) the rows whose phrase has ``least`` occurrences over all shards, with their number as f."""
-    whole = F.sum("n").over(Window.partitionBy("lang", "phrase"))
-    return stage(counts.withColumn("f", whole).where(F.col("f") >= least).select("lang", "phrase", "shard", "ids", "f"), "frequent")
+        yield from self.grow(np.arange(len(self.ids))[:, None], self.cut, self.block, self.bits, upto)
 
 
-def _longer(table: DataFrame, frequent: DataFrame, length: int, upto: int) -> DataFrame:
-    """(lang, phrase, shard, ids, n): what the shards count of phrases of ``length`` + 1 to ``upto`` words, when they know which of ``length`` words are frequent."""
+def _longer(table: DataFrame, filters: list[Filter], known: int, upto: int) -> DataFrame:
+    """(lang, phrase, n): what each shard counts of phrases of ``known`` + 1 to ``upto`` words that pass the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, shard = batch.column("lang")[i].as_py(), batch.column("shard")[i].as_py()
+                lang, text = batch.column("lang")[i].as_py(), batch.column("words")[i].values
                 row = {c: np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("entries", np.int32), ("block", np.int32), ("bits", np.uint8))}
-                known = batch.column("known")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
-                text = batch.column("words")[i].values
-                for path, count in _Vertical(row, known).phrases(upto):
+                shard = _Vertical(row, _hashes(text), _seed(lang), filters, known)
+                for path, count in shard.phrases(upto):
                     for a in range(0, len(path), 1 << 16):
-                        part = path[a : a + (1 << 16)]
+                        part = shard.ids[path[a : a + (1 << 16)]]
                         phrase = pc.binary_join_element_wise(*(text.take(pa.array(part[:, j])) for j in range(part.shape[1])), " ")
-                        ids = lists(part.ravel().astype(np.int32), np.full(len(part), part.shape[1]))
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), phrase, pa.array(np.full(len(part), shard)), ids, pa.array(count[a : a + len(part)])], ["lang", "phrase", "shard", "ids", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), phrase, pa.array(count[a : a + len(part)])], ["lang", "phrase", "n"])
 
-    answer = frequent.groupBy("shard").agg(F.collect_list("ids").alias("known"))  # at most what the shard sent
-    rows = table.select("lang", "shard", "words", "entries", "block", "bits").join(answer, "shard")
-    return rows.select("lang", "shard", "words", "entries", "block", "bits", "known").mapInArrow(run, "lang string, phrase string, shard long, ids array<int>, n long")
+    return table.select("lang", "words", "entries", "block", "bits").mapInArrow(run, "lang string, phrase string, n long")
 
 
-def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = SHARD, filter_bits: int = FILTER) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) for every phrase of up to ``longest`` words with ``least`` occurrences in its language or more, and (lang, n) of all words."""
     table = stage(shards(docs, size), "shards")
     totals = stage(table.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
-    each = table.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "w")).select("lang", F.col("w.words").alias("phrase"), "shard", F.array("no").alias("ids"), F.col("w.counts").alias("n"))
-    levels = [_frequent(each, least)]
-    for length in range(1, min(longest, 3)):
-        levels.append(_frequent(_longer(table, levels[-1], length, length + 1), least))
-    tables = [x.groupBy("lang", "phrase").agg(F.first("f").alias("f")) for x in levels]
-    if longest > 3:
-        tables.append(_longer(table, levels[-1], 3, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    whole = tables[0]
-    for x in tables[1:]:
+    each = table.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
+    levels, filters = [], []
+    while True:
+        each = each.repartition("lang", "phrase")  # shards have added up what is theirs: a second table in the same tasks would only hold memory
+        levels.append(stage(each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent"))
+        length = len(levels)
+        if length > 3 or length == longest:
+            break
+        filters.append(Filter.of(levels[-1], length, filter_bits))
+        each = _longer(table, list(filters), length, length + 1 if length < 3 else longest)
+    drop(table)
+    whole = levels[0]
+    for x in levels[1:]:
         whole = whole.unionByName(x)
     out = stage(whole.select("lang", "phrase", F.size(F.split("phrase", " ", -1)).alias("k"), "f"), "phrases")
-    drop(table, *levels)
+    drop(*levels)
     return out, totals
 
 
@@ -230,9 +270,9 @@ def _part(a, n):  # noqa: ANN001, ANN202  columns
     return F.array_join(F.slice("w", a, n), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, size: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, size: int = SHARD, filter_bits: int = FILTER) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of two words or more by their weakest cut, without those that occur inside a longer one as often as alone."""
-    known, totals = counted(docs, least, longest, size)
+    known, totals = counted(docs, least, longest, size, filter_bits)
     several = known.where("k > 1").withColumn("w", F.split("phrase", " ", -1))
     cuts = several.select("lang", "phrase", F.col("f").alias("a"), "w", "k", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     cuts = cuts.select("lang", "phrase", "a", "cut", _part(F.lit(1), F.col("cut")).alias("left"), _part(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("right"))
@@ -246,7 +286,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     inner = inner.groupBy("lang", "phrase").agg(F.max("f").alias("inside"))
     left = stage(weakest.join(inner, ["lang", "phrase"], "left").where("inside IS NULL OR inside < a").select("lang", "phrase", "a", "m.l", "m.r", "n", "m.score"), "scored")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    part = F.pmod(F.xxhash64("phrase"), F.lit(64))  # a language's candidates meet in one task as ``top`` rows a part
     first = left.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("at") <= top)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     drop(known, totals)

@@ -160,16 +160,20 @@ def meeting_pairs(row: np.ndarray, at: np.ndarray, terms: int, y: np.ndarray, p:
         column += np.bincount(at[lo : lo + (1 << 20)], mark[row[lo : lo + (1 << 20)]], terms)
     column[~often] = -1
     alike, number = np.unique(column, return_inverse=True)  # equal for terms of the same texts
-    number = np.where(often, number - (not often.all()), -1)
+    number = np.where(often, number - (not often.all()), -1).astype(np.int32)
     size = len(alike) - (not often.all())
-    held = number[at]
-    keep = held >= 0
-    held, owner = held[keep], row[keep]
-    by = np.unique(held.astype(np.int64) * len(y) + owner)  # a group once a text
-    held, owner = by // len(y), by % len(y)
-    cut = np.searchsorted(held, np.arange(size + 1))
+    keep = np.flatnonzero(often[at])
+    by = number[at[keep]].astype(np.int64)  # entries are many: in place, and what is done with goes
+    by *= len(y)
+    by += row[keep]
+    del keep
+    by.sort()
+    by = by[np.append(True, by[1:] != by[:-1])]  # a group once a text
+    cut, owner = np.searchsorted(by, np.arange(size + 1) * len(y)), (by % len(y)).astype(np.int32)
+    by //= len(y)
     order = np.argsort(owner, kind="stable")
-    of, first = held[order], np.searchsorted(owner[order], np.arange(len(y) + 1))
+    of, first = by[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(y) + 1))
+    del by, order
 
     def others(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = first[texts + 1] - first[texts]

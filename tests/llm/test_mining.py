@@ -235,14 +235,21 @@ def test_slices_change_nothing(spark, monkeypatch):
     rows = phrase_rows()
     row = next(r for r in phrases.shards(spark.createDataFrame(rows, "lang string, text string").coalesce(1)).collect() if r["lang"] == "en")
     bitmaps = {c: np.frombuffer(bytes(row[c]), t) for c, t in (("entries", np.int32), ("block", np.int32), ("bits", np.uint8))}
-    known = np.arange(len(row["words"]))[:, None]
+    every = phrases.Filter(np.full(1 << 10, np.iinfo(np.uint64).max))
+    hashes = phrases._hashes(pa.array(row["words"]))
     found = []
     for most in (1 << 18, 7):
         monkeypatch.setattr(phrases, "SLICE", most)
-        found.append(sorted((tuple(p), int(n)) for path, count in phrases._Vertical(bitmaps, known).phrases(4) for p, n in zip(path.tolist(), count, strict=True)))
+        found.append(sorted((tuple(p), int(n)) for path, count in phrases._Vertical(bitmaps, hashes, phrases._seed("en"), [every], 1).phrases(4) for p, n in zip(path.tolist(), count, strict=True)))
     assert found[0] == found[1] and len(found[0]) > 100
 
 
+def test_filters_change_nothing(spark):
+    """A filter so small that it lets nearly all pass."""
+    rows = phrase_rows()
+    assert sorted(map(tuple, phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5, filter_bits=7).collect())) == collocations_by_force(rows, 5)
+
+
 def test_scores_pass_64_bits(spark):
     """Counts of 10^9 as a table would have them: 1000 * a * n is beyond 64 bits, and the quotient is exact."""
     row = spark.sql("select (cast(1000 * a as decimal(20,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as s from values (3000000007L, 90000000000011L, 4000000009L, 5000000029L) as t(a, n, l, r)").first()
@@ -257,3 +264,70 @@ def test_sql_on_odd_rows(spark, tmp_path, name):
     narrow = frame[frame["text"].str.len().fillna(0) < 15_000]
     spark.createDataFrame(narrow, "doc_id long, text string, lang string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     same(QUERIES[name](spark, str(tmp_path)).toPandas(), run_sql("/root/testdata/sf0.001", ORACLES[name], documents=narrow))
+
+
+# ---- bounds of the earlier operators
+
+
+@pytest.mark.parametrize("frequent", [2500, 5000])
+def test_toxic_pair_of_rare_terms(frequent):
+    """Two terms of some 120 texts each that are harmless alone and toxic together, behind thousands of more frequent ones, are learnt."""
+    from terrace.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    n = 6000
+    y = (rng.random(n) < 0.1).astype(float)
+    texts = [np.flatnonzero(rng.random(frequent) < 0.025) for _ in range(n)]  # about 150 texts each
+    a, b = frequent, frequent + 1
+    both, only_a, only_b = np.arange(12), np.arange(12, 120), np.arange(120, 228)
+    y[both], y[only_a], y[only_b] = 1, rng.random(108) < 0.02, rng.random(108) < 0.02
+    for rows, more in ((both, [a, b]), (only_a, [a]), (only_b, [b])):
+        for i in rows:
+            texts[i] = np.append(texts[i], more)
+    m = toxicity.fit([t.astype(np.int32) for t in texts], y)
+    assert {a, b} <= set(m.slots.tolist())
+    at = {s: i for i, s in enumerate(m.slots.tolist())}
+    score = lambda ids: toxicity.raw(m, np.zeros(len(ids), np.int64), np.array([at[i] for i in ids]), 1)[0]
+    assert score([a, b]) > max(score([a]), score([b])) + 1
+
+
+def test_repeated_labelled_rows_are_bounded(spark):
+    from terrace.llm import toxicity
+
+    rows = [(i, f"nice text number {i}") for i in range(1, 60)] + [(7, f"other text {k}") for k in range(500)] + [(8, "same text")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1, 60)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda texts, y: seen.append(len(texts)) or fit(texts, y)
+        toxicity.train(docs, labels, sample=50)
+    finally:
+        toxicity.fit = fit
+    assert seen[0] <= 50 * 1.5 * 1.5 + 2 * 50
+
+
+def test_decontamination_holds_one_block(spark):
+    """A benchmark of many blocks: no plan has more than one block's Python stages, and hits equal those of one block."""
+    from terrace.llm import decontam
+
+    rng = random.Random(4)
+    item = lambda k: " ".join(f"w{rng.randrange(500)}" for _ in range(40))
+    items = [(k, item(k)) for k in range(60)]
+    docs = spark.createDataFrame([(i % 30, " ".join([item(0), items[i % 60][1][:120] if i % 3 else "", item(1)])) for i in range(90)] + [(None, None), (1, "")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (decontam.contamination(docs, bench, block_bytes=b) for b in (1 << 23, 700))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2
+    key = lambda df: sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_words"], r["n_hit"], str(r["hit_spans"]), r["item_ids"]) for r in df.collect())
+    assert key(one) == key(many) and sum(r[3] > 0 for r in key(one)) > 20
+
+
+def test_groups_are_bounded_in_bytes(monkeypatch):
+    from terrace.llm import substring
+
+    monkeypatch.setattr(substring, "GROUP_BYTES", 1000)
+    monkeypatch.setattr(substring.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    batch = pa.RecordBatch.from_pydict({"i": list(range(10)), "text": ["x" * n for n in (10, 2000, 10, 500, 480, 30, 0, 990, 1, 1)]})
+    got = [x - (3 << 32) for b in substring._dealt(iter([batch.slice(0, 4), batch.slice(4)])) for x in b.column("grp").to_pylist()]
+    assert got == [0, 1, 2, 2, 2, 3, 3, 4, 4, 4]
