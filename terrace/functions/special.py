@@ -83,15 +83,15 @@ def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
 
 
 def normal_quantile(p: Column) -> Column:
-    """The inverse of ``normal_cdf`` on (0, 1): a rational approximation and one Halley step."""
-    low = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
-    tail = _horner(low, _C) / _horner(low, _D)
-    r = (p - 0.5) * (p - 0.5)
-    middle = (p - 0.5) * _horner(r, _A) / _horner(r, _B)
-    x = F.when(p < 0.02425, tail).when(p > 1 - 0.02425, -tail).otherwise(middle)
-
-    def refined(x: Column) -> Column:
+    """The inverse of ``normal_cdf`` on (0, 1): a rational approximation and one Halley step. ``p`` is computed once a row."""
+
+    def start(p: Column) -> Column:
+        tail = let(F.sqrt(-2 * F.ln(F.least(p, 1 - p))), lambda low: _horner(low, _C) / _horner(low, _D))
+        middle = let((p - 0.5) * (p - 0.5), lambda r: (p - 0.5) * _horner(r, _A) / _horner(r, _B))
+        return F.when(p < 0.02425, tail).when(p > 1 - 0.02425, -tail).otherwise(middle)
+
+    def refined(p: Column, x: Column) -> Column:
         u = (normal_cdf(x) - p) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
-        return x - u / (1 + x * u / 2)
+        return let(u, lambda u: x - u / (1 + x * u / 2))
 
-    return let(x, refined)
+    return let(p, lambda p: let(start(p), lambda x: refined(p, x)))

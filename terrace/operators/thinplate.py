@@ -112,6 +112,9 @@ class ThinPlate:
     def with_effect(self, df: DataFrame, xs: list[Column], coefficients: np.ndarray, name: str) -> DataFrame:
         return df.withColumn(name, self.effect(xs, coefficients))
 
+    def with_basis(self, df: DataFrame, xs: list[Column], name: str) -> DataFrame:
+        return df.withColumn(name, self.column(xs))
+
     def at_knots(self, df: DataFrame, columns: list[str]) -> DataFrame:
         """(columns, basis) of the distinct rows: what a fit joins its rows with, in place of u radial functions a row."""
         rows = [(*map(float, x), list(map(float, b))) for x, b in zip(self.knots, self.basis, strict=True)]
@@ -382,6 +385,14 @@ def fit(df: DataFrame, columns: list[str], k: int = 10, order: int = 2, local: i
     return ThinPlate(rows[:, :-1], k, order, rows[:, -1])
 
 
+def at_rows(smooth: ThinPlate | TiledThinPlate, df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Adds the basis at rows of the fit, by a join with the distinct rows; NULL at any other row."""
+    names = [f"_at_{name}_{i}" for i in range(len(columns))]
+    known = smooth.at_knots(df, names).withColumnRenamed("basis", name)
+    same = [F.col(c).cast("double") == F.col(n) for c, n in zip(columns, names, strict=True)]
+    return df.join(known, same, "left").drop(*names)
+
+
 def plot_grid(smooth: ThinPlate | TiledThinPlate, df: DataFrame, columns: list[str], coefficients: np.ndarray, points: int | None = None) -> DataFrame:
     """(columns, effect) on an even grid over the knots' extent: 1,000 points of one dimension, 50 x 50 of two, as many a side for more."""
     d = len(columns)

@@ -89,11 +89,8 @@ class Plate:
         self.smooth = thinplate.fit(df, self.columns, self.k, self.order, self.local, self.tile)
 
     def part(self, df: DataFrame, j: int) -> Part:
-        names = [f"_knot{j}_{i}" for i in range(len(self.columns))]
-        known = self.smooth.at_knots(df, names).withColumnRenamed("basis", f"_basis{j}")
-        same = [F.col(c).cast("double") == F.col(n) for c, n in zip(self.columns, names, strict=True)]
         width = self.width
-        return df.join(known, same, "left").drop(*names), {f"b{j}": F.col(f"_basis{j}")}, lambda batch: _matrix(batch.column(f"b{j}"), width)
+        return thinplate.at_rows(self.smooth, df, self.columns, f"_basis{j}"), {f"b{j}": F.col(f"_basis{j}")}, lambda batch: _matrix(batch.column(f"b{j}"), width)
 
     def with_effect(self, df: DataFrame, values: np.ndarray, name: str) -> DataFrame:
         return self.smooth.with_effect(df, [F.col(c) for c in self.columns], values, name)

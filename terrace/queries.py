@@ -196,7 +196,7 @@ def thin_plate_basis(spark: SparkSession, d: str) -> DataFrame:
     """Absolute basis sums of a bivariate thin-plate basis (signs of eigenvectors are free)."""
     df = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10_000).alias("x"), (F.col("s_nationkey") / 25.0).alias("y"))
     s = thinplate.fit(df, ["x", "y"], 6, 2)
-    return _long(df, ["s_suppkey"], F.transform(s.column([F.col("x"), F.col("y")]), F.abs))
+    return _long(thinplate.at_rows(s, df, ["x", "y"], "basis"), ["s_suppkey"], F.transform("basis", F.abs))
 
 
 @query

@@ -12,6 +12,7 @@ from terrace.operators.splines import scale_penalty, sum_to_zero
 from terrace.plans.gam import Gam
 from terrace.plans.region import RegionGam
 from terrace.plans.smooths import Cubic, Plate, Region
+from terrace.queries import QUERIES
 
 
 def in_order(rows, d):
@@ -51,6 +52,18 @@ def test_evaluation_in_several_passes(spark, monkeypatch):
     assert len(s._groups()) == 4 and np.allclose(run(), one, atol=1e-9)
 
 
+def test_thin_plate_query_beyond_the_driver(spark, tmp_path):
+    """More distinct rows than the driver decomposes: the query's rows are those of numpy."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"s_suppkey": np.arange(2300), "s_acctbal": np.round(rng.uniform(-999, 9999, 2300), 2), "s_nationkey": rng.integers(0, 25, 2300)})
+    spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/supplier.parquet")
+    x = np.stack([pdf.s_acctbal / 10_000, pdf.s_nationkey / 25.0], 1)
+    knots, at, n = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    assert len(knots) > thinplate.LOCAL
+    found = QUERIES["thin_plate_basis"](spark, str(tmp_path)).toPandas().sort_values(["s_suppkey", "pos"])["value"].to_numpy().reshape(-1, 6)
+    assert np.allclose(found, np.abs(thinplate.ThinPlate(knots, 6, 2, n).basis[at.ravel()]), atol=2e-6)
+
+
 def penalised(y, blocks, lambdas):
     """Fitted values and hat matrix of an intercept and centred blocks (basis, penalty)."""
     z, at, parts = [np.ones((len(y), 1))], 1, []
