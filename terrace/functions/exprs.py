@@ -199,7 +199,10 @@ def interpolate(x: Column, at: list[float], to: list[float]) -> Column:
         return F.when(x.isNotNull(), F.lit(to[0]))
     points = F.array(*map(F.lit, at))
     values = F.array(*map(F.lit, to))
-    j = F.size(F.filter(points, lambda e: e <= x))
-    lo, hi = F.get(points, j - 1), F.get(points, j)
-    a, b = F.get(values, j - 1), F.get(values, j)
-    return F.when(x.isNull(), None).when(j == 0, F.lit(to[0])).when(j >= len(at), F.lit(to[-1])).otherwise(a + (b - a) * (x - lo) / (hi - lo))
+
+    def between(x: Column, j: Column) -> Column:
+        lo, hi = F.get(points, j - 1), F.get(points, j)
+        a, b = F.get(values, j - 1), F.get(values, j)
+        return F.when(x.isNull(), None).when(j == 0, F.lit(to[0])).when(j >= len(at), F.lit(to[-1])).otherwise(a + (b - a) * (x - lo) / (hi - lo))
+
+    return let(x, lambda x: let(F.size(F.filter(points, lambda e: e <= x)), lambda j: between(x, j)))

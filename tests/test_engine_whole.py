@@ -136,3 +136,14 @@ def test_noise_of_quantiles_is_repeatable(spark):
     z = np.array([v[0] for v in out["num_x"]])
     assert (np.diff(z) >= -1e-9).all() and abs(z.mean()) < 0.2 and 0.7 < np.clip(z, -3, 3).std() < 1.3
     assert Preprocessor.from_json(states[0].to_json()).features[0].state["quantiles"] == states[0].features[0].state["quantiles"]
+
+
+def test_normal_quantiles_compute_their_input_once(spark, tiny):
+    """The place of a value among the quantiles is worked out once a row, not wherever the approximation names it."""
+    from statistics import NormalDist
+
+    df = QUERIES["quantile_normal"](spark, tiny)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("c_acctbal") < 20
+    x = spark.read.parquet(f"{tiny}/customer.parquet").select("c_custkey", "c_acctbal").toPandas().sort_values("c_custkey")["c_acctbal"].to_numpy()
+    u = np.interp(x, np.quantile(x, np.linspace(0, 1, 21)), np.linspace(0, 1, 21)).clip(1e-7, 1 - 1e-7)
+    assert np.allclose(df.toPandas().sort_values("c_custkey")["z"], [NormalDist().inv_cdf(v) for v in u], atol=2e-6)
