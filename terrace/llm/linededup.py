@@ -10,8 +10,9 @@ taken out. What happens to the chunks:
 3. places are grouped by bytes. Everywhere but in the first place (smallest document, then first in it) a chunk goes, and with it the
    neighbouring lines that are byte for byte those of the first place: so a repeat also loses what lies before its first boundary and after its last.
 
-``without_repeated_runs``, which the pipeline uses, has no boundaries: every pair of neighbouring lines is counted, by two 64-bit hashes, and
-the lines of a pair go wherever it is not the pair's first place. That is every line of a run of two or more that an earlier place has.
+``without_repeated_runs``, which the pipeline uses, takes what the chunks find and then looks exactly at what they cannot settle, repeats that hold no whole chunk: the pairs of neighbouring lines
+that no repeat found by chunks covers are counted, by two 64-bit hashes, and the lines of a pair go wherever it is not the pair's first place. Together that is every line of a run of two or more that an earlier place has
+(a covered pair has an earlier place, so a pair's first place is never covered and the others need not be looked at).
 
 A hot chunk meets in one task as one row a task; its places are found by joins with written tables, which adaptive execution splits. Texts join
 what is found about them by sorting both sides, which spills, at every size: neither a table in memory nor a plan that changes with the input.
@@ -67,8 +68,8 @@ def _alike(x: Column, y: Column) -> Column:
     return F.when(n > 0, F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(x, i - 1) != F.get(y, i - 1))) - 1, n)).otherwise(0)
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_ld_doc, _ld_tag, _ld_gone): for every row with lines to remove, their numbers (from 1)."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_ld_doc, _ld_tag, a, b): first and last line (from 1) of each repeated chunk with the lines around it that are repeated too, wherever it is not in its first place."""
     docs = docs.select("doc_id", "text")
     whole = F.transform(F.filter("_ld_chunks", lambda c: c["b"] > c["a"]), lambda c: F.struct(c["no"].alias("no"), F.xxhash64(F.array_join(_lines(c), "\n")).alias("hash")))
     hashes = stage(_chunked(docs, window).select("_ld_doc", "_ld_tag", F.explode(whole).alias("c")).select("_ld_doc", "_ld_tag", "c.no", "c.hash"), "hashes")
@@ -84,10 +85,27 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = places.groupBy("hash", "bytes").agg(F.min(F.struct(*(F.col(c).alias(c) for c in ("_ld_doc", "_ld_tag", "no", "before", "after")))).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stage(first.select("hash", "bytes", F.struct("first._ld_doc", "first._ld_tag", "first.no").alias("first"), F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after")), "first")
     gone = places.join(first, ["hash", "bytes"]).where(here != F.col("first"))
-    span = F.sequence(F.col("at.a") - _alike(F.col("before"), F.col("first_before")), F.col("at.b") + _alike(F.col("after"), F.col("first_after")))
-    gone = gone.select("_ld_doc", "_ld_tag", F.explode(span).alias("line")).groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("line").alias("_ld_gone"))
-    gone = stage(gone, "lines")
+    before, after = _alike(F.col("before"), F.col("first_before")), _alike(F.col("after"), F.col("first_after"))
+    spans = stage(gone.select("_ld_doc", "_ld_tag", (F.col("at.a") - before).alias("a"), (F.col("at.b") + after).alias("b")), "spans")
     drop(hashes, often, held, places, first)
+    return spans
+
+
+def _numbers(numbered: DataFrame, name: str) -> DataFrame:
+    """The distinct numbers in column ``line`` of each row key, as an array."""
+    return numbered.groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("line").alias(name))
+
+
+def _of_spans(spans: DataFrame) -> DataFrame:
+    """(_ld_doc, _ld_tag, line) of spans."""
+    return spans.select("_ld_doc", "_ld_tag", F.explode(F.sequence("a", "b")).alias("line"))
+
+
+def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_ld_doc, _ld_tag, _ld_gone): for every row with lines to remove, their numbers (from 1)."""
+    spans = repeated_spans(docs, window)
+    gone = stage(_numbers(_of_spans(spans), "_ld_gone"), "lines")
+    drop(spans)
     return gone
 
 
@@ -106,23 +124,34 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return _without(docs, repeated_lines(docs, window))
 
 
-def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """(_ld_doc, _ld_tag, _ld_gone): for every row with pairs of lines that an earlier place has, the numbers of their lines (from 1)."""
-    lines = _keyed(docs.select("doc_id", "text")).where(F.size("_ld_lines") > 1)
+def _pairs_left(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(_ld_doc, _ld_tag, line): the first lines of the pairs of neighbouring lines that no span covers and that have such a place before this one."""
+    known = stage(_numbers(spans.select("_ld_doc", "_ld_tag", F.explode(F.sequence("a", F.col("b") - 1)).alias("line")), "_ld_known"), "known")
+    lines = _keyed(docs.select("doc_id", "text")).where(F.size("_ld_lines") > 1).join(known.hint("merge"), ["_ld_doc", "_ld_tag"], "left")
     pair = lambda i: F.struct(i.alias("no"), F.xxhash64(F.get("_ld_lines", i - 1), F.get("_ld_lines", i)).alias("h1"), F.xxhash64(F.lit(1), F.get("_ld_lines", i), F.get("_ld_lines", i - 1)).alias("h2"))
-    some = lines.select("_ld_doc", "_ld_tag", F.explode(F.transform(F.sequence(F.lit(1), F.size("_ld_lines") - 1), pair)).alias("p")).select("_ld_doc", "_ld_tag", "p.*")
-    often = stage(some.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
-    places = stage(some.join(often, ["h1", "h2"]), "pairs")
-    first = stage(places.groupBy("h1", "h2").agg(F.min(F.struct("_ld_doc", "_ld_tag", "no")).alias("first")), "first")
-    gone = places.join(first, ["h1", "h2"]).where(F.struct("_ld_doc", "_ld_tag", "no") != F.col("first"))
-    gone = stage(gone.select("_ld_doc", "_ld_tag", F.explode(F.array(F.col("no"), F.col("no") + 1)).alias("line")).groupBy("_ld_doc", "_ld_tag").agg(F.collect_set("line").alias("_ld_gone")), "lines")
-    drop(often, places, first)
+    every = F.sequence(F.lit(1), F.size("_ld_lines") - 1)
+    asked = F.when(F.col("_ld_known").isNull(), every).otherwise(F.array_except(every, "_ld_known"))
+    some = stage(lines.select("_ld_doc", "_ld_tag", F.explode(F.transform(asked, pair)).alias("p")).select("_ld_doc", "_ld_tag", "p.*"), "pairs")
+    often = stage(some.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("_ld_doc", "_ld_tag", "no")).alias("first")).where("n > 1").drop("n"), "often")
+    gone = some.join(often, ["h1", "h2"]).where(F.struct("_ld_doc", "_ld_tag", "no") != F.col("first"))
+    gone = stage(gone.select("_ld_doc", "_ld_tag", F.col("no").alias("line")), "places")
+    drop(known, some, often)
+    return gone
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_ld_doc, _ld_tag, _ld_gone): as ``repeated_lines``, with the lines of repeats that hold no whole chunk."""
+    spans = repeated_spans(docs, window)
+    pairs = _pairs_left(docs, spans)
+    both = _of_spans(spans).unionByName(pairs.select("_ld_doc", "_ld_tag", F.explode(F.array(F.col("line"), F.col("line") + 1)).alias("line")))
+    gone = stage(_numbers(both, "_ld_gone"), "lines")
+    drop(spans, pairs)
     return gone
 
 
 def without_repeated_runs(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines of any run of two or more that an earlier place has, and n_lines and n_removed."""
-    return _without(docs, repeated_pairs(docs))
+    return _without(docs, repeated_runs(docs))
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -52,3 +52,18 @@ def test_main_text_keeps_the_whole_article(spark):
     found = {r["page_id"]: r["text"] for r in webtext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i, (name, (body, (head, tail))) in enumerate(bodies.items()):
         assert found[i].startswith(head) and found[i].endswith(tail) and found[i].count("word") == body.count("word "), name
+
+
+def test_pipeline_line_dedup_goes_by_chunks(spark, tiny, monkeypatch):
+    """The stage's repeats are found by chunks; only pairs of lines that no such repeat covers are looked at beside them."""
+    docs, rows, real = spark.read.parquet(f"{tiny}/documents.parquet"), {}, linededup.stage
+
+    def counted(df, name):
+        out = real(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "stage", counted)
+    corpus_pipeline.drop_repeated_lines(spark, docs, tiny).count()
+    assert rows["hashes"][0] > 0 and rows["chunks"][0] > rows["first"][0] > 0 and rows["spans"][0] > 0
+    assert rows["pairs"][0] < sum(r["text"].count("\n") for r in docs.collect() if r["text"])
