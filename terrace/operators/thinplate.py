@@ -2,6 +2,9 @@
 
 Up to ``LOCAL`` distinct rows the matrix is decomposed on the driver. Beyond that it is never written: a block Krylov iteration multiplies it, tile by tile in tasks, with a few vectors that stay in a table
 of tiles; only matrices of the subspace's size come to the driver. Both give the same eigenvectors up to sign (to ``TOLERANCE``).
+
+In one or two dimensions tiles are the leaves of a tree of halved boxes, and only near tiles are multiplied row by row: what boxes apart from each other by their size or more do to each other goes through the
+radial function's Chebyshev interpolation (``NODES`` a side, error about 1e-12 of the values), so a step grows in proportion to the rows. In more dimensions every tile meets every tile.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from terrace.sources.shared import added, removed, written
 
 #: Distinct rows that the driver decomposes by itself, rows of a tile, the residual of an eigenpair (of the largest eigenvalue) that ends the iteration, and its most steps.
 LOCAL, TILE, TOLERANCE, STEPS = 2000, 1024, 1e-11, 60
+#: Interpolation nodes a side of a box, leaves whose products a task adds up, most rows of the sample that places the tree's cuts (any cuts give the same products).
+NODES, BLOCK, CUTS = 14, 16, 200_000
 #: Bytes of knots and coefficients that an evaluation sends to the executors at a time.
 SENT = 64 << 20
 
@@ -205,8 +210,20 @@ class TiledThinPlate:
         return self._summed(df, xs, None, name)
 
     def with_effect(self, df: DataFrame, xs: list[Column], coefficients: np.ndarray, name: str) -> DataFrame:
-        """Adds basis @ coefficients at any rows."""
-        return self._summed(df, xs, np.asarray(coefficients)[:, None], name).withColumn(name, F.get(name, F.lit(0)))
+        """Adds basis @ coefficients: at rows of the fit by a join with the distinct rows, at others (if there are any) by all radial functions."""
+        names, knots = [f"_tp_{name}_{i}" for i in range(self.dims)], [f"_knot_{name}_{i}" for i in range(self.dims)]
+        known = self.at_knots(df, knots).select(*knots, sum((F.get("basis", F.lit(i)) * float(c) for i, c in enumerate(coefficients)), F.lit(0.0)).alias(name))
+        met = df.withColumns(dict(zip(names, (x.cast("double") for x in xs), strict=True)))
+        met = met.join(known, [F.col(c) == F.col(n) for c, n in zip(names, knots, strict=True)], "left").drop(*knots)
+        new = F.col(name).isNull()
+        for c in names:
+            new = new & F.col(c).isNotNull()
+        rest = met.where(new)
+        done = met.drop(*names)
+        if rest.isEmpty():
+            return done
+        more = self._summed(rest.drop(name, *names), xs, np.asarray(coefficients)[:, None], name).withColumn(name, F.get(name, F.lit(0)))
+        return met.where(~new).drop(*names).unionByName(more)
 
     def knot_coefficients(self, coefficients: np.ndarray) -> DataFrame:
         """(tile, x, delta): the radial functions' coefficients, as bytes of doubles."""
@@ -220,8 +237,176 @@ class TiledThinPlate:
         return self.tiles.select("tile", "x", "map").mapInArrow(run, "tile int, x binary, delta binary")
 
 
-def _packed(x: DataFrame, columns: list[str], tiles: int, width: int) -> DataFrame:
-    """(tile, x, n, q): rows by the hash of their coordinates, in order within a tile, with counts and a block of start vectors."""
+def _cuts(x: DataFrame, columns: list[str], u: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, value) of the cut of each inner node of a tree with leaves of about ``tile`` rows, children of node i at 2 i + 1 and 2 i + 2: medians of the wider side."""
+    depth = max(0, math.ceil(math.log2(max(u / tile, 1))))
+    share = max(1, -(-u // min(CUTS, 64 << depth)))
+    some = x.where(F.pmod(F.xxhash64(F.lit(7), *columns), F.lit(share)) == 0).select(*columns)
+    rows = [np.array(sorted(tuple(r) for r in some.collect())).reshape(-1, len(columns))]
+    dims, values = np.zeros(2**depth - 1, int), np.zeros(2**depth - 1)
+    for i in range(2**depth - 1):
+        own = rows[i]
+        if len(own):
+            dims[i] = np.argmax(np.ptp(own, axis=0))
+            values[i] = np.sort(own[:, dims[i]])[(len(own) - 1) // 2]
+        left = own[:, dims[i]] <= values[i]
+        rows += [own[left], own[~left]]
+    return dims, values
+
+
+def _leaf(columns: list[str], dims: np.ndarray, values: np.ndarray) -> Column:
+    """The leaf that a row falls into."""
+
+    @F.pandas_udf("int")
+    def run(*parts: pd.Series) -> pd.Series:
+        x, at = np.stack([p.to_numpy(float) for p in parts], 1), np.zeros(len(parts[0]), int)
+        while len(dims) and len(at) and at[0] < len(dims):  # all leaves are equally deep
+            at = 2 * at + 1 + (x[np.arange(len(x)), dims[at]] > values[at])
+        return pd.Series((at - len(dims)).astype(np.int32))
+
+    return run(*map(F.col, columns))
+
+
+def _weights(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes of a box, each row's weights of them): Chebyshev interpolation a side, one node where the box is flat."""
+    at, weight = np.zeros((1, 0)), np.ones((len(x), 1))
+    for i in range(len(lo)):
+        own, w = np.array([lo[i]]), np.ones((len(x), 1))
+        if hi[i] > lo[i]:
+            angle, k = np.pi * (np.arange(NODES) + 0.5) / NODES, np.arange(1, NODES)
+            own = (lo[i] + hi[i]) / 2 + (hi[i] - lo[i]) / 2 * np.cos(angle)
+            place = np.arccos(np.clip((2 * x[:, i] - lo[i] - hi[i]) / (hi[i] - lo[i]), -1, 1))
+            w = 1 / NODES + 2 / NODES * np.cos(place[:, None] * k) @ np.cos(k[:, None] * angle)
+        at = np.hstack([np.repeat(at, len(own), 0), np.tile(own, len(at))[:, None]])
+        weight = (weight[:, :, None] * w[:, None, :]).reshape(len(x), weight.shape[1] * w.shape[1])
+    return at, weight
+
+
+@dataclass
+class _Boxes:
+    """The tree's boxes and, by block of ``BLOCK`` leaves, which pairs of leaves and which pairs of boxes (target, source) a product takes."""
+
+    lo: np.ndarray
+    hi: np.ndarray
+    leaves: int
+    near: dict[int, list[tuple[int, int]]]
+    far: dict[int, dict[int, list[int]]]
+
+    def path(self, leaf: int) -> Iterator[int]:
+        """A leaf's box and those around it."""
+        at = leaf + self.leaves - 1
+        while True:
+            yield at
+            if not at:
+                return
+            at = (at - 1) // 2
+
+
+def _boxes(state: DataFrame, d: int, leaves: int) -> _Boxes:
+    """From a row a leaf: its extent."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.frombuffer(b).reshape(-1, d) for b in batch.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array([np.concatenate([v.min(0), v.max(0)]).tolist() for v in x], pa.list_(pa.float64()))], ["tile", "ends"])
+
+    lo, hi = np.full((2 * leaves - 1, d), np.inf), np.full((2 * leaves - 1, d), -np.inf)
+    for r in state.select("tile", "x").mapInArrow(ends, "tile int, ends array<double>").collect():
+        lo[r["tile"] + leaves - 1], hi[r["tile"] + leaves - 1] = r["ends"][:d], r["ends"][d:]
+    for i in range(leaves - 2, -1, -1):
+        lo[i], hi[i] = np.minimum(lo[2 * i + 1], lo[2 * i + 2]), np.maximum(hi[2 * i + 1], hi[2 * i + 2])
+    full = np.isfinite(lo[:, 0])
+    size = np.sqrt(np.where(full[:, None], np.where(full[:, None], hi, 0) - np.where(full[:, None], lo, 0), 0) ** 2 @ np.ones(d))
+    near, far = {}, {}
+    first = lambda i: (i + 1) * (leaves >> ((i + 1).bit_length() - 1)) - leaves  # noqa: E731  the first leaf under a node
+    a, b = np.array([0]), np.array([0])
+    while len(a):
+        keep = full[a] & full[b]
+        a, b = a[keep], b[keep]
+        gap = np.sqrt(np.maximum(np.maximum(lo[a] - hi[b], lo[b] - hi[a]), 0) ** 2 @ np.ones(d))
+        apart = (gap > 0) & (gap >= np.maximum(size[a], size[b]))
+        ends_a, ends_b = a >= leaves - 1, b >= leaves - 1
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            low = first(i)
+            many = max(1, leaves >> ((i + 1).bit_length() - 1))
+            for k in range(low // BLOCK, (low + many - 1) // BLOCK + 1):
+                far.setdefault(k, {}).setdefault(i, []).append(j)
+        met = ~apart & ends_a & ends_b
+        for i, j in zip((a[met] - leaves + 1).tolist(), (b[met] - leaves + 1).tolist(), strict=True):
+            near.setdefault(i // BLOCK, []).append((i, j))
+        on = ~apart & ~(ends_a & ends_b)
+        a, b, ends_a, ends_b = a[on], b[on], ends_a[on], ends_b[on]
+        cut_a, cut_b = ~ends_a & (ends_b | (size[a] >= size[b])), ~ends_b & (ends_a | (size[b] >= size[a]))
+        pairs = [(2 * a + 1 + p if p is not None else a, 2 * b + 1 + q if q is not None else b, pick) for pick, ps, qs in ((cut_a & cut_b, (0, 1), (0, 1)), (cut_a & ~cut_b, (0, 1), (None,)), (~cut_a & cut_b, (None,), (0, 1))) for p in ps for q in qs]
+        a, b = np.concatenate([x[pick] for x, _, pick in pairs]), np.concatenate([y[pick] for _, y, pick in pairs])
+    return _Boxes(lo, hi, leaves, near, far)
+
+
+def _multiplied_near_and_far(state: DataFrame, boxes: _Boxes, order: int, d: int, width: int) -> DataFrame:
+    """As ``_multiplied``: a task adds up the products of a block of leaves, from near leaves' rows and far boxes' sums at their nodes."""
+    spark, lo, hi = state.sparkSession, boxes.lo, boxes.hi
+    sources = {j for own in boxes.far.values() for js in own.values() for j in js}
+    last = lambda q, x: np.ascontiguousarray(np.frombuffer(q).reshape(len(x) // (8 * d), -1)[:, -width:])
+
+    def own_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([r["tile"]], pa.int32()), pa.array([r["x"]], pa.binary()), pa.array([last(r["q"], r["x"]).tobytes()], pa.binary())], ["id", "x", "v"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["id", "v"])
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, v = np.frombuffer(r["x"]).reshape(-1, d), last(r["q"], r["x"])
+                for node in boxes.path(r["tile"]):
+                    if node in sources:
+                        total[node] = total.get(node, 0) + _weights(x, lo[node], hi[node])[1].T @ v
+                if len(total) > 512:
+                    yield given()
+                    total = {}
+        if total:
+            yield given()
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.table({"id": table.column("id")[:1], "v": pa.array([sum(np.frombuffer(b) for b in table.column("v").to_pylist()).tobytes()], pa.binary())})
+
+    def product(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        mine = {r["id"]: r for r in rows if r["kind"] == 0}
+        at = {r["id"]: (np.frombuffer(r["x"]).reshape(-1, d), np.frombuffer(r["v"]).reshape(-1, width) if r["kind"] else last(r["q"], r["x"])) for r in rows if r["kind"] < 2}
+        sums = {r["id"]: np.frombuffer(r["v"]).reshape(-1, width) for r in rows if r["kind"] == 2}
+        w, block = {t: np.zeros_like(at[t][1]) for t in mine}, rows[0]["block"]
+        for t, j in boxes.near.get(block, []):
+            w[t] += radial(distances(at[t][0], at[j][0]), order, d) @ at[j][1]
+        nodes, local = {}, {}
+        place = lambda i: nodes[i] if i in nodes else nodes.setdefault(i, _weights(np.zeros((0, d)), lo[i], hi[i])[0])
+        for i, js in boxes.far.get(block, {}).items():
+            local[i] = sum(radial(distances(place(i), place(j)), order, d) @ sums[j] for j in js)
+        for t in mine:
+            for i in boxes.path(t):
+                if i in local:
+                    w[t] += _weights(at[t][0], lo[i], hi[i])[1] @ local[i]
+        return pa.table({"tile": pa.array(list(mine), pa.int32()), **{c: pa.array([r[c] for r in mine.values()], pa.binary()) for c in ("x", "n", "q")}, "w": pa.array([w[t].tobytes() for t in mine], pa.binary())})
+
+    none = F.lit(None).cast("binary")
+    block = F.floor(F.col("tile") / BLOCK).cast("int").alias("block")
+    dealt = state.select(block, F.lit(0).alias("kind"), F.col("tile").alias("id"), "x", none.alias("v"), "n", "q")
+    near = sorted({(k, j) for k, pairs in boxes.near.items() for _, j in pairs if j // BLOCK != k})
+    if near:
+        to = spark.createDataFrame(pd.DataFrame(near, columns=["block", "to"]), "block int, to int")
+        vectors = state.select("tile", "x", "q").mapInArrow(own_vectors, "id int, x binary, v binary").join(to, F.col("id") == F.col("to"))
+        dealt = dealt.unionByName(vectors.select("block", F.lit(1).alias("kind"), "id", "x", "v", none.alias("n"), none.alias("q")))
+    far = sorted({(k, j) for k, own in boxes.far.items() for js in own.values() for j in js})
+    if far:
+        to = spark.createDataFrame(pd.DataFrame(far, columns=["block", "to"]), "block int, to int")
+        total = state.select("tile", "x", "q").mapInArrow(summed, "id int, v binary").groupBy("id").applyInArrow(merged, "id int, v binary").join(to, F.col("id") == F.col("to"))
+        dealt = dealt.unionByName(total.select("block", F.lit(2).alias("kind"), "id", none.alias("x"), "v", none.alias("n"), none.alias("q")))
+    return dealt.groupBy("block").applyInArrow(product, "tile int, x binary, n binary, q binary, w binary")
+
+
+def _packed(x: DataFrame, columns: list[str], tiles: int, width: int, cuts: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(tile, x, n, q): rows by the leaf they fall into, or else by the hash of their coordinates, in order within a tile, with counts and a block of start vectors."""
     d = len(columns)
 
     def pack(table: pa.Table) -> pa.Table:
@@ -231,7 +416,7 @@ def _packed(x: DataFrame, columns: list[str], tiles: int, width: int) -> DataFra
         start = np.random.default_rng(tile).normal(size=(len(part), width))
         return pa.table({"tile": pa.array([tile], pa.int32()), "x": pa.array([np.ascontiguousarray(part[:, :d]).tobytes()], pa.binary()), "n": pa.array([np.ascontiguousarray(part[:, d]).tobytes()], pa.binary()), "q": pa.array([start.tobytes()], pa.binary())})
 
-    keyed = x.withColumn("_tile", F.pmod(F.xxhash64(*columns), F.lit(tiles)).cast("int"))
+    keyed = x.withColumn("_tile", F.pmod(F.xxhash64(*columns), F.lit(tiles)).cast("int") if cuts is None else _leaf(columns, *cuts))
     return written(keyed.groupBy("_tile").applyInArrow(pack, "tile int, x binary, n binary, q binary"), "tiles")
 
 
@@ -271,7 +456,7 @@ def _multiplied(state: DataFrame, order: int, d: int, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "tile int, x binary, n binary, q binary, w binary")
 
 
-def _eigen(state: DataFrame, order: int, d: int, k: int, width: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def _eigen(state: DataFrame, order: int, d: int, k: int, width: int, boxes: _Boxes | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(state, values, y): the k largest eigenvalues, with eigenvectors q @ y."""
     shape = lambda r: len(r["x"]) // (8 * d)
 
@@ -311,7 +496,7 @@ def _eigen(state: DataFrame, order: int, d: int, k: int, width: int) -> tuple[Da
     state = applied(state, np.zeros((0, 0)), inverse, False)
     t, m = np.zeros((0, 0)), width
     for _ in range(STEPS):
-        more = written(_multiplied(state, order, d, width), "product")
+        more = written(_multiplied(state, order, d, width) if boxes is None else _multiplied_near_and_far(state, boxes, order, d, width), "product")
         size = m * width + width * width
         got = added(more.select("x", "q", "w"), crossed(), size)
         h, gram = got[: m * width].reshape(m, width), got[m * width :].reshape(width, width)
@@ -341,7 +526,9 @@ def _tiled(x: DataFrame, columns: list[str], u: int, k: int, order: int, tile: i
     d, width = len(columns), k + 6
     powers = _null_space(order, d, k, u)
     m = len(powers)
-    state, value, y = _eigen(_packed(x, columns, -(-u // tile), width), order, d, k, width)
+    cuts = _cuts(x, columns, u, tile) if d <= 2 else None
+    packed = _packed(x, columns, -(-u // tile), width, cuts)
+    state, value, y = _eigen(packed, order, d, k, width, None if cuts is None else _boxes(packed, d, len(cuts[0]) + 1))
     vector = lambda r: (np.frombuffer(r["x"]).reshape(-1, d), np.frombuffer(r["q"]).reshape(-1, len(y)) @ y)
 
     def sums(r: dict) -> np.ndarray:

@@ -200,3 +200,21 @@ def test_purification_until_it_settles(spark, monkeypatch):
     assert np.isclose(offset.first()["y"], table.loc["offset", "y"][0], atol=1e-6)
     assert np.allclose([r["y"] for r in main.where("term = 'a'").orderBy("x").collect()], table.loc["a", "y"], atol=1e-6)
     assert pair.count() == (n > 0).sum()
+
+
+def test_products_near_and_far(spark):
+    """A step multiplies near tiles row by row and distant boxes by their nodes: the dense product, with most pairs of tiles never met."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 1, (4000, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])).selectExpr("a", "b", "1D AS _n")
+    cuts = thinplate._cuts(df, ["a", "b"], len(x), 64)
+    state = thinplate._packed(df, ["a", "b"], 63, 3, cuts)
+    boxes = thinplate._boxes(state, 2, len(cuts[0]) + 1)
+    assert boxes.leaves == 64 and sum(map(len, boxes.near.values())) < 64 * 64 / 3
+    rows = [(np.frombuffer(s["x"]).reshape(-1, 2), np.frombuffer(s["q"]).reshape(-1, 3)) for s in state.collect()]
+    found = thinplate._multiplied_near_and_far(state, boxes, 2, 2, 3).collect()
+    assert sorted(r["tile"] for r in found) == list(range(64))
+    for r in found:
+        if r["tile"] in (0, 21, 63):
+            dense = sum(thinplate.radial(thinplate.distances(np.frombuffer(r["x"]).reshape(-1, 2), at), 2, 2) @ v for at, v in rows)
+            assert np.allclose(np.frombuffer(r["w"]).reshape(-1, 3), dense, atol=1e-11)
