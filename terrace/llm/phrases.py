@@ -7,6 +7,8 @@ are its occurrences. Shards extend phrases depth first, a slice of first words a
 Only sums over all shards say what is frequent. Shards send their counts by the phrases' text, so sums are exact, first of words, then of pairs, of runs of three, and of longer phrases; what is frequent comes back as a filter of
 fixed size (``FILTER`` bits a level, ORed together in tasks), and a phrase is extended only where it, and every run of up to three words in it, passes. A filter may let more pass, never less: what is not
 frequent falls out at the sums, and where there are more frequent phrases than the filter tells apart, more is counted and nothing is lost. Shards stay where they are written.
+A phrase that a shard counts extends an occurrence of a frequent one, so occurrences bound what a level sends. Levels go in turns by the hash of the first word, as many as keep a turn's bound at ``TURN`` rows a word of the corpus:
+each turn is summed and its shuffle deleted before the next, so the disk that sums take grows with the words and not with the pairs that become worth counting as the text grows.
 
 Nulls: a null text has no words, a null language is ``und``, together with rows that say so. Repeated rows count as often as they are there. An empty table gives an empty result; columns other than text and lang are not read. A text
 of any length is worked on whole: one that is larger than a shard is cut between pieces, and a piece is never cut.
@@ -14,7 +16,9 @@ of any length is worked on whole: one that is larger than a shard is cut between
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,8 @@ from terrace.llm.common import chunks, drop, lists, stage
 SHARD, LEAST, LONGEST, TOP = 1 << 20, 100, 5, 2000
 #: Entries of bitmaps that are extended at a time; bits of a filter, as a power of two, and how many a phrase sets.
 SLICE, FILTER, MARKS = 1 << 15, 26, 3
+#: Rows that shards send in a turn, a word of the corpus.
+TURN = 0.25
 #: Bytes that end a piece: ``[.,;:!?\x0A-\x0D]``; bytes that end a word without ending a piece: blank and tab.
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -221,12 +227,16 @@ class _Vertical:
                 yield from self.grow(more[keep], np.append(0, np.cumsum(np.diff(inner)[keep])), where[entry], what[entry], upto)
             a = b
 
-    def phrases(self, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield from self.grow(np.arange(len(self.ids))[:, None], self.cut, self.block, self.bits, upto)
+    def phrases(self, upto: int, turn: int = 0, turns: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of one turn: whose first word's hash leaves ``turn`` of ``turns``."""
+        mine = words.mix(self.hashes) % np.uint64(turns) == turn
+        size = np.diff(self.cut)
+        entry = np.repeat(mine, size)
+        yield from self.grow(np.flatnonzero(mine)[:, None], np.append(0, np.cumsum(size[mine])), self.block[entry], self.bits[entry], upto)
 
 
-def _longer(table: DataFrame, filters: list[Filter], known: int, upto: int) -> DataFrame:
-    """(lang, phrase, n): what each shard counts of phrases of ``known`` + 1 to ``upto`` words that pass the filters."""
+def _longer(table: DataFrame, filters: list[Filter], known: int, upto: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(lang, phrase, n): what each shard counts of phrases of ``known`` + 1 to ``upto`` words that pass the filters, those of one turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +244,7 @@ def _longer(table: DataFrame, filters: list[Filter], known: int, upto: int) -> D
                 lang, text = batch.column("lang")[i].as_py(), batch.column("words")[i].values
                 row = {c: np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("entries", np.int32), ("block", np.int32), ("bits", np.uint8))}
                 shard = _Vertical(row, _hashes(text), _seed(lang), filters, known)
-                for path, count in shard.phrases(upto):
+                for path, count in shard.phrases(upto, turn, turns):
                     for a in range(0, len(path), 1 << 16):
                         part = shard.ids[path[a : a + (1 << 16)]]
                         phrase = pc.binary_join_element_wise(*(text.take(pa.array(part[:, j])) for j in range(part.shape[1])), " ")
@@ -248,21 +258,24 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: i
     table = stage(shards(docs, size), "shards")
     totals = stage(table.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
     each = table.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
-    levels, filters = [], []
-    while True:
-        each = each.repartition("lang", "phrase")  # shards have added up what is theirs: a second table in the same tasks would only hold memory
-        levels.append(stage(each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent"))
+    def frequent(rows: DataFrame) -> DataFrame:  # shards have added up what is theirs: a second table in the same tasks would only hold memory
+        made.append(stage(rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent"))
+        return made[-1]
+
+    made: list[DataFrame] = []
+    levels, filters = [frequent(each)], []
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    while len(levels) <= 3 and len(levels) < longest:
         length = len(levels)
-        if length > 3 or length == longest:
-            break
+        upto = length + 1 if length < 3 else longest
         filters.append(Filter.of(levels[-1], length, filter_bits))
-        each = _longer(table, list(filters), length, length + 1 if length < 3 else longest)
+        most = (upto - length) * (levels[-1].agg(F.sum("f")).first()[0] or 0)  # a phrase that is counted extends an occurrence of a frequent one
+        turns = max(1, math.ceil(most / max(TURN * total, 1)))
+        levels.append(functools.reduce(DataFrame.unionByName, [frequent(_longer(table, list(filters), length, upto, turn, turns)) for turn in range(turns)]))
     drop(table)
-    whole = levels[0]
-    for x in levels[1:]:
-        whole = whole.unionByName(x)
+    whole = functools.reduce(DataFrame.unionByName, levels)
     out = stage(whole.select("lang", "phrase", F.size(F.split("phrase", " ", -1)).alias("k"), "f"), "phrases")
-    drop(*levels)
+    drop(*made)
     return out, totals
 
 

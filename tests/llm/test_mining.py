@@ -331,3 +331,20 @@ def test_groups_are_bounded_in_bytes(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"i": list(range(10)), "text": ["x" * n for n in (10, 2000, 10, 500, 480, 30, 0, 990, 1, 1)]})
     got = [x - (3 << 32) for b in substring._dealt(iter([batch.slice(0, 4), batch.slice(4)])) for x in b.column("grp").to_pylist()]
     assert got == [0, 1, 2, 2, 2, 3, 3, 4, 4, 4]
+
+
+def test_collocations_send_a_part_of_the_words_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [("en", " ".join(f"w{k}" for k in rng.zipf(1.3, 400) % 300)) for _ in range(60)]
+    sent, longer = [], phrases._longer
+
+    def counted(*args):
+        out = longer(*args)
+        sent.append((args[2], out.count()))
+        return out
+
+    monkeypatch.setattr(phrases, "_longer", counted)
+    found = sorted(map(tuple, phrases.collocations(spark.createDataFrame(rows, "lang string, text string").coalesce(2), least=5, size=4000).collect()))
+    assert found == collocations_by_force(rows, 5)
+    pairs = [n for known, n in sent if known == 1]
+    assert sum(pairs) > 0.3 * 24_000 and max(pairs) < 0.6 * sum(pairs)
