@@ -96,11 +96,15 @@ def split_bucket(*keys: Column, seed: int = 101) -> Column:
 
 def train_validation_split(df: DataFrame, keys: list[str], val_size: float = 0.2, seed: int = 101) -> tuple[DataFrame, DataFrame]:
     """(train, validation) by a hash of the key columns."""
+    held = held_out(keys, val_size, seed)
+    return df.where(~held), df.where(held)
+
+
+def held_out(keys: list[str], val_size: float = 0.2, seed: int = 101) -> Column:
+    """Whether a row is one of the validation rows of ``train_validation_split``."""
     if not 0 <= val_size < 1:
         raise ValueError(f"val_size must be from 0 to below 1, not {val_size}")
-    at = split_bucket(*map(F.col, keys), seed=seed)
-    cut = round(val_size * 10_000)
-    return df.where(at >= cut), df.where(at < cut)
+    return split_bucket(*map(F.col, keys), seed=seed) < round(val_size * 10_000)
 
 
 def feature_masks(n_features: int, n_trees: int, share: float, seed: int = 101) -> np.ndarray:

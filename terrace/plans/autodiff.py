@@ -18,12 +18,14 @@ def _fit(g: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
 
 
 class Var:
-    """An array with the operations that led to it."""
+    """An array with the operations that led to it. What is ``constant``, or made of constants alone, gets no gradient."""
 
     __array_priority__ = 100
 
-    def __init__(self, value: np.ndarray, sources: tuple[tuple[Var, Callable[[np.ndarray], np.ndarray]], ...] = ()) -> None:
-        self.value, self.sources, self.grad = np.asarray(value, float), sources, None
+    def __init__(self, value: np.ndarray, sources: tuple[tuple[Var, Callable[[np.ndarray], np.ndarray]], ...] = (), constant: bool = False) -> None:
+        self.value, self.grad = np.asarray(value, float), None
+        self.sources = tuple(x for x in sources if not x[0].constant)
+        self.constant = not self.sources if sources else constant
 
     def __add__(self, other: Var | float) -> Var:
         o = wrap(other)
@@ -49,6 +51,10 @@ class Var:
         turn = lambda a: np.swapaxes(a, -1, -2)
         return Var(self.value @ o.value, ((self, lambda g: _fit(g @ turn(o.value), self.value.shape)), (o, lambda g: _fit(turn(self.value) @ g, o.value.shape))))
 
+    def affine(self, w: Var, b: Var) -> Var:
+        """Rows of self @ w + b as one operation."""
+        return Var(self.value @ w.value + b.value, ((self, lambda g: g @ w.value.T), (w, lambda g: self.value.T @ g), (b, lambda g: g.sum(0))))
+
     def __getitem__(self, key) -> Var:
         def back(g):
             out = np.zeros_like(self.value)
@@ -131,7 +137,7 @@ class Var:
         return Var(z, ((self, lambda g: (g - g.mean(-1, keepdims=True) - z * (g * z).mean(-1, keepdims=True)) / d),))
 
     def dropped(self, mask: np.ndarray) -> Var:
-        return self * Var(mask)
+        return self * Var(mask, constant=True)
 
     def backward(self, grad: np.ndarray) -> None:
         """Adds to ``grad`` of everything this was made of."""
@@ -144,7 +150,7 @@ class Var:
             elif id(v) not in seen:
                 seen.add(id(v))
                 todo.append((v, True))
-                todo += [(s, False) for s, _ in v.sources]
+                todo += [(s, False) for s, _ in v.sources if s.sources]
         self.grad = np.asarray(grad, float)
         for v in reversed(order):
             if v.grad is not None:
@@ -154,7 +160,7 @@ class Var:
 
 
 def wrap(x: Var | np.ndarray | float) -> Var:
-    return x if isinstance(x, Var) else Var(np.asarray(x, float))
+    return x if isinstance(x, Var) else Var(x, constant=True)
 
 
 def concat(parts: list[Var], axis: int) -> Var:

@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from terrace.functions import exprs
 from terrace.operators import effects, families, metrics, schema
@@ -76,9 +77,15 @@ class Estimator:
         """Without ``validation`` a hash of ``keys`` (or of all columns) sets ``val_size`` of the rows aside where the shape needs them. ``fit_on="all"`` fits the preprocessor to both parts."""
         df, validation = self._normed(df), None if validation is None else self._normed(validation)
         self.target, self._validation = target, validation
-        train, val = df, validation
-        if val is None and self._model_type is NeuralModel and val_size:
-            train, val = schema.train_validation_split(df, keys or df.columns, val_size, random_state)
+        if validation is not None or self._model_type is not NeuralModel or not val_size:
+            return self._fitted(df, validation, target, fit_on, exclude)
+        marked = df.withColumn("_held", schema.held_out(keys or df.columns, val_size, random_state)).persist(StorageLevel.MEMORY_AND_DISK)  # hashed once, not in every job of the fit
+        try:
+            return self._fitted(*(marked.where(part).drop("_held") for part in (~F.col("_held"), F.col("_held"))), target, fit_on, exclude)
+        finally:
+            marked.unpersist()
+
+    def _fitted(self, train: DataFrame, val: DataFrame | None, target: str, fit_on: str, exclude: tuple[str, ...]) -> Estimator:
         self.pre = Preprocessor(**self._pre_params)
         self._prepare(train)
         base = train.unionByName(val) if fit_on == "all" and val is not None else train
@@ -110,7 +117,7 @@ class Estimator:
             return self
         enc = self.pre.transform(self._coded(train), ("_y",))
         extra = {"validation": self.pre.transform(self._coded(val), ("_y",))} if val is not None else {}
-        self.model.fit(enc, "_y", self.pre, self._family(), **extra)
+        self.model.fit(enc, "_y", self.pre, self._family(), size=self.pre.rows if base is train else None, **extra)
         return self
 
     def _backfit(self, train: DataFrame, val: DataFrame | None, wide: list[str]) -> None:
@@ -176,8 +183,9 @@ class Estimator:
             return self.model.transform(df).withColumn("raw", F.array("output"))
         if self._model_type is AdditiveModel:
             return self.model.transform(df, self.pre)
+        blocks = [f.block for f in self.pre.features]
         enc = df.withColumns({f.block: self.pre.column(f, df.schema[f.name].dataType) for f in self.pre.features})
-        return self.model.transform(enc, self.pre).drop(*(f.block for f in self.pre.features))
+        return self.model.transform(enc, self.pre, blocks) if isinstance(self.model, NeuralModel) else self.model.transform(enc, self.pre).drop(*blocks)
 
     def evaluate(self, df: DataFrame, metric: dict[str, Callable[..., Column]] | None = None) -> dict[str, float]:
         """All metrics in one job; a metric takes the target and the prediction's Columns to an aggregate."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 import dataclasses
 import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +204,7 @@ class NeuralModel:
     def _net(self, p: dict[str, Var], name: str, x: Var, rng: np.random.Generator | None) -> Var:
         layers = len(self.hidden) + 1
         for i in range(layers):
-            y = x @ p[f"{name}.{i}.w"] + p[f"{name}.{i}.b"]
+            y = x.affine(p[f"{name}.{i}.w"], p[f"{name}.{i}.b"])
             if i < layers - 1:
                 if self.activation != "relu":
                     half = y.value.shape[1] // 2
@@ -257,7 +257,7 @@ class NeuralModel:
 
     def _forward(self, p: dict[str, Var], rows: np.ndarray, rng: np.random.Generator | None = None) -> dict[str, Var]:
         """{term: its output (rows x outputs)}."""
-        x = {n: Var(rows[:, a:b]) for n, (a, b) in self.slices.items()}
+        x = {n: Var(rows[:, a:b], constant=True) for n, (a, b) in self.slices.items()}
         terms: dict[str, Var] = {}
         if self.kind in ("nam", "qnam", "natt"):
             for n, c in zip(self.names, self.is_cat, strict=True):
@@ -269,7 +269,7 @@ class NeuralModel:
             top = max(b - a for a, b in self.slices.values())
             for n in self.names:
                 block = x[n].value
-                padded = Var(np.hstack([block, np.zeros((len(block), top - block.shape[1]))]))
+                padded = Var(np.hstack([block, np.zeros((len(block), top - block.shape[1]))]), constant=True)
                 terms[n] = self._net(p, "bases", padded, rng).relu() @ p[f"mix.{n}.w"] + p[f"mix.{n}.b"]
             for pair in self.pairs:
                 wide = [np.hstack([x[n].value, np.zeros((len(rows), top - x[n].value.shape[1]))]) for n in pair]
@@ -322,6 +322,7 @@ class NeuralModel:
 
     def _epoch(self, loss: families.Family | None, lr: float, epoch: int, train: bool):
         params = {k: v.copy() for k, v in self.params.items()}
+        names, cut = sorted(params), np.cumsum([0, *(params[k].size for k in sorted(params))])
         width, fixed = self.width, [k for k in params if k.endswith(".running") or k == "intercept" and not self.intercept or k.startswith(tuple(self.frozen) or ("\0",))]
 
         def gradient(y: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,8 +340,12 @@ class NeuralModel:
             return base, np.clip(np.nan_to_num(g), -50, 50)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = {k: v.copy() for k, v in params.items()}
-            m, s = ({k: np.zeros_like(v) for k, v in own.items()} for _ in range(2))
+            flat = np.concatenate([params[k].ravel() for k in names])
+            own = {k: flat[a:b].reshape(params[k].shape) for k, a, b in zip(names, cut[:-1], cut[1:], strict=True)}  # views: a step is taken on all at once
+            m, s, g_flat = (np.zeros_like(flat) for _ in range(3))
+            p = {k: Var(v) for k, v in own.items()}
+            grads = {k: g_flat[a:b].reshape(params[k].shape) for k, a, b in zip(names, cut[:-1], cut[1:], strict=True)}
+            live: list[str] | None = None
             rng, n, total, t = np.random.default_rng(self.seed + epoch), 0, 0.0, 0
             for batch in batches:
                 if not batch.num_rows:
@@ -350,28 +355,33 @@ class NeuralModel:
                 size = self.batch_size if train else 4096
                 for a in range(0, len(order), size):
                     at = order[a : a + size]
-                    p = {k: Var(v) for k, v in own.items()}
                     self.moments, self.penalty = {}, None
                     raw, _ = self._raw(p, rows[at], rng if train else None)
                     with np.errstate(all="ignore"):
                         value, g = gradient(y[at], raw.value)
-                    n, total = n + len(at), total + float(np.nan_to_num(value, posinf=1e9).sum())
+                    sum_of = value.sum()
+                    n, total = n + len(at), total + float(sum_of if np.isfinite(sum_of) else np.nan_to_num(value, posinf=1e9).sum())
                     if not train:
                         continue
-                    root = (raw * Var(g / len(at))).reshape(-1).sum(0)  # its gradient at raw is g
+                    root = (raw * Var(g / len(at), constant=True)).reshape(-1).sum(0)  # its gradient at raw is g
                     (root + self.penalty if self.penalty is not None else root).backward(np.array(1.0))
                     t += 1
                     for k, v in self.moments.items():
-                        own[k] = 0.9 * own[k] + 0.1 * v
-                    for k, v in p.items():
-                        if v.grad is None or k in fixed:
-                            continue
-                        d = v.grad + self.weight_decay * own[k]
-                        m[k] = 0.9 * m[k] + 0.1 * d
-                        s[k] = 0.999 * s[k] + 0.001 * d * d
-                        own[k] = own[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+                        own[k][...] = 0.9 * own[k] + 0.1 * v
+                    if (now := [k for k in names if p[k].grad is not None and k not in fixed]) != live:
+                        live = now
+                        some = np.concatenate([np.arange(a, b) for k, a, b in zip(names, cut[:-1], cut[1:], strict=True) if k in set(live)] or [np.zeros(0, int)])
+                        some = slice(None) if len(some) == len(flat) else some
+                    for k in live:
+                        grads[k][...], p[k].grad = p[k].grad, None
+                    for k in fixed:
+                        p[k].grad = None
+                    d = g_flat[some] + self.weight_decay * flat[some]
+                    m[some] = 0.9 * m[some] + 0.1 * d
+                    s[some] = 0.999 * s[some] + 0.001 * d * d
+                    flat[some] -= lr * (m[some] / (1 - 0.9**t)) / (np.sqrt(s[some] / (1 - 0.999**t)) + 1e-8)
             if n:
-                packed = np.concatenate([own[k].ravel() for k in sorted(own)]) * n if train else np.zeros(1)
+                packed = flat * n if train else np.zeros(1)
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total]), pa.array([packed.tobytes()])], ["n", "total", "params"])
 
         return run
@@ -410,19 +420,19 @@ class NeuralModel:
         """The best parameters so far, as a table of one row in any store that Spark writes; an epoch that is lost loses no more than itself."""
         spark.createDataFrame([(type(self).__name__, self.to_json())], "kind string, state string").coalesce(1).write.mode("overwrite").parquet(path)
 
-    def fit(self, df: DataFrame, y: str, pre: Preprocessor, family: families.Family | None = None, validation: DataFrame | None = None, partitions: int | None = None, go_on: bool = False) -> NeuralModel:
-        """``df`` (and ``validation``) hold the encoded blocks and the target. Stops early on the validation loss and keeps the best parameters. ``go_on`` starts from the parameters of the fit before."""
+    def fit(self, df: DataFrame, y: str, pre: Preprocessor, family: families.Family | None = None, validation: DataFrame | None = None, partitions: int | None = None, go_on: bool = False, size: int | None = None) -> NeuralModel:
+        """``size`` is the number of rows of ``df``, where it is known. ``df`` (and ``validation``) hold the encoded blocks and the target. Stops early on the validation loss and keeps the best parameters. ``go_on`` starts from the parameters of the fit before."""
         if not go_on:
             self._build(pre, family.size if family else 1)
         self.family = family
         spark = df.sparkSession
-        n = partitions or int(min(max(-(-df.count() // self.rows_per_task), 1), MOST_TASKS))
+        n = partitions or int(min(max(-(-(df.count() if size is None else size) // self.rows_per_task), 1), MOST_TASKS))
         rows = df.select(self._input(pre).alias("b"), F.col(y).cast("double").alias("y")).where("b is not null and y is not null").withColumn("k", F.xxhash64("b", "y"))
-        src = rows.repartition(n, "k").sortWithinPartitions("k").drop("k").persist(StorageLevel.MEMORY_AND_DISK_2)
-        val = validation.select(self._input(pre).alias("b"), F.col(y).cast("double").alias("y")).where("b is not null and y is not null").persist(StorageLevel.MEMORY_AND_DISK_2) if validation is not None else src
+        src = rows.repartition(n, "k").sortWithinPartitions("k").drop("k").persist(StorageLevel.MEMORY_AND_DISK)
+        val = validation.select(self._input(pre).alias("b"), F.col(y).cast("double").alias("y")).where("b is not null and y is not null").persist(StorageLevel.MEMORY_AND_DISK) if validation is not None else src
         if not go_on and (family is None or family.name == "quantile"):
-            start = src.agg(F.percentile_approx("y", F.array(*map(F.lit, np.linspace(0, 1, self.outputs + 2)[1:-1].tolist()))).alias("q"), F.avg("y").alias("m")).first()
-            self.params["intercept"][0] = start["m"] if family is None else start["q"][0]
+            start = F.avg("y") if family is None else F.percentile_approx("y", F.array(*map(F.lit, np.linspace(0, 1, self.outputs + 2)[1:-1].tolist())))[0]
+            self.params["intercept"][0] = src.agg(start).first()[0]
         if self.kind == "nodegam" and self.data_start and not go_on:
             self._trees().start(self.params, self._percentiles(src), np.random.default_rng(self.seed))
         best, kept, wait, lr, self.history = float("inf"), self.params, 0, self.lr, []
@@ -458,8 +468,8 @@ class NeuralModel:
         p = {k: Var(v) for k, v in self.params.items()}
         return list(self._forward(p, np.zeros((1, self.width))))
 
-    def transform(self, df: DataFrame, pre: Preprocessor) -> DataFrame:
-        """Adds ``raw`` (an array), ``output`` (its first component) and ``f_<term>`` of the first component, in Arrow batches."""
+    def transform(self, df: DataFrame, pre: Preprocessor, without: Sequence[str] = ()) -> DataFrame:
+        """Adds ``raw`` (an array), ``output`` (its first component) and ``f_<term>`` of the first component, in Arrow batches. Columns ``without`` are read and do not come back."""
         names, width = self.terms(), self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,8 +481,8 @@ class NeuralModel:
                 own = {f"f_{t}": pa.array(terms[t].value[:, 0]) for t in names}
                 yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_b"]).columns, *own.values(), flat, pa.array(raw.value[:, 0])], [*(n for n in batch.schema.names if n != "_b"), *own, "raw", "output"])
 
-        fields = [*df.schema.fields, *(T.StructField(f"f_{t}", T.DoubleType()) for t in names), T.StructField("raw", T.ArrayType(T.DoubleType())), T.StructField("output", T.DoubleType())]
-        return df.withColumn("_b", self._input(pre)).mapInArrow(run, T.StructType(fields))
+        fields = [*df.drop(*without).schema.fields, *(T.StructField(f"f_{t}", T.DoubleType()) for t in names), T.StructField("raw", T.ArrayType(T.DoubleType())), T.StructField("output", T.DoubleType())]
+        return df.withColumn("_b", self._input(pre)).drop(*without).mapInArrow(run, T.StructType(fields))
 
     def freeze(self, *beginnings: str) -> NeuralModel:
         """Parameters whose names begin so are left as they are by a fit that continues from here (none given: all are free again)."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,26 @@ def test_three_classes_of_tabulated_trees_and_a_norm_hook(spark, five):
     assert np.isclose(again.transform(hook(df)).agg(F.sum("output")).first()[0], e.contributions(df).agg(F.sum("output")).first()[0])
     two = Classifier("nodegam", n_estimators=40).fit(df.drop("y").where("k < 2"), "k")
     assert two.evaluate(df.where("k < 2"))["accuracy"] > 0.97
+
+
+def test_a_fit_reads_its_input_once(spark):
+    """The hash that sets rows aside is made once, and no job counts rows that another has counted."""
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            x = batch.column("id").to_numpy() / 500.0
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.where(x > 1, "a", "b")), pa.array(np.sin(x))], ["x", "c", "y"])
+
+    df = spark.range(0, 1000, 1, 4).mapInArrow(rows, "x double, c string, y double")
+    e = ESTIMATORS["NAMRegressor"](cat_cutoff=2, hidden=(4,), max_epochs=2).fit(df, "y")
+    assert read.value == 1000 and len(e.model.history) == 2
+
+
+def test_constants_have_no_gradient():
+    x, w = Var(np.ones((3, 2)), constant=True), Var(np.ones((2, 1)))
+    b = Var(np.zeros(1))
+    masked = (x * 2.0).affine(w, b).dropped(np.array([[1.0], [0.0], [1.0]]))
+    masked.sum(0).backward(np.ones(1))
+    assert x.grad is None and np.allclose(w.grad, 4.0) and np.allclose(b.grad, 2.0)
