@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from terrace import queries
 from terrace.operators import thinplate
 from terrace.operators.splines import scale_penalty, sum_to_zero
 from terrace.plans.gam import Gam
@@ -218,3 +219,9 @@ def test_products_near_and_far(spark):
         if r["tile"] in (0, 21, 63):
             dense = sum(thinplate.radial(thinplate.distances(np.frombuffer(r["x"]).reshape(-1, 2), at), 2, 2) @ v for at, v in rows)
             assert np.allclose(np.frombuffer(r["w"]).reshape(-1, 3), dense, atol=1e-11)
+
+
+def test_ties_of_fitted_moments(spark):
+    """24.556925 is the moment of sf0.001: a fit may come out on either side of it."""
+    rows = spark.createDataFrame([(24.556925 + e,) for e in (-1e-10, 0.0, 1e-10)] + [(24.55692,), (-1.2345649,)], "v double")
+    assert [r[0] for r in rows.select(queries.settled(F.col("v"))).collect()] == [24.55693, 24.55693, 24.55693, 24.55692, -1.23456]
