@@ -218,17 +218,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stage(src.mapInArrow(_sketch(shingle), "doc_id long, n long, digest binary, regs binary"), "sketch")
     reps = stage(
-        sketch.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "regs")).alias("s")).select("digest", F.col("s.doc_id").alias("doc"), "s.n", "s.regs"), "classes")
+        sketch.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "regs")).alias("s")).select("digest", F.col("s.doc_id").alias("doc"), "s.n", "s.regs"), "classes", merge=True)
     keys = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("regs", 2 * rows * i + 1, 2 * rows)).alias("key")) for i in range(_M // rows)))
     member = reps.select("doc", "n", F.explode(keys).alias("k")).select("doc", "n", "k.band", "k.key")
-    hub = stage(member.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "hubs")
-    member = stage(member.drop("n").join(hub, "key"), "buckets")
-    own = stage(src.withColumnRenamed("doc_id", "doc").join(member.select("doc").distinct().hint("shuffle_hash"), "doc").mapInArrow(_sets(shingle), "doc long, own binary"), "sets")
+    hub = stage(member.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "hubs", merge=True)
+    member = stage(member.drop("n").join(hub, "key"), "buckets", merge=True)
+    own = stage(src.withColumnRenamed("doc_id", "doc").join(member.select("doc").distinct().hint("shuffle_hash"), "doc").mapInArrow(_sets(shingle), "doc long, own binary"), "sets", merge=True)
 
     pairs = member.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     for side in "ba":
         pairs = pairs.join(reps.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}")), side)
-    pairs = likely = stage(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(at), "a long, b long").distinct(), "pairs")
+    pairs = likely = stage(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(at), "a long, b long").distinct(), "pairs", merge=True)
     for side in "ba":
         pairs = pairs.join(own.select(F.col("doc").alias(side), F.col("own").alias(f"own_{side}")), side)
     root = components(pairs.select("a", "b", "own_a", "own_b").mapInArrow(_verify(percent), "a long, b long"))
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     placed = member.where("size > 2")
     for c in ("doc", "hub"):
         placed = placed.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    placed = placed_all = stage(placed.withColumn("open", F.col("doc_root") != F.col("hub_root")), "placed")
+    placed = placed_all = stage(placed.withColumn("open", F.col("doc_root") != F.col("hub_root")), "placed", merge=True)
     live = placed.where("open").select("key").distinct()
     placed = placed.join(live, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))))
     block = (
@@ -262,5 +262,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def representatives(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its group, all columns kept."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
+    gone = stage(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "gone", merge=True)
     return docs.join(gone, "doc_id", "left_anti")

@@ -109,6 +109,26 @@ def _count(at: np.ndarray, n: int) -> np.ndarray:
     return sum((np.bincount(at[a : a + (1 << 20)], minlength=n) for a in range(0, len(at), 1 << 20)), np.zeros(n, np.int64))
 
 
+def _runs(first: np.ndarray, most: int = 1 << 18) -> list[int]:
+    """Cuts of entries, a text's from ``first`` on, into runs of whole texts with about ``most`` entries."""
+    return np.unique(first[np.searchsorted(first, np.append(np.arange(0, first[-1], most), first[-1]))]).tolist()
+
+
+def _owners(of: np.ndarray, first: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that hold each group, in ascending order, and where each group's begin; text t holds the distinct groups ``of[first[t]:first[t + 1]]``."""
+    cut = np.append(0, np.cumsum(_count(of, groups)))
+    owner, free = np.zeros(len(of), np.int32), cut[:-1].copy()
+    for lo, hi in itertools.pairwise(_runs(first)):
+        part = of[lo:hi]
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        n = np.diff(np.append(heads, len(part)))
+        owner[free[part] + np.arange(len(part)) - np.repeat(heads, n)] = np.searchsorted(first, lo + order, "right") - 1
+        free[part[heads]] += n
+    return owner, cut
+
+
 def telling_pairs(row: np.ndarray, at: np.ndarray, terms: int, residual: np.ndarray, spread: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
     """Whether each term is part of a pair whose texts are left unexplained; text ``row`` (ascending) holds term ``at``, and has a residual and its variance."""
     n = len(residual)
@@ -116,31 +136,34 @@ def telling_pairs(row: np.ndarray, at: np.ndarray, terms: int, residual: np.ndar
     some = np.searchsorted(row, np.arange(0, n + 512, 512))  # 512 texts at a time: entries are many
     for lo, hi in itertools.pairwise(some):
         column += np.bincount(at[lo:hi], mark[row[lo:hi]], terms)  # equal for terms of the same texts
-    alike, group = np.unique(column, return_inverse=True)
+    often = np.flatnonzero(count >= PAIR_TEXTS)
+    alike, group = np.unique(column[often], return_inverse=True)
     size = np.zeros(len(alike), np.int64)
-    size[group] = count
-    used = np.flatnonzero(size >= PAIR_TEXTS)
-    used = used[np.argsort(-size[used], kind="stable")][:most]
-    place = np.full(len(alike), -1)
-    place[used] = np.arange(len(used))
-    left, var, both = (np.zeros((len(used), len(used)), np.float32) for _ in range(3))
-    place = place[group]
-    for a, (lo, hi) in zip(range(0, n, 512), itertools.pairwise(some), strict=False):
-        col = place[at[lo:hi]]
-        x = np.zeros((min(512, n - a), len(used)), np.float32)
-        x[row[lo:hi][col >= 0] - a, col[col >= 0]] = 1
-        left += x.T @ (x * residual[a : a + 512, None].astype(np.float32))
-        var += x.T @ (x * spread[a : a + 512, None].astype(np.float32))
-        both += x.T @ x
-    tells = (both >= PAIR_TEXTS) & (var > 0)
-    np.abs(left, out=left)
-    np.sqrt(var, out=var)
-    var *= PAIR_DEVIATIONS
-    tells &= left >= var
-    np.fill_diagonal(tells, False)
-    out = np.zeros(len(alike), bool)
-    out[used] = tells.any(1)
-    return out[group]
+    size[group] = count[often]
+    used = np.argsort(-size, kind="stable")[:most]
+    number = np.full(len(alike), -1, np.int32)
+    number[used] = np.arange(len(used))
+    place, tells = np.full(terms, -1, np.int32), np.zeros(len(used), bool)
+    place[often] = number[group]
+    del count, column, group, number
+    for one in range(0, len(used), 1024):  # 1024 terms at a time against all: sums of all pairs at once are large
+        own = slice(one, one + 1024)
+        left, var, both = (np.zeros((len(used[own]), len(used)), np.float32) for _ in range(3))
+        for a, (lo, hi) in zip(range(0, n, 512), itertools.pairwise(some), strict=False):
+            col = place[at[lo:hi]]
+            x = np.zeros((min(512, n - a), len(used)), np.float32)
+            x[row[lo:hi][col >= 0] - a, col[col >= 0]] = 1
+            y = np.ascontiguousarray(x[:, own].T)
+            both += y @ x
+            left += y @ (x * residual[a : a + 512, None].astype(np.float32))
+            var += y @ (x * spread[a : a + 512, None].astype(np.float32))
+        pair = (both >= PAIR_TEXTS) & (var > 0) & (np.abs(left) >= PAIR_DEVIATIONS * np.sqrt(var))
+        pair[np.arange(len(pair)), np.arange(one, one + len(pair))] = False
+        tells[own] = pair.any(1)
+    out = np.zeros(terms, bool)
+    held = place >= 0
+    out[held] = tells[place[held]]
+    return out
 
 
 def meeting_pairs(row: np.ndarray, at: np.ndarray, terms: int, y: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -162,18 +185,16 @@ def meeting_pairs(row: np.ndarray, at: np.ndarray, terms: int, y: np.ndarray, p:
     alike, number = np.unique(column, return_inverse=True)  # equal for terms of the same texts
     number = np.where(often, number - (not often.all()), -1).astype(np.int32)
     size = len(alike) - (not often.all())
-    keep = np.flatnonzero(often[at])
-    by = number[at[keep]].astype(np.int64)  # entries are many: in place, and what is done with goes
-    by *= len(y)
-    by += row[keep]
-    del keep
-    by.sort()
-    by = by[np.append(True, by[1:] != by[:-1])]  # a group once a text
-    cut, owner = np.searchsorted(by, np.arange(size + 1) * len(y)), (by % len(y)).astype(np.int32)
-    by //= len(y)
-    order = np.argsort(owner, kind="stable")
-    of, first = by[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(y) + 1))
-    del by, order
+    count, parts = np.zeros(len(y), np.int64), []
+    for lo, hi in itertools.pairwise(_runs(first)):  # entries are many: their order is found a run of texts at a time
+        by = number[at[lo:hi]].astype(np.int64)
+        own = by >= 0
+        by = np.unique(row[lo:hi][own].astype(np.int64) * size + by[own])  # a group once a text
+        count += np.bincount(by // size, minlength=len(y))
+        parts.append((by % size).astype(np.int32))
+    of, first = np.concatenate(parts), np.append(0, np.cumsum(count))
+    del parts
+    owner, cut = _owners(of, first, size)
 
     def others(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = first[texts + 1] - first[texts]
@@ -238,10 +259,13 @@ def fit(texts: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, seed: in
     if not 0 < y.sum() < len(y):
         return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     at = np.concatenate(texts)
-    slots = np.unique(at)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    del texts  # with the table they lie in, if the caller has let go of it
+    slots = np.zeros(0, at.dtype)
+    for a in range(0, len(at), 1 << 20):
+        slots = np.union1d(slots, at[a : a + (1 << 20)])
     for a in range(0, len(at), 1 << 20):
         at[a : a + (1 << 20)] = np.searchsorted(slots, at[a : a + (1 << 20)])
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     count, share = _count(at, len(slots)), y.mean()
     bad = _count(at[(y == 1)[row]], len(slots))
 
@@ -279,8 +303,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     drop(rows)
     times = np.ceil(found.column("times").to_numpy() * min(1.0, 2 * sample / max(total or 1, 1))).astype(np.int64)
     at = np.repeat(np.arange(len(times)), times)
-    texts = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]
-    return fit([texts[i] for i in at], found.column("y").to_numpy().astype(np.float64)[at])
+    y, texts = found.column("y").to_numpy().astype(np.float64)[at], [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")]
+    texts = [texts[i] for i in at[::-1]]
+    del found
+    return fit([texts.pop() for _ in at], y)  # which lets go of them
 
 
 def scores(docs: DataFrame, model: Model, bits: int = BITS, into: str = "toxicity") -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrace.llm import mixing, toxicity
+from terrace.llm import mixing, neardup, toxicity
 
 PLAIN, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -53,3 +55,38 @@ def test_stages(spark, tiny):
 def test_run(spark, tiny):
     out = corpus_pipeline.run(spark, tiny)
     assert out.count() > 0 and out.where(F.col("taken") > 2 * F.col("size")).count() == 0
+
+
+def test_near_dedup_gathers_no_small_side(spark, tiny):
+    """However small the sides of its joins turn out, none is made a table in the driver and broadcast; the session's settings are as before."""
+    key, store = "spark.sql.adaptive.autoBroadcastJoinThreshold", spark._jsparkSession.sharedState().statusStore()
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    want = neardup.representatives(docs, shingle=5, percent=80, rows=6).count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(key, "10m")
+    try:
+        began = store.executionsCount()
+        kept = neardup.representatives(docs, shingle=5, percent=80, rows=6)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        runs = store.executionsList(began, 1000)
+        plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+        assert spark.conf.get(key) == "10m"
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert kept.count() == want
+
+
+def test_memory_of_the_pair_search():
+    """The search of pairs in the driver holds a few bytes for each term of a text."""
+    n, terms = 100_000, 30
+    each = [np.array([t]) for t in range(terms) for _ in range(9)] + [np.arange(terms)] * n
+    row, at = np.repeat(np.arange(len(each), dtype=np.int32), [len(t) for t in each]), np.concatenate(each).astype(np.int32)
+    y = (np.arange(len(each)) < 9 * terms).astype(float)
+    del each
+    tracemalloc.start()
+    found = toxicity.meeting_pairs(row, at, terms, y, np.full(len(y), 0.1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not found.any() and most < 20 * len(at)
