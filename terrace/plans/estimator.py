@@ -117,7 +117,7 @@ class Estimator:
             return self
         enc = self.pre.transform(self._coded(train), ("_y",))
         extra = {"validation": self.pre.transform(self._coded(val), ("_y",))} if val is not None else {}
-        self.model.fit(enc, "_y", self.pre, self._family(), size=self.pre.rows if base is train else None, **extra)
+        self.model.fit(enc, "_y", self.pre, self._family(), size=self.pre.row_count if base is train else None, **extra)
         return self
 
     def _backfit(self, train: DataFrame, val: DataFrame | None, wide: list[str]) -> None:

@@ -72,6 +72,7 @@ class Preprocessor:
     literals: int = LITERALS
     features: list[Feature] = dataclasses.field(default_factory=list)
     vocabularies: dict[str, DataFrame] = dataclasses.field(default_factory=dict, repr=False)
+    row_count: int | None = dataclasses.field(default=None, init=False, repr=False, compare=False)  # of the fit's input, where a job of the fit counts it
 
     def __post_init__(self) -> None:
         self.numerical_preprocessing, self.categorical_preprocessing = self.numerical_preprocessing.lower(), self.categorical_preprocessing.lower()
@@ -84,7 +85,7 @@ class Preprocessor:
 
     @classmethod
     def parameters(cls) -> list[str]:
-        return [f.name for f in dataclasses.fields(cls) if f.name not in ("features", "vocabularies")]
+        return [f.name for f in dataclasses.fields(cls) if f.init and f.name not in ("features", "vocabularies")]
 
     def get_params(self, deep: bool = True) -> dict[str, Any]:
         return {p: getattr(self, p) for p in self.parameters()}
@@ -100,7 +101,7 @@ class Preprocessor:
     def fit(self, df: DataFrame, target: str | None = None, exclude: tuple[str, ...] = ()) -> Preprocessor:
         """Fit to all columns but the target and ``exclude``."""
         num, cat = schema.detect_column_types(df, self.cat_cutoff, self.treat_all_integers_as_numerical, {*exclude, *([target] if target else [])})
-        self.rows = None  # their number, where a job of the fit counts them
+        self.row_count = None
         self.features = [*self._fit_numerical(df, num, target), *self._fit_categorical(df, cat)]
         return self
 
@@ -110,7 +111,7 @@ class Preprocessor:
         kind = self.numerical_preprocessing
         x = {c: schema.missing(c, df.schema[c].dataType).cast("double") for c in num}
         row = df.agg(F.count("*").alias("n"), *(f(x[c]).alias(f"{m}{i}") for i, c in enumerate(num) for m, f in (("count", F.count), ("mean", F.avg), ("var", F.var_pop), ("min", F.min), ("max", F.max)))).first()
-        self.rows = row["n"]
+        self.row_count = row["n"]
         if empty := [c for i, c in enumerate(num) if not row[f"count{i}"]]:
             raise ValueError(f"columns without a value: {empty}")
         # the mean fills the gaps: it moves neither mean, least nor most, and shrinks the variance by the share of gaps
