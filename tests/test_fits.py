@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from terrace.plans.estimator import Regressor
+from terrace.plans.estimator import ESTIMATORS, Regressor
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +32,11 @@ def test_piecewise_linear_fit_is_least_squares(spark, data):
     z = np.stack(e.pre.transform(df).toPandas()["num_x"].to_numpy())
     assert np.allclose(e.predict(df).toPandas().prediction, _solved(z, pdf.y, 1e-6 * np.eye(z.shape[1])), atol=1e-6)
     assert len(e.effect_table(df).set_index("feat_name").loc["x"].x) == 300
+
+
+def test_gaussian_process_fit_is_ridge_regression(spark, data):
+    df, pdf = data
+    e = ESTIMATORS["GPNAMRegressor"](random_features=8).fit(df, "y")
+    u = ((pdf.x - pdf.x.min()) / (pdf.x.max() - pdf.x.min())).to_numpy()
+    z = np.hstack([u[:, None], e.model.rff.rows(u), pd.get_dummies(pdf.z).to_numpy(float)])
+    assert np.allclose(e.predict(df).toPandas().prediction, _solved(z, pdf.y, 1e-3 * np.eye(z.shape[1])), atol=1e-6)
