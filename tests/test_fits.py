@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from helpers import run_sql, same
 
+from terrace.oracles import ORACLES
 from terrace.plans.estimator import ESTIMATORS, Regressor
+from terrace.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +43,13 @@ def test_gaussian_process_fit_is_ridge_regression(spark, data):
     u = ((pdf.x - pdf.x.min()) / (pdf.x.max() - pdf.x.min())).to_numpy()
     z = np.hstack([u[:, None], e.model.rff.rows(u), pd.get_dummies(pdf.z).to_numpy(float)])
     assert np.allclose(e.predict(df).toPandas().prediction, _solved(z, pdf.y, 1e-3 * np.eye(z.shape[1])), atol=1e-6)
+
+
+def test_one_line_is_fitted_exactly(spark, tiny):
+    """Slope and intercept without a ridge, with gaps that the mean fills; and SQL's on a larger table."""
+    x, y = np.array([1.0, 2.0, 4.0, 7.0, 9.5]), np.array([3.0, 1.0, 8.0, 5.0, 12.0])
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).unionByName(spark.createDataFrame([(None, 2.0)], "x double, y double"))
+    m = Regressor("linreg", numerical_preprocessing="none", ridge=0.0).fit(df, "y").model
+    assert np.allclose(m.coefficients[0, ::-1], np.polyfit(np.append(x, x.mean()), np.append(y, 2.0), 1), rtol=1e-9)
+    folder = tiny.replace("sf0.001", "sf0.01")
+    same(QUERIES["linreg_fit_1d"](spark, folder).toPandas(), run_sql(folder, ORACLES["linreg_fit_1d"]))
