@@ -53,3 +53,14 @@ def test_one_line_is_fitted_exactly(spark, tiny):
     assert np.allclose(m.coefficients[0, ::-1], np.polyfit(np.append(x, x.mean()), np.append(y, 2.0), 1), rtol=1e-9)
     folder = tiny.replace("sf0.001", "sf0.01")
     same(QUERIES["linreg_fit_1d"](spark, folder).toPandas(), run_sql(folder, ORACLES["linreg_fit_1d"]))
+
+
+def test_squared_error_of_a_line(spark, tiny):
+    """Predictions of a fit are as far off as least squares; and as SQL's on a larger table."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"x": rng.normal(0, 1, 50), "y": rng.normal(3, 2, 50)})
+    df = spark.createDataFrame(pdf)
+    want = np.polyfit(pdf.x, pdf.y, 1, full=True)[1][0] / 50
+    assert np.isclose(Regressor("linreg", numerical_preprocessing="none", ridge=0.0).fit(df, "y").evaluate(df)["mse"], want, rtol=1e-9)
+    folder = tiny.replace("sf0.001", "sf0.01")
+    same(QUERIES["linreg_mse"](spark, folder).toPandas(), run_sql(folder, ORACLES["linreg_mse"]))
