@@ -64,3 +64,14 @@ def test_squared_error_of_a_line(spark, tiny):
     assert np.isclose(Regressor("linreg", numerical_preprocessing="none", ridge=0.0).fit(df, "y").evaluate(df)["mse"], want, rtol=1e-9)
     folder = tiny.replace("sf0.001", "sf0.01")
     same(QUERIES["linreg_mse"](spark, folder).toPandas(), run_sql(folder, ORACLES["linreg_mse"]))
+
+
+def test_gamma_of_categories_alone_has_their_means(spark):
+    """No numerical column, so no job of the fit counts rows: the likeliest gamma of each category has the category's mean."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"z": np.repeat(["F", "O", "P"], 200), "y": np.concatenate([rng.gamma(2.0, s, 200) for s in (0.5, 1.0, 2.0)])})
+    df = spark.createDataFrame(pdf)
+    e = ESTIMATORS["LinRegLSS"](family="gamma").fit(df, "y")
+    assert e.pre.row_count is None
+    out = e.predict(df).toPandas()
+    assert np.allclose((out["shape"] / out["rate"]).groupby(out.z).first(), pdf.groupby("z").y.mean(), rtol=1e-2)
