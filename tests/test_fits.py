@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from helpers import run_sql, same
 
+from terrace.operators.splines import scale_penalty
 from terrace.oracles import ORACLES
 from terrace.plans.estimator import ESTIMATORS, Regressor
 from terrace.queries import QUERIES
@@ -75,3 +76,21 @@ def test_gamma_of_categories_alone_has_their_means(spark):
     assert e.pre.row_count is None
     out = e.predict(df).toPandas()
     assert np.allclose((out["shape"] / out["rate"]).groupby(out.z).first(), pdf.groupby("z").y.mean(), rtol=1e-2)
+
+
+def test_spline_fit_has_the_least_gcv(spark, data):
+    """The penalised fit with the smoothing of least GCV, by hat matrices over the same grid."""
+    df, pdf = data
+    e = ESTIMATORS["SNAMRegressor"](knots=6).fit(df, "y")
+    u = ((pdf.x - pdf.x.min()) / (pdf.x.max() - pdf.x.min())).to_numpy()
+    own = e.model.spline.rows(u)
+    z = np.hstack([own, pd.get_dummies(pdf.z).to_numpy(float)])
+
+    def scored(lam: float) -> tuple[float, np.ndarray]:
+        pen = 1e-6 * np.eye(z.shape[1])
+        pen[: own.shape[1], : own.shape[1]] += lam * scale_penalty(e.model.spline.penalty, np.abs(own).sum(1).max())
+        hat = _solved(z, np.eye(300), pen)
+        return ((pdf.y - hat @ pdf.y) ** 2).mean() / (1 - np.trace(hat) / 300) ** 2, hat @ pdf.y
+
+    want = min((scored(10.0**k) for k in range(-6, 7)), key=lambda s: s[0])[1]
+    assert np.allclose(e.predict(df).toPandas().prediction, want, atol=1e-6)
